@@ -157,3 +157,316 @@ SELECT task, avg(CAST(pred IS NOT DISTINCT FROM y AS DOUBLE)) AS accuracy, count
 """)
 def q_flat_accuracy(spark, sf_dir):
     return ev.flat_accuracy(_stand_in(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Sources and preparation
+# --------------------------------------------------------------------------
+
+from labelwise.operators import prep  # noqa: E402
+from labelwise.operators import encode as enc  # noqa: E402
+from labelwise.operators import sample as smp  # noqa: E402
+from labelwise.sources import transcripts as trs  # noqa: E402
+from labelwise.session import scratch_path  # noqa: E402
+
+TR_SQL = r"""
+tr AS (
+  SELECT CAST(turn AS INTEGER) AS "index", CAST(NULL AS INTEGER) AS label, role AS label_notes,
+         text AS sentence, printf('%03d_TRANSCRIPT.csv', conv_id) AS audio_features
+  FROM conversations WHERE role = 'user'),
+trid AS (
+  SELECT *, CAST(NULLIF(regexp_extract(audio_features, '[0-9]{3}'), '') AS INTEGER) AS Participant_ID FROM tr),
+lab AS (SELECT CAST(doc_id AS INTEGER) AS Participant_ID, quality, toxic FROM labels)"""
+
+LINKED_SQL = TR_SQL + """,
+linked AS (
+  SELECT lab.Participant_ID, lab.quality, lab.toxic, trid."index", trid.label, trid.label_notes,
+         trid.sentence, trid.audio_features
+  FROM lab LEFT JOIN trid ON lab.Participant_ID = trid.Participant_ID)"""
+
+SPLIT_SQL = "CASE WHEN CAST(('0x' || substr(md5('42:' || CAST({id} AS VARCHAR)), 1, 8)) AS BIGINT) % 10 < 2 " \
+            "THEN 'test' ELSE 'train' END"
+
+
+def _transcripts(spark, sf_dir):
+    return tb.transcripts_from_conversations(tb.read_table(spark, sf_dir, "conversations"))
+
+
+def _labels(spark, sf_dir):
+    return tb.participant_labels(tb.read_table(spark, sf_dir, "labels"))
+
+
+def _linked(spark, sf_dir):
+    return prep.link_labels(_labels(spark, sf_dir), prep.with_id(_transcripts(spark, sf_dir)))
+
+
+@register("scan_transcripts", f"WITH {TR_SQL} SELECT * FROM tr")
+def q_scan_transcripts(spark, sf_dir):
+    return _transcripts(spark, sf_dir)
+
+
+@register("scan_labels", f"WITH {TR_SQL} SELECT * FROM lab")
+def q_scan_labels(spark, sf_dir):
+    return _labels(spark, sf_dir)
+
+
+@register("extract_id", r"""
+SELECT page_id, url, CAST(NULLIF(regexp_extract(url, '[0-9]{3}'), '') AS INTEGER) AS Participant_ID FROM pages
+""")
+def q_extract_id(spark, sf_dir):
+    pages = tb.read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", prep.extract_id("url", mode="null").alias("Participant_ID"))
+
+
+@register("extract_id_suffix", r"""
+SELECT c_custkey, c_name, CAST(NULLIF(regexp_extract(c_name, '[0-9]{3}$'), '') AS INTEGER) AS Participant_ID
+FROM customer
+""")
+def q_extract_id_suffix(spark, sf_dir):
+    cust = tb.read_table(spark, sf_dir, "customer")
+    return cust.select("c_custkey", "c_name", prep.extract_id("c_name", "[0-9]{3}$", "strict").alias("Participant_ID"))
+
+
+@register("with_id", f"WITH {TR_SQL} SELECT * FROM trid")
+def q_with_id(spark, sf_dir):
+    return prep.with_id(_transcripts(spark, sf_dir))
+
+
+@register("link_labels", f"WITH {LINKED_SQL} SELECT * FROM linked")
+def q_link_labels(spark, sf_dir):
+    return _linked(spark, sf_dir)
+
+
+@register("link_labels_matched", f"""
+WITH {TR_SQL}
+SELECT lab.Participant_ID, lab.quality, lab.toxic, trid."index", trid.label, trid.label_notes,
+       trid.sentence, trid.audio_features
+FROM lab JOIN trid ON lab.Participant_ID = trid.Participant_ID
+""")
+def q_link_labels_matched(spark, sf_dir):
+    return prep.link_labels_matched(_labels(spark, sf_dir), prep.with_id(_transcripts(spark, sf_dir)))
+
+
+@register("unlinked_labels", f"""
+WITH {TR_SQL}
+SELECT * FROM lab WHERE Participant_ID NOT IN (SELECT Participant_ID FROM trid WHERE Participant_ID IS NOT NULL)
+""")
+def q_unlinked_labels(spark, sf_dir):
+    return prep.unlinked_labels(_labels(spark, sf_dir), prep.with_id(_transcripts(spark, sf_dir)))
+
+
+@register("drop_columns", f"""
+WITH {LINKED_SQL} SELECT Participant_ID, quality, toxic, sentence FROM linked
+""")
+def q_drop_columns(spark, sf_dir):
+    return prep.drop_columns(_linked(spark, sf_dir), ["index", "label", "label_notes", "audio_features"])
+
+
+@register("dedup_examples", f"""
+WITH {LINKED_SQL} SELECT DISTINCT Participant_ID, quality, toxic, sentence FROM linked
+""")
+def q_dedup_examples(spark, sf_dir):
+    linked = prep.drop_columns(_linked(spark, sf_dir), ["index", "label", "label_notes", "audio_features"])
+    return prep.dedup_examples(linked)
+
+
+@register("project_text_label", f"""
+WITH {LINKED_SQL},
+d AS (SELECT DISTINCT Participant_ID, quality, toxic, sentence FROM linked)
+SELECT sentence, quality FROM d
+""")
+def q_project_text_label(spark, sf_dir):
+    linked = prep.drop_columns(_linked(spark, sf_dir), ["index", "label", "label_notes", "audio_features"])
+    return prep.project_text_label(prep.dedup_examples(linked), "quality")
+
+
+def _tagged_documents(spark, sf_dir):
+    docs = tb.read_table(spark, sf_dir, "documents")
+    return smp.train_test_tag(docs.select("doc_id", "n_chars", F.col("lang").alias("question")), "doc_id")
+
+
+@register("train_test_tag", f"SELECT doc_id, n_chars, lang AS question, {SPLIT_SQL.format(id='doc_id')} AS split FROM documents")
+def q_train_test_tag(spark, sf_dir):
+    return _tagged_documents(spark, sf_dir)
+
+
+@register("select_question_split", f"""
+SELECT * FROM (
+  SELECT doc_id, n_chars, lang AS question, {SPLIT_SQL.format(id='doc_id')} AS split FROM documents)
+WHERE question = 'en' AND split = 'train'
+""")
+def q_select_question_split(spark, sf_dir):
+    root = scratch_path(spark, "question-split")
+    trs.write_question_split(_tagged_documents(spark, sf_dir), root)
+    return trs.select_question_split(spark, root, "en", "train").select("doc_id", "n_chars", "question", "split")
+
+
+@register("split_counts", f"""
+SELECT lang AS question, {SPLIT_SQL.format(id='doc_id')} AS split, count(*) AS n_rows FROM documents GROUP BY 1, 2
+""")
+def q_split_counts(spark, sf_dir):
+    return trs.split_counts(_tagged_documents(spark, sf_dir))
+
+
+@register("support_query_test", """
+SELECT CAST(doc_id AS BIGINT) AS row_id,
+       CASE WHEN b < 6 THEN 'support' WHEN b < 8 THEN 'query' ELSE 'test' END AS part
+FROM (SELECT doc_id, CAST(('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 AS b FROM labels)
+""")
+def q_support_query_test(spark, sf_dir):
+    lab = tb.read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"))
+    return smp.support_query_test(lab, "row_id")
+
+
+# --------------------------------------------------------------------------
+# Encoding (E1-E6, C5, S6)
+# --------------------------------------------------------------------------
+
+VOCAB_SIZE = 5000
+
+TOK_SQL = r"""
+toks AS (
+  SELECT doc_id AS row_id,
+         list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t
+  FROM documents),
+flat AS (SELECT row_id, unnest(t) AS token, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos FROM toks),
+counts AS (SELECT token, count(*) AS n FROM flat GROUP BY token),
+vocab AS (
+  SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS id, n FROM counts
+  QUALIFY row_number() OVER (ORDER BY n DESC, token) <= 5000),
+lookup AS (SELECT f.row_id, f.pos, f.token, coalesce(v.id, 1) AS token_id FROM flat f LEFT JOIN vocab v ON f.token = v.token),
+words AS (SELECT row_id, list(token_id ORDER BY pos) AS w FROM lookup GROUP BY row_id),
+encoded AS (
+  SELECT toks.row_id, CAST(len(toks.t) AS INTEGER) AS n_tokens,
+         list_concat([2], coalesce(words.w, []), [3]) AS encoded
+  FROM toks LEFT JOIN words ON toks.row_id = words.row_id),
+fixed AS (
+  SELECT row_id, n_tokens, list_resize(encoded, 128, 0) AS input_ids FROM encoded),
+masked AS (
+  SELECT row_id, n_tokens, input_ids, list_transform(input_ids, lambda x: CAST(x > 0 AS INTEGER)) AS attention_mask
+  FROM fixed)"""
+
+
+def _docs(spark, sf_dir):
+    return tb.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+
+
+def _vocab(spark, sf_dir, docs=None):
+    return enc.build_vocab(docs if docs is not None else _docs(spark, sf_dir), size=VOCAB_SIZE)
+
+
+@register("tokenize", f"WITH {TOK_SQL} SELECT row_id, pos, token FROM flat")
+def q_tokenize(spark, sf_dir):
+    return enc.tokenize(_docs(spark, sf_dir))
+
+
+@register("build_vocab", f"WITH {TOK_SQL} SELECT token, id, n FROM vocab")
+def q_build_vocab(spark, sf_dir):
+    return _vocab(spark, sf_dir)
+
+
+@register("encode_join", f"WITH {TOK_SQL} SELECT row_id, pos, token, token_id FROM lookup")
+def q_encode_join(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return enc.encode_join(docs, _vocab(spark, sf_dir, docs))
+
+
+@register("encode_ids", f"WITH {TOK_SQL} SELECT row_id, n_tokens, encoded FROM encoded")
+def q_encode_ids(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return enc.encode_ids(docs, _vocab(spark, sf_dir, docs))
+
+
+@register("pad_truncate", f"WITH {TOK_SQL} SELECT row_id, n_tokens, input_ids FROM fixed")
+def q_pad_truncate(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return enc.encode_fixed(docs, _vocab(spark, sf_dir, docs)).select("row_id", "n_tokens", "input_ids")
+
+
+@register("attention_mask", f"WITH {TOK_SQL} SELECT row_id, attention_mask FROM masked")
+def q_attention_mask(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return enc.encode_fixed(docs, _vocab(spark, sf_dir, docs)).select("row_id", "attention_mask")
+
+
+@register("encode_lengths", f"""
+WITH {TOK_SQL}
+SELECT row_id, CAST(list_sum(attention_mask) AS INTEGER) AS length, n_tokens + 2 > 128 AS truncated FROM masked
+""")
+def q_encode_lengths(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return enc.encode_lengths(enc.encode_fixed(docs, _vocab(spark, sf_dir, docs)))
+
+
+@register("post_truncate", f"WITH {TOK_SQL} SELECT row_id, list_slice(t, 1, 128) AS tokens FROM toks")
+def q_post_truncate(spark, sf_dir):
+    from labelwise.functions.text import tokens
+    docs = _docs(spark, sf_dir).select("row_id", tokens("text").alias("tokens"))
+    return enc.post_truncate(docs, "tokens", 128)
+
+
+# --------------------------------------------------------------------------
+# Order, batches, splits
+# --------------------------------------------------------------------------
+
+SHUF_SQL = """
+shuf AS (
+  SELECT doc_id AS row_id, n_chars, md5('42:0:' || CAST(doc_id AS VARCHAR)) AS shuffle_key FROM documents),
+ranked AS (SELECT *, row_number() OVER (ORDER BY shuffle_key, row_id) - 1 AS rank FROM shuf),
+batched AS (SELECT *, CAST(floor(rank / 32) AS BIGINT) AS batch_id FROM ranked)"""
+
+
+def _batched(spark, sf_dir):
+    docs = tb.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "n_chars")
+    return smp.assign_batches(docs, 32, "row_id", seed=42, epoch=0)
+
+
+@register("seeded_shuffle", f"WITH {SHUF_SQL} SELECT row_id, shuffle_key, CAST(rank AS BIGINT) AS rank FROM ranked")
+def q_seeded_shuffle(spark, sf_dir):
+    return _batched(spark, sf_dir).select("row_id", "shuffle_key", "rank")
+
+
+@register("assign_batches", f"WITH {SHUF_SQL} SELECT row_id, batch_id FROM batched")
+def q_assign_batches(spark, sf_dir):
+    return _batched(spark, sf_dir).select("row_id", "batch_id")
+
+
+@register("batch_count", """
+SELECT count(*) AS n_rows, CAST(ceil(count(*) / 32.0) AS BIGINT) AS n_batches,
+       CAST(ceil(count(*) / 32.0) AS BIGINT) * 5 AS total_steps FROM documents
+""")
+def q_batch_count(spark, sf_dir):
+    n = tb.read_table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_rows"))
+    per_epoch, total = smp.batch_count(F.col("n_rows"), 32, epochs=5)
+    return n.select("n_rows", per_epoch.alias("n_batches"), total.alias("total_steps"))
+
+
+@register("batch_mean_loss", f"""
+WITH {SHUF_SQL},
+pb AS (SELECT batch_id, avg(ln(n_chars)) AS bm, count(*) AS n FROM batched GROUP BY batch_id)
+SELECT round(avg(bm), 9) AS batch_mean_loss, round(sum(bm * n) / sum(n), 9) AS row_mean_loss,
+       count(*) AS n_batches FROM pb
+""")
+def q_batch_mean_loss(spark, sf_dir):
+    b = _batched(spark, sf_dir).withColumn("loss", F.log("n_chars"))
+    out = ev.batch_mean_loss(b)
+    return out.select(F.round("batch_mean_loss", 9).alias("batch_mean_loss"),
+                      F.round("row_mean_loss", 9).alias("row_mean_loss"), "n_batches")
+
+
+@register("flatten_batches", f"""
+WITH {SHUF_SQL},
+p AS (SELECT b.batch_id, b.row_id, b.shuffle_key, CAST(b.n_chars >= 500 AS INTEGER) AS pred, l.quality AS y
+      FROM batched b JOIN labels l ON b.row_id = l.doc_id)
+SELECT batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY shuffle_key, row_id) - 1 AS INTEGER) AS pos,
+       pred, y FROM p
+""")
+def q_flatten_batches(spark, sf_dir):
+    b = _batched(spark, sf_dir)
+    lab = tb.read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.col("quality").alias("y"))
+    rows = b.join(lab, "row_id").select("batch_id", "shuffle_key", "row_id",
+                                         (F.col("n_chars") >= 500).cast("int").alias("pred"), "y")
+    per_batch = rows.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("shuffle_key", "row_id", "pred", "y"))).alias("_r"))
+    batches = per_batch.select("batch_id", F.transform("_r", lambda r: r["pred"]).alias("pred"),
+                               F.transform("_r", lambda r: r["y"]).alias("y"))
+    return ev.flatten_batches(batches)
