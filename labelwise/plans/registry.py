@@ -470,3 +470,352 @@ def q_flatten_batches(spark, sf_dir):
     batches = per_batch.select("batch_id", F.transform("_r", lambda r: r["pred"]).alias("pred"),
                                F.transform("_r", lambda r: r["y"]).alias("y"))
     return ev.flatten_batches(batches)
+
+
+# --------------------------------------------------------------------------
+# Array math on fixed features
+# --------------------------------------------------------------------------
+
+import numpy as np  # noqa: E402
+
+from labelwise.functions import arrays as A  # noqa: E402
+from labelwise.operators import linalg as la  # noqa: E402
+from labelwise.operators import train as trn  # noqa: E402
+
+EMB_SQL = """
+emb AS (
+  SELECT vec_id AS row_id, embedding AS x, CAST(label % 2 AS INTEGER) AS a, CAST(label >= 5 AS INTEGER) AS b, label
+  FROM embeddings)"""
+
+
+def _w_sql(c: int) -> str:
+    """SQL of the formula weight of class row ``c`` at 1-based index ``i``."""
+    return f"(CAST(((7 * (i - 1) + 3 * {c}) % 11) - 5 AS DOUBLE) / 10)"
+
+
+def _dot_sql(c: int, x: str = "x") -> str:
+    return f"list_reduce(list_transform({x}, lambda v, i: CAST(v AS DOUBLE) * {_w_sql(c)}), lambda acc, v: acc + v)"
+
+
+def _r9_list(expr: str) -> str:
+    return f"list_transform({expr}, lambda v: round(v, 9))"
+
+
+def _r9(col):
+    return F.transform(col, lambda v: F.round(v, 9))
+
+
+HEADS_SQL = EMB_SQL + f""",
+z AS (
+  SELECT row_id, x, a, b, label, [{_dot_sql(0)}, {_dot_sql(1)}] AS za, [{_dot_sql(2)}, {_dot_sql(3)}] AS zb FROM emb)"""
+
+
+def _emb(spark, sf_dir):
+    return tb.embedding_examples(tb.read_table(spark, sf_dir, "embeddings"))
+
+
+def _formula_heads(d: int = 64) -> dict[str, trn.Head]:
+    return {"a": trn.Head(np.array(la.formula_weights(2, d)), np.zeros(2)),
+            "b": trn.Head(np.array(la.formula_weights(2, d, row_offset=2)), np.zeros(2))}
+
+
+def _scored_emb(spark, sf_dir):
+    h = _formula_heads()
+    return _emb(spark, sf_dir).select("row_id", "x", "a", "b", "label",
+                                      trn.head_logits("x", h["a"]).alias("za"), trn.head_logits("x", h["b"]).alias("zb"))
+
+
+@register("linear_layer", f"WITH {HEADS_SQL} SELECT row_id, za AS logits FROM z")
+def q_linear_layer(spark, sf_dir):
+    return _emb(spark, sf_dir).select("row_id", A.linear("x", la.formula_weights(2, 64)).alias("logits"))
+
+
+@register("two_head_scores", f"WITH {HEADS_SQL} SELECT row_id, za AS logits_a, zb AS logits_b FROM z")
+def q_two_head_scores(spark, sf_dir):
+    return _scored_emb(spark, sf_dir).select("row_id", F.col("za").alias("logits_a"), F.col("zb").alias("logits_b"))
+
+
+SOFTMAX_SQL = "list_transform({z}, lambda v: exp(v - list_max({z})) / list_reduce(list_transform({z}, lambda u: exp(u - list_max({z}))), lambda acc, u: acc + u))"
+
+
+@register("softmax_probs", f"WITH {HEADS_SQL} SELECT row_id, {_r9_list(SOFTMAX_SQL.format(z='za'))} AS probs FROM z")
+def q_softmax_probs(spark, sf_dir):
+    return _scored_emb(spark, sf_dir).select("row_id", _r9(A.softmax("za")).alias("probs"))
+
+
+LSE_SQL = "(list_max({z}) + ln(list_reduce(list_transform({z}, lambda u: exp(u - list_max({z}))), lambda acc, u: acc + u)))"
+
+
+@register("cross_entropy", f"""
+WITH {HEADS_SQL}
+SELECT row_id, round({LSE_SQL.format(z='za')} - za[a + 1], 9) AS loss_a, round({LSE_SQL.format(z='zb')} - zb[b + 1], 9) AS loss_b
+FROM z
+""")
+def q_cross_entropy(spark, sf_dir):
+    s = _scored_emb(spark, sf_dir)
+    return s.select("row_id", F.round(A.cross_entropy("za", "a"), 9).alias("loss_a"),
+                    F.round(A.cross_entropy("zb", "b"), 9).alias("loss_b"))
+
+
+def _tanh_sql() -> str:
+    rows = ", ".join(f"tanh({_dot_sql(c)})" for c in range(8))
+    return f"[{rows}]"
+
+
+@register("tanh_layer", f"WITH {EMB_SQL} SELECT row_id, {_r9_list(_tanh_sql())} AS h FROM emb")
+def q_tanh_layer(spark, sf_dir):
+    return _emb(spark, sf_dir).select("row_id", _r9(A.tanh_array(A.linear("x", la.formula_weights(8, 64)))).alias("h"))
+
+
+@register("argmax_class", f"""
+WITH {HEADS_SQL}
+SELECT row_id, CAST(list_position(za, list_max(za)) - 1 AS INTEGER) AS pred_a,
+       CAST(list_position(zb, list_max(zb)) - 1 AS INTEGER) AS pred_b FROM z
+""")
+def q_argmax_class(spark, sf_dir):
+    s = _scored_emb(spark, sf_dir)
+    return s.select("row_id", A.argmax("za").alias("pred_a"), A.argmax("zb").alias("pred_b"))
+
+
+@register("clip_norm", f"""
+WITH {EMB_SQL},
+n AS (SELECT row_id, x, sqrt(list_reduce(list_transform(x, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), lambda acc, v: acc + v)) AS norm FROM emb)
+SELECT row_id, list_transform(x, lambda v: round(CAST(v AS DOUBLE) * least(1.0, 1.0 / (norm + 1e-6)), 9)) AS x FROM n
+""")
+def q_clip_norm(spark, sf_dir):
+    e = _emb(spark, sf_dir).select("row_id", trn.as_double_array("x").alias("x"))
+    return e.select("row_id", _r9(A.clip_norm("x", 1.0)).alias("x"))
+
+
+SEQ_SQL = """
+s AS (SELECT label AS seq_id, vec_id AS pos, embedding AS x, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings),
+sw AS (SELECT *, exp(score - max(score) OVER (PARTITION BY seq_id)) AS e FROM s),
+sw2 AS (SELECT *, e / sum(e) OVER (PARTITION BY seq_id) AS weight FROM sw)"""
+
+
+def _seq(spark, sf_dir):
+    return tb.read_table(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("seq_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("x"),
+        F.element_at("embedding", 1).cast("double").alias("score"))
+
+
+@register("softmax_weights", f"WITH {SEQ_SQL} SELECT seq_id, pos, round(weight, 9) AS weight FROM sw2")
+def q_softmax_weights(spark, sf_dir):
+    w = la.softmax_weights(_seq(spark, sf_dir), ["seq_id"], "score", "weight")
+    return w.select("seq_id", "pos", F.round("weight", 9).alias("weight"))
+
+
+@register("attention_pool", f"""
+WITH {SEQ_SQL},
+d AS (SELECT seq_id, weight, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM sw2),
+p AS (SELECT seq_id, dim, sum(weight * v) AS value FROM d GROUP BY seq_id, dim)
+SELECT seq_id, list(round(value, 9) ORDER BY dim) AS pooled FROM p GROUP BY seq_id
+""")
+def q_attention_pool(spark, sf_dir):
+    pooled = la.attention_pool(_seq(spark, sf_dir), seq="seq_id", pos="pos", vec="x")
+    return pooled.select("seq_id", _r9(F.col("pooled")).alias("pooled"))
+
+
+@register("dot_matrix", """
+WITH c AS (
+  SELECT label, i AS pos, avg(CAST(v AS DOUBLE)) AS value
+  FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)
+  GROUP BY label, i)
+SELECT q.label AS qid, s.label AS sid, round(sum(q.value * s.value), 9) AS dot
+FROM c q JOIN c s ON q.pos = s.pos GROUP BY q.label, s.label
+""")
+def q_dot_matrix(spark, sf_dir):
+    emb = tb.read_table(spark, sf_dir, "embeddings")
+    cent = (emb.select("label", F.posexplode("embedding").alias("pos", "v"))
+            .groupBy("label", "pos").agg(F.avg(F.col("v").cast("double")).alias("value")))
+    q = cent.select(F.col("label").alias("qid"), "pos", "value")
+    s = cent.select(F.col("label").alias("sid"), "pos", "value")
+    return la.dot_matrix(q, s).select("qid", "sid", F.round("dot", 9).alias("dot"))
+
+
+GRADSTEP_SQL = EMB_SQL + """,
+sh AS (SELECT *, md5('42:0:' || CAST(row_id AS VARCHAR)) AS k FROM emb),
+bt AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY k, row_id) - 1) / 32) AS BIGINT) AS step FROM sh),
+ex AS (SELECT step, a, b, CAST(unnest(x) AS DOUBLE) AS v, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos FROM bt),
+per_step AS (
+  SELECT 'a' AS task, pos, step, sum((0.5 - a) * v) AS value FROM ex GROUP BY pos, step
+  UNION ALL
+  SELECT 'b' AS task, pos, step, sum((0.5 - b) * v) AS value FROM ex GROUP BY pos, step)"""
+
+
+@register("grad_difference", f"WITH {GRADSTEP_SQL} SELECT task, pos, step, round(value, 9) AS value FROM per_step")
+def q_grad_difference(spark, sf_dir):
+    """Per-batch gradient sums (class 1, zero weights) accumulated over the
+    epoch as a non-resetting gradient would, then turned back into
+    increments by :func:`grad_difference`."""
+    from pyspark.sql import Window
+    b = smp.assign_batches(_emb(spark, sf_dir), 32, "row_id", 42, 0)
+    ex = b.select(F.col("batch_id").alias("step"), "a", "b", F.posexplode("x").alias("pos", "v"))
+    per_step = ex.groupBy("pos", "step").agg(
+        F.sum((0.5 - F.col("a")) * F.col("v").cast("double")).alias("ga"),
+        F.sum((0.5 - F.col("b")) * F.col("v").cast("double")).alias("gb"))
+    long = per_step.select("pos", "step", F.inline(F.array(
+        F.struct(F.lit("a").alias("task"), F.col("ga").alias("value")),
+        F.struct(F.lit("b").alias("task"), F.col("gb").alias("value")))))
+    run = Window.partitionBy("task", "pos").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    accumulated = long.withColumn("value", F.sum("value").over(run))
+    diffed = la.grad_difference(accumulated, ["task", "pos"], "step", "value")
+    return diffed.select("task", "pos", "step", F.round("value", 9).alias("value"))
+
+
+# --------------------------------------------------------------------------
+# Training (T0-T2, T4-T8, T11-T13, B7, B8)
+# --------------------------------------------------------------------------
+
+FEAT_SQL = EX_SQL + """,
+feat AS (
+  SELECT row_id, quality, toxic, lang,
+         [1.0, ln(CAST(n_chars AS DOUBLE)) / 10, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) / n_chars] AS x
+  FROM ex)"""
+
+
+def _features(spark, sf_dir):
+    return trn.text_stat_features(_examples(spark, sf_dir))
+
+
+@register("frozen_features", f"WITH {FEAT_SQL} SELECT row_id, {_r9_list('x')} AS x FROM feat")
+def q_frozen_features(spark, sf_dir):
+    return _features(spark, sf_dir).select("row_id", _r9(F.col("x")).alias("x"))
+
+
+@register("select_model_features", f"WITH {EMB_SQL} SELECT row_id, list_transform(x, lambda v: CAST(v AS DOUBLE)) AS x FROM emb")
+def q_select_model_features(spark, sf_dir):
+    emb = tb.read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
+    return trn.select_model_features(emb, "embedding").select("row_id", "x")
+
+
+def _grad_sql(heads: dict[str, tuple[str, int]]) -> str:
+    """Oracle of :func:`gradient_table` for formula heads on ``embeddings``.
+
+    ``heads``: task -> (label column, class-row offset of its formula weights).
+    """
+    parts = []
+    zs = []
+    for t, (y, off) in heads.items():
+        zs.append(f"[{_dot_sql(off)}, {_dot_sql(off + 1)}] AS z_{t}")
+    sel = [f"""
+  SELECT row_id, {y} AS y_{t},
+         list_transform(z_{t}, lambda v: exp(v - list_max(z_{t})) / list_reduce(list_transform(z_{t}, lambda u: exp(u - list_max(z_{t}))), lambda acc, u: acc + u)) AS p_{t},
+         {LSE_SQL.format(z=f'z_{t}')} - z_{t}[{y} + 1] AS l_{t}""" for t, (y, off) in heads.items()]
+    body = f"""
+zz AS (SELECT row_id, x, a, b, {', '.join(zs)} FROM emb),
+pp AS (SELECT zz.row_id, x, {', '.join(f'y_{t}, p_{t}, l_{t}' for t in heads)} FROM zz
+       {' '.join(f'JOIN ({s} FROM zz) q_{t} USING (row_id)' for t, s in zip(heads, sel))}),
+ex AS (SELECT pp.*, unnest(list_concat(list_transform(x, lambda v: CAST(v AS DOUBLE)), [1.0])) AS xv,
+              CAST(generate_subscripts(list_concat(x, [1.0]), 1) - 1 AS INTEGER) AS pos FROM pp)"""
+    for t in heads:
+        for c in range(2):
+            parts.append(f"SELECT '{t}' AS task, {c} AS class, pos, round(sum((p_{t}[{c + 1}] - CAST(y_{t} = {c} AS DOUBLE)) * xv), 9) AS value FROM ex GROUP BY pos")
+        parts.append(f"SELECT '{t}' AS task, -1 AS class, 0 AS pos, round(sum(l_{t}), 9) AS value FROM pp")
+        parts.append(f"SELECT '{t}' AS task, -1 AS class, 1 AS pos, CAST(count(*) AS DOUBLE) AS value FROM pp")
+    return "WITH " + EMB_SQL + "," + body + "\n" + "\nUNION ALL\n".join(parts)
+
+
+def _grad_table(spark, sf_dir, names=("a", "b")):
+    h = _formula_heads()
+    heads = {names[0]: h["a"], names[1]: h["b"]}
+    g = trn.gradient_table(_emb(spark, sf_dir), heads, {names[0]: "a", names[1]: "b"}, "x", method="explode")
+    return g.select("task", "class", "pos", F.round("value", 9).alias("value"))
+
+
+@register("batch_gradient", _grad_sql({"a": ("a", 0), "b": ("b", 2)}))
+def q_batch_gradient(spark, sf_dir):
+    return _grad_table(spark, sf_dir)
+
+
+@register("param_group_filter", "SELECT * FROM (" + _grad_sql({"taska": ("a", 0), "taskb": ("b", 2)})
+          + ") WHERE NOT contains(task, 'taskb')")
+def q_param_group_filter(spark, sf_dir):
+    g = _grad_table(spark, sf_dir, ("taska", "taskb"))
+    return g.where(~F.col("task").contains("taskb"))
+
+
+@register("min_norm_weights", f"""
+WITH {FEAT_SQL},
+ex2 AS (SELECT quality, toxic, unnest(x) AS v, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos FROM feat),
+g AS (SELECT pos, sum((quality - 0.5) * v) / count(*) AS ga, sum((toxic - 0.5) * v) / count(*) AS gb FROM ex2 GROUP BY pos),
+dots AS (SELECT 2 * sum(ga * ga) AS gaa, 2 * sum(ga * gb) AS gab, 2 * sum(gb * gb) AS gbb FROM g)
+SELECT round(gaa, 9) AS gaa, round(gab, 9) AS gab, round(gbb, 9) AS gbb,
+       round(CASE WHEN gaa - 2 * gab + gbb <= 0 THEN 0.5 ELSE least(1.0, greatest(0.0, (gbb - gab) / (gaa - 2 * gab + gbb))) END, 9) AS weight_a
+FROM dots
+""")
+def q_min_norm_weights(spark, sf_dir):
+    """Min-norm task weights from mean gradients of both tasks at zero
+    weights (three text features, biases excluded), all in Spark."""
+    feats = _features(spark, sf_dir)
+    zero = {"quality": trn.Head(np.zeros((2, 3)), np.zeros(2)), "toxic": trn.Head(np.zeros((2, 3)), np.zeros(2))}
+    g = trn.gradient_table(feats, zero, {"quality": "quality", "toxic": "toxic"}, "x", method="explode")
+    n = g.where((F.col("class") == -1) & (F.col("pos") == 1)).select(F.col("value").alias("n"), "task")
+    vec = g.where((F.col("class") >= 0) & (F.col("pos") < 3)).join(n, "task").withColumn("value", F.col("value") / F.col("n"))
+    a = vec.where(F.col("task") == "quality").select("class", "pos", F.col("value").alias("ga"))
+    b = vec.where(F.col("task") == "toxic").select("class", "pos", F.col("value").alias("gb"))
+    dots = a.join(b, ["class", "pos"]).agg(F.sum(F.col("ga") * F.col("ga")).alias("gaa"),
+                                          F.sum(F.col("ga") * F.col("gb")).alias("gab"),
+                                          F.sum(F.col("gb") * F.col("gb")).alias("gbb"))
+    denom = F.col("gaa") - 2 * F.col("gab") + F.col("gbb")
+    gamma = F.when(denom <= 0, F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("gbb") - F.col("gab")) / denom)))
+    return dots.select(*[F.round(c, 9).alias(c) for c in ("gaa", "gab", "gbb")], F.round(gamma, 9).alias("weight_a"))
+
+
+def _unrolled_fit_sql(steps: int = 3, lr: float = 0.5) -> str:
+    """Plain gradient descent on two-class softmax over the three text
+    features plus a bias, unrolled ``steps`` times as CTEs."""
+    names = [f"w_{c}_{j}" for c in range(2) for j in range(4)]
+    ctes = [FEAT_SQL.strip(), "w0 AS (SELECT " + ", ".join(f"CAST(0.0 AS DOUBLE) AS {n}" for n in names) + ")"]
+    for k in range(1, steps + 1):
+        z = [f"x[1] * w.w_{c}_0 + x[2] * w.w_{c}_1 + x[3] * w.w_{c}_2 + w.w_{c}_3" for c in range(2)]
+        ctes.append(f"""r{k} AS (
+  SELECT quality AS y, x, z0, z1, greatest(z0, z1) AS m FROM (SELECT quality, x, {z[0]} AS z0, {z[1]} AS z1 FROM feat, w{k - 1} w))""")
+        ctes.append(f"""p{k} AS (
+  SELECT y, x, exp(z0 - m) / (exp(z0 - m) + exp(z1 - m)) AS p0, exp(z1 - m) / (exp(z0 - m) + exp(z1 - m)) AS p1,
+         m + ln(exp(z0 - m) + exp(z1 - m)) - CASE WHEN y = 0 THEN z0 ELSE z1 END AS loss FROM r{k})""")
+        grads = []
+        for c in range(2):
+            for j in range(4):
+                xv = f"x[{j + 1}]" if j < 3 else "1.0"
+                grads.append(f"sum((p{c} - CAST(y = {c} AS DOUBLE)) * {xv}) / count(*) AS g_{c}_{j}")
+        ctes.append(f"g{k} AS (SELECT {', '.join(grads)}, sum(loss) / count(*) AS loss FROM p{k})")
+        upd = ", ".join(f"w.{n} - {lr} * g.g_{n[2:]} AS {n}" for n in names)
+        ctes.append(f"w{k} AS (SELECT {upd}, g.loss AS loss FROM w{k - 1} w, g{k} g)")
+    sel = "\nUNION ALL\n".join(
+        f"SELECT {k} AS step, round(loss, 9) AS loss, [{', '.join(f'round({n}, 9)' for n in names)}] AS w FROM w{k}"
+        for k in range(1, steps + 1))
+    return "WITH " + ",\n".join(ctes) + "\n" + sel
+
+
+@register("fit_single_task", _unrolled_fit_sql(3, 0.5))
+def q_fit_single_task(spark, sf_dir):
+    """Three full-batch plain gradient steps (rate 0.5, zero start, no
+    clipping) of one softmax head on the text features of ``quality``."""
+    feats = _features(spark, sf_dir).select("row_id", "x", "quality").persist()
+    model = trn.LinearModel.create(["quality"], 2, 3, None, "zeros")
+    opt = trn.Optimizer("sgd", 0.5, 3, schedule=False)
+    rows = []
+    for k in range(1, 4):
+        stats = trn.batch_gradient(feats, model.heads(), {"quality": "quality"}, "x", method="explode")
+        opt.step(model.params, model.param_grads(stats))
+        w = np.hstack([model.params["W"], model.params["b"][:, None]]).ravel()
+        rows.append((k, round(stats.loss["quality"], 9), [round(float(v), 9) for v in w]))
+    feats.unpersist()
+    return spark.createDataFrame(rows, "step int, loss double, w array<double>")
+
+
+@register("score_batch", f"""
+WITH {HEADS_SQL},
+long AS (
+  SELECT row_id, 'a' AS task, a AS y, za AS z FROM z UNION ALL SELECT row_id, 'b' AS task, b AS y, zb AS z FROM z)
+SELECT row_id, task, y, {_r9_list('z')} AS logits, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred,
+       round({LSE_SQL.format(z='z')} - z[y + 1], 9) AS loss
+FROM long
+""")
+def q_score_batch(spark, sf_dir):
+    h = _formula_heads()
+    model = trn.LinearModel(["a", "b"], {"a": 2, "b": 2}, 64, 1)
+    model.heads = lambda: h  # fixed heads
+    s = trn.score_batch(_emb(spark, sf_dir), model, {"a": "a", "b": "b"}, "x")
+    return s.select("row_id", "task", "y", _r9(F.col("logits")).alias("logits"), "pred", F.round("loss", 9).alias("loss"))

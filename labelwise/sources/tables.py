@@ -61,6 +61,7 @@ def embedding_examples(embeddings: DataFrame) -> DataFrame:
         F.col("embedding").alias("x"),
         (F.col("label") % 2).cast("int").alias("a"),
         (F.col("label") >= 5).cast("int").alias("b"),
+        "label",
     )
 
 
