@@ -819,3 +819,206 @@ def q_score_batch(spark, sf_dir):
     model.heads = lambda: h  # fixed heads
     s = trn.score_batch(_emb(spark, sf_dir), model, {"a": "a", "b": "b"}, "x")
     return s.select("row_id", "task", "y", _r9(F.col("logits")).alias("logits"), "pred", F.round("loss", 9).alias("loss"))
+
+
+# --------------------------------------------------------------------------
+# Reports and result files
+# --------------------------------------------------------------------------
+
+from labelwise.plans import fit as fp  # noqa: E402
+from labelwise.sources import results as rs  # noqa: E402
+
+MEASURES = ("TP", "TN", "FP", "FN", "F1", "BA", "AUC")
+TASKS = ("quality", "toxic")
+
+
+def _wide_sql(tasks=TASKS) -> str:
+    cols = ", ".join(f"max({m}) FILTER (WHERE task = '{t}') AS {m}_{t}" for t in tasks for m in MEASURES)
+    return f"""
+m AS (
+  SELECT task, {F1_SQL} AS F1, {BA_SQL} AS BA, {AUC_SQL} AS AUC, TP, TN, FP, FN
+  FROM (SELECT task, {COUNTS_SQL} FROM preds GROUP BY task)),
+wide AS (SELECT 0 AS epoch, {cols} FROM m)"""
+
+
+def _tags_sql(run: int = 0, regime: str = "MTL", data: bool = True) -> str:
+    d = "'documents' AS data, " if data else ""
+    return (f"'rules' AS model, {run} AS run, CAST(0.001 AS DOUBLE) AS lr, 32 AS batch_size, {d}"
+            f"'all' AS question, '{regime}' AS training")
+
+
+def _stand_in_report(spark, sf_dir, tasks=TASKS, run=0, regime="MTL", data=True):
+    preds = _stand_in(spark, sf_dir).where(F.col("task").isin(*tasks))
+    metrics = ev.multi_task_eval(preds).withColumn("epoch", F.lit(0))
+    wide = ev.epoch_report(metrics, tasks, index=["epoch"], measures=MEASURES)
+    cfg = fp.RunConfig(model="rules", tasks=tasks, regime=regime, lr=0.001, batch_size=32, run=run,
+                       data="documents", question="all")
+    tagged = fp.tag_run(wide, cfg)
+    return tagged if data else tagged.drop("data")
+
+
+@register("epoch_report", f"WITH {PRED_SQL}, {_wide_sql()} SELECT * FROM wide")
+def q_epoch_report(spark, sf_dir):
+    metrics = ev.multi_task_eval(_stand_in(spark, sf_dir)).withColumn("epoch", F.lit(0))
+    return ev.epoch_report(metrics, TASKS, index=["epoch"], measures=MEASURES)
+
+
+@register("tag_run", f"WITH {PRED_SQL}, {_wide_sql()} SELECT wide.*, {_tags_sql()} FROM wide")
+def q_tag_run(spark, sf_dir):
+    return _stand_in_report(spark, sf_dir)
+
+
+@register("align_pred_truth", f"""
+WITH {EX_SQL},
+truth AS (SELECT row_id, 'quality' AS task, quality AS y FROM ex UNION ALL SELECT row_id, 'toxic' AS task, toxic AS y FROM ex),
+pred AS (
+  SELECT row_id, 'quality' AS task, CAST(n_chars >= 500 AS INTEGER) AS pred FROM ex
+  UNION ALL
+  SELECT row_id, 'toxic' AS task,
+         CAST(strpos(lower(text), 'worthless') > 0 OR strpos(lower(text), 'stupid') > 0 AS INTEGER) AS pred FROM ex)
+SELECT pred.row_id, pred.task, pred.pred, truth.y FROM pred JOIN truth ON pred.row_id = truth.row_id AND pred.task = truth.task
+""")
+def q_align_pred_truth(spark, sf_dir):
+    s = _stand_in(spark, sf_dir)
+    return ev.align_pred_truth(s.select("row_id", "task", "pred"), s.select("row_id", "task", "y"))
+
+
+@register("append_results", f"""
+WITH {PRED_SQL}, {_wide_sql()}
+SELECT wide.*, {_tags_sql()} FROM wide UNION ALL SELECT wide.*, {_tags_sql()} FROM wide
+""")
+def q_append_results(spark, sf_dir):
+    rep = _stand_in_report(spark, sf_dir)
+    path = scratch_path(spark, "results")
+    rs.append_results(rep, path)
+    rs.append_results(rep, path)
+    back = rs.read_results(spark, path)
+    return back.select(*rep.columns)
+
+
+@register("read_results_csv", f"""
+WITH {PRED_SQL}, {_wide_sql()}
+SELECT wide.*, {_tags_sql()} FROM wide UNION ALL SELECT wide.*, {_tags_sql()} FROM wide
+""")
+def q_read_results_csv(spark, sf_dir):
+    rep = _stand_in_report(spark, sf_dir)
+    path = scratch_path(spark, "results-csv")
+    rs.append_results(rep.coalesce(1), path, fmt="csv")
+    rs.append_results(rep.coalesce(1), path, fmt="csv")
+    back = rs.read_results_csv(spark, path)
+    return back.select(*rep.columns)
+
+
+@register("union_results", f"""
+WITH {PRED_SQL}, {_wide_sql()},
+single AS (SELECT {', '.join(f'{m}_quality' for m in MEASURES)}, epoch, {_tags_sql(regime='STL', data=False)} FROM wide),
+multi AS (SELECT wide.*, {_tags_sql()} FROM wide)
+SELECT * FROM single UNION ALL BY NAME SELECT * FROM multi
+""")
+def q_union_results(spark, sf_dir):
+    single = _stand_in_report(spark, sf_dir, tasks=("quality",), regime="STL", data=False)
+    multi = _stand_in_report(spark, sf_dir)
+    return rs.union_results([single, multi])
+
+
+@register("append_runs", f"""
+WITH {PRED_SQL}, {_wide_sql()}
+SELECT wide.*, {_tags_sql(run=0)} FROM wide UNION ALL SELECT wide.*, {_tags_sql(run=1)} FROM wide
+""")
+def q_append_runs(spark, sf_dir):
+    return rs.append_runs([_stand_in_report(spark, sf_dir, run=0), _stand_in_report(spark, sf_dir, run=1)])
+
+
+# --------------------------------------------------------------------------
+# Encoder plug-in
+# --------------------------------------------------------------------------
+
+from labelwise.operators import encoders as encs  # noqa: E402
+
+BOW_DIM = 32
+
+
+@register("apply_encoder", TOK_SQL.replace("toks AS (", "toks AS (", 1).join(["WITH ", ""]) + f""",
+bk AS (SELECT row_id, t, list_transform(t, lambda tok: CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % {BOW_DIM}) AS bs FROM toks)
+SELECT row_id, list_transform(range(0, {BOW_DIM}),
+         lambda k: CASE WHEN len(t) = 0 THEN 0.0 ELSE CAST(len(list_filter(bs, lambda bb: bb = k)) AS DOUBLE) / len(t) END) AS x
+FROM bk
+""")
+def q_apply_encoder(spark, sf_dir):
+    from labelwise.functions.text import tokens
+    docs = _docs(spark, sf_dir).select("row_id", tokens("text").alias("tokens"))
+    return encs.apply_encoder(docs, encs.hashed_bag_of_words(BOW_DIM), "tokens", "x")
+
+
+# --------------------------------------------------------------------------
+# Training runs (T4-T7, T12, T13): iterative, checked by row count
+# --------------------------------------------------------------------------
+
+LABELS = {"quality": "quality", "toxic": "toxic"}
+
+
+def _split_features(spark, sf_dir):
+    feats = _features(spark, sf_dir)
+    tagged = smp.train_test_tag(feats, "row_id")
+    return tagged.where(F.col("split") == "train"), tagged.where(F.col("split") == "test")
+
+
+def _run(spark, sf_dir, regime, tasks=TASKS, epochs=2, **kw):
+    train, test = _split_features(spark, sf_dir)
+    cfg = fp.RunConfig(tasks=tasks, regime=regime, epochs=epochs, lr=0.01, **kw)
+    if regime == "MTL_meta":
+        parts = smp.support_query_test(_features(spark, sf_dir), "row_id")
+        return fp.fit(parts.where("part = 'support'"), parts.where("part = 'test'"), LABELS, cfg,
+                      support=parts.where("part = 'support'"), query=parts.where("part = 'query'"))
+    return fp.fit(train, test, LABELS, cfg)
+
+
+@register("fit_multi_task")
+def q_fit_multi_task(spark, sf_dir):
+    return _run(spark, sf_dir, "MTL").report
+
+
+@register("fit_weighted_tasks")
+def q_fit_weighted_tasks(spark, sf_dir):
+    return _run(spark, sf_dir, "MTL_awl").report
+
+
+@register("fit_meta_weights")
+def q_fit_meta_weights(spark, sf_dir):
+    res = _run(spark, sf_dir, "MTL_meta")
+    w = spark.createDataFrame([(r["epoch"], float(r["quality"]), float(r["toxic"])) for r in res.task_weights],
+                              "epoch int, w_quality double, w_toxic double")
+    return res.report.join(w, "epoch")
+
+
+@register("epoch_loop")
+def q_epoch_loop(spark, sf_dir):
+    """Mini-batch epochs (batch 32) of the summed multi-task regime on the
+    fixed ``embeddings`` features."""
+    emb = _emb(spark, sf_dir)
+    tagged = smp.train_test_tag(emb, "row_id")
+    cfg = fp.RunConfig(model="embedding", tasks=("a", "b"), regime="MTL", epochs=2, lr=0.01, batch_size=32,
+                       data="embeddings")
+    return fp.fit(tagged.where("split = 'train'"), tagged.where("split = 'test'"), {"a": "a", "b": "b"}, cfg).report
+
+
+@register("run_grid")
+def q_run_grid(spark, sf_dir):
+    """Single-task runs of each task and a multi-task run, one table by name."""
+    train, test = _split_features(spark, sf_dir)
+    configs = [fp.RunConfig(tasks=("quality",), regime="STL", epochs=2, lr=0.01),
+               fp.RunConfig(tasks=("toxic",), regime="STL", epochs=2, lr=0.01),
+               fp.RunConfig(tasks=TASKS, regime="MTL", epochs=2, lr=0.01)]
+    return fp.run_grid(configs, lambda cfg: (train, test, LABELS))
+
+
+@register("task_gradients")
+def q_task_gradients(spark, sf_dir):
+    """Per-task flat gradients (shared layer and own head) of the multi-task
+    model at its start, from one distributed gradient pass."""
+    feats = _features(spark, sf_dir)
+    model = trn.LinearModel.create(TASKS, 2, 3, hidden=8)
+    stats = trn.batch_gradient(feats, model.heads(), LABELS, "x")
+    grads = model.param_grads(stats)
+    rows = [(t, i, float(v)) for t in TASKS for i, v in enumerate(model.task_vector(grads, t))]
+    return spark.createDataFrame(rows, "task string, pos int, value double")
