@@ -46,9 +46,19 @@ def global_rank(df: DataFrame, order: Sequence[str], rank_col: str = "rank", par
         offsets.append(run)
         run += counts.get(pid, 0)
     if not offsets:
-        return ranged.drop("_pid", "_local").withColumn(rank_col, F.lit(None).cast("bigint"))
-    table = F.array(*[F.lit(o).cast("bigint") for o in offsets])
-    return ranged.withColumn(rank_col, F.element_at(table, F.col("_pid") + 1) + F.col("_local")).drop("_pid", "_local")
+        out = ranged.drop("_pid", "_local").withColumn(rank_col, F.lit(None).cast("bigint"))
+    else:
+        table = F.array(*[F.lit(o).cast("bigint") for o in offsets])
+        out = ranged.withColumn(rank_col, F.element_at(table, F.col("_pid") + 1) + F.col("_local")).drop("_pid", "_local")
+    out._labelwise_pinned = ranged  # callers may release it with release()
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Drop the cached intermediate behind a :func:`global_rank` result."""
+    pinned = getattr(df, "_labelwise_pinned", None)
+    if pinned is not None:
+        pinned.unpersist()
 
 
 def assign_batches(df: DataFrame, batch_size: int = 32, id_col: str = "row_id", seed: int = 42, epoch: int = 0,
@@ -57,7 +67,9 @@ def assign_batches(df: DataFrame, batch_size: int = 32, id_col: str = "row_id",
     last one shorter).  Adds ``shuffle_key``, ``rank`` and ``batch_id``."""
     keyed = seeded_shuffle(df, id_col, seed, epoch)
     ranked = global_rank(keyed, ["shuffle_key", id_col], partitions=partitions)
-    return ranked.withColumn(batch_col, F.floor(F.col("rank") / F.lit(batch_size)).cast("bigint"))
+    out = ranked.withColumn(batch_col, F.floor(F.col("rank") / F.lit(batch_size)).cast("bigint"))
+    out._labelwise_pinned = ranked._labelwise_pinned
+    return out
 
 
 def batch_count(n_rows: Column | int, batch_size: int, epochs: int = 1) -> tuple[Column, Column]:

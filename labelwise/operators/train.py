@@ -123,13 +123,13 @@ def gradient_table(df: DataFrame, heads: dict[str, Head], labels: dict[str, str]
     (``pos = 0``) and the row count (``pos = 1``).  ``method='explode'`` stays
     in the JVM (positions exploded, ``groupBy(pos)`` with map-side partial
     sums); ``method='arrow'`` multiplies whole Arrow batches with numpy in
-    each task and merges one partial per partition -- faster for wide
-    features.  ``auto`` picks arrow above 1024 gradient cells.
+    each task and merges one partial per partition.  ``auto`` uses arrow for
+    dense features wider than 16 (the JVM path evaluates array lambdas row by
+    row, numpy multiplies whole batches) and explode for narrow ones.
     """
     d = next(iter(heads.values())).W.shape[1]
-    cells = sum(h.classes for h in heads.values()) * (d + 1)
     if method == "auto":
-        method = "arrow" if cells > 1024 else "explode"
+        method = "arrow" if d > 16 else "explode"
     if method == "arrow":
         return _gradient_arrow(df, heads, labels, x, weight)
     rows = _per_row(df, x, heads, labels, weight)
@@ -142,20 +142,18 @@ def gradient_table(df: DataFrame, heads: dict[str, Head], labels: dict[str, str]
         aggs.append(F.sum(F.when(at_bias, F.col(f"_l_{t}"))).alias(f"l|{t}"))
     aggs.append(F.sum(F.when(at_bias, F.col("_w"))).alias("n"))
     wide = ex.groupBy("pos").agg(*aggs)
-    parts = []
+    entries = []
     for t, h in heads.items():
         for c in range(h.classes):
-            parts.append(wide.select(F.lit(t).alias("task"), F.lit(c).alias("class"), F.col("pos").cast("int").alias("pos"),
-                                     F.col(f"`g|{t}|{c}`").alias("value")))
-        summary = wide.where(at_bias)
-        parts.append(summary.select(F.lit(t).alias("task"), F.lit(-1).alias("class"), F.lit(0).alias("pos"),
-                                    F.col(f"`l|{t}`").alias("value")))
-        parts.append(summary.select(F.lit(t).alias("task"), F.lit(-1).alias("class"), F.lit(1).alias("pos"),
-                                    F.col("n").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            entries.append(F.struct(F.lit(t).alias("task"), F.lit(c).alias("class"), F.col("pos").cast("int").alias("pos"),
+                                    F.col(f"`g|{t}|{c}`").alias("value")))
+        # summed loss (pos 0) and row count (pos 1), carried on the bias row only
+        entries.append(F.struct(F.lit(t).alias("task"), F.lit(-1).alias("class"), F.lit(0).alias("pos"),
+                                F.col(f"`l|{t}`").alias("value")))
+        entries.append(F.struct(F.lit(t).alias("task"), F.lit(-1).alias("class"), F.lit(1).alias("pos"),
+                                F.col("n").alias("value")))
+    long = wide.select(F.inline(F.array(*entries)))
+    return long.where((F.col("class") >= 0) | F.col("value").isNotNull())
 
 
 GRAD_SCHEMA = "task string, class int, pos int, value double"

@@ -63,11 +63,13 @@ def _steps(train: DataFrame, cfg: RunConfig, epoch: int, id_col: str) -> tuple[l
     """The row sets of each gradient step in one epoch."""
     if cfg.batch_size is None:
         return [train], None
-    batched = smp.assign_batches(train, cfg.batch_size, id_col, cfg.seed, epoch)
-    # Sorted by batch so the cached column batches of other steps are skipped by their min/max stats.
-    batched = batched.repartitionByRange("batch_id").sortWithinPartitions("batch_id")
-    batched = batched.persist(StorageLevel.MEMORY_AND_DISK)
+    ranked = smp.assign_batches(train, cfg.batch_size, id_col, cfg.seed, epoch)
+    # Range partitioning by the order key already leaves every partition
+    # sorted by batch, so the cached column batches of other steps are
+    # skipped by their min/max statistics when a step filters on its batch.
+    batched = ranked.persist(StorageLevel.MEMORY_AND_DISK)
     nb = smp.n_batches(batched.count(), cfg.batch_size)
+    smp.release(ranked)
     return [batched.where(F.col("batch_id") == b) for b in range(nb)], batched
 
 
