@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,31 +30,53 @@ FIRST_WORD_ID = 4
 MAX_SEQ_LEN = 128
 
 
-def tokenize(df: DataFrame, id_col: str = "row_id", text: str = "text") -> DataFrame:
+def _token_array(text: str | None, tokens_col: str | None):
+    if tokens_col is not None:
+        return F.col(tokens_col)
+    return tokens_expr(text or "text")
+
+
+def tokenized(df: DataFrame, id_col: str = "row_id", text: str = "text", carry: Sequence[str] = (),
+              out: str = "tokens") -> DataFrame:
+    """Keep the id (and ``carry`` columns) with the token array of the text."""
+    return df.select(id_col, *carry, tokens_expr(text).alias(out))
+
+
+def tokenize(df: DataFrame, id_col: str = "row_id", text: str = "text", tokens_col: str | None = None) -> DataFrame:
     """One row per token: (id, pos, token), pos 0-based, over the whole text."""
-    return df.select(id_col, F.posexplode(tokens_expr(text)).alias("pos", "token"))
+    return df.select(id_col, F.posexplode(_token_array(text, tokens_col)).alias("pos", "token"))
 
 
-def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
+def token_counts(df: DataFrame, text: str = "text", tokens_col: str | None = None) -> DataFrame:
     """Corpus frequency of every token (partial counts combine map-side)."""
-    return df.select(F.explode(tokens_expr(text)).alias("token")).groupBy("token").agg(
+    return df.select(F.explode(_token_array(text, tokens_col)).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n"))
 
 
-def build_vocab(df: DataFrame, text: str = "text", size: int = 5000) -> DataFrame:
+def build_vocab(df: DataFrame, text: str = "text", size: int = 5000, tokens_col: str | None = None,
+                materialize: bool = True) -> DataFrame:
     """Top ``size`` tokens by (count desc, token), ids from ``FIRST_WORD_ID``.
 
     ``orderBy(...).limit(size)`` plans as a distributed top-k: each partition
     keeps its best ``size`` rows, so the numbering window below only ever
-    sees ``size`` rows.
+    sees ``size`` rows.  With ``materialize`` the (bounded) result is cached
+    at once, so later size checks and joins do not recount the corpus.
     """
-    top = token_counts(df, text).orderBy(F.desc("n"), F.asc("token")).limit(size)
+    top = token_counts(df, text, tokens_col).orderBy(F.desc("n"), F.asc("token")).limit(size)
     order = Window.orderBy(F.desc("n"), F.asc("token"))
-    return top.select("token", (F.row_number().over(order) + (FIRST_WORD_ID - 1)).cast("int").alias("id"), "n")
+    vocab = top.select("token", (F.row_number().over(order) + (FIRST_WORD_ID - 1)).cast("int").alias("id"), "n")
+    if materialize:
+        vocab = vocab.persist()
+        vocab.count()
+    return vocab
+
 
+def _vocab_side(vocab: DataFrame) -> DataFrame:
+    """Broadcast the vocabulary when its measured size is under the limit.
 
-def _vocab_side(vocab: DataFrame, size_hint: int | None) -> DataFrame:
-    """Broadcast the vocabulary when its measured size is under the limit."""
+    The vocabulary has at most ``size`` rows by construction; its byte size
+    is measured anyway (tokens can be long) before it is shipped.
+    """
     stats = vocab.agg(F.count(F.lit(1)).alias("rows"),
                       F.coalesce(F.sum(F.length("token")), F.lit(0)).alias("chars")).first()
     est = int(stats["rows"]) * 32 + int(stats["chars"]) * 4
@@ -61,15 +84,16 @@ def _vocab_side(vocab: DataFrame, size_hint: int | None) -> DataFrame:
     return F.broadcast(side) if est <= BROADCAST_LIMIT_BYTES else side
 
 
-def encode_join(df: DataFrame, vocab: DataFrame, id_col: str = "row_id", text: str = "text") -> DataFrame:
+def encode_join(df: DataFrame, vocab: DataFrame, id_col: str = "row_id", text: str = "text",
+                tokens_col: str | None = None) -> DataFrame:
     """Token to id lookup: (id, pos, token, token_id); unknown tokens get UNK."""
-    toks = tokenize(df, id_col, text)
-    joined = toks.join(_vocab_side(vocab, None), "token", "left")
+    toks = tokenize(df, id_col, text, tokens_col)
+    joined = toks.join(_vocab_side(vocab), "token", "left")
     return joined.select(id_col, "pos", "token", F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("token_id"))
 
 
 def encode_ids(df: DataFrame, vocab: DataFrame, id_col: str = "row_id", text: str = "text",
-               carry: Sequence[str] = (), max_len: int | None = None) -> DataFrame:
+               carry: Sequence[str] = (), max_len: int | None = None, tokens_col: str | None = None) -> DataFrame:
     """Start marker, word ids (UNK when unknown), end marker, per row.
 
     Adds ``n_tokens`` (words in the whole text) and ``encoded`` (the id list).
@@ -78,11 +102,11 @@ def encode_ids(df: DataFrame, vocab: DataFrame, id_col: str = "row_id", text: st
     encoding, with a bounded amount of work per row.
     """
     carry = list(carry)
-    base = df.select(id_col, *carry, tokens_expr(text).alias("_t"))
+    base = df.select(id_col, *carry, _token_array(text, tokens_col).alias("_t"))
     keep = F.col("_t") if max_len is None else F.slice("_t", 1, max(max_len - 1, 0))
     base = base.select(id_col, *carry, F.size("_t").alias("n_tokens"), keep.alias("_t"))
     exploded = base.select(id_col, *carry, "n_tokens", F.posexplode_outer("_t").alias("pos", "token"))
-    joined = exploded.join(_vocab_side(vocab, None), "token", "left")
+    joined = exploded.join(_vocab_side(vocab), "token", "left")
     pair = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
     grouped = joined.groupBy(id_col, *carry, "n_tokens").agg(F.sort_array(F.collect_list(pair)).alias("_p"))
     encoded = F.concat(F.array(F.lit(START_ID)), F.transform("_p", lambda p: p["id"]), F.array(F.lit(END_ID)))
@@ -92,12 +116,12 @@ def encode_ids(df: DataFrame, vocab: DataFrame, id_col: str = "row_id", text: st
 
 
 def encode_fixed(df: DataFrame, vocab: DataFrame, id_col: str = "row_id", text: str = "text",
-                 carry: Sequence[str] = (), max_len: int = MAX_SEQ_LEN) -> DataFrame:
+                 carry: Sequence[str] = (), max_len: int = MAX_SEQ_LEN, tokens_col: str | None = None) -> DataFrame:
     """``input_ids`` of exactly ``max_len`` (end cut, zero padded) and the mask.
 
     Truncation cuts the encoded list, so a long text loses its end marker.
     """
-    enc = encode_ids(df, vocab, id_col, text, carry, max_len)
+    enc = encode_ids(df, vocab, id_col, text, carry, max_len, tokens_col)
     ids = pad_expr("encoded", max_len, PAD_ID)
     return enc.select(id_col, *carry, "n_tokens", ids.alias("input_ids")).withColumn(
         "attention_mask", mask_expr("input_ids"))
@@ -113,3 +137,18 @@ def encode_lengths(encoded: DataFrame, id_col: str = "row_id", max_len: int = MA
 def post_truncate(df: DataFrame, col: str, n: int = MAX_SEQ_LEN) -> DataFrame:
     """Keep the first ``n`` elements of an array column."""
     return df.withColumn(col, F.slice(col, 1, n))
+
+
+def encode_corpus(df: DataFrame, size: int = 5000, max_len: int | None = MAX_SEQ_LEN, id_col: str = "row_id",
+                  text: str = "text", carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary and encoded rows from one tokenizing pass over the corpus.
+
+    The token arrays are cached once and feed both the vocabulary count and
+    the id lookup.  Returns ``(encoded, vocab)``; with ``max_len`` the rows
+    are fixed length with masks, else the full encoded lists.
+    """
+    toks = tokenized(df, id_col, text, carry).persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = build_vocab(toks, size=size, tokens_col="tokens")
+    if max_len is None:
+        return encode_ids(toks, vocab, id_col, carry=carry, tokens_col="tokens"), vocab
+    return encode_fixed(toks, vocab, id_col, carry=carry, max_len=max_len, tokens_col="tokens"), vocab

@@ -348,7 +348,7 @@ masked AS (
 
 
 def _docs(spark, sf_dir):
-    return tb.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return tb.spread(tb.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"))
 
 
 def _vocab(spark, sf_dir, docs=None):
@@ -373,20 +373,21 @@ def q_encode_join(spark, sf_dir):
 
 @register("encode_ids", f"WITH {TOK_SQL} SELECT row_id, n_tokens, encoded FROM encoded")
 def q_encode_ids(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return enc.encode_ids(docs, _vocab(spark, sf_dir, docs))
+    return enc.encode_corpus(_docs(spark, sf_dir), VOCAB_SIZE, max_len=None)[0]
+
+
+def _fixed(spark, sf_dir):
+    return enc.encode_corpus(_docs(spark, sf_dir), VOCAB_SIZE, max_len=128)[0]
 
 
 @register("pad_truncate", f"WITH {TOK_SQL} SELECT row_id, n_tokens, input_ids FROM fixed")
 def q_pad_truncate(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return enc.encode_fixed(docs, _vocab(spark, sf_dir, docs)).select("row_id", "n_tokens", "input_ids")
+    return _fixed(spark, sf_dir).select("row_id", "n_tokens", "input_ids")
 
 
 @register("attention_mask", f"WITH {TOK_SQL} SELECT row_id, attention_mask FROM masked")
 def q_attention_mask(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return enc.encode_fixed(docs, _vocab(spark, sf_dir, docs)).select("row_id", "attention_mask")
+    return _fixed(spark, sf_dir).select("row_id", "attention_mask")
 
 
 @register("encode_lengths", f"""
@@ -394,8 +395,7 @@ WITH {TOK_SQL}
 SELECT row_id, CAST(list_sum(attention_mask) AS INTEGER) AS length, n_tokens + 2 > 128 AS truncated FROM masked
 """)
 def q_encode_lengths(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return enc.encode_lengths(enc.encode_fixed(docs, _vocab(spark, sf_dir, docs)))
+    return enc.encode_lengths(_fixed(spark, sf_dir))
 
 
 @register("post_truncate", f"WITH {TOK_SQL} SELECT row_id, list_slice(t, 1, 128) AS tokens FROM toks")

@@ -17,6 +17,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when ``df`` has fewer partitions than cores.
+
+    A file written as one row group scans as one partition, which would run
+    all per-row work (regex tokenizing, text statistics) in a single task.
+    A large input already has many splits and is returned unchanged, so
+    this adds no shuffle at scale.  Checking the partition count plans the
+    scan but runs no job.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def transcripts_from_conversations(conversations: DataFrame, role: str | None = "user") -> DataFrame:
     """Conversation turns in the transcript layout.
 
@@ -47,8 +60,9 @@ def text_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
     ``documents`` keys are unique and ``labels`` is a subset of them, so this
     is an inner equi-join; Spark picks broadcast or shuffle from sizes.
     """
-    return labels.select(F.col("doc_id").alias("row_id"), "quality", "toxic").join(
+    joined = labels.select(F.col("doc_id").alias("row_id"), "quality", "toxic").join(
         documents.select(F.col("doc_id").alias("row_id"), "text", "n_chars", "lang"), "row_id")
+    return spread(joined)
 
 
 def embedding_examples(embeddings: DataFrame) -> DataFrame:
