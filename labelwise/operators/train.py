@@ -123,13 +123,14 @@ def gradient_table(df: DataFrame, heads: dict[str, Head], labels: dict[str, str]
     (``pos = 0``) and the row count (``pos = 1``).  ``method='explode'`` stays
     in the JVM (positions exploded, ``groupBy(pos)`` with map-side partial
     sums); ``method='arrow'`` multiplies whole Arrow batches with numpy in
-    each task and merges one partial per partition.  ``auto`` uses arrow for
-    dense features wider than 16 (the JVM path evaluates array lambdas row by
-    row, numpy multiplies whole batches) and explode for narrow ones.
+    each task and merges one partial per partition.  ``auto`` = arrow:
+    numpy multiplies whole batches, while the JVM path evaluates the array
+    lambdas row by row and, with new weight literals every step, compiles new
+    code for every step (measured at sf0.1: 0.22 s against 0.7 s per step).
     """
     d = next(iter(heads.values())).W.shape[1]
     if method == "auto":
-        method = "arrow" if d > 16 else "explode"
+        method = "arrow"
     if method == "arrow":
         return _gradient_arrow(df, heads, labels, x, weight)
     rows = _per_row(df, x, heads, labels, weight)

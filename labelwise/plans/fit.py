@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwise.operators import evaluate as ev
@@ -94,21 +94,23 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     tasks = list(cfg.tasks)
     if cfg.regime == "STL" and len(tasks) != 1:
         raise ValueError("STL trains exactly one task")
-    d = len(train.select(x).first()[0])
-    model = tr.LinearModel.create(tasks, 2, d, None if cfg.regime == "STL" else cfg.hidden, cfg.init)
     cols = [id_col, x] + [labels[t] for t in tasks]
     fit_rows = support if (cfg.regime == "MTL_meta" and support is not None) else train
     fit_rows = _pin(fit_rows.select(*cols), cfg.checkpoint)
     query_rows = None
     if cfg.regime == "MTL_meta":
         query_rows = _pin((query if query is not None else test).select(*cols), cfg.checkpoint)
+    test_rows = _pin(test.select(*cols), cfg.checkpoint)
     n_fit = fit_rows.count()
+    d = len(fit_rows.select(x).first()[0])
+    model = tr.LinearModel.create(tasks, 2, d, None if cfg.regime == "STL" else cfg.hidden, cfg.init)
     per_epoch = 1 if cfg.batch_size is None else smp.n_batches(n_fit, cfg.batch_size)
     opt = tr.Optimizer(cfg.optimizer, cfg.lr, per_epoch * cfg.epochs, no_decay=("s",))
     s = np.ones(len(tasks))                 # learned uncertainty parameters
     w_k = {t: 1.0 for t in tasks}           # meta task weights
     result = RunResult(model)
     evals = []
+    result_pins: list[DataFrame] = []
     for epoch in range(cfg.epochs):
         steps, batched = _steps(fit_rows, cfg, epoch, id_col)
         step_losses, support_vecs = [], {t: [] for t in tasks}
@@ -152,15 +154,18 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
         if cfg.regime == "MTL_meta":
             w_k = _meta_update(model, query_rows, cfg, epoch, id_col, labels, x, tasks, w_k, support_vecs)
             result.task_weights.append({"epoch": epoch, **w_k})
-        evals.append(_evaluate(test, model, labels, cfg, epoch, id_col, x, train_loss,
-                               awl_s=s.copy() if cfg.regime == "MTL_awl" else None))
-    fit_rows.unpersist()
-    if query_rows is not None:
-        query_rows.unpersist()
+        evals.append(_evaluate(test_rows, model, labels, cfg, epoch, id_col, x, train_loss,
+                               awl_s=s.copy() if cfg.regime == "MTL_awl" else None, pins=result_pins))
     metrics = evals[0]
     for e in evals[1:]:
         metrics = metrics.unionByName(e)
-    result.report = _report(metrics, tasks, cfg)
+    report = _report(metrics, tasks, cfg)
+    # The report is one row per epoch: bring it back once, then release every cache.
+    spark = train.sparkSession
+    result.report = spark.createDataFrame(report.collect(), report.schema)
+    for pinned in (fit_rows, query_rows, test_rows, *result_pins):
+        if pinned is not None:
+            pinned.unpersist()
     return result
 
 
@@ -197,29 +202,40 @@ def _meta_update(model, query_rows, cfg, epoch, id_col, labels, x, tasks, w_k, s
     return {t: w_k[t] + cfg.alpha * scale.get(t, 0.0) * float(M[t].sum()) for t in tasks}
 
 
-def _evaluate(test, model, labels, cfg, epoch, id_col, x, train_loss, awl_s=None) -> DataFrame:
+def _evaluate(test, model, labels, cfg, epoch, id_col, x, train_loss, awl_s=None, pins=None) -> DataFrame:
     """Metrics of one epoch in long form, evaluated lazily.
 
     Test loss as in the source loop: per test batch the (weighted) sum of the
     task losses, averaged over batches; with learned weights the weighting
-    and its regulariser apply to the test loss too.
+    and its regulariser apply to the test loss too.  With one full batch this
+    is the sum over tasks of each task's mean loss, which the same aggregate
+    as the confusion counts yields; with mini-batches the batches are formed
+    from the epoch's shuffle of the test rows.
     """
     tasks = list(cfg.tasks)
     scored = tr.score_batch(test, model, {t: labels[t] for t in tasks}, x, id_col)
-    metrics = ev.multi_task_eval(scored, keys=["task"])
     reg = 0.0
-    weighted = F.col("loss")
+    lam = {t: 1.0 for t in tasks}
     if awl_s is not None:
         lam = {t: 1.0 / (2 * si * si) for t, si in zip(tasks, awl_s)}
         reg = float(sum(np.log(1 + si * si) for si in awl_s))
-        weighted = F.col("loss") * F.coalesce(*[F.when(F.col("task") == t, F.lit(lam[t])) for t in tasks])
-    per_row = scored.groupBy(id_col).agg(F.sum(weighted).alias("loss"))
+    weight = F.coalesce(*[F.when(F.col("task") == t, F.lit(lam[t])) for t in tasks])
     if cfg.batch_size is None:
-        per_row = per_row.withColumn("batch_id", F.lit(0))
-    else:
-        keyed = smp.seeded_shuffle(test.select(id_col), id_col, cfg.seed, 20_000 + epoch)
-        ranked = smp.global_rank(keyed, ["shuffle_key", id_col])
-        per_row = per_row.join(ranked.select(id_col, F.floor(F.col("rank") / cfg.batch_size).alias("batch_id")), id_col)
+        counts = scored.groupBy("task").agg(F.count(F.lit(1)).alias("n"), *ev._cell_counts("y", "pred"),
+                                            F.avg(F.col("loss") * weight).alias("_task_loss"))
+        # one row per task: the window sums the task losses of this epoch
+        metrics = counts.withColumn("epoch", F.lit(epoch)).select(
+            "epoch", "task", "n", "TP", "TN", "FP", "FN", ev.f1_binary().alias("F1"),
+            ev.balanced_accuracy_binary().alias("BA"), ev.auc_hard().alias("AUC"),
+            (F.sum("_task_loss").over(Window.partitionBy("epoch")) + F.lit(reg)).alias("testing_loss"))
+        return metrics.withColumn("training_loss", F.lit(float(train_loss)))
+    metrics = ev.multi_task_eval(scored, keys=["task"])
+    per_row = scored.groupBy(id_col).agg(F.sum(F.col("loss") * weight).alias("loss"))
+    keyed = smp.seeded_shuffle(test.select(id_col), id_col, cfg.seed, 20_000 + epoch)
+    ranked = smp.global_rank(keyed, ["shuffle_key", id_col])
+    if pins is not None:
+        pins.append(ranked._labelwise_pinned)
+    per_row = per_row.join(ranked.select(id_col, F.floor(F.col("rank") / cfg.batch_size).alias("batch_id")), id_col)
     test_loss = ev.batch_mean_loss(per_row, keys=[], batch="batch_id", loss="loss").select(
         (F.col("batch_mean_loss") + F.lit(reg)).alias("testing_loss"), F.lit(epoch).alias("epoch"))
     return (metrics.withColumn("epoch", F.lit(epoch)).join(test_loss, "epoch")
