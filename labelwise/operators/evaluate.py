@@ -102,23 +102,24 @@ def auc_score(df: DataFrame, keys=("task",), y: str = "y", score: str = "score",
     Rows are first reduced to one row per distinct (key, score) with positive
     and negative counts.  A running count of negatives below each score is
     then needed; instead of one window over all scores of a key (one task at
-    scale), scores are cut into ``buckets`` ranges at approximate quantiles:
-    a window inside each (key, bucket) and a window over bucket totals per
-    key give the same exact count with every window bounded.
+    scale), scores are cut into ``buckets`` ranges at approximate quantiles
+    of each key: a window inside each (key, bucket) and a window over bucket
+    totals per key give the same exact count with every window bounded.
+    Cut points come from ``percentile_approx`` in the same plan (one small
+    row per key), so the whole computation is one job.
     """
     keys = _keys(keys)
     per_score = (df.where(F.col(y).isin(0, 1) & F.col(score).isNotNull())
                  .groupBy(*keys, score)
                  .agg(F.count_if(F.col(y) == 1).alias("n_pos"), F.count_if(F.col(y) == 0).alias("n_neg")))
-    cuts: list[float] = []
     if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(per_score.approxQuantile(score, probs, 1.0 / (4 * buckets))))
-    if cuts:
-        bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(score)))
+        probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+        cuts = per_score.groupBy(*keys).agg(
+            F.percentile_approx(F.col(score).cast("double"), probs, 4 * buckets).alias("_cuts"))
+        scored = per_score.join(cuts, keys).withColumn(
+            "_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(score)))).drop("_cuts")
     else:
-        bucket = F.lit(0)
-    scored = per_score.withColumn("_bucket", bucket)
+        scored = per_score.withColumn("_bucket", F.lit(0))
     totals = scored.groupBy(*keys, "_bucket").agg(F.sum("n_neg").alias("_bucket_neg"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_bucket", F.coalesce(F.sum("_bucket_neg").over(before), F.lit(0)).alias("_neg_before"))

@@ -719,7 +719,7 @@ ex AS (SELECT pp.*, unnest(list_concat(list_transform(x, lambda v: CAST(v AS DOU
 def _grad_table(spark, sf_dir, names=("a", "b")):
     h = _formula_heads()
     heads = {names[0]: h["a"], names[1]: h["b"]}
-    g = trn.gradient_table(_emb(spark, sf_dir), heads, {names[0]: "a", names[1]: "b"}, "x", method="explode")
+    g = trn.gradient_table(_emb(spark, sf_dir), heads, {names[0]: "a", names[1]: "b"}, "x")
     return g.select("task", "class", "pos", F.round("value", 9).alias("value"))
 
 
