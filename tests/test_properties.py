@@ -99,3 +99,34 @@ def test_stand_in_golden(stand_in):
     assert q["F1"] == pytest.approx(0.857142857, abs=1e-9)
     assert q["BA"] == pytest.approx(0.461345940, abs=1e-9)
     assert (t["TP"], t["TN"], t["FP"], t["FN"]) == (22, 348, 0, 29)
+
+
+def test_array_math_probes(spark):
+    """SURVEY 5.4 probes for M1, M6 and M7 on embeddings."""
+    from labelwise.functions import arrays as A
+    from labelwise.operators import linalg as la
+
+    emb = tb.read_table(spark, SF001, "embeddings")
+    z = emb.select(A.linear("embedding", la.formula_weights(2, 64)).alias("z"))
+    r = z.agg(F.sum(F.col("z")[0]).alias("s0"), F.max(F.col("z")[0]).alias("m0"),
+              F.sum(F.col("z")[1]).alias("s1"), F.max(F.col("z")[1]).alias("m1")).first()
+    assert (r["s0"], r["m0"], r["s1"], r["m1"]) == pytest.approx((1.387183, 0.948536, 7.464950, 0.870499), abs=1e-6)
+
+    seq = emb.select(F.col("label").alias("seq_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("x"))
+    pooled = {r["seq_id"]: sum(r["pooled"]) for r in la.attention_pool(seq, "seq_id", "pos", "x").collect()}
+    assert [pooled[0], pooled[1], pooled[2]] == pytest.approx([-0.321570, 0.142215, 0.113490], abs=1e-6)
+
+    long = emb.select("vec_id", F.posexplode("embedding").alias("pos", "value"))
+    q = long.where("vec_id < 20").withColumnRenamed("vec_id", "qid")
+    s = long.where("vec_id >= 480").withColumnRenamed("vec_id", "sid")
+    d = la.dot_matrix(q, s).agg(F.count(F.lit(1)).alias("n"), F.sum("dot").alias("s"), F.max("dot").alias("m")).first()
+    assert d["n"] == 400
+    assert (d["s"], d["m"]) == pytest.approx((1.065076, 0.343538), abs=1e-6)
+
+
+def test_softmax_weights_sum_to_one(spark):
+    from labelwise.operators import linalg as la
+    emb = tb.read_table(spark, SF001, "embeddings").select(
+        "label", F.element_at("embedding", 1).cast("double").alias("score"))
+    w = la.softmax_weights(emb, ["label"], "score").groupBy("label").agg(F.sum("weight").alias("s"))
+    assert all(abs(r["s"] - 1.0) < 1e-12 for r in w.collect())
