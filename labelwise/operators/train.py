@@ -317,7 +317,7 @@ class LinearModel:
         m = cls(tasks, classes, d, hidden)
 
         def mat(r, c, off=0):
-            return np.zeros((r, c)) if init == "zeros" else np.array(formula_weights(r, c, row_offset=off)) / max(c, 1) ** 0.5
+            return np.zeros((r, c)) if init == "zeros" else np.array(formula_weights(r, c, row_offset=off)) / math.sqrt(max(c, 1))
 
         if hidden is None:
             if len(tasks) != 1:
@@ -359,6 +359,45 @@ class LinearModel:
         return np.concatenate([grads[k].ravel() for k in names])
 
 
+def param_gradient_table(grads: DataFrame, model: LinearModel) -> DataFrame:
+    """Mean parameter gradients of a shared-layer model, computed in Spark.
+
+    From the per-task gradient table (see :func:`gradient_table`) and the
+    model's small parameter tables: ``grp='shared'`` rows ``(i=k, j)`` hold
+    ``dU`` (``j = d``: ``du``), ``grp='head_<task>'`` rows ``(i=class, j=k)``
+    hold ``dA`` (``j = hidden``: the head bias).  Both joins are with tables
+    the size of the parameters.
+    """
+    if model.hidden is None:
+        raise ValueError("parameter gradients by group need a shared layer")
+    spark = grads.sparkSession
+    p, d, k = model.params, model.d, model.hidden
+    counts = grads.where((F.col("class") == -1) & (F.col("pos") == 1)).select("task", F.col("value").alias("_n"))
+    mean = (grads.where(F.col("class") >= 0).join(counts, "task")
+            .select("task", "class", "pos", (F.col("value") / F.col("_n")).alias("g")))
+    a_rows = [(t, c, kk, float(p[f"A_{t}"][c, kk])) for t in model.tasks for c in range(model.classes[t]) for kk in range(k)]
+    u_rows = [(kk, j, float(p["U"][kk, j])) for kk in range(k) for j in range(d)] + [(kk, d, float(p["u"][kk])) for kk in range(k)]
+    a_df = spark.createDataFrame(a_rows, "task string, class int, k int, a double")
+    u_df = spark.createDataFrame(u_rows, "k int, pos int, u double")
+    shared = (mean.join(a_df, ["task", "class"]).groupBy("k", "pos").agg(F.sum(F.col("a") * F.col("g")).alias("value"))
+              .select(F.lit("shared").alias("grp"), F.col("k").alias("i"), F.col("pos").alias("j"), "value"))
+    heads = (mean.join(u_df, "pos").groupBy("task", "class", "k").agg(F.sum(F.col("g") * F.col("u")).alias("value"))
+             .select(F.concat(F.lit("head_"), "task").alias("grp"), F.col("class").alias("i"), F.col("k").alias("j"), "value"))
+    bias = mean.where(F.col("pos") == d).select(F.concat(F.lit("head_"), "task").alias("grp"), F.col("class").alias("i"),
+                                                F.lit(k).alias("j"), F.col("g").alias("value"))
+    return shared.unionByName(heads).unionByName(bias)
+
+
+def task_vectors(param_grads: DataFrame, tasks: Sequence[str]) -> DataFrame:
+    """Per task: the shared rows and its own head, other heads excluded."""
+    per_task = [param_grads.where(~F.col("grp").isin(*[f"head_{o}" for o in tasks if o != t]))
+                .withColumn("task", F.lit(t)) for t in tasks]
+    out = per_task[0]
+    for df in per_task[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 # --------------------------------------------------------------------------
 # Scoring
 # --------------------------------------------------------------------------

@@ -1012,13 +1012,37 @@ def q_run_grid(spark, sf_dir):
     return fp.run_grid(configs, lambda cfg: (train, test, LABELS))
 
 
-@register("task_gradients")
+@register("task_gradients", f"""
+WITH {FEAT_SQL},
+U AS (SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, CAST(((7 * j + 3 * k) % 11) - 5 AS DOUBLE) / 10 / sqrt(3) AS v
+      FROM range(0, 8) t1(k), range(0, 3) t2(j)),
+A AS (SELECT t, CAST(c AS INTEGER) AS c, CAST(k AS INTEGER) AS k,
+             CAST(((7 * k + 3 * (c + off)) % 11) - 5 AS DOUBLE) / 10 / sqrt(8) AS v
+      FROM (VALUES ('quality', 7), ('toxic', 14)) tt(t, off), range(0, 2) t1(c), range(0, 8) t2(k)),
+W AS (SELECT A.t, A.c, U.j, sum(A.v * U.v) AS w FROM A JOIN U ON A.k = U.k GROUP BY A.t, A.c, U.j),
+Z AS (SELECT f.row_id, W.t, W.c, sum(f.x[W.j + 1] * W.w) AS z FROM feat f, W GROUP BY f.row_id, W.t, W.c),
+Z2 AS (SELECT *, max(z) OVER (PARTITION BY row_id, t) AS m FROM Z),
+P AS (SELECT row_id, t, c, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY row_id, t) AS p FROM Z2),
+D AS (SELECT P.t, P.c, f.x,
+             P.p - CAST((CASE WHEN P.t = 'quality' THEN f.quality ELSE f.toxic END) = P.c AS DOUBLE) AS delta
+      FROM P JOIN feat f ON P.row_id = f.row_id),
+G AS (SELECT t, c, CAST(j AS INTEGER) AS j, sum(delta * CASE WHEN j < 3 THEN x[j + 1] ELSE 1.0 END) / count(*) AS g
+      FROM D, range(0, 4) r(j) GROUP BY t, c, j),
+params AS (
+  SELECT 'shared' AS grp, A.k AS i, G.j AS j, sum(A.v * G.g) AS value FROM G JOIN A ON G.t = A.t AND G.c = A.c GROUP BY A.k, G.j
+  UNION ALL
+  SELECT 'head_' || G.t AS grp, G.c AS i, U.k AS j, sum(G.g * U.v) AS value FROM G JOIN U ON G.j = U.j GROUP BY G.t, G.c, U.k
+  UNION ALL
+  SELECT 'head_' || t AS grp, c AS i, 8 AS j, g AS value FROM G WHERE j = 3)
+SELECT tk.task, p.grp, p.i, p.j, round(p.value, 9) AS value
+FROM params p JOIN (VALUES ('quality'), ('toxic')) tk(task) ON p.grp = 'shared' OR p.grp = 'head_' || tk.task
+""")
 def q_task_gradients(spark, sf_dir):
-    """Per-task flat gradients (shared layer and own head) of the multi-task
-    model at its start, from one distributed gradient pass."""
+    """Per-task gradients (shared layer and own head, the other head
+    excluded) of the multi-task model at its start: one distributed gradient
+    pass, then the chain rule as joins with the parameter tables."""
     feats = _features(spark, sf_dir)
     model = trn.LinearModel.create(TASKS, 2, 3, hidden=8)
-    stats = trn.batch_gradient(feats, model.heads(), LABELS, "x")
-    grads = model.param_grads(stats)
-    rows = [(t, i, float(v)) for t in TASKS for i, v in enumerate(model.task_vector(grads, t))]
-    return spark.createDataFrame(rows, "task string, pos int, value double")
+    g = trn.gradient_table(feats, model.heads(), LABELS, "x")
+    vec = trn.task_vectors(trn.param_gradient_table(g, model), TASKS)
+    return vec.select("task", "grp", "i", "j", F.round("value", 9).alias("value"))

@@ -26,8 +26,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     this adds no shuffle at scale.  Checking the partition count plans the
     scan but runs no job.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. remote clients)
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def transcripts_from_conversations(conversations: DataFrame, role: str | None = "user") -> DataFrame:

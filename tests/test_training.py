@@ -127,3 +127,20 @@ def test_regimes_run_and_loss_falls(feats, regime, tasks):
 def test_unknown_model_name(feats):
     with pytest.raises(ValueError):
         tr.select_model_features(feats, "nope")
+
+
+def test_spark_chain_rule_equals_driver(feats):
+    model = tr.LinearModel.create(["quality", "toxic"], 2, 3, hidden=8)
+    labels = {"quality": "quality", "toxic": "toxic"}
+    g = tr.gradient_table(feats, model.heads(), labels, "x")
+    spark_rows = {(r["grp"], r["i"], r["j"]): r["value"] for r in tr.param_gradient_table(g, model).collect()}
+    grads = model.param_grads(tr.collect_step(g, model.heads()))
+    for (kk, j), v in np.ndenumerate(grads["U"]):
+        assert spark_rows[("shared", kk, j)] == pytest.approx(v, abs=1e-12)
+    for kk, v in enumerate(grads["u"]):
+        assert spark_rows[("shared", kk, 3)] == pytest.approx(v, abs=1e-12)
+    for t in ("quality", "toxic"):
+        for (c, kk), v in np.ndenumerate(grads[f"A_{t}"]):
+            assert spark_rows[(f"head_{t}", c, kk)] == pytest.approx(v, abs=1e-12)
+        for c, v in enumerate(grads[f"a_{t}"]):
+            assert spark_rows[(f"head_{t}", c, 8)] == pytest.approx(v, abs=1e-12)
