@@ -32,10 +32,15 @@ def seeded_shuffle(df: DataFrame, id_col: str = "row_id", seed: int = 42, epoch:
 def global_rank(df: DataFrame, order: Sequence[str], rank_col: str = "rank", partitions: int | None = None,
                 checkpoint: bool = False) -> DataFrame:
     """Exact 0-based position of every row in ``order`` (ties must not occur:
-    end the order with a unique id).  Runs one small job for the counts."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    end the order with a unique id).  Runs one small job for the counts.
+
+    Without ``partitions`` the range exchange is left to adaptive execution,
+    which merges neighbouring ranges to its target partition size -- merged
+    partitions stay contiguous in key order, so the offsets remain exact and
+    a small input is not spread over hundreds of near-empty tasks.
+    """
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ranged = (ranged.sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))))
     # Numbering depends on the partition a row sits in: pin it before two jobs read it.

@@ -59,11 +59,25 @@ def _pin(df: DataFrame, checkpoint: bool) -> DataFrame:
     return df.checkpoint() if checkpoint else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _steps(train: DataFrame, cfg: RunConfig, epoch: int, id_col: str) -> tuple[list[DataFrame], DataFrame | None]:
+ROWS_PER_PARTITION = 200_000
+
+
+def _partitions_for(df: DataFrame, n_rows: int) -> int:
+    """Range partitions for ``n_rows``: about ``ROWS_PER_PARTITION`` each,
+    at most the session's shuffle partitions.  A step filters one batch out
+    of the cached ranked rows, so every partition is one more task per step."""
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, -(-n_rows // ROWS_PER_PARTITION)))
+
+
+def _steps(train: DataFrame, cfg: RunConfig, epoch: int, id_col: str,
+           n_rows: int | None = None) -> tuple[list[DataFrame], DataFrame | None]:
     """The row sets of each gradient step in one epoch."""
     if cfg.batch_size is None:
         return [train], None
-    ranked = smp.assign_batches(train, cfg.batch_size, id_col, cfg.seed, epoch)
+    n_rows = train.count() if n_rows is None else n_rows
+    ranked = smp.assign_batches(train, cfg.batch_size, id_col, cfg.seed, epoch,
+                                partitions=_partitions_for(train, n_rows))
     # Range partitioning by the order key already leaves every partition
     # sorted by batch, so the cached column batches of other steps are
     # skipped by their min/max statistics when a step filters on its batch.
@@ -102,6 +116,7 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
         query_rows = _pin((query if query is not None else test).select(*cols), cfg.checkpoint)
     test_rows = _pin(test.select(*cols), cfg.checkpoint)
     n_fit = fit_rows.count()
+    n_test = test_rows.count() if cfg.batch_size is not None else None
     d = len(fit_rows.select(x).first()[0])
     model = tr.LinearModel.create(tasks, 2, d, None if cfg.regime == "STL" else cfg.hidden, cfg.init)
     per_epoch = 1 if cfg.batch_size is None else smp.n_batches(n_fit, cfg.batch_size)
@@ -112,7 +127,7 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     evals = []
     result_pins: list[DataFrame] = []
     for epoch in range(cfg.epochs):
-        steps, batched = _steps(fit_rows, cfg, epoch, id_col)
+        steps, batched = _steps(fit_rows, cfg, epoch, id_col, n_fit)
         step_losses, support_vecs = [], {t: [] for t in tasks}
         acc = None
         for i, rows in enumerate(steps):
@@ -155,7 +170,7 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
             w_k = _meta_update(model, query_rows, cfg, epoch, id_col, labels, x, tasks, w_k, support_vecs)
             result.task_weights.append({"epoch": epoch, **w_k})
         evals.append(_evaluate(test_rows, model, labels, cfg, epoch, id_col, x, train_loss,
-                               awl_s=s.copy() if cfg.regime == "MTL_awl" else None, pins=result_pins))
+                               awl_s=s.copy() if cfg.regime == "MTL_awl" else None, pins=result_pins, n_rows=n_test))
     metrics = evals[0]
     for e in evals[1:]:
         metrics = metrics.unionByName(e)
@@ -202,7 +217,8 @@ def _meta_update(model, query_rows, cfg, epoch, id_col, labels, x, tasks, w_k, s
     return {t: w_k[t] + cfg.alpha * scale.get(t, 0.0) * float(M[t].sum()) for t in tasks}
 
 
-def _evaluate(test, model, labels, cfg, epoch, id_col, x, train_loss, awl_s=None, pins=None) -> DataFrame:
+def _evaluate(test, model, labels, cfg, epoch, id_col, x, train_loss, awl_s=None, pins=None,
+              n_rows=None) -> DataFrame:
     """Metrics of one epoch in long form, evaluated lazily.
 
     Test loss as in the source loop: per test batch the (weighted) sum of the
@@ -232,7 +248,8 @@ def _evaluate(test, model, labels, cfg, epoch, id_col, x, train_loss, awl_s=None
     metrics = ev.multi_task_eval(scored, keys=["task"])
     per_row = scored.groupBy(id_col).agg(F.sum(F.col("loss") * weight).alias("loss"))
     keyed = smp.seeded_shuffle(test.select(id_col), id_col, cfg.seed, 20_000 + epoch)
-    ranked = smp.global_rank(keyed, ["shuffle_key", id_col])
+    ranked = smp.global_rank(keyed, ["shuffle_key", id_col],
+                             partitions=_partitions_for(test, n_rows if n_rows is not None else test.count()))
     if pins is not None:
         pins.append(ranked._labelwise_pinned)
     per_row = per_row.join(ranked.select(id_col, F.floor(F.col("rank") / cfg.batch_size).alias("batch_id")), id_col)
