@@ -975,12 +975,15 @@ def _run(spark, sf_dir, regime, tasks=TASKS, epochs=2, **kw):
 
 @register("fit_multi_task")
 def q_fit_multi_task(spark, sf_dir):
-    return _run(spark, sf_dir, "MTL").report
+    """Two full-batch epochs of the summed multi-task regime (AdamW, rate
+    0.01, clipping); losses rounded to 9 places for the SQL check."""
+    return _rounded_losses(_run(spark, sf_dir, "MTL").report)
 
 
 @register("fit_weighted_tasks")
 def q_fit_weighted_tasks(spark, sf_dir):
-    return _run(spark, sf_dir, "MTL_awl").report
+    """As ``fit_multi_task`` with learned uncertainty task weights."""
+    return _rounded_losses(_run(spark, sf_dir, "MTL_awl").report)
 
 
 @register("fit_meta_weights")
@@ -1009,7 +1012,7 @@ def q_run_grid(spark, sf_dir):
     configs = [fp.RunConfig(tasks=("quality",), regime="STL", epochs=2, lr=0.01),
                fp.RunConfig(tasks=("toxic",), regime="STL", epochs=2, lr=0.01),
                fp.RunConfig(tasks=TASKS, regime="MTL", epochs=2, lr=0.01)]
-    return fp.run_grid(configs, lambda cfg: (train, test, LABELS))
+    return _rounded_losses(fp.run_grid(configs, lambda cfg: (train, test, LABELS)))
 
 
 @register("task_gradients", f"""
@@ -1046,3 +1049,169 @@ def q_task_gradients(spark, sf_dir):
     g = trn.gradient_table(feats, model.heads(), LABELS, "x")
     vec = trn.task_vectors(trn.param_gradient_table(g, model), TASKS)
     return vec.select("task", "grp", "i", "j", F.round("value", 9).alias("value"))
+
+
+# --------------------------------------------------------------------------
+# Multi-task fit checked by SQL: two full-batch AdamW epochs, unrolled
+# --------------------------------------------------------------------------
+
+def _dbl(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: float = 0.01, hidden: int = 8) -> str:
+    """Oracle of a full-batch training run on the text features.
+
+    STL: one head ``W (2 x 3) + b`` (formula start / sqrt(3), zero bias).
+    MTL / MTL_awl: shared projection ``U (hidden x 3) + u`` and heads
+    ``A_t (2 x hidden) + a_t`` (formula starts / sqrt(fan-in), zero biases);
+    MTL_awl adds one uncertainty parameter per task (start 1).  Each epoch is
+    one step: forward, mean cross-entropy gradients, chain rule, joint norm
+    clip at 1 (model parameters only), AdamW (0.9, 0.999, eps 2e-8) with the
+    rate decaying linearly to zero; then evaluation on the test split.
+    """
+    tasks = list(tasks)
+    b1, b2 = _dbl(0.9), _dbl(0.999)
+    tv = ", ".join(f"('{t}')" for t in tasks)
+    offs = ", ".join(f"('{t}', {7 * (i + 1)})" for i, t in enumerate(tasks))
+    longs = lambda part: "\n  UNION ALL ".join(
+        f"SELECT row_id, '{t}' AS t, {t} AS y, x FROM split WHERE part = '{part}'" for t in tasks)
+    ctes = [FEAT_SQL.strip(),
+            f"split AS (SELECT *, {SPLIT_SQL.format(id='row_id')} AS part FROM feat)",
+            f"tr_long AS (\n  {longs('train')})",
+            f"te_long AS (\n  {longs('test')})"]
+    if regime == "STL":
+        t0 = tasks[0]
+        ctes.append(f"""P0 AS (
+  SELECT 'W' AS name, CAST(c AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+         CAST(((7 * j + 3 * c) % 11) - 5 AS DOUBLE) / 10 / sqrt(3) AS value, 0.0 AS m, 0.0 AS v
+  FROM range(0, 2) a(c), range(0, 3) b(j)
+  UNION ALL SELECT 'b', CAST(c AS INTEGER), 0, 0.0, 0.0, 0.0 FROM range(0, 2) a(c))""")
+    else:
+        awl = "" if regime != "MTL_awl" else f"\n  UNION ALL SELECT 's_' || t, 0, 0, 1.0, 0.0, 0.0 FROM (VALUES {tv}) tt(t)"
+        ctes.append(f"""P0 AS (
+  SELECT 'U' AS name, CAST(k AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+         CAST(((7 * j + 3 * k) % 11) - 5 AS DOUBLE) / 10 / sqrt(3) AS value, 0.0 AS m, 0.0 AS v
+  FROM range(0, {hidden}) a(k), range(0, 3) b(j)
+  UNION ALL SELECT 'u', CAST(k AS INTEGER), 0, 0.0, 0.0, 0.0 FROM range(0, {hidden}) a(k)
+  UNION ALL SELECT 'A_' || t, CAST(c AS INTEGER), CAST(k AS INTEGER),
+         CAST(((7 * k + 3 * (c + off)) % 11) - 5 AS DOUBLE) / 10 / sqrt({hidden}), 0.0, 0.0
+  FROM (VALUES {offs}) tt(t, off), range(0, 2) a(c), range(0, {hidden}) b(k)
+  UNION ALL SELECT 'a_' || t, CAST(c AS INTEGER), 0, 0.0, 0.0, 0.0
+  FROM (VALUES {tv}) tt(t), range(0, 2) a(c){awl})""")
+
+    def heads(s: int) -> list[str]:
+        p = f"P{s}"
+        if regime == "STL":
+            return [f"""H{s} AS (SELECT '{tasks[0]}' AS t, i AS c, j, value AS w FROM {p} WHERE name = 'W'
+  UNION ALL SELECT '{tasks[0]}', i, 3, value FROM {p} WHERE name = 'b')"""]
+        return [
+            f"""UA{s} AS (SELECT i AS k, j, value FROM {p} WHERE name = 'U'
+  UNION ALL SELECT i AS k, 3 AS j, value FROM {p} WHERE name = 'u')""",
+            f"""W{s} AS (
+  SELECT substr(A.name, 3) AS t, A.i AS c, U.j, sum(A.value * U.value) AS w
+  FROM {p} A JOIN UA{s} U ON left(A.name, 2) = 'A_' AND A.j = U.k GROUP BY 1, 2, 3)""",
+            f"""H{s} AS (
+  SELECT W.t, W.c, W.j, CASE WHEN W.j = 3 THEN W.w + a.value ELSE W.w END AS w
+  FROM W{s} W JOIN {p} a ON a.name = 'a_' || W.t AND a.i = W.c)"""]
+
+    def lam(s: int) -> str:
+        if regime == "MTL_awl":
+            return f"SELECT substr(name, 3) AS t, 1.0 / (2 * value * value) AS lam FROM P{s} WHERE left(name, 2) = 's_'"
+        return f"SELECT t, 1.0 AS lam FROM (VALUES {tv}) tt(t)"
+
+    def reg(s: int) -> str:
+        if regime == "MTL_awl":
+            return f"(SELECT sum(ln(1 + value * value)) FROM P{s} WHERE left(name, 2) = 's_')"
+        return "0.0"
+
+    def forward(s: int, rows: str, tag: str) -> list[str]:
+        return [
+            f"""Z{tag} AS (
+  SELECT r.row_id, r.t, H.c, sum(CASE WHEN H.j < 3 THEN r.x[H.j + 1] * H.w ELSE 0.0 END)
+         + max(CASE WHEN H.j = 3 THEN H.w END) AS z
+  FROM {rows} r JOIN H{s} H ON r.t = H.t GROUP BY r.row_id, r.t, H.c)""",
+            f"S{tag} AS (SELECT *, max(z) OVER (PARTITION BY row_id, t) AS mz FROM Z{tag})",
+            f"E{tag} AS (SELECT *, sum(exp(z - mz)) OVER (PARTITION BY row_id, t) AS se FROM S{tag})",
+            f"""R{tag} AS (
+  SELECT E.row_id, E.t, E.c, r.y, r.x, E.z, E.mz, exp(E.z - E.mz) / E.se - CAST(r.y = E.c AS DOUBLE) AS delta,
+         CASE WHEN r.y = E.c THEN E.mz + ln(E.se) - E.z END AS lossc
+  FROM E{tag} E JOIN {rows} r ON r.row_id = E.row_id AND r.t = E.t)"""]
+
+    ctes += heads(0)
+    for s in range(1, epochs + 1):
+        prev = s - 1
+        ctes += forward(prev, "tr_long", f"tr{s}")
+        ctes.append(f"L{s} AS (SELECT t, sum(lossc) / count(DISTINCT row_id) AS loss FROM Rtr{s} GROUP BY t)")
+        ctes.append(f"LAM{s} AS ({lam(prev)})")
+        ctes.append(f"""G{s} AS (
+  SELECT R.t, R.c, CAST(j AS INTEGER) AS j,
+         sum(R.delta * CASE WHEN j < 3 THEN R.x[j + 1] ELSE 1.0 END) / count(*) * max(LAM.lam) AS g
+  FROM Rtr{s} R JOIN LAM{s} LAM ON R.t = LAM.t, range(0, 4) r(j) GROUP BY R.t, R.c, j)""")
+        if regime == "STL":
+            ctes.append(f"""D{s} AS (
+  SELECT CASE WHEN j < 3 THEN 'W' ELSE 'b' END AS name, c AS i, CASE WHEN j < 3 THEN j ELSE 0 END AS j, g FROM G{s})""")
+        else:
+            ctes.append(f"""D{s} AS (
+  SELECT CASE WHEN G.j < 3 THEN 'U' ELSE 'u' END AS name, A.j AS i, CASE WHEN G.j < 3 THEN G.j ELSE 0 END AS j,
+         sum(A.value * G.g) AS g
+  FROM G{s} G JOIN P{prev} A ON A.name = 'A_' || G.t AND A.i = G.c GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT 'A_' || G.t, G.c, U.k, sum(G.g * U.value) FROM G{s} G JOIN UA{prev} U ON U.j = G.j GROUP BY G.t, G.c, U.k
+  UNION ALL
+  SELECT 'a_' || t, c, 0, g FROM G{s} WHERE j = 3)""")
+        ctes.append(f"N{s} AS (SELECT 1.0 / (sqrt(sum(g * g)) + 1e-6) AS coef FROM D{s})")
+        extra = ""
+        if regime == "MTL_awl":
+            extra = f"""
+  UNION ALL
+  SELECT 's_' || L.t, 0, 0, -L.loss / pow(P.value, 3) + 2 * P.value / (1 + P.value * P.value)
+  FROM L{s} L JOIN P{prev} P ON P.name = 's_' || L.t"""
+        ctes.append(f"""C{s} AS (SELECT D.name, D.i, D.j, CASE WHEN N.coef < 1 THEN D.g * N.coef ELSE D.g END AS g
+  FROM D{s} D, N{s} N{extra})""")
+        if regime == "MTL_awl":
+            ctes.append(f"""T{s} AS (SELECT sum(L.loss / (2 * P.value * P.value) + ln(1 + P.value * P.value)) AS total
+  FROM L{s} L JOIN P{prev} P ON P.name = 's_' || L.t)""")
+        else:
+            ctes.append(f"T{s} AS (SELECT sum(loss) AS total FROM L{s})")
+        rate = f"({_dbl(lr)} * greatest(0.0, CAST({epochs} - {prev} AS DOUBLE) / {epochs}))"
+        size = f"({rate} * sqrt(1 - pow({b2}, {s})) / (1 - pow({b1}, {s})))"
+        ctes.append(f"""M{s} AS (
+  SELECT P.name, P.i, P.j, P.value, P.m * {b1} + (1 - {b1}) * C.g AS m, P.v * {b2} + (1 - {b2}) * C.g * C.g AS v
+  FROM P{prev} P JOIN C{s} C ON P.name = C.name AND P.i = C.i AND P.j = C.j)""")
+        ctes.append(f"P{s} AS (SELECT name, i, j, value - {size} * m / (sqrt(v) + {_dbl(2e-8)}) AS value, m, v FROM M{s})")
+        ctes += heads(s)
+        ctes += forward(s, "te_long", f"te{s}")
+        ctes.append(f"""Q{s} AS (
+  SELECT row_id, t, max(y) AS y, arg_min(c, CASE WHEN z = mz THEN c ELSE 1000000 END) AS pred,
+         sum(lossc) AS loss FROM Rte{s} GROUP BY row_id, t)""")
+        ctes.append(f"""K{s} AS (
+  SELECT Q.t, count(*) FILTER (WHERE y = 1 AND pred = y) AS TP, count(*) FILTER (WHERE y = 0 AND pred = y) AS TN,
+         count(*) FILTER (WHERE y = 0 AND pred <> y) AS FP, count(*) FILTER (WHERE y = 1 AND pred <> y) AS FN,
+         avg(Q.loss * LAM.lam) AS tloss
+  FROM Q{s} Q JOIN ({lam(s)}) LAM ON Q.t = LAM.t GROUP BY Q.t)""")
+        r1 = "CAST(TP AS DOUBLE) / NULLIF(TP + FN, 0)"
+        r0 = "CAST(TN AS DOUBLE) / NULLIF(TN + FP, 0)"
+        ctes.append(f"""X{s} AS (
+  SELECT t, TP, TN, FP, FN, coalesce(2.0 * CAST(TP AS DOUBLE) / NULLIF(2.0 * TP + FP + FN, 0), 0.0) AS F1,
+         CASE WHEN {r1} IS NOT NULL AND {r0} IS NOT NULL THEN ({r1} + {r0}) / 2.0 WHEN {r1} IS NOT NULL THEN {r1} ELSE {r0} END AS BA,
+         CASE WHEN {r1} IS NOT NULL AND {r0} IS NOT NULL THEN ({r1} + {r0}) / 2.0 END AS AUC, tloss FROM K{s})""")
+        cols = ", ".join(f"max({m}) FILTER (WHERE t = '{t}') AS {m}_{t}" for t in tasks for m in MEASURES)
+        ctes.append(f"""O{s} AS (
+  SELECT {s - 1} AS epoch, round((SELECT total FROM T{s}), 9) AS training_loss,
+         round(sum(tloss) + {reg(s)}, 9) AS testing_loss, {cols} FROM X{s})""")
+    body = "\nUNION ALL\n".join(f"SELECT * FROM O{s}" for s in range(1, epochs + 1))
+    tags = (f"'text_stats' AS model, 0 AS run, {_dbl(lr)} AS lr, -1 AS batch_size, 'documents' AS data, "
+            f"'all' AS question, '{regime}' AS training")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT o.*, {tags} FROM ({body}) o"
+
+
+def _rounded_losses(rep):
+    return rep.withColumn("training_loss", F.round("training_loss", 9)).withColumn(
+        "testing_loss", F.round("testing_loss", 9))
+
+
+ORACLE["fit_multi_task"] = _unrolled_run_sql("MTL")
+ORACLE["fit_weighted_tasks"] = _unrolled_run_sql("MTL_awl")
+ORACLE["run_grid"] = "\nUNION ALL BY NAME\n".join(
+    f"SELECT * FROM ({_unrolled_run_sql(r, ts)})" for r, ts in (("STL", ("quality",)), ("STL", ("toxic",)), ("MTL", TASKS)))
