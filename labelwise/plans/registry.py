@@ -989,9 +989,9 @@ def q_fit_weighted_tasks(spark, sf_dir):
 @register("fit_meta_weights")
 def q_fit_meta_weights(spark, sf_dir):
     res = _run(spark, sf_dir, "MTL_meta")
-    w = spark.createDataFrame([(r["epoch"], float(r["quality"]), float(r["toxic"])) for r in res.task_weights],
-                              "epoch int, w_quality double, w_toxic double")
-    return res.report.join(w, "epoch")
+    w = spark.createDataFrame([(r["epoch"], round(float(r["quality"]), 9), round(float(r["toxic"]), 9))
+                               for r in res.task_weights], "epoch int, w_quality double, w_toxic double")
+    return _rounded_losses(res.report).join(w, "epoch")
 
 
 @register("epoch_loop")
@@ -1076,10 +1076,19 @@ def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: flo
     offs = ", ".join(f"('{t}', {7 * (i + 1)})" for i, t in enumerate(tasks))
     longs = lambda part: "\n  UNION ALL ".join(
         f"SELECT row_id, '{t}' AS t, {t} AS y, x FROM split WHERE part = '{part}'" for t in tasks)
-    ctes = [FEAT_SQL.strip(),
-            f"split AS (SELECT *, {SPLIT_SQL.format(id='row_id')} AS part FROM feat)",
-            f"tr_long AS (\n  {longs('train')})",
-            f"te_long AS (\n  {longs('test')})"]
+    meta = regime == "MTL_meta"
+    if meta:
+        bucket = "CAST(('0x' || substr(md5('42:' || CAST(row_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10"
+        part = f"CASE WHEN {bucket} < 6 THEN 'support' WHEN {bucket} < 8 THEN 'query' ELSE 'test' END"
+        ctes = [FEAT_SQL.strip(), f"split AS (SELECT *, {part} AS part FROM feat)",
+                f"tr_long AS (\n  {longs('support')})", f"q_long AS (\n  {longs('query')})",
+                f"te_long AS (\n  {longs('test')})",
+                f"WK0 AS (SELECT t, 1.0 AS w FROM (VALUES {tv}) tt(t))"]
+    else:
+        ctes = [FEAT_SQL.strip(),
+                f"split AS (SELECT *, {SPLIT_SQL.format(id='row_id')} AS part FROM feat)",
+                f"tr_long AS (\n  {longs('train')})",
+                f"te_long AS (\n  {longs('test')})"]
     if regime == "STL":
         t0 = tasks[0]
         ctes.append(f"""P0 AS (
@@ -1115,7 +1124,9 @@ def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: flo
   SELECT W.t, W.c, W.j, CASE WHEN W.j = 3 THEN W.w + a.value ELSE W.w END AS w
   FROM W{s} W JOIN {p} a ON a.name = 'a_' || W.t AND a.i = W.c)"""]
 
-    def lam(s: int) -> str:
+    def lam(s: int, evaluating: bool = False) -> str:
+        if meta and not evaluating:
+            return f"SELECT t, w / {len(tasks)} AS lam FROM WK{s}"
         if regime == "MTL_awl":
             return f"SELECT substr(name, 3) AS t, 1.0 / (2 * value * value) AS lam FROM P{s} WHERE left(name, 2) = 's_'"
         return f"SELECT t, 1.0 AS lam FROM (VALUES {tv}) tt(t)"
@@ -1138,6 +1149,19 @@ def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: flo
          CASE WHEN r.y = E.c THEN E.mz + ln(E.se) - E.z END AS lossc
   FROM E{tag} E JOIN {rows} r ON r.row_id = E.row_id AND r.t = E.t)"""]
 
+    def chain(name: str, grads: str, p: int) -> str:
+        if regime == "STL":
+            return f"""{name} AS (
+  SELECT CASE WHEN j < 3 THEN 'W' ELSE 'b' END AS name, c AS i, CASE WHEN j < 3 THEN j ELSE 0 END AS j, g FROM {grads})"""
+        return f"""{name} AS (
+  SELECT CASE WHEN G.j < 3 THEN 'U' ELSE 'u' END AS name, A.j AS i, CASE WHEN G.j < 3 THEN G.j ELSE 0 END AS j,
+         sum(A.value * G.g) AS g
+  FROM {grads} G JOIN P{p} A ON A.name = 'A_' || G.t AND A.i = G.c GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT 'A_' || G.t, G.c, U.k, sum(G.g * U.value) FROM {grads} G JOIN UA{p} U ON U.j = G.j GROUP BY G.t, G.c, U.k
+  UNION ALL
+  SELECT 'a_' || t, c, 0, g FROM {grads} WHERE j = 3)"""
+
     ctes += heads(0)
     for s in range(1, epochs + 1):
         prev = s - 1
@@ -1148,18 +1172,7 @@ def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: flo
   SELECT R.t, R.c, CAST(j AS INTEGER) AS j,
          sum(R.delta * CASE WHEN j < 3 THEN R.x[j + 1] ELSE 1.0 END) / count(*) * max(LAM.lam) AS g
   FROM Rtr{s} R JOIN LAM{s} LAM ON R.t = LAM.t, range(0, 4) r(j) GROUP BY R.t, R.c, j)""")
-        if regime == "STL":
-            ctes.append(f"""D{s} AS (
-  SELECT CASE WHEN j < 3 THEN 'W' ELSE 'b' END AS name, c AS i, CASE WHEN j < 3 THEN j ELSE 0 END AS j, g FROM G{s})""")
-        else:
-            ctes.append(f"""D{s} AS (
-  SELECT CASE WHEN G.j < 3 THEN 'U' ELSE 'u' END AS name, A.j AS i, CASE WHEN G.j < 3 THEN G.j ELSE 0 END AS j,
-         sum(A.value * G.g) AS g
-  FROM G{s} G JOIN P{prev} A ON A.name = 'A_' || G.t AND A.i = G.c GROUP BY 1, 2, 3
-  UNION ALL
-  SELECT 'A_' || G.t, G.c, U.k, sum(G.g * U.value) FROM G{s} G JOIN UA{prev} U ON U.j = G.j GROUP BY G.t, G.c, U.k
-  UNION ALL
-  SELECT 'a_' || t, c, 0, g FROM G{s} WHERE j = 3)""")
+        ctes.append(chain(f"D{s}", f"G{s}", prev))
         ctes.append(f"N{s} AS (SELECT 1.0 / (sqrt(sum(g * g)) + 1e-6) AS coef FROM D{s})")
         extra = ""
         if regime == "MTL_awl":
@@ -1172,6 +1185,8 @@ def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: flo
         if regime == "MTL_awl":
             ctes.append(f"""T{s} AS (SELECT sum(L.loss / (2 * P.value * P.value) + ln(1 + P.value * P.value)) AS total
   FROM L{s} L JOIN P{prev} P ON P.name = 's_' || L.t)""")
+        elif meta:
+            ctes.append(f"T{s} AS (SELECT sum(LAM.lam * L.loss) AS total FROM L{s} L JOIN LAM{s} LAM ON L.t = LAM.t)")
         else:
             ctes.append(f"T{s} AS (SELECT sum(loss) AS total FROM L{s})")
         rate = f"({_dbl(lr)} * greatest(0.0, CAST({epochs} - {prev} AS DOUBLE) / {epochs}))"
@@ -1181,6 +1196,31 @@ def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: flo
   FROM P{prev} P JOIN C{s} C ON P.name = C.name AND P.i = C.i AND P.j = C.j)""")
         ctes.append(f"P{s} AS (SELECT name, i, j, value - {size} * m / (sqrt(v) + {_dbl(2e-8)}) AS value, m, v FROM M{s})")
         ctes += heads(s)
+        if meta:
+            a, b = tasks[0], tasks[1]
+            ctes += forward(s, "q_long", f"q{s}")
+            ctes.append(f"""GQ{s} AS (
+  SELECT t, c, CAST(j AS INTEGER) AS j, sum(delta * CASE WHEN j < 3 THEN x[j + 1] ELSE 1.0 END) / count(*) AS g
+  FROM Rq{s}, range(0, 4) r(j) GROUP BY t, c, j)""")
+            ctes.append(chain(f"DQ{s}", f"GQ{s}", s))
+            ctes.append(f"NQ{s} AS (SELECT 1.0 / (sqrt(sum(g * g)) + 1e-6) AS coef FROM DQ{s})")
+            ctes.append(f"""CQ{s} AS (SELECT D.name, D.i, D.j, CASE WHEN N.coef < 1 THEN D.g * N.coef ELSE D.g END AS g
+  FROM DQ{s} D, NQ{s} N)""")
+            ctes.append(f"""AL{s} AS (
+  SELECT tt.t, sum(Q.g * (S.g / (WK.w / {len(tasks)}))) AS mt
+  FROM (VALUES ('{a}', '{b}'), ('{b}', '{a}')) tt(t, o)
+  JOIN C{s} S ON S.name NOT IN ('A_' || tt.o, 'a_' || tt.o)
+  JOIN CQ{s} Q ON Q.name = S.name AND Q.i = S.i AND Q.j = S.j
+  JOIN WK{prev} WK ON WK.t = tt.t
+  GROUP BY tt.t)""")
+            ctes.append(f"""MN{s} AS (
+  SELECT CASE WHEN gaa - 2.0 * gab + gbb <= 0 THEN 0.5
+              ELSE least(1.0, greatest(0.0, (gbb - gab) / (gaa - 2.0 * gab + gbb))) END AS gamma
+  FROM (SELECT ma * ma AS gaa, ma * mb AS gab, mb * mb AS gbb
+        FROM (SELECT max(mt) FILTER (WHERE t = '{a}') AS ma, max(mt) FILTER (WHERE t = '{b}') AS mb FROM AL{s})))""")
+            ctes.append(f"""WK{s} AS (
+  SELECT WK.t, WK.w + 1.0 * CASE WHEN WK.t = '{a}' THEN MN.gamma ELSE 1.0 - MN.gamma END * AL.mt AS w
+  FROM WK{prev} WK JOIN AL{s} AL ON AL.t = WK.t, MN{s} MN)""")
         ctes += forward(s, "te_long", f"te{s}")
         ctes.append(f"""Q{s} AS (
   SELECT row_id, t, max(y) AS y, arg_min(c, CASE WHEN z = mz THEN c ELSE 1000000 END) AS pred,
@@ -1189,7 +1229,7 @@ def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: flo
   SELECT Q.t, count(*) FILTER (WHERE y = 1 AND pred = y) AS TP, count(*) FILTER (WHERE y = 0 AND pred = y) AS TN,
          count(*) FILTER (WHERE y = 0 AND pred <> y) AS FP, count(*) FILTER (WHERE y = 1 AND pred <> y) AS FN,
          avg(Q.loss * LAM.lam) AS tloss
-  FROM Q{s} Q JOIN ({lam(s)}) LAM ON Q.t = LAM.t GROUP BY Q.t)""")
+  FROM Q{s} Q JOIN ({lam(s, evaluating=True)}) LAM ON Q.t = LAM.t GROUP BY Q.t)""")
         r1 = "CAST(TP AS DOUBLE) / NULLIF(TP + FN, 0)"
         r0 = "CAST(TN AS DOUBLE) / NULLIF(TN + FP, 0)"
         ctes.append(f"""X{s} AS (
@@ -1197,9 +1237,10 @@ def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: flo
          CASE WHEN {r1} IS NOT NULL AND {r0} IS NOT NULL THEN ({r1} + {r0}) / 2.0 WHEN {r1} IS NOT NULL THEN {r1} ELSE {r0} END AS BA,
          CASE WHEN {r1} IS NOT NULL AND {r0} IS NOT NULL THEN ({r1} + {r0}) / 2.0 END AS AUC, tloss FROM K{s})""")
         cols = ", ".join(f"max({m}) FILTER (WHERE t = '{t}') AS {m}_{t}" for t in tasks for m in MEASURES)
+        wcols = "".join(f", round((SELECT w FROM WK{s} WHERE t = '{t}'), 9) AS w_{t}" for t in tasks) if meta else ""
         ctes.append(f"""O{s} AS (
   SELECT {s - 1} AS epoch, round((SELECT total FROM T{s}), 9) AS training_loss,
-         round(sum(tloss) + {reg(s)}, 9) AS testing_loss, {cols} FROM X{s})""")
+         round(sum(tloss) + {reg(s)}, 9) AS testing_loss, {cols}{wcols} FROM X{s})""")
     body = "\nUNION ALL\n".join(f"SELECT * FROM O{s}" for s in range(1, epochs + 1))
     tags = (f"'text_stats' AS model, 0 AS run, {_dbl(lr)} AS lr, -1 AS batch_size, 'documents' AS data, "
             f"'all' AS question, '{regime}' AS training")
@@ -1213,5 +1254,6 @@ def _rounded_losses(rep):
 
 ORACLE["fit_multi_task"] = _unrolled_run_sql("MTL")
 ORACLE["fit_weighted_tasks"] = _unrolled_run_sql("MTL_awl")
+ORACLE["fit_meta_weights"] = _unrolled_run_sql("MTL_meta")
 ORACLE["run_grid"] = "\nUNION ALL BY NAME\n".join(
     f"SELECT * FROM ({_unrolled_run_sql(r, ts)})" for r, ts in (("STL", ("quality",)), ("STL", ("toxic",)), ("MTL", TASKS)))
