@@ -633,9 +633,10 @@ def q_dot_matrix(spark, sf_dir):
     return la.dot_matrix(q, s).select("qid", "sid", F.round("dot", 9).alias("dot"))
 
 
-GRADSTEP_SQL = EMB_SQL + """,
-sh AS (SELECT *, md5('42:0:' || CAST(row_id AS VARCHAR)) AS k FROM emb),
-bt AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY k, row_id) - 1) / 32) AS BIGINT) AS step FROM sh),
+STEPS = 16
+
+GRADSTEP_SQL = EMB_SQL + f""",
+bt AS (SELECT *, CAST(CAST(('0x' || substr(md5('42:' || CAST(row_id AS VARCHAR)), 1, 8)) AS BIGINT) % {STEPS} AS INTEGER) AS step FROM emb),
 ex AS (SELECT step, a, b, CAST(unnest(x) AS DOUBLE) AS v, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos FROM bt),
 per_step AS (
   SELECT 'a' AS task, pos, step, sum((0.5 - a) * v) AS value FROM ex GROUP BY pos, step
@@ -645,12 +646,14 @@ per_step AS (
 
 @register("grad_difference", f"WITH {GRADSTEP_SQL} SELECT task, pos, step, round(value, 9) AS value FROM per_step")
 def q_grad_difference(spark, sf_dir):
-    """Per-batch gradient sums (class 1, zero weights) accumulated over the
-    epoch as a non-resetting gradient would, then turned back into
-    increments by :func:`grad_difference`."""
+    """Per-step gradient sums (class 1, zero weights) over all rows, the rows
+    dealt into ``STEPS`` steps by hash; accumulated over the steps as a
+    gradient that is never reset would be, then turned back into increments
+    by :func:`grad_difference`.  The number of steps is a parameter, so each
+    (task, pos) window holds ``STEPS`` rows whatever the table size."""
     from pyspark.sql import Window
-    b = smp.assign_batches(_emb(spark, sf_dir), 32, "row_id", 42, 0)
-    ex = b.select(F.col("batch_id").alias("step"), "a", "b", F.posexplode("x").alias("pos", "v"))
+    e = _emb(spark, sf_dir).withColumn("step", smp.hash_bucket("row_id", 42, STEPS))
+    ex = e.select("step", "a", "b", F.posexplode("x").alias("pos", "v"))
     per_step = ex.groupBy("pos", "step").agg(
         F.sum((0.5 - F.col("a")) * F.col("v").cast("double")).alias("ga"),
         F.sum((0.5 - F.col("b")) * F.col("v").cast("double")).alias("gb"))
