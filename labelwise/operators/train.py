@@ -366,15 +366,20 @@ def param_gradient_table(grads: DataFrame, model: LinearModel) -> DataFrame:
     model's small parameter tables: ``grp='shared'`` rows ``(i=k, j)`` hold
     ``dU`` (``j = d``: ``du``), ``grp='head_<task>'`` rows ``(i=class, j=k)``
     hold ``dA`` (``j = hidden``: the head bias).  Both joins are with tables
-    the size of the parameters.
+    the size of the parameters.  The mean gradient table is cached (it is as
+    small as the parameters); release it with ``unpersist`` on the result's
+    inputs when done.
     """
     if model.hidden is None:
         raise ValueError("parameter gradients by group need a shared layer")
     spark = grads.sparkSession
     p, d, k = model.params, model.d, model.hidden
     counts = grads.where((F.col("class") == -1) & (F.col("pos") == 1)).select("task", F.col("value").alias("_n"))
+    # parameter-sized and read by three branches: materialize the one data pass once
     mean = (grads.where(F.col("class") >= 0).join(counts, "task")
-            .select("task", "class", "pos", (F.col("value") / F.col("_n")).alias("g")))
+            .select("task", "class", "pos", (F.col("value") / F.col("_n")).alias("g"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    mean.count()
     a_rows = [(t, c, kk, float(p[f"A_{t}"][c, kk])) for t in model.tasks for c in range(model.classes[t]) for kk in range(k)]
     u_rows = [(kk, j, float(p["U"][kk, j])) for kk in range(k) for j in range(d)] + [(kk, d, float(p["u"][kk])) for kk in range(k)]
     a_df = spark.createDataFrame(a_rows, "task string, class int, k int, a double")
