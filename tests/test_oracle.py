@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as se
-from tools.check_oracle import TABLES, rows_of
+from tools.check_oracle import TABLES, rows_of, type_diffs
 
 from conftest import SF001, SF0001
 
@@ -29,6 +29,7 @@ def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF001)
     rows = [tuple(r) for r in df.collect()]
     res = con.sql(ORACLE[name])
+    assert type_diffs(df, res) == {}
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(res.columns)
     assert len(rows) == len(orows)
