@@ -17,18 +17,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when ``df`` has fewer partitions than cores.
+def spread(df: DataFrame, min_partitions: int | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than cores.
 
     A file written as one row group scans as one partition, which would run
     all per-row work (regex tokenizing, text statistics) in a single task.
     A large input already has many splits and is returned unchanged, so
-    this adds no shuffle at scale.  Checking the partition count plans the
-    scan but runs no job.
+    this adds no shuffle at scale.  The partition count is read from
+    ``source`` (a plain scan, default ``df`` itself): for a plan without
+    exchanges that only plans the scan and runs no job.
     """
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
+        current = (source if source is not None else df).rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. remote clients)
         return df
     return df.repartition(target) if current < target else df
@@ -64,9 +65,9 @@ def text_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
     ``documents`` keys are unique and ``labels`` is a subset of them, so this
     is an inner equi-join; Spark picks broadcast or shuffle from sizes.
     """
-    joined = labels.select(F.col("doc_id").alias("row_id"), "quality", "toxic").join(
-        documents.select(F.col("doc_id").alias("row_id"), "text", "n_chars", "lang"), "row_id")
-    return spread(joined)
+    docs = documents.select(F.col("doc_id").alias("row_id"), "text", "n_chars", "lang")
+    joined = labels.select(F.col("doc_id").alias("row_id"), "quality", "toxic").join(docs, "row_id")
+    return spread(joined, source=docs)
 
 
 def embedding_examples(embeddings: DataFrame) -> DataFrame:
