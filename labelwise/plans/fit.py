@@ -38,6 +38,7 @@ class RunConfig:
     data: str = "documents"
     question: str = "all"
     hidden: int = 8
+    classes: int | dict = 2            # classes per task (int for all, or task -> count)
     optimizer: str = "adamw"
     clip: float | None = tr.CLIP_NORM
     init: str = "formula"
@@ -118,7 +119,7 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     n_fit = fit_rows.count()
     n_test = test_rows.count() if cfg.batch_size is not None else None
     d = len(fit_rows.select(x).first()[0])
-    model = tr.LinearModel.create(tasks, 2, d, None if cfg.regime == "STL" else cfg.hidden, cfg.init)
+    model = tr.LinearModel.create(tasks, cfg.classes, d, None if cfg.regime == "STL" else cfg.hidden, cfg.init)
     per_epoch = 1 if cfg.batch_size is None else smp.n_batches(n_fit, cfg.batch_size)
     opt = tr.Optimizer(cfg.optimizer, cfg.lr, per_epoch * cfg.epochs, no_decay=("s",))
     s = np.ones(len(tasks))                 # learned uncertainty parameters
@@ -272,14 +273,20 @@ def tag_run(df: DataFrame, cfg: RunConfig) -> DataFrame:
     return df.withColumns(tags)
 
 
-def run_grid(configs: Sequence[RunConfig], prepare) -> DataFrame:
+def run_grid(configs: Sequence[RunConfig], prepare, results_path: str | None = None) -> DataFrame:
     """Run every configuration; ``prepare(cfg) -> (train, test, labels)``.
 
     Reports share the columns of their task set and are combined by name.
+    With ``results_path`` every run's rows are also appended there as they
+    finish (partitioned by model, data, question and regime).
     """
+    from labelwise.sources.results import append_results
+
     out = None
     for cfg in configs:
         train, test, labels = prepare(cfg)
         rep = fit(train, test, labels, cfg).report
+        if results_path is not None:
+            append_results(rep, results_path)
         out = rep if out is None else out.unionByName(rep, allowMissingColumns=True)
     return out

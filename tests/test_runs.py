@@ -71,3 +71,20 @@ def test_mini_batch_steps_cover_epoch(spark, emb):
     n_train = tagged.where("split = 'train'").count()
     assert len(res.history) == -(-n_train // 64)
     assert res.report.count() == 1
+
+
+def test_three_class_task_and_grid_append(spark, emb, tmp_dir):
+    """A task with three classes trains and evaluates; grid runs append."""
+    e3 = emb.withColumn("c3", (F.col("label") % 3).cast("int"))
+    tagged = smp.train_test_tag(e3, "row_id")
+    cfg = fp.RunConfig(model="embedding", tasks=("c3",), regime="STL", epochs=1, lr=0.01, classes=3)
+    res = fp.fit(tagged.where("split = 'train'"), tagged.where("split = 'test'"), {"c3": "c3"}, cfg)
+    assert res.model.params["W"].shape == (3, 64)
+    assert res.report.count() == 1
+    path = os.path.join(tmp_dir, "grid")
+    grid = fp.run_grid([fp.RunConfig(model="embedding", tasks=("a",), regime="STL", epochs=1),
+                        fp.RunConfig(model="embedding", tasks=("a", "b"), regime="MTL", epochs=1)],
+                       lambda c: (tagged.where("split = 'train'"), tagged.where("split = 'test'"), {"a": "a", "b": "b"}),
+                       results_path=path)
+    assert grid.count() == 2
+    assert rs.read_results(spark, path).count() == 2
