@@ -130,3 +130,24 @@ def test_softmax_weights_sum_to_one(spark):
         "label", F.element_at("embedding", 1).cast("double").alias("score"))
     w = la.softmax_weights(emb, ["label"], "score").groupBy("label").agg(F.sum("weight").alias("s"))
     assert all(abs(r["s"] - 1.0) < 1e-12 for r in w.collect())
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_gradient_and_encoding_invariant_to_partitioning(spark, docs, parts):
+    import numpy as np
+
+    from labelwise.operators import linalg as la
+    from labelwise.operators import train as tr
+
+    emb = tb.embedding_examples(tb.read_table(spark, SF001, "embeddings"))
+    heads = {"a": tr.Head(np.array(la.formula_weights(2, 64)), np.zeros(2)),
+             "b": tr.Head(np.array(la.formula_weights(2, 64, row_offset=2)), np.zeros(2))}
+    base = tr.batch_gradient(emb, heads, {"a": "a", "b": "b"}, "x")
+    other = tr.batch_gradient(emb.repartition(parts), heads, {"a": "a", "b": "b"}, "x")
+    for t in ("a", "b"):
+        assert np.allclose(base.grads[t], other.grads[t], rtol=0, atol=1e-12)
+        assert base.loss[t] == pytest.approx(other.loss[t], abs=1e-12)
+    small = docs.where("row_id < 200")
+    e1 = dict(enc.encode_corpus(small, 500)[0].select("row_id", "input_ids").collect())
+    e2 = dict(enc.encode_corpus(small.repartition(parts), 500)[0].select("row_id", "input_ids").collect())
+    assert e1 == e2
