@@ -1,0 +1 @@
+"""Column expressions: ids from names, tokens, md5 keys, array math."""

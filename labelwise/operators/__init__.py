@@ -1,0 +1 @@
+"""DataFrame operators: preparation, encoding, sampling, evaluation, vector math, training, encoders."""

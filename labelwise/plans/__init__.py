@@ -1,0 +1 @@
+"""Composed runs (training epochs, grids) and the registry of checked queries."""

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The pipeline being reproduced has no streams, event time, watermarks or
+state -- its loops run over finite, fully materialised tables -- so there is
+no streaming operator to build.  The scoring step (``operators.train.
+score_batch``) is made of column expressions with literal weights and no
+aggregation, so it applies unchanged to a streaming DataFrame from
+``readStream`` (see ``tests/test_runs.py``).
+"""
