@@ -67,19 +67,25 @@ def build_vocab(df: DataFrame, text: str = "text", size: int = 5000, tokens_col:
     vocab = top.select("token", (F.row_number().over(order) + (FIRST_WORD_ID - 1)).cast("int").alias("id"), "n")
     if materialize:
         vocab = vocab.persist()
-        vocab.count()
+        # one job both fills the cache and measures the vocabulary for the broadcast check
+        vocab._labelwise_size = _measure(vocab)
     return vocab
 
 
+def _measure(vocab: DataFrame) -> int:
+    stats = vocab.agg(F.count(F.lit(1)).alias("rows"),
+                      F.coalesce(F.sum(F.length("token")), F.lit(0)).alias("chars")).first()
+    return int(stats["rows"]) * 32 + int(stats["chars"]) * 4
+
+
 def _vocab_side(vocab: DataFrame) -> DataFrame:
     """Broadcast the vocabulary when its measured size is under the limit.
 
     The vocabulary has at most ``size`` rows by construction; its byte size
     is measured anyway (tokens can be long) before it is shipped.
     """
-    stats = vocab.agg(F.count(F.lit(1)).alias("rows"),
-                      F.coalesce(F.sum(F.length("token")), F.lit(0)).alias("chars")).first()
-    est = int(stats["rows"]) * 32 + int(stats["chars"]) * 4
+    est = getattr(vocab, "_labelwise_size", None)
+    est = _measure(vocab) if est is None else est
     side = vocab.select("token", "id")
     return F.broadcast(side) if est <= BROADCAST_LIMIT_BYTES else side
 
