@@ -103,3 +103,11 @@ def grad_difference(df: DataFrame, keys: Sequence[str] = ("task", "pos"), step:
 
 def vector_clip(df: DataFrame, vec: str, max_norm: float = 1.0, out: str | None = None) -> DataFrame:
     return df.withColumn(out or vec, A.clip_norm(vec, max_norm))
+
+
+def argmax_long(df: DataFrame, keys: Sequence[str], cls: str = "class", logit: str = "logit",
+                out: str = "pred") -> DataFrame:
+    """Top-1 class per key from long-form logits (one row per class); ties go
+    to the lowest class.  One map-side-combined aggregate."""
+    return df.groupBy(*keys).agg(
+        F.max_by(F.col(cls), F.struct(F.col(logit), -F.col(cls))).alias(out))

@@ -188,3 +188,25 @@ def test_cross_entropy_matches_numpy(spark):
     got = spark.createDataFrame([(z, 1)], "z array<double>, y int").select(A.cross_entropy("z", "y")).first()[0]
     expect = np.log(np.exp(z).sum()) - z[1]
     assert got == pytest.approx(expect)
+
+
+def test_argmax_long_matches_array_form(spark):
+    from labelwise.operators.linalg import argmax_long
+    rows = [(0, [1.0, 3.0, 3.0]), (1, [5.0, -1.0, 2.0]), (2, [0.0, 0.0, 0.0])]
+    arr = spark.createDataFrame(rows, "id int, z array<double>")
+    long = arr.select("id", F.posexplode("z").alias("class", "logit"))
+    got = {r["id"]: r["pred"] for r in argmax_long(long, ["id"]).collect()}
+    want = {r["id"]: r["p"] for r in arr.select("id", A.argmax("z").alias("p")).collect()}
+    assert got == want == {0: 1, 1: 0, 2: 0}
+
+
+def test_attention_pool_mask(spark):
+    from labelwise.operators.linalg import attention_pool
+    df = spark.createDataFrame([(0, 0, [1.0, 0.0], 1), (0, 1, [0.0, 1.0], 1), (0, 2, [9.0, 9.0], 0)],
+                               "seq_id int, pos int, vec array<double>, m int")
+    masked = attention_pool(df, vec="vec", mask="m").first()["pooled"]
+    e = np.exp([1.0, 0.0])
+    w = e / e.sum()
+    assert masked == pytest.approx([w[0], w[1]])
+    unmasked = attention_pool(df, vec="vec").first()["pooled"]
+    assert unmasked[0] > 8.0  # the padded position dominates without a mask
