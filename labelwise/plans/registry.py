@@ -1260,3 +1260,50 @@ ORACLE["fit_weighted_tasks"] = _unrolled_run_sql("MTL_awl")
 ORACLE["fit_meta_weights"] = _unrolled_run_sql("MTL_meta")
 ORACLE["run_grid"] = "\nUNION ALL BY NAME\n".join(
     f"SELECT * FROM ({_unrolled_run_sql(r, ts)})" for r, ts in (("STL", ("quality",)), ("STL", ("toxic",)), ("MTL", TASKS)))
+
+
+# --------------------------------------------------------------------------
+# Checked outputs are scalar columns
+# --------------------------------------------------------------------------
+# A query whose natural result holds arrays (ids, masks, logits, pooled
+# vectors, features) is checked one element per row: ``pos`` is the 0-based
+# position and the array column keeps its name for the element.  Equal
+# arrays then compare equal however a client converts nested values.
+
+import functools  # noqa: E402
+
+FLATTEN = {
+    "encode_ids": ["encoded"], "pad_truncate": ["input_ids"], "attention_mask": ["attention_mask"],
+    "post_truncate": ["tokens"], "linear_layer": ["logits"], "two_head_scores": ["logits_a", "logits_b"],
+    "softmax_probs": ["probs"], "tanh_layer": ["h"], "clip_norm": ["x"], "attention_pool": ["pooled"],
+    "frozen_features": ["x"], "select_model_features": ["x"], "fit_single_task": ["w"], "score_batch": ["logits"],
+    "apply_encoder": ["x"],
+}
+
+
+def flatten_arrays(df: DataFrame, arrays: list[str], pos: str = "pos") -> DataFrame:
+    """One row per array position (arrays of one row zipped in lock step)."""
+    others = [c for c in df.columns if c not in arrays]
+    if len(arrays) == 1:
+        return df.select(*others, F.posexplode(arrays[0]).alias(pos, arrays[0]))
+    zipped = F.arrays_zip(*[F.col(a) for a in arrays])
+    return df.select(*others, F.posexplode(zipped).alias(pos, "_z")).select(
+        *others, pos, *[F.col("_z")[a].alias(a) for a in arrays])
+
+
+def _flatten_sql(sql: str, arrays: list[str], pos: str = "pos") -> str:
+    cols = ", ".join(f"unnest(q.{a}) AS {a}" for a in arrays)
+    return (f"SELECT q.* EXCLUDE ({', '.join(arrays)}), CAST(generate_subscripts(q.{arrays[0]}, 1) - 1 AS INTEGER) AS {pos}, "
+            f"{cols}\nFROM (\n{sql}\n) q")
+
+
+def _flattened(fn: QueryFn, arrays: list[str]) -> QueryFn:
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        return flatten_arrays(fn(spark, sf_dir), arrays)
+    return run
+
+
+for _name, _arrays in FLATTEN.items():
+    QUERIES[_name] = _flattened(QUERIES[_name], _arrays)
+    ORACLE[_name] = _flatten_sql(ORACLE[_name], _arrays)
