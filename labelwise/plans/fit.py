@@ -95,8 +95,32 @@ def _step_grads(model: tr.LinearModel, stats: tr.StepStats, lam: dict[str, float
     return grads
 
 
+def fit_tagged(tagged: DataFrame, labels: dict[str, str], cfg: RunConfig, split_col: str = "split",
+               train_value: str = "train", test_value: str = "test", query_value: str = "query",
+               x: str = "x", id_col: str = "row_id") -> RunResult:
+    """:func:`fit` on one table whose ``split_col`` says train / test (and
+    query, for the meta regime).
+
+    The table is read once and cached with only the columns training needs;
+    every split is then a filter of that cache, so the source (scan, joins,
+    features) is computed once for all splits rather than once per split.
+    """
+    cols = [id_col, x, split_col] + [labels[t] for t in cfg.tasks]
+    pinned = _pin(tagged.select(*cols), cfg.checkpoint)
+    pinned.count()
+    part = F.col(split_col)
+    try:
+        return fit(pinned.where(part == train_value), pinned.where(part == test_value), labels, cfg, x, id_col,
+                   support=pinned.where(part == train_value) if cfg.regime == "MTL_meta" else None,
+                   query=pinned.where(part == query_value) if cfg.regime == "MTL_meta" else None,
+                   pinned=True)
+    finally:
+        pinned.unpersist()
+
+
 def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfig, x: str = "x",
-        id_col: str = "row_id", support: DataFrame | None = None, query: DataFrame | None = None) -> RunResult:
+        id_col: str = "row_id", support: DataFrame | None = None, query: DataFrame | None = None,
+        pinned: bool = False) -> RunResult:
     """Train for ``cfg.epochs`` and evaluate on ``test`` after every epoch.
 
     Regimes: STL (one task), MTL (sum of task losses), MTL_awl (learned
@@ -110,12 +134,14 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     if cfg.regime == "STL" and len(tasks) != 1:
         raise ValueError("STL trains exactly one task")
     cols = [id_col, x] + [labels[t] for t in tasks]
+    # ``pinned``: the inputs are already views of one cached table (see fit_tagged)
+    pin = (lambda df: df) if pinned else (lambda df: _pin(df, cfg.checkpoint))
     fit_rows = support if (cfg.regime == "MTL_meta" and support is not None) else train
-    fit_rows = _pin(fit_rows.select(*cols), cfg.checkpoint)
+    fit_rows = pin(fit_rows.select(*cols))
     query_rows = None
     if cfg.regime == "MTL_meta":
-        query_rows = _pin((query if query is not None else test).select(*cols), cfg.checkpoint)
-    test_rows = _pin(test.select(*cols), cfg.checkpoint)
+        query_rows = pin((query if query is not None else test).select(*cols))
+    test_rows = pin(test.select(*cols))
     n_fit = fit_rows.count()
     n_test = test_rows.count() if cfg.batch_size is not None else None
     d = len(fit_rows.select(x).first()[0])
@@ -179,9 +205,10 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     # The report is one row per epoch: bring it back once, then release every cache.
     spark = train.sparkSession
     result.report = spark.createDataFrame(report.collect(), report.schema)
-    for pinned in (fit_rows, query_rows, test_rows, *result_pins):
-        if pinned is not None:
-            pinned.unpersist()
+    own = [] if pinned else [fit_rows, query_rows, test_rows]
+    for df in (*own, *result_pins):
+        if df is not None:
+            df.unpersist()
     return result
 
 

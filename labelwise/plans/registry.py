@@ -967,13 +967,11 @@ def _split_features(spark, sf_dir):
 
 
 def _run(spark, sf_dir, regime, tasks=TASKS, epochs=2, **kw):
-    train, test = _split_features(spark, sf_dir)
     cfg = fp.RunConfig(tasks=tasks, regime=regime, epochs=epochs, lr=0.01, **kw)
     if regime == "MTL_meta":
         parts = smp.support_query_test(_features(spark, sf_dir), "row_id")
-        return fp.fit(parts.where("part = 'support'"), parts.where("part = 'test'"), LABELS, cfg,
-                      support=parts.where("part = 'support'"), query=parts.where("part = 'query'"))
-    return fp.fit(train, test, LABELS, cfg)
+        return fp.fit_tagged(parts, LABELS, cfg, split_col="part", train_value="support")
+    return fp.fit_tagged(smp.train_test_tag(_features(spark, sf_dir), "row_id"), LABELS, cfg)
 
 
 @register("fit_multi_task")
