@@ -1003,7 +1003,7 @@ def q_epoch_loop(spark, sf_dir):
     tagged = smp.train_test_tag(emb, "row_id")
     cfg = fp.RunConfig(model="embedding", tasks=("a", "b"), regime="MTL", epochs=2, lr=0.01, batch_size=32,
                        data="embeddings")
-    return fp.fit(tagged.where("split = 'train'"), tagged.where("split = 'test'"), {"a": "a", "b": "b"}, cfg).report
+    return _rounded_losses(fp.fit_tagged(tagged, {"a": "a", "b": "b"}, cfg).report)
 
 
 @register("run_grid")
@@ -1260,6 +1260,149 @@ ORACLE["run_grid"] = "\nUNION ALL BY NAME\n".join(
     f"SELECT * FROM ({_unrolled_run_sql(r, ts)})" for r, ts in (("STL", ("quality",)), ("STL", ("toxic",)), ("MTL", TASKS)))
 
 
+def _recursive_epoch_loop_sql(epochs: int = 2, lr: float = 0.01, batch: int = 32, hidden: int = 8, d: int = 64,
+                              seed: int = 42) -> str:
+    """Oracle of ``epoch_loop``: mini-batch steps whose number depends on the
+    data, as a recursive CTE.  The state is one row holding every parameter
+    list and its AdamW moments; each recursion step takes the next batch (md5
+    order per epoch), runs the forward pass, backpropagates through the
+    shared layer, clips the joint norm at 1 and applies AdamW with the linear
+    decay.  The rows at epoch ends are evaluated on the test split.
+    """
+    H = hidden
+    b1, b2 = _dbl(0.9), _dbl(0.999)
+    # parameter lists, flattened row-major: W1 = U (H x d), c1 = u, WA/WB = head matrices (2 x H), cA/cB = head biases
+    params = {"W1": H * d, "c1": H, "WA": 2 * H, "cA": 2, "WB": 2 * H, "cB": 2}
+    esum = "list_reduce(list({v} ORDER BY row_id), lambda p, q: list_transform(range(1, len(p) + 1), lambda i: p[i] + q[i]))"
+
+    def hidden_expr(st: str, x: str) -> str:
+        return f"list_transform(range(0, {H}), lambda k: list_dot_product({st}.W1[k * {d} + 1:k * {d} + {d}], {x}) + {st}.c1[k + 1])"
+
+    def head_expr(st: str, w: str, c: str) -> str:
+        return f"list_transform(range(0, 2), lambda j: list_dot_product({st}.{w}[j * {H} + 1:j * {H} + {H}], h) + {st}.{c}[j + 1])"
+
+    init_cols = [
+        f"list_transform(range(0, {H * d}), lambda i: CAST(((7 * (i % {d}) + 3 * (i // {d})) % 11) - 5 AS DOUBLE) / 10 / sqrt({d})) AS W1",
+        f"list_transform(range(0, {H}), lambda i: CAST(0.0 AS DOUBLE)) AS c1",
+        f"list_transform(range(0, {2 * H}), lambda i: CAST(((7 * (i % {H}) + 3 * (i // {H} + 7)) % 11) - 5 AS DOUBLE) / 10 / sqrt({H})) AS WA",
+        "list_transform(range(0, 2), lambda i: CAST(0.0 AS DOUBLE)) AS cA",
+        f"list_transform(range(0, {2 * H}), lambda i: CAST(((7 * (i % {H}) + 3 * (i // {H} + 14)) % 11) - 5 AS DOUBLE) / 10 / sqrt({H})) AS WB",
+        "list_transform(range(0, 2), lambda i: CAST(0.0 AS DOUBLE)) AS cB",
+    ]
+    for p, n in params.items():
+        init_cols += [f"list_transform(range(0, {n}), lambda i: CAST(0.0 AS DOUBLE)) AS m_{p}",
+                      f"list_transform(range(0, {n}), lambda i: CAST(0.0 AS DOUBLE)) AS v_{p}"]
+    rows = f"""
+      SELECT row_id, x, a, b, h,
+             {head_expr('st', 'WA', 'cA')} AS za, {head_expr('st', 'WB', 'cB')} AS zb
+      FROM (SELECT row_id, x, a, b, {hidden_expr('st', 'x')} AS h
+            FROM bt WHERE bt.epoch = st.t // cnt.spe AND bt.batch = st.t % cnt.spe) r1"""
+    rows = f"""
+      SELECT *, list_sum(list_transform(za, lambda v: exp(v - ma))) AS sa, list_sum(list_transform(zb, lambda v: exp(v - mb))) AS sb
+      FROM (SELECT *, list_max(za) AS ma, list_max(zb) AS mb FROM ({rows}) r2) r3"""
+    rows = f"""
+      SELECT *, list_transform(range(0, 2), lambda j: exp(za[j + 1] - ma) / sa - CAST(a = j AS DOUBLE)) AS da,
+             list_transform(range(0, 2), lambda j: exp(zb[j + 1] - mb) / sb - CAST(b = j AS DOUBLE)) AS db,
+             ma + ln(sa) - za[a + 1] AS la, mb + ln(sb) - zb[b + 1] AS lb
+      FROM ({rows}) r4"""
+    rows = f"""
+      SELECT *, list_transform(range(0, {H}), lambda k: da[1] * st.WA[k + 1] + da[2] * st.WA[{H} + k + 1]
+                                                + db[1] * st.WB[k + 1] + db[2] * st.WB[{H} + k + 1]) AS dh
+      FROM ({rows}) r5"""
+    rows = f"""
+      SELECT row_id, la, lb, da, db, dh,
+             list_transform(range(0, {H * d}), lambda i: dh[i // {d} + 1] * x[i % {d} + 1]) AS gW1,
+             list_transform(range(0, {2 * H}), lambda i: da[i // {H} + 1] * h[i % {H} + 1]) AS gWA,
+             list_transform(range(0, {2 * H}), lambda i: db[i // {H} + 1] * h[i % {H} + 1]) AS gWB
+      FROM ({rows}) r6"""
+    grads = {"W1": "gW1", "c1": "dh", "WA": "gWA", "cA": "da", "WB": "gWB", "cB": "db"}
+    g_sel = ", ".join(f"{esum.format(v=v)} AS s_{p}" for p, v in grads.items())
+    lateral_g = f"""LATERAL (
+    SELECT count(*) AS n, sum(la) / count(*) + sum(lb) / count(*) AS loss, {g_sel}
+    FROM ({rows}) r7) g"""
+    mg = ", ".join(f"list_transform(g.s_{p}, lambda v: v / g.n) AS G_{p}" for p in params)
+    norm = " + ".join(f"list_sum(list_transform(mg.G_{p}, lambda v: v * v))" for p in params)
+    cg = ", ".join(f"list_transform(mg.G_{p}, lambda v: CASE WHEN cl.coef < 1 THEN v * cl.coef ELSE v END) AS C_{p}"
+                   for p in params)
+    total = f"(2 * cnt.spe)" if epochs == 2 else f"({epochs} * cnt.spe)"
+    size = (f"({_dbl(lr)} * greatest(0.0, CAST({total} - st.t AS DOUBLE) / {total}) "
+            f"* sqrt(1 - pow({b2}, st.t + 1)) / (1 - pow({b1}, st.t + 1)))")
+    upd = []
+    for p in params:
+        m_new = f"st.m_{p}[i] * {b1} + (1 - {b1}) * cg.C_{p}[i]"
+        v_new = f"st.v_{p}[i] * {b2} + (1 - {b2}) * cg.C_{p}[i] * cg.C_{p}[i]"
+        rng = f"range(1, len(st.{p}) + 1)"
+        upd.append(f"list_transform({rng}, lambda i: st.{p}[i] - {size} * ({m_new}) / (sqrt({v_new}) + {_dbl(2e-8)})) AS {p}")
+    for p in params:
+        rng = f"range(1, len(st.{p}) + 1)"
+        upd.append(f"list_transform({rng}, lambda i: st.m_{p}[i] * {b1} + (1 - {b1}) * cg.C_{p}[i]) AS m_{p}")
+        upd.append(f"list_transform({rng}, lambda i: st.v_{p}[i] * {b2} + (1 - {b2}) * cg.C_{p}[i] * cg.C_{p}[i]) AS v_{p}")
+    state_cols = ["t", "loss", *params, *[f"{k}_{p}" for p in params for k in ("m", "v")]]
+    epochs_vals = ", ".join(f"({e})" for e in range(epochs))
+    split = "CAST(('0x' || substr(md5('{s}:' || CAST(row_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 < 2".format(s=seed)
+    sql = f"""WITH RECURSIVE
+emb AS (
+  SELECT vec_id AS row_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x,
+         CAST(label % 2 AS INTEGER) AS a, CAST(label >= 5 AS INTEGER) AS b FROM embeddings),
+sp AS (SELECT *, {split} AS is_test FROM emb),
+tr AS (SELECT row_id, x, a, b FROM sp WHERE NOT is_test),
+te AS (SELECT row_id, x, a, b FROM sp WHERE is_test),
+cnt AS (SELECT CAST(ceil(count(*) / {float(batch)}) AS BIGINT) AS spe FROM tr),
+bt AS (
+  SELECT e.epoch, tr.*,
+         CAST((row_number() OVER (PARTITION BY e.epoch ORDER BY md5('{seed}:' || CAST(e.epoch AS VARCHAR) || ':' || CAST(tr.row_id AS VARCHAR)), tr.row_id) - 1) // {batch} AS BIGINT) AS batch
+  FROM tr, (VALUES {epochs_vals}) e(epoch)),
+st({', '.join(state_cols)}) AS (
+  SELECT 0, CAST(NULL AS DOUBLE), {', '.join(init_cols)}
+  UNION ALL
+  SELECT st.t + 1, g.loss, {', '.join(upd)}
+  FROM st, cnt,
+  {lateral_g},
+  LATERAL (SELECT {mg}) mg,
+  LATERAL (SELECT 1.0 / (sqrt({norm}) + 1e-6) AS coef) cl,
+  LATERAL (SELECT {cg}) cg
+  WHERE st.t < {total}),
+ends AS (SELECT e.epoch, st.* FROM st, cnt, (VALUES {epochs_vals}) e(epoch) WHERE st.t = cnt.spe * (e.epoch + 1)),
+tl AS (
+  SELECT e.epoch, avg(st.loss) AS training_loss FROM st, cnt, (VALUES {epochs_vals}) e(epoch)
+  WHERE st.t > cnt.spe * e.epoch AND st.t <= cnt.spe * (e.epoch + 1) GROUP BY e.epoch),
+ev AS (
+  SELECT epoch, row_id, a, b, za, zb, list_max(za) AS ma, list_max(zb) AS mb FROM (
+    SELECT epoch, row_id, a, b, h,
+           {head_expr('q', 'WA', 'cA')} AS za, {head_expr('q', 'WB', 'cB')} AS zb
+    FROM (SELECT ends.epoch, te.row_id, te.a, te.b, ends.WA, ends.cA, ends.WB, ends.cB,
+                 {hidden_expr('ends', 'te.x')} AS h FROM ends, te) q) z),
+ev2 AS (
+  SELECT epoch, row_id, a, b,
+         CAST(list_position(za, ma) - 1 AS INTEGER) AS pa, CAST(list_position(zb, mb) - 1 AS INTEGER) AS pb,
+         ma + ln(list_sum(list_transform(za, lambda v: exp(v - ma)))) - za[a + 1]
+         + (mb + ln(list_sum(list_transform(zb, lambda v: exp(v - mb)))) - zb[b + 1]) AS loss
+  FROM ev),
+tb AS (
+  SELECT epoch, loss, (row_number() OVER (PARTITION BY epoch ORDER BY md5('{seed}:' || CAST(20000 + epoch AS VARCHAR) || ':' || CAST(row_id AS VARCHAR)), row_id) - 1) // {batch} AS bno
+  FROM ev2),
+tst AS (SELECT epoch, avg(bm) AS testing_loss FROM (SELECT epoch, bno, avg(loss) AS bm FROM tb GROUP BY epoch, bno) GROUP BY epoch),
+cc AS (
+  SELECT epoch, 'a' AS t, a AS y, pa AS pred FROM ev2 UNION ALL SELECT epoch, 'b' AS t, b AS y, pb AS pred FROM ev2),
+k AS (
+  SELECT epoch, t, count(*) FILTER (WHERE y = 1 AND pred = y) AS TP, count(*) FILTER (WHERE y = 0 AND pred = y) AS TN,
+         count(*) FILTER (WHERE y = 0 AND pred <> y) AS FP, count(*) FILTER (WHERE y = 1 AND pred <> y) AS FN
+  FROM cc GROUP BY epoch, t),
+x AS (
+  SELECT epoch, t, TP, TN, FP, FN, {F1_SQL} AS F1, {BA_SQL} AS BA, {AUC_SQL} AS AUC FROM k),
+w AS (
+  SELECT epoch, {', '.join(f"max({m}) FILTER (WHERE t = '{t}') AS {m}_{t}" for t in ('a', 'b') for m in MEASURES)}
+  FROM x GROUP BY epoch)
+SELECT CAST(w.epoch AS INTEGER) AS epoch, round(tl.training_loss, 9) AS training_loss, round(tst.testing_loss, 9) AS testing_loss,
+       w.* EXCLUDE (epoch), 'embedding' AS model, 0 AS run, {_dbl(lr)} AS lr, {batch} AS batch_size, 'embeddings' AS data,
+       'all' AS question, 'MTL' AS training
+FROM w JOIN tl ON w.epoch = tl.epoch JOIN tst ON w.epoch = tst.epoch"""
+    return sql
+
+
+ORACLE["epoch_loop"] = _recursive_epoch_loop_sql()
+
+
 # --------------------------------------------------------------------------
 # Checked outputs are scalar columns
 # --------------------------------------------------------------------------

@@ -46,6 +46,5 @@ def test_entry_smoke(spark):
     assert df.columns == ["task", "n", "TP", "TN", "FP", "FN", "F1", "BA", "AUC"]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF0001).count() > 0
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
