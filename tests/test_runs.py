@@ -88,3 +88,24 @@ def test_three_class_task_and_grid_append(spark, emb, tmp_dir):
                        results_path=path)
     assert grid.count() == 2
     assert rs.read_results(spark, path).count() == 2
+
+
+def test_question_split_prunes_directories(spark, tmp_dir):
+    import io
+    from contextlib import redirect_stdout
+
+    from labelwise.sources import transcripts as trs
+
+    docs = tb.read_table(spark, SF001, "documents").select("doc_id", F.col("lang").alias("question"))
+    tagged = smp.train_test_tag(docs, "doc_id")
+    root = os.path.join(tmp_dir, "layout")
+    trs.write_question_split(tagged, root)
+    sel = trs.select_question_split(spark, root, "en", "test")
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        sel.explain("formatted")
+    plan = buf.getvalue()
+    assert "PartitionFilters" in plan and "question" in plan.split("PartitionFilters")[1].split("\n")[0]
+    files = sel.inputFiles()
+    assert files and all("question=en" in f and "split=test" in f for f in files)
+    assert sel.count() == tagged.where("question = 'en' AND split = 'test'").count()
