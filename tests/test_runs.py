@@ -108,3 +108,13 @@ def test_question_split_prunes_directories(spark, tmp_dir):
     filters = plan.split("PartitionFilters")[1].split("\n")[0]
     assert "(question#" in filters and "= en)" in filters and "(split#" in filters and "= test)" in filters
     assert sel.count() == tagged.where("question = 'en' AND split = 'test'").count()
+
+
+def test_quickstart_example(spark, tmp_dir):
+    import importlib.util
+    spec = importlib.util.spec_from_file_location(
+        "quickstart", os.path.join(os.path.dirname(os.path.dirname(__file__)), "examples", "quickstart.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    back = mod.main("/root/testdata/sf0.001", os.path.join(tmp_dir, "res"))
+    assert back.count() == 3
