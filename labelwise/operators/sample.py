@@ -34,10 +34,11 @@ def global_rank(df: DataFrame, order: Sequence[str], rank_col: str = "rank", par
     """Exact 0-based position of every row in ``order`` (ties must not occur:
     end the order with a unique id).  Runs one small job for the counts.
 
-    Without ``partitions`` the range exchange is left to adaptive execution,
-    which merges neighbouring ranges to its target partition size -- merged
-    partitions stay contiguous in key order, so the offsets remain exact and
-    a small input is not spread over hundreds of near-empty tasks.
+    Without ``partitions`` the session's shuffle partition count is used:
+    the ranked rows are pinned in the cache, and adaptive execution does not
+    resize an exchange under a cached plan.  Callers that know the row count
+    pass ``partitions`` (training sizes them from its counts).  Any count
+    gives the same ranks: partitions are contiguous in key order.
     """
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     ranged = (ranged.sortWithinPartitions(*order)
