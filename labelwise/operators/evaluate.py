@@ -120,14 +120,20 @@ def auc_score(df: DataFrame, keys=("task",), y: str = "y", score: str = "score",
             "_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(score)))).drop("_cuts")
     else:
         scored = per_score.withColumn("_bucket", F.lit(0))
-    totals = scored.groupBy(*keys, "_bucket").agg(F.sum("n_neg").alias("_bucket_neg"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_bucket", F.coalesce(F.sum("_bucket_neg").over(before), F.lit(0)).alias("_neg_before"))
+    # Inside a bucket: negatives below each score, and the bucket's share of the
+    # rank sum.  The per-bucket aggregate reuses the window's partitioning.
     local = Window.partitionBy(*keys, "_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     scored = scored.withColumn("_neg_local", F.coalesce(F.sum("n_neg").over(local), F.lit(0)))
-    joined = scored.join(totals, [*keys, "_bucket"])
-    u = F.sum(F.col("n_pos") * (F.col("_neg_before") + F.col("_neg_local") + F.col("n_neg") * 0.5))
-    out = joined.groupBy(*keys).agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), u.alias("_u"))
+    per_bucket = scored.groupBy(*keys, "_bucket").agg(
+        F.sum("n_pos").alias("_p"), F.sum("n_neg").alias("_n"),
+        F.sum(F.col("n_pos") * (F.col("_neg_local") + F.col("n_neg") * 0.5)).alias("_u"))
+    # Across buckets: every positive of a bucket is above all negatives of the
+    # buckets before it (a window over at most ``buckets`` rows per key).
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.withColumn("_neg_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    out = per_bucket.groupBy(*keys).agg(
+        F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"),
+        F.sum(F.col("_u") + F.col("_p") * F.col("_neg_before")).alias("_u"))
     return out.select(*keys, "n_pos", "n_neg",
                       F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
                              F.col("_u") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("AUC"))
