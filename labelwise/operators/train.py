@@ -407,13 +407,14 @@ def task_vectors(param_grads: DataFrame, tasks: Sequence[str]) -> DataFrame:
 # Scoring
 # --------------------------------------------------------------------------
 
-def score_batch(df: DataFrame, model: LinearModel, labels: dict[str, str], x: str = "x",
+def score_batch(df: DataFrame, model: LinearModel | dict[str, Head], labels: dict[str, str], x: str = "x",
                 id_col: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
     """Long form (id, task, y, logits, pred, loss) for every row and task.
 
-    Weights are literals in the plan: no join, no shuffle, one scan.
+    ``model`` is a fitted model or fixed heads per task.  Weights are
+    literals in the plan: no join, no shuffle, one scan.
     """
-    heads = model.heads()
+    heads = model if isinstance(model, dict) else model.heads()
     structs = []
     for t, h in heads.items():
         z = head_logits(x, h)
