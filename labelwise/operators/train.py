@@ -178,7 +178,10 @@ def _gradient_arrow(df: DataFrame, heads: dict[str, Head], labels: dict[str, str
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            xs = rb.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rb.num_rows, d)
+            flat = rb.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if flat.size != rb.num_rows * d:
+                raise ValueError(f"every feature array must have {d} values; got {flat.size} for {rb.num_rows} rows")
+            xs = flat.reshape(rb.num_rows, d)
             X = np.hstack([xs, np.ones((rb.num_rows, 1))])
             w = rb.column(len(tasks) + 1).to_numpy(zero_copy_only=False).astype(np.float64)
             n += float(w.sum())

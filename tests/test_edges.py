@@ -210,3 +210,10 @@ def test_attention_pool_mask(spark):
     assert masked == pytest.approx([w[0], w[1]])
     unmasked = attention_pool(df, vec="vec").first()["pooled"]
     assert unmasked[0] > 8.0  # the padded position dominates without a mask
+
+
+def test_gradient_rejects_ragged_features(spark):
+    heads = {"t": tr.Head(np.zeros((2, 2)), np.zeros(2))}
+    df = spark.createDataFrame([([1.0, 2.0], 0), ([1.0], 1)], "x array<double>, y int")
+    with pytest.raises(Exception, match="every feature array"):
+        tr.batch_gradient(df.coalesce(1), heads, {"t": "y"}, "x")
