@@ -957,12 +957,6 @@ def q_apply_encoder(spark, sf_dir):
 LABELS = {"quality": "quality", "toxic": "toxic"}
 
 
-def _split_features(spark, sf_dir):
-    feats = _features(spark, sf_dir)
-    tagged = smp.train_test_tag(feats, "row_id")
-    return tagged.where(F.col("split") == "train"), tagged.where(F.col("split") == "test")
-
-
 def _run(spark, sf_dir, regime, tasks=TASKS, epochs=2, **kw):
     cfg = fp.RunConfig(tasks=tasks, regime=regime, epochs=epochs, lr=0.01, **kw)
     if regime == "MTL_meta":
@@ -1005,12 +999,20 @@ def q_epoch_loop(spark, sf_dir):
 
 @register("run_grid")
 def q_run_grid(spark, sf_dir):
-    """Single-task runs of each task and a multi-task run, one table by name."""
-    train, test = _split_features(spark, sf_dir)
-    configs = [fp.RunConfig(tasks=("quality",), regime="STL", epochs=2, lr=0.01),
-               fp.RunConfig(tasks=("toxic",), regime="STL", epochs=2, lr=0.01),
-               fp.RunConfig(tasks=TASKS, regime="MTL", epochs=2, lr=0.01)]
-    return _rounded_losses(fp.run_grid(configs, lambda cfg: (train, test, LABELS)))
+    """Single-task runs of each task and a multi-task run, one table by name.
+
+    The tagged features are cached once for the whole grid; every run's
+    report is collected inside ``fit``, so the cache is released after."""
+    tagged = smp.train_test_tag(_features(spark, sf_dir), "row_id").persist()
+    try:
+        train, test = tagged.where(F.col("split") == "train"), tagged.where(F.col("split") == "test")
+        configs = [fp.RunConfig(tasks=("quality",), regime="STL", epochs=2, lr=0.01),
+                   fp.RunConfig(tasks=("toxic",), regime="STL", epochs=2, lr=0.01),
+                   fp.RunConfig(tasks=TASKS, regime="MTL", epochs=2, lr=0.01)]
+        grid = fp.run_grid(configs, lambda cfg: (train, test, LABELS))
+    finally:
+        tagged.unpersist()
+    return _rounded_losses(grid)
 
 
 @register("task_gradients", f"""
