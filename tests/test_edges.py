@@ -217,3 +217,17 @@ def test_gradient_rejects_ragged_features(spark):
     df = spark.createDataFrame([([1.0, 2.0], 0), ([1.0], 1)], "x array<double>, y int")
     with pytest.raises(Exception, match="every feature array"):
         tr.batch_gradient(df.coalesce(1), heads, {"t": "y"}, "x")
+
+
+def test_auc_score_join_fallback_matches_literal_cuts(spark):
+    rows = [("t", i % 2, float(i % 7)) for i in range(200)] + [("u", (i // 3) % 2, float(i % 5)) for i in range(90)]
+    df = spark.createDataFrame(rows, "task string, y int, score double")
+    lit_cuts = {r["task"]: r["AUC"] for r in ev.auc_score(df, buckets=8).collect()}
+    joined = {r["task"]: r["AUC"] for r in ev.auc_score(df, buckets=8, max_keys=0).collect()}
+    assert lit_cuts == pytest.approx(joined)
+    # brute force over pairs
+    for task in ("t", "u"):
+        pos = [s for t, y, s in rows if t == task and y == 1]
+        neg = [s for t, y, s in rows if t == task and y == 0]
+        brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert lit_cuts[task] == pytest.approx(brute)
