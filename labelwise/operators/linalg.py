@@ -58,7 +58,10 @@ def attention_pool(df: DataFrame, seq: str = "seq_id", pos: str = "pos", vec: st
 
     The softmax denominator is summed in the same aggregate as the weighted
     vectors (numerator and denominator per (seq, hop, dim)), so apart from
-    the per-sequence maximum no value is joined back to the positions.
+    the per-sequence maximum no value is joined back to the positions.  A
+    sequence is one text's positions (at most the encoding length), so the
+    per-sequence work is bounded; the maxima table is broadcast by Spark
+    when small and joined by key otherwise.
     """
     sc = scores if scores is not None else F.array(F.element_at(F.col(vec), 1).cast("double"))
     base = df.select(seq, pos, vec, *([mask] if mask else []), sc.alias("_s"))
