@@ -2,8 +2,10 @@
 
 ``QUERIES[name](spark, sf_dir)`` returns a DataFrame; ``ORACLE[name]`` is the
 same result as plain SQL over the tables registered as views (documents,
-labels, conversations, embeddings, pages, customer, ...).  Queries without
-an oracle are iterative or write files; they are checked by row count.
+labels, conversations, embeddings, pages, customer, ...).  Every query has
+one: training runs are unrolled (full-batch epochs) or recursive (mini-batch
+epochs) SQL.  Floating results that depend on summation order are rounded
+to 9 places at the boundary; array results are checked one element per row.
 """
 
 from __future__ import annotations
