@@ -17,22 +17,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None, source: DataFrame | None = None) -> DataFrame:
-    """Round-robin repartition when the input has fewer partitions than cores.
+def spread(df: DataFrame, min_partitions: int | None = None, source: DataFrame | None = None,
+           gain: int = 8) -> DataFrame:
+    """Round-robin repartition when the input would use few of the cores.
 
     A file written as one row group scans as one partition, which would run
     all per-row work (regex tokenizing, text statistics) in a single task.
-    A large input already has many splits and is returned unchanged, so
-    this adds no shuffle at scale.  The partition count is read from
-    ``source`` (a plain scan, default ``df`` itself): for a plan without
-    exchanges that only plans the scan and runs no job.
+    The input is spread over ``min_partitions`` (default: the cores) only
+    when that multiplies its parallelism at least ``gain`` times; a large
+    input already has many splits and is returned unchanged, so this adds no
+    shuffle at scale.  The partition count is read from ``source`` (a plain
+    scan, default ``df`` itself): for a plan without exchanges that only
+    plans the scan and runs no job.
     """
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         current = (source if source is not None else df).rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. remote clients)
         return df
-    return df.repartition(target) if current < target else df
+    return df.repartition(target) if current * gain <= target else df
 
 
 def transcripts_from_conversations(conversations: DataFrame, role: str | None = "user") -> DataFrame:
