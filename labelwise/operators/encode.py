@@ -151,10 +151,15 @@ def encode_corpus(df: DataFrame, size: int = 5000, max_len: int | None = MAX_SEQ
 
     The token arrays are cached once and feed both the vocabulary count and
     the id lookup.  Returns ``(encoded, vocab)``; with ``max_len`` the rows
-    are fixed length with masks, else the full encoded lists.
+    are fixed length with masks, else the full encoded lists.  Once the
+    encoded rows are written or cached, ``sample.release(encoded)`` drops the
+    token cache.
     """
     toks = tokenized(df, id_col, text, carry).persist(StorageLevel.MEMORY_AND_DISK)
     vocab = build_vocab(toks, size=size, tokens_col="tokens")
     if max_len is None:
-        return encode_ids(toks, vocab, id_col, carry=carry, tokens_col="tokens"), vocab
-    return encode_fixed(toks, vocab, id_col, carry=carry, max_len=max_len, tokens_col="tokens"), vocab
+        out = encode_ids(toks, vocab, id_col, carry=carry, tokens_col="tokens")
+    else:
+        out = encode_fixed(toks, vocab, id_col, carry=carry, max_len=max_len, tokens_col="tokens")
+    out._labelwise_pinned = toks
+    return out, vocab
