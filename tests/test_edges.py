@@ -231,3 +231,12 @@ def test_auc_score_join_fallback_matches_literal_cuts(spark):
         neg = [s for t, y, s in rows if t == task and y == 0]
         brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
         assert lit_cuts[task] == pytest.approx(brute)
+
+
+def test_spread_only_for_a_large_gain(spark):
+    from labelwise.sources.tables import spread
+    one = spark.range(100).coalesce(1)
+    assert spread(one, min_partitions=8).rdd.getNumPartitions() == 8
+    four = spark.range(100).repartition(4)
+    assert spread(four, min_partitions=8).rdd.getNumPartitions() == 4
+    assert spread(four, min_partitions=8, gain=2).rdd.getNumPartitions() == 8
