@@ -95,3 +95,15 @@ def test_tokens_against_python(spark, values):
     got = [r["t"] for r in df.select("i", tokens("text").alias("t")).orderBy("i").collect()]
     for v, g in zip(values, got):
         assert g == [t for t in regex.split(r"[^\p{L}\p{N}]+", v.lower()) if t]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(min_value=1, max_value=300), st.integers(min_value=1, max_value=64), st.integers(1, 6))
+def test_assign_batches_sizes(spark, n_rows, size, parts):
+    from labelwise.operators import sample as smp
+    df = spark.range(n_rows).withColumnRenamed("id", "row_id").repartition(parts)
+    b = smp.assign_batches(df, size, partitions=parts)
+    counts = sorted((r["batch_id"], r["count"]) for r in b.groupBy("batch_id").count().collect())
+    assert [c for _, c in counts] == [size] * (n_rows // size) + ([n_rows % size] if n_rows % size else [])
+    assert len(counts) == math.ceil(n_rows / size)
+    assert sorted(r["rank"] for r in b.select("rank").collect()) == list(range(n_rows))
