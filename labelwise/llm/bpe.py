@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -28,8 +30,11 @@ from pyspark.sql import types as T
 
 from labelwise.llm.common import pieces, sha256_hex
 
+#: Symbols of a leaf of the tree; symbols up to which pairs are searched without a heap; distinct splits kept per worker.
 LEAF = 48
-CACHE_WORDS = 60_000
+SHORT = 24
+CACHE_WORDS = 300_000
+_NEVER = 1 << 40
 
 
 def byte_chars() -> list[str]:
@@ -39,6 +44,17 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def latin_pattern(pattern: str) -> str:
+    """The pattern for texts of Latin-1 characters only, with the classes spelled out, as the faster ``re`` takes it."""
+    chars = [chr(c) for c in range(256)]
+    classes = {"\\p{L}": [c for c in chars if unicodedata.category(c)[0] == "L"],
+               "\\p{N}": [c for c in chars if unicodedata.category(c)[0] == "N"],
+               "\\p{White_Space}": [*"\t\n\x0b\x0c\r \x85\xa0"]}
+    for name, members in classes.items():
+        pattern = pattern.replace(name, "".join(map(re.escape, members)))
+    return pattern
+
+
 class Vocabulary:
     """What a tokenizers JSON file of this kind says: token ids, merge ranks, pattern, special tokens."""
 
@@ -59,26 +75,45 @@ class Vocabulary:
             self.tokens[i] = token
 
 
+class _Cache(dict):
+    """Encodings of the splits met so far; long ones are not kept."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encoder.word(word)
+        if len(word) <= LEAF:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Encodes and decodes texts; keeps the encodings of up to CACHE_WORDS distinct splits."""
 
     def __init__(self, vocabulary: Vocabulary, leaf: int = LEAF):
         self.v, self.leaf = vocabulary, leaf
         self.split = regex.compile(vocabulary.pattern).findall
+        self.split_latin = re.compile(latin_pattern(vocabulary.pattern)).findall
         self.cut = regex.compile("|".join(map(regex.escape, vocabulary.special))).split if vocabulary.special else None
         self.found = regex.compile("|".join(map(regex.escape, vocabulary.special))).findall if vocabulary.special else None
         chars = byte_chars()
         self.inner = [vocabulary.ids[c] for c in chars]
         self.last = [vocabulary.ids[c + vocabulary.suffix] for c in chars]
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self)
         self.parts: dict[int, tuple[int, ...]] = {i: (i,) for i in [*self.inner, *self.last]}
         for (a, b), (_, made) in sorted(vocabulary.merges.items(), key=lambda x: x[1][0]):
             self.parts[made] = self.parts[a] + self.parts[b]
+        self.rank = {a << 20 | b: r for (a, b), (r, _) in vocabulary.merges.items()}
+        self.made = [m for _, m in sorted(vocabulary.merges.values())]
         self.table = np.array(vocabulary.tokens, dtype=object)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merges the pair of lowest rank, leftmost first, until none is left."""
         merges, n = self.v.merges, len(symbols)
+        if n <= SHORT:
+            return self._merge_short(list(symbols))
         out, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, m[1], symbols[i], symbols[i + 1]) for i in range(n - 1) if (m := merges.get((symbols[i], symbols[i + 1])))]
         heapq.heapify(heap)
@@ -98,6 +133,19 @@ class Encoder:
                 heapq.heappush(heap, (m[0], h, m[1], out[h], made))
         return [x for x in out if x >= 0]
 
+    def _merge_short(self, out: list[int]) -> list[int]:
+        rank, made = self.rank.get, self.made
+        ranks = [rank(a << 20 | b, _NEVER) for a, b in zip(out, out[1:])]
+        while ranks and (low := min(ranks)) != _NEVER:
+            at = ranks.index(low)
+            out[at:at + 2] = (made[low],)
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank(out[at] << 20 | out[at + 1], _NEVER)
+            if at:
+                ranks[at - 1] = rank(out[at - 1] << 20 | out[at], _NEVER)
+        return out
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbours, from their own encodings."""
         width = 1
@@ -119,27 +167,21 @@ class Encoder:
         data = word.encode("utf-8", "surrogatepass")
         symbols = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
         ids = self.merge(symbols) if len(symbols) <= self.leaf else self.tree(symbols)
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def plain(self, text: str) -> bytes:
         """Little-endian ids of a text without special tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma is not treated apart
-        words, cache = self.split(text.lower()), self.cache
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        cache, text = self.cache, text.lower()
         try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            out = []
-            for w in words:
-                ids = cache.get(w)
-                if ids is None:
-                    ids = self.word(w)
-                    if len(w) <= LEAF:
-                        cache[w] = ids
-                out.append(ids)
-            return b"".join(out)
+            text.encode("latin-1")
+            words = self.split_latin(text)
+        except UnicodeEncodeError:
+            words = self.split(text)
+        return b"".join([cache[w] for w in words])
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -176,9 +218,11 @@ def _map(df: DataFrame, path: str, names: list[tuple[str, T.DataType]], column:
     vocabulary = base.sparkSession.sparkContext.broadcast(Vocabulary(path))  # a fixed vocabulary, a few MB
     kinds = [pa.list_(pa.int32()) if isinstance(t, T.ArrayType) else pa.int64() if isinstance(t, T.LongType) else pa.string() for _, t in names]
 
+    by_bytes = isinstance(base.schema[column].dataType, T.StringType)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(vocabulary.value)
-        for batch in pieces(batches, column) if isinstance(base.schema[column].dataType, T.StringType) else batches:
+        for batch in pieces(batches, column) if by_bytes else batches:
             rows = [values(encoder, cell) for cell in batch.column(batch.schema.get_field_index(column)).to_pylist()]
             made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + made, keep + [n for n, _ in names])

@@ -42,7 +42,7 @@ WITH RECURSIVE src AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 grams AS (SELECT rid, unnest(range(1, len(w) - {quality.WINDOW - 2})) AS i,
-    unnest(list_transform(range(1, len(w) - {quality.WINDOW - 2}), k -> array_to_string(w[k:k + {quality.WINDOW - 1}], ' '))) AS g
+    unnest(list_transform(range(1, len(w) - {quality.WINDOW - 2}), lambda k: array_to_string(w[k:k + {quality.WINDOW - 1}], ' '))) AS g
   FROM src WHERE len(w) >= {quality.WINDOW}),
 twice AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 covered AS (SELECT rid, sum(least({quality.WINDOW}, gap)) AS n FROM (
@@ -50,8 +50,8 @@ covered AS (SELECT rid, sum(least({quality.WINDOW}, gap)) AS n FROM (
 sig AS (SELECT s.rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaim, (length(t) - length(replace(t, '.', '')))::BIGINT AS n_stops,
-    len(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
-    len(list_distinct(list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))))::BIGINT AS n_own,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
+    len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))))::BIGINT AS n_own,
     coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM src s LEFT JOIN covered c ON c.rid = s.rid),
 base AS (SELECT *, n_lines - n_own AS n_dup_lines,
