@@ -88,12 +88,11 @@ def slice_hash(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     n = len(symbols)
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    p = powers(n + 1, base)
     with np.errstate(over="ignore"):
         acc = np.zeros(n + 1, np.uint64)
-        # the symbol at i weighs base**(n-i); a slice is scaled up to weight base**n at its start, so no inverse is needed
-        np.cumsum(symbols * p[n:0:-1], out=acc[1:])
-        h = (acc[ends] - acc[starts]) * p[starts]
+        # the symbol at i weighs base**i; an odd base has an inverse modulo 2**64, by which a slice is moved to place 0
+        np.cumsum(symbols * powers(n, base), out=acc[1:])
+        h = (acc[ends] - acc[starts]) * powers(n + 1, pow(base, -1, 1 << 64))[starts]
         h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return mix64(h)
 

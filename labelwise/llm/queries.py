@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwise.llm import bpe, quality
+from labelwise.llm import bpe, decontam, pii, quality
 from labelwise.llm.common import read_table, written
 
 #: Vocabulary of op10; a parameter of the operator.
@@ -19,6 +19,16 @@ def bpe_path() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontam.contamination(docs.select("doc_id", "text"), benchmark).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     featured = written(quality.signals(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality")
     rated = quality.verdict(featured, quality.fit_label_model(quality.pattern_counts(featured)))
@@ -69,9 +79,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM voted v LEFT JOIN em ON em.pattern = v.pattern AND em.step = {quality.ITERATIONS}"""
 
 
+_OP3_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(lower_az(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(lower_az(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+grams AS (SELECT rid, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)),
+hits AS (SELECT DISTINCT g.rid, g.i, g.m, w.item_id FROM grams g JOIN windows w ON g.m = w.m AND g.g = w.g),
+words AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM hits) GROUP BY rid),
+named AS (SELECT rid, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM hits GROUP BY rid)
+SELECT doc_id, len(d.w)::BIGINT AS n_words, coalesce(x.n, 0)::BIGINT AS n_hit, coalesce(y.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(y.s, '')) AS items_sha256, x.n IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN words x USING (rid) LEFT JOIN named y USING (rid)""".replace(
+    "lower_az(coalesce(text, ''))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
+    "op3_decontamination": op3_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {"op7_quality_rules": _op7_sql()}
+ORACLE: dict[str, str] = {"op3_decontamination": _OP3_SQL, "op7_quality_rules": _op7_sql()}
