@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwise.llm import bpe, decontam, pii, quality
+from labelwise.llm import bpe, decontam, ngram_join, pii, quality
 from labelwise.llm.common import read_table, written
 
 #: Vocabulary of op10; a parameter of the operator.
@@ -29,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     featured = written(quality.signals(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality")
     rated = quality.verdict(featured, quality.fit_label_model(quality.pattern_counts(featured)))
@@ -98,6 +102,7 @@ FROM docs d LEFT JOIN words x USING (rid) LEFT JOIN named y USING (rid)""".repla
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
+    "op5_ngram_join": op5_ngram_join,
     "op7_quality_rules": op7_quality_rules,
     "op10_bpe": op10_bpe,
 }
