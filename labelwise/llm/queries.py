@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwise.llm import bpe, decontam, ngram_join, pii, quality
+from labelwise.llm import bpe, decontam, ngram_join, pii, quality, suffix_dedup
 from labelwise.llm.common import read_table, written
 
 #: Vocabulary of op10; a parameter of the operator.
@@ -19,6 +19,10 @@ def bpe_path() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(read_table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -100,6 +104,7 @@ FROM docs d LEFT JOIN words x USING (rid) LEFT JOIN named y USING (rid)""".repla
     "lower_az(coalesce(text, ''))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
     "op5_ngram_join": op5_ngram_join,
