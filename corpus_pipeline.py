@@ -7,8 +7,9 @@ folder and reads it again as the next stage's docs.  All stages but the last ret
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelwise.llm import bpe, quality
+from labelwise.llm import bpe, decontam, ngram_join, pii, quality
 from labelwise.llm.common import read_table, written
 from labelwise.llm.queries import bpe_path
 
@@ -18,12 +19,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: of every group of linked documents the one with the smallest doc_id stays."""
+    return ngram_join.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents with a verbatim benchmark passage go."""
+    return decontam.remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: personal data is replaced by its kind; n_chars follows the new text."""
+    out = pii.redact_documents(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: token ids and round trip of what is left."""
     return bpe.token_digests(docs.select("doc_id", "text"), bpe_path())
 
 
-STAGES = [("quality_rules", quality_rules), ("encode", encode)]
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("redact", redact),
+          ("encode", encode)]
 
 #: The near-duplicate, redaction and encoding stages have no SQL form; tests compare run() with a brute-force version.
 ORACLE_SQL = None
