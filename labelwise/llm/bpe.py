@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from labelwise.llm.common import pieces, sha256_hex
+from labelwise.llm.common import Shipped, pieces, sha256_hex
 
 #: Symbols of a leaf of the tree; symbols up to which pairs are searched without a heap; distinct splits kept per worker.
 LEAF = 48
@@ -200,28 +200,19 @@ class Encoder:
         return " ".join(self.table[ids].tolist())
 
 
-def _worker(vocabulary: Vocabulary) -> Encoder:
-    """One encoder per Python worker."""
-    key = "labelwise-bpe-encoder"
-    have = globals().get(key)
-    if have is None:
-        have = globals()[key] = Encoder(vocabulary)
-    return have
-
-
 def _map(df: DataFrame, path: str, names: list[tuple[str, T.DataType]], column: str, values) -> DataFrame:
     """Adds columns made from one column; ``values(encoder, cell)`` returns a tuple."""
     taken = {n for n, _ in names}
     base = df.drop(*[c for c in df.columns if c in taken and c != column])
     keep = [c for c in base.columns if c not in taken]
     schema = T.StructType([base.schema[c] for c in keep] + [T.StructField(n, t) for n, t in names])
-    vocabulary = base.sparkSession.sparkContext.broadcast(Vocabulary(path))  # a fixed vocabulary, a few MB
+    vocabulary = Shipped(base.sparkSession, Vocabulary(path))  # a fixed vocabulary, a few MB
     kinds = [pa.list_(pa.int32()) if isinstance(t, T.ArrayType) else pa.int64() if isinstance(t, T.LongType) else pa.string() for _, t in names]
 
     by_bytes = isinstance(base.schema[column].dataType, T.StringType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker(vocabulary.value)
+        encoder = Encoder(vocabulary.open())
         for batch in pieces(batches, column) if by_bytes else batches:
             rows = [values(encoder, cell) for cell in batch.column(batch.schema.get_field_index(column)).to_pylist()]
             made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from labelwise.session import scratch_path
@@ -28,6 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shipped:
+    """A value of bounded size for all workers, pickled with its classes, so that executors need not import this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def open(self):
+        return pickle.loads(self.data.value)
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

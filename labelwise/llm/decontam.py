@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwise.llm.common import pieces, text_buffer, word_bounds, word_hashes
+from labelwise.llm.common import Shipped, pieces, text_buffer, word_bounds, word_hashes
 
 WINDOW = 10
 LEAD = 3
@@ -135,7 +135,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     out = docs.drop(*[c for c in names if c != text])
     for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
         own = [f for f in out.schema if f.name not in names]
-        shipped = docs.sparkSession.sparkContext.broadcast(block)  # at most block_bytes of text
+        shipped = Shipped(docs.sparkSession, block)  # at most block_bytes of text
         out = out.mapInArrow(_searcher(shipped, text, [f.name for f in own], names, k > 0), T.StructType(own + made))
     return out
 
@@ -145,7 +145,7 @@ def _searcher(shipped, text: str, own: list[str], names: list[str], again: bool)
         [("item_id", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shipped.value
+        block = shipped.open()
         for batch in pieces(batches, text):
             column = lambda c, b=batch: b.column(b.schema.get_field_index(c))
             data, offsets = text_buffer(column(text))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwise.llm import bpe, decontam, fm_dedup, ngram_join, pii, quality, suffix_dedup
+from labelwise.llm import bpe, decontam, fm_dedup, langid, ngram_join, pii, quality, suffix_dedup
 from labelwise.llm.common import read_table, written
 
 #: Vocabulary of op10; a parameter of the operator.
@@ -43,6 +43,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.cross_fold(read_table(spark, sf_dir, "documents"))
+
+
 def op9_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.remove_repeated_passages(read_table(spark, sf_dir, "documents")).drop("rid")
 
@@ -113,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op5_ngram_join": op5_ngram_join,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language_id": op8_language_id,
     "op9_fm_dedup": op9_fm_dedup,
     "op10_bpe": op10_bpe,
 }
