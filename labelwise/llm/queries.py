@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwise.llm import bpe, decontam, fm_dedup, langid, ngram_join, pii, quality, suffix_dedup
+from labelwise.llm import bpe, decontam, fm_dedup, html_extract, langid, ngram_join, pii, quality, suffix_dedup
 from labelwise.llm.common import read_table, written
 
 #: Vocabulary of op10; a parameter of the operator.
@@ -37,6 +37,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     featured = written(quality.signals(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "quality")
     rated = quality.verdict(featured, quality.fit_label_model(quality.pattern_counts(featured)))
@@ -116,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
     "op5_ngram_join": op5_ngram_join,
+    "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
     "op9_fm_dedup": op9_fm_dedup,
