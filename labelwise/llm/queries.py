@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwise.llm import bpe, decontam, fm_dedup, html_extract, langid, ngram_join, pii, quality, suffix_dedup
+from labelwise.llm import bpe, chat, decontam, fm_dedup, html_extract, langid, ngram_join, pii, quality, suffix_dedup
 from labelwise.llm.common import read_table, written
 
 #: Vocabulary of op10; a parameter of the operator.
@@ -33,6 +33,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -119,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
+    "op4_chat_repair": op4_chat_repair,
     "op5_ngram_join": op5_ngram_join,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
