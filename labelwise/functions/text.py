@@ -19,7 +19,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def extract_id(name, pattern: str = ID_PATTERN, mode: str = "strict") -> Column:
+def extract_id(name, pattern: str = ID_PATTERN, mode: str = "strict", dtype: str = "int") -> Column:
     """Integer id taken from the first match of ``pattern`` in ``name``.
 
     ``mode='strict'`` raises on a non-null name without a match (a missing id
@@ -29,7 +29,7 @@ def extract_id(name, pattern: str = ID_PATTERN, mode: str = "strict") -> Column:
     if mode not in ("strict", "null"):
         raise ValueError(f"unknown extract_id mode {mode!r}")
     c = _col(name)
-    value = F.regexp_substr(c, F.lit(pattern)).cast("int")
+    value = F.regexp_substr(c, F.lit(pattern)).cast(dtype)
     if mode == "null":
         return value
     return F.when(c.isNotNull() & value.isNull(),

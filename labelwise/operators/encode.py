@@ -2,19 +2,20 @@
 
 Corpus-scale design: tokens are counted with a map-side-combined aggregate;
 the vocabulary is the top ``size`` tokens (a bounded top-k, never a window
-over the corpus); ids are looked up with a broadcast join against that
-bounded vocabulary; and per-row lists are rebuilt with a ``collect_list``
-whose partial aggregate runs where the row's tokens already are, so only one
-compact id list per row crosses the shuffle.
+over the corpus); and ids are looked up inside each row against that bounded
+vocabulary, so encoding is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from labelwise.functions.arrays import attention_mask as mask_expr
 from labelwise.functions.arrays import pad_truncate as pad_expr
@@ -78,16 +79,18 @@ def _measure(vocab: DataFrame) -> int:
     return int(stats["rows"]) * 32 + int(stats["chars"]) * 4
 
 
-def _vocab_side(vocab: DataFrame) -> DataFrame:
-    """Broadcast the vocabulary when its measured size is under the limit.
+def _small(vocab: DataFrame) -> bool:
+    """Whether the vocabulary's measured size allows it to be shipped.
 
-    The vocabulary has at most ``size`` rows by construction; its byte size
-    is measured anyway (tokens can be long) before it is shipped.
+    It has at most ``size`` rows by construction; its byte size is measured anyway (tokens can be long).
     """
     est = getattr(vocab, "_labelwise_size", None)
-    est = _measure(vocab) if est is None else est
+    return (_measure(vocab) if est is None else est) <= BROADCAST_LIMIT_BYTES
+
+
+def _vocab_side(vocab: DataFrame) -> DataFrame:
     side = vocab.select("token", "id")
-    return F.broadcast(side) if est <= BROADCAST_LIMIT_BYTES else side
+    return F.broadcast(side) if _small(vocab) else side
 
 
 def encode_join(df: DataFrame, vocab: DataFrame, id_col: str = "row_id", text: str = "text",
@@ -106,28 +109,64 @@ def encode_ids(df: DataFrame, vocab: DataFrame, id_col: str = "row_id", text: st
     With ``max_len`` the list is cut to that length, and only the words that
     can survive the cut are looked up -- the same result as cutting after
     encoding, with a bounded amount of work per row.
+
+    A vocabulary whose measured size is under the broadcast limit is looked
+    up inside each row's batch: no token leaves its row, so rows may share an
+    id, and nothing is exploded, shuffled or cached.  A larger vocabulary is
+    joined, the rows told apart by their number in the scan.
     """
     carry = list(carry)
     base = df.select(id_col, *carry, _token_array(text, tokens_col).alias("_t"))
     keep = F.col("_t") if max_len is None else F.slice("_t", 1, max(max_len - 1, 0))
     base = base.select(id_col, *carry, F.size("_t").alias("n_tokens"), keep.alias("_t"))
-    exploded = base.select(id_col, *carry, "n_tokens", F.posexplode_outer("_t").alias("pos", "token"))
-    joined = exploded.join(_vocab_side(vocab), "token", "left")
-    pair = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
-    grouped = joined.groupBy(id_col, *carry, "n_tokens").agg(F.sort_array(F.collect_list(pair)).alias("_p"))
-    encoded = F.concat(F.array(F.lit(START_ID)), F.transform("_p", lambda p: p["id"]), F.array(F.lit(END_ID)))
+    found = _lookup_in_row(base, vocab) if _small(vocab) else _lookup_by_join(base, vocab)
+    encoded = F.concat(F.array(F.lit(START_ID)), F.col("_ids"), F.array(F.lit(END_ID)))
     if max_len is not None:
         encoded = F.slice(encoded, 1, max_len)
-    return grouped.select(id_col, *carry, "n_tokens", encoded.alias("encoded"))
+    return found.select(id_col, *carry, "n_tokens", encoded.alias("encoded"))
+
+
+def _lookup_in_row(base: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Replaces the token array ``_t`` by the id array ``_ids``, batch by batch."""
+    rows = vocab.select("token", "id").collect()  # at most the vocabulary's size, measured before
+    words, ids = pa.array([r["token"] for r in rows], pa.string()), np.array([r["id"] for r in rows], np.int32)
+    schema = StructType([f for f in base.schema if f.name != "_t"] + [StructField("_ids", ArrayType(IntegerType()))])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            tokens = rb.column(rb.num_columns - 1)
+            at = pc.index_in(tokens.flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+            flat = np.where(at >= 0, ids[np.maximum(at, 0)], UNK_ID).astype(np.int32) if len(ids) else np.full(len(at), UNK_ID, np.int32)
+            size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            edges = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], pa.ListArray.from_arrays(edges, pa.array(flat))], names)
+
+    return base.mapInArrow(run, schema)
+
+
+def _lookup_by_join(base: DataFrame, vocab: DataFrame) -> DataFrame:
+    rows = base.withColumn("_row", F.monotonically_increasing_id())
+    keys = [c for c in rows.columns if c != "_t"]
+    exploded = rows.select(*keys, F.posexplode_outer("_t").alias("pos", "token"))
+    joined = exploded.join(vocab.select("token", "id"), "token", "left")
+    pair = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), F.coalesce(F.col("id"), F.lit(UNK_ID)).alias("id")))
+    grouped = joined.groupBy(*keys).agg(F.sort_array(F.collect_list(pair)).alias("_p"))
+    return grouped.withColumn("_ids", F.transform("_p", lambda p: p["id"])).drop("_p", "_row")
 
 
 def encode_fixed(df: DataFrame, vocab: DataFrame, id_col: str = "row_id", text: str = "text",
-                 carry: Sequence[str] = (), max_len: int = MAX_SEQ_LEN, tokens_col: str | None = None) -> DataFrame:
+                 carry: Sequence[str] = (), max_len: int = MAX_SEQ_LEN, tokens_col: str | None = None,
+                 keep_end: bool = False) -> DataFrame:
     """``input_ids`` of exactly ``max_len`` (end cut, zero padded) and the mask.
 
-    Truncation cuts the encoded list, so a long text loses its end marker.
+    Truncation cuts the encoded list, so a long text loses its end marker;
+    with ``keep_end`` the marker takes the place of the last id instead.
     """
     enc = encode_ids(df, vocab, id_col, text, carry, max_len, tokens_col)
+    if keep_end:
+        ended = F.concat(F.slice("encoded", 1, max_len - 1), F.array(F.lit(END_ID)))
+        enc = enc.withColumn("encoded", F.when(F.col("n_tokens") + 2 > max_len, ended).otherwise(F.col("encoded")))
     ids = pad_expr("encoded", max_len, PAD_ID)
     return enc.select(id_col, *carry, "n_tokens", ids.alias("input_ids")).withColumn(
         "attention_mask", mask_expr("input_ids"))
@@ -147,19 +186,12 @@ def post_truncate(df: DataFrame, col: str, n: int = MAX_SEQ_LEN) -> DataFrame:
 
 def encode_corpus(df: DataFrame, size: int = 5000, max_len: int | None = MAX_SEQ_LEN, id_col: str = "row_id",
                   text: str = "text", carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary and encoded rows from one tokenizing pass over the corpus.
+    """Vocabulary and encoded rows: one pass counts the tokens, one encodes.
 
-    The token arrays are cached once and feed both the vocabulary count and
-    the id lookup.  Returns ``(encoded, vocab)``; with ``max_len`` the rows
-    are fixed length with masks, else the full encoded lists.  Once the
-    encoded rows are written or cached, ``sample.release(encoded)`` drops the
-    token cache.
+    Returns ``(encoded, vocab)``; with ``max_len`` the rows are fixed length
+    with masks, else the full encoded lists.  Only the vocabulary is cached.
     """
-    toks = tokenized(df, id_col, text, carry).persist(StorageLevel.MEMORY_AND_DISK)
-    vocab = build_vocab(toks, size=size, tokens_col="tokens")
+    vocab = build_vocab(df, text, size)
     if max_len is None:
-        out = encode_ids(toks, vocab, id_col, carry=carry, tokens_col="tokens")
-    else:
-        out = encode_fixed(toks, vocab, id_col, carry=carry, max_len=max_len, tokens_col="tokens")
-    out._labelwise_pinned = toks
-    return out, vocab
+        return encode_ids(df, vocab, id_col, text, carry), vocab
+    return encode_fixed(df, vocab, id_col, text, carry, max_len), vocab

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,59 +96,31 @@ def multi_task_eval(df: DataFrame, keys=("task",), y: str = "y", pred: str = "pr
                          f1_binary().alias("F1"), balanced_accuracy_binary().alias("BA"), auc_hard().alias("AUC"))
 
 
-def auc_score(df: DataFrame, keys=("task",), y: str = "y", score: str = "score", buckets: int = 256,
-              max_keys: int = 1000) -> DataFrame:
+def auc_score(df: DataFrame, keys=("task",), y: str = "y", score: str = "score", partitions: int | None = None) -> DataFrame:
     """ROC AUC of real-valued scores (ties count one half), per key.
 
     Rows are first reduced to one row per distinct (key, score) with positive
-    and negative counts (cached: it is read twice).  A running count of
-    negatives below each score is then needed; instead of one window over
-    all scores of a key (one task at scale), scores are cut into ``buckets``
-    ranges at approximate quantiles of each key.  The data is spread by
-    (key, bucket); a window inside each bucket gives its part of the rank
-    sum, and a window over the bucket totals of a key (at most ``buckets``
-    rows) adds the negatives of earlier buckets -- the same exact count with
-    every window bounded.  The cut points (``buckets - 1`` numbers per key)
-    travel as literals when there are at most ``max_keys`` keys, otherwise by
-    a join.
+    and negative counts.  These are range-partitioned by (key, score), so a
+    key spreads over as many partitions as its scores need and a NULL key is a
+    key like any other.  A window inside each (partition, key) gives its part
+    of the rank sum; a window over the totals of a key's partitions (at most
+    ``partitions`` rows) adds the negatives of earlier partitions.
     """
     keys = _keys(keys)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_score = (df.where(F.col(y).isin(0, 1) & F.col(score).isNotNull())
                  .groupBy(*keys, score)
-                 .agg(F.count_if(F.col(y) == 1).alias("n_pos"), F.count_if(F.col(y) == 0).alias("n_neg"))
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-    if buckets > 1:
-        probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-        cuts = per_score.groupBy(*keys).agg(
-            F.percentile_approx(F.col(score).cast("double"), probs, 4 * buckets).alias("_cuts"))
-        rows = cuts.limit(max_keys + 1).collect()
-        if len(rows) <= max_keys:
-            bucket = F.lit(0)
-            for r in rows:
-                match = F.lit(True)
-                for k in keys:
-                    match = match & F.col(k).eqNullSafe(F.lit(r[k]))
-                arr = F.array(*[F.lit(float(c)) for c in r["_cuts"]])
-                bucket = F.when(match, F.size(F.filter(arr, lambda c: c <= F.col(score)))).otherwise(bucket)
-            scored = per_score.withColumn("_bucket", bucket)
-        else:
-            scored = per_score.join(cuts, keys).withColumn(
-                "_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(score)))).drop("_cuts")
-    else:
-        scored = per_score.withColumn("_bucket", F.lit(0))
-    scored = scored.repartition(*keys, "_bucket")
-    # Inside a bucket: negatives below each score, and the bucket's share of the
-    # rank sum.  The per-bucket aggregate reuses the window's partitioning.
-    local = Window.partitionBy(*keys, "_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    scored = scored.withColumn("_neg_local", F.coalesce(F.sum("n_neg").over(local), F.lit(0)))
-    per_bucket = scored.groupBy(*keys, "_bucket").agg(
+                 .agg(F.count_if(F.col(y) == 1).alias("n_pos"), F.count_if(F.col(y) == 0).alias("n_neg")))
+    ranged = per_score.repartitionByRange(n, *keys, score).withColumn("_part", F.spark_partition_id())
+    local = Window.partitionBy(*keys, "_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = ranged.withColumn("_neg_local", F.coalesce(F.sum("n_neg").over(local), F.lit(0)))
+    per_part = below.groupBy(*keys, "_part").agg(
         F.sum("n_pos").alias("_p"), F.sum("n_neg").alias("_n"),
         F.sum(F.col("n_pos") * (F.col("_neg_local") + F.col("n_neg") * 0.5)).alias("_u"))
-    # Across buckets: every positive of a bucket is above all negatives of the
-    # buckets before it (a window over at most ``buckets`` rows per key).
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_neg_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = per_bucket.groupBy(*keys).agg(
+    # every positive of a partition is above all negatives of the key's earlier partitions
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = per_part.withColumn("_neg_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    out = per_part.groupBy(*keys).agg(
         F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"),
         F.sum(F.col("_u") + F.col("_p") * F.col("_neg_before")).alias("_u"))
     return out.select(*keys, "n_pos", "n_neg",

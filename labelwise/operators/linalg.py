@@ -78,13 +78,17 @@ def attention_pool(df: DataFrame, seq: str = "seq_id", pos: str = "pos", vec: st
 
 
 def dot_matrix(left: DataFrame, right: DataFrame, lid: str = "qid", rid: str = "sid", pos: str = "pos",
-               value: str = "value") -> DataFrame:
+               value: str = "value", max_vectors: int = 10_000) -> DataFrame:
     """All dot products ``L . R^T`` of two vector sets stored long (id, pos, value).
 
     Every left vector meets every right vector, so both sets must be small
     and bounded by a parameter (per-step gradient vectors, a fixed number
-    of group means) -- never raw data rows.
+    of group means) -- never raw data rows.  More than ``max_vectors`` on
+    either side is an error.
     """
+    for side, key in ((left, lid), (right, rid)):
+        if side.select(key).distinct().limit(max_vectors + 1).count() > max_vectors:
+            raise ValueError(f"dot_matrix takes at most {max_vectors} vectors a side")
     l = left.select(F.col(lid), F.col(pos), F.col(value).alias("_l"))
     r = right.select(F.col(rid), F.col(pos), F.col(value).alias("_r"))
     return l.join(r, pos).groupBy(lid, rid).agg(F.sum(F.col("_l") * F.col("_r")).alias("dot"))
@@ -102,15 +106,3 @@ def grad_difference(df: DataFrame, keys: Sequence[str] = ("task", "pos"), step:
     if faithful:
         diff = F.when(F.col(step) == 1, diff).otherwise(F.col(value))
     return df.withColumn(value, diff)
-
-
-def vector_clip(df: DataFrame, vec: str, max_norm: float = 1.0, out: str | None = None) -> DataFrame:
-    return df.withColumn(out or vec, A.clip_norm(vec, max_norm))
-
-
-def argmax_long(df: DataFrame, keys: Sequence[str], cls: str = "class", logit: str = "logit",
-                out: str = "pred") -> DataFrame:
-    """Top-1 class per key from long-form logits (one row per class); ties go
-    to the lowest class.  One map-side-combined aggregate."""
-    return df.groupBy(*keys).agg(
-        F.max_by(F.col(cls), F.struct(F.col(logit), -F.col(cls))).alias(out))

@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 from labelwise.functions.text import ID_PATTERN, extract_id
 
 KEY = "Participant_ID"
+#: Pattern for names that begin with the whole id; the default takes the first three digits, as short file names have them.
+WHOLE_ID_PATTERN = "^[0-9]+"
 
 
 def with_id(transcripts: DataFrame, name_col: str = "audio_features", key: str = KEY,
-            pattern: str = ID_PATTERN, mode: str = "strict") -> DataFrame:
-    """Add the participant id parsed from the file-name column."""
-    return transcripts.withColumn(key, extract_id(name_col, pattern, mode))
+            pattern: str = ID_PATTERN, mode: str = "strict", dtype: str = "int") -> DataFrame:
+    """Add the participant id parsed from the file-name column.
+
+    The default pattern takes three digits; names with longer ids need ``WHOLE_ID_PATTERN`` and ``dtype="bigint"``,
+    or ids of 1000 and more would be cut and mislinked.
+    """
+    return transcripts.withColumn(key, extract_id(name_col, pattern, mode, dtype))
 
 
 def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:

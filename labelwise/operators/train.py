@@ -36,6 +36,8 @@ from labelwise.operators.linalg import formula_weights
 # Fixed values of the optimizer configuration being reproduced.
 ADAM_BETAS = (0.9, 0.999)
 ADAM_EPS = 2e-8
+#: The learned-weight regime leaves the optimizer's epsilon at its library default.
+ADAM_EPS_DEFAULT = 1e-6
 CLIP_NORM = 1.0
 
 
@@ -87,16 +89,23 @@ def head_logits(x, head: Head) -> Column:
     return A.linear(x, head.W.tolist(), head.b.tolist())
 
 
+def _checked_label(label: str, task: str, classes: int) -> Column:
+    """The label; one outside ``0..classes-1`` is an error, a missing one stays missing."""
+    y = F.col(label)
+    known = y.isNull() | y.isin(*range(classes))
+    return F.when(known, y).otherwise(F.raise_error(F.concat(F.lit(f"label of task {task} outside 0..{classes - 1}: "), y.cast("string"))))
+
+
 def _delta_columns(x: str, heads: dict[str, Head], labels: dict[str, str]) -> tuple[list[Column], list[Column]]:
     zs = [head_logits(x, h).alias(f"_z_{t}") for t, h in heads.items()]
-    return zs, [F.col(labels[t]).alias(f"_y_{t}") for t in heads]
+    return zs, [_checked_label(labels[t], t, h.classes).alias(f"_y_{t}") for t, h in heads.items()]
 
 
 def _per_row(df: DataFrame, x: str, heads: dict[str, Head], labels: dict[str, str], weight: str | None) -> DataFrame:
     """Per row: features, and for each task the residuals p - onehot and the loss."""
     zs, ys = _delta_columns(x, heads, labels)
     w = [F.col(weight).cast("double").alias("_w")] if weight else [F.lit(1.0).alias("_w")]
-    base = df.where(F.expr(" AND ".join(f"`{labels[t]}` IS NOT NULL" for t in heads)))
+    base = df.where(_any_label(heads, labels))
     base = base.select(as_double_array(x).alias("_x"), *zs, *ys, *w)
     cols = [F.col("_x"), F.col("_w")]
     for t, h in heads.items():
@@ -107,20 +116,28 @@ def _per_row(df: DataFrame, x: str, heads: dict[str, Head], labels: dict[str, st
     stage = base.select(*cols)
     out = [F.col("_x"), F.col("_w")]
     for t, h in heads.items():
+        # a row without this task's label weighs nothing for the task, and still counts for the others
+        own = F.col(f"_y_{t}").isNotNull()
         for c in range(h.classes):
             onehot = (F.col(f"_y_{t}") == c).cast("double")
-            out.append(((F.element_at(f"_p_{t}", c + 1) - onehot) * F.col("_w")).alias(f"_d_{t}_{c}"))
-        out.append((F.col(f"_l_{t}") * F.col("_w")).alias(f"_l_{t}"))
+            out.append(F.when(own, (F.element_at(f"_p_{t}", c + 1) - onehot) * F.col("_w")).otherwise(0.0).alias(f"_d_{t}_{c}"))
+        out.append(F.when(own, F.col(f"_l_{t}") * F.col("_w")).otherwise(0.0).alias(f"_l_{t}"))
+        out.append(F.when(own, F.col("_w")).otherwise(0.0).alias(f"_n_{t}"))
     return stage.select(*out)
 
 
+def _any_label(heads: dict[str, Head], labels: dict[str, str]) -> Column:
+    return F.expr(" OR ".join(f"`{labels[t]}` IS NOT NULL" for t in heads))
+
+
 def gradient_table(df: DataFrame, heads: dict[str, Head], labels: dict[str, str], x: str = "x",
                    weight: str | None = None, method: str = "auto") -> DataFrame:
     """Summed gradients and losses of every task in one pass, long form.
 
     Rows ``(task, class, pos, value)``: ``pos`` in ``0..d-1`` are feature
     weights, ``pos = d`` the bias; ``class = -1`` rows carry the summed loss
-    (``pos = 0``) and the row count (``pos = 1``).  ``method='explode'`` stays
+    (``pos = 0``) and the row count (``pos = 1``) of the task.  A row counts for
+    the tasks it has labels for; labels outside the classes are an error.  ``method='explode'`` stays
     in the JVM (positions exploded, ``groupBy(pos)`` with map-side partial
     sums); ``method='arrow'`` multiplies whole Arrow batches with numpy in
     each task and merges one partial per partition.  ``auto`` = arrow:
@@ -141,18 +158,18 @@ def gradient_table(df: DataFrame, heads: dict[str, Head], labels: dict[str, str]
         for c in range(h.classes):
             aggs.append(F.sum(F.col(f"_d_{t}_{c}") * F.col("_xv")).alias(f"g|{t}|{c}"))
         aggs.append(F.sum(F.when(at_bias, F.col(f"_l_{t}"))).alias(f"l|{t}"))
-    aggs.append(F.sum(F.when(at_bias, F.col("_w"))).alias("n"))
+        aggs.append(F.sum(F.when(at_bias, F.col(f"_n_{t}"))).alias(f"n|{t}"))
     wide = ex.groupBy("pos").agg(*aggs)
     entries = []
     for t, h in heads.items():
         for c in range(h.classes):
             entries.append(F.struct(F.lit(t).alias("task"), F.lit(c).alias("class"), F.col("pos").cast("int").alias("pos"),
                                     F.col(f"`g|{t}|{c}`").alias("value")))
-        # summed loss (pos 0) and row count (pos 1), carried on the bias row only
+        # summed loss (pos 0) and the task's row count (pos 1), carried on the bias row only
         entries.append(F.struct(F.lit(t).alias("task"), F.lit(-1).alias("class"), F.lit(0).alias("pos"),
                                 F.col(f"`l|{t}`").alias("value")))
         entries.append(F.struct(F.lit(t).alias("task"), F.lit(-1).alias("class"), F.lit(1).alias("pos"),
-                                F.col("n").alias("value")))
+                                F.col(f"`n|{t}`").alias("value")))
     long = wide.select(F.inline(F.array(*entries)))
     return long.where((F.col("class") >= 0) | F.col("value").isNotNull())
 
@@ -168,13 +185,12 @@ def _gradient_arrow(df: DataFrame, heads: dict[str, Head], labels: dict[str, str
     d = next(iter(heads.values())).W.shape[1]
     cols = [F.col(x).alias("_x")] + [F.col(c).alias(f"_y{i}") for i, c in enumerate(label_cols)]
     cols.append(F.col(weight).cast("double").alias("_w") if weight else F.lit(1.0).alias("_w"))
-    cond = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in label_cols))
-    base = df.where(cond).select(*cols)
+    base = df.where(_any_label(heads, labels)).select(*cols)
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = {t: np.zeros((mats[t][0].shape[0], d + 1)) for t in tasks}
         loss = {t: 0.0 for t in tasks}
-        n = 0.0
+        n = {t: 0.0 for t in tasks}
         for rb in batches:
             if rb.num_rows == 0:
                 continue
@@ -183,11 +199,16 @@ def _gradient_arrow(df: DataFrame, heads: dict[str, Head], labels: dict[str, str
                 raise ValueError(f"every feature array must have {d} values; got {flat.size} for {rb.num_rows} rows")
             xs = flat.reshape(rb.num_rows, d)
             X = np.hstack([xs, np.ones((rb.num_rows, 1))])
-            w = rb.column(len(tasks) + 1).to_numpy(zero_copy_only=False).astype(np.float64)
-            n += float(w.sum())
+            weight_of = rb.column(len(tasks) + 1).to_numpy(zero_copy_only=False).astype(np.float64)
             for i, t in enumerate(tasks):
                 W, b = mats[t]
-                y = rb.column(1 + i).to_numpy(zero_copy_only=False).astype(np.int64)
+                label = rb.column(1 + i)
+                own = label.is_valid().to_numpy(zero_copy_only=False)  # other rows weigh nothing for this task
+                y = label.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                if ((y < 0) | (y >= len(b))).any():
+                    raise ValueError(f"label of task {t} outside 0..{len(b) - 1}: {y[(y < 0) | (y >= len(b))][0]}")
+                w = np.where(own, weight_of, 0.0)
+                n[t] += float(w.sum())
                 z = xs @ W.T + b
                 m = z.max(axis=1, keepdims=True)
                 e = np.exp(z - m)
@@ -208,7 +229,7 @@ def _gradient_arrow(df: DataFrame, heads: dict[str, Head], labels: dict[str, str
             task_col += [t, t]
             cls_col += [-1, -1]
             pos_col += [0, 1]
-            val_col += [loss[t], n]
+            val_col += [loss[t], n[t]]
         yield pa.RecordBatch.from_arrays(
             [pa.array(task_col, pa.string()), pa.array(cls_col, pa.int32()), pa.array(pos_col, pa.int32()),
              pa.array(val_col, pa.float64())], names=["task", "class", "pos", "value"])
@@ -220,15 +241,19 @@ def _gradient_arrow(df: DataFrame, heads: dict[str, Head], labels: dict[str, str
 @dataclass
 class StepStats:
     grads: dict[str, np.ndarray]  # task -> classes x (d+1) mean gradient
-    loss: dict[str, float]        # task -> mean loss
-    n: float
+    loss: dict[str, float]        # task -> mean loss over the task's labelled rows
+    counts: dict[str, float]      # task -> labelled rows
+
+    @property
+    def n(self) -> float:
+        return max(self.counts.values())
 
 
 def collect_step(table: DataFrame, heads: dict[str, Head]) -> StepStats:
     """Bring the (small) gradient table to the driver as mean gradients."""
     d = next(iter(heads.values())).W.shape[1]
     grads = {t: np.zeros((h.classes, d + 1)) for t, h in heads.items()}
-    sums, n = {}, 0.0
+    sums, n = {}, {t: 0.0 for t in heads}
     for r in table.collect():
         t, c, p, v = r["task"], r["class"], r["pos"], r["value"]
         v = 0.0 if v is None else float(v)
@@ -237,10 +262,11 @@ def collect_step(table: DataFrame, heads: dict[str, Head]) -> StepStats:
         elif p == 0:
             sums[t] = v
         else:
-            n = v
-    if n <= 0:
+            n[t] = v
+    if max(n.values()) <= 0:
         raise ValueError("no rows with labels for the gradient step")
-    return StepStats({t: g / n for t, g in grads.items()}, {t: sums.get(t, 0.0) / n for t in heads}, n)
+    # a task without any label in this step gives no gradient and no loss
+    return StepStats({t: g / (n[t] or 1.0) for t, g in grads.items()}, {t: sums.get(t, 0.0) / (n[t] or 1.0) for t in heads}, n)
 
 
 def batch_gradient(df: DataFrame, heads: dict[str, Head], labels: dict[str, str], x: str = "x",
@@ -267,11 +293,12 @@ class Optimizer:
     with a linear decay of the rate to zero over ``total_steps``."""
 
     def __init__(self, kind: str = "adamw", lr: float = 1e-3, total_steps: int = 1, weight_decay: float = 0.0,
-                 schedule: bool = True, no_decay: Sequence[str] = ()):
+                 schedule: bool = True, no_decay: Sequence[str] = (), eps: float = ADAM_EPS):
         if kind not in ("adamw", "sgd"):
             raise ValueError(f"unknown optimizer {kind!r}")
         self.kind, self.lr, self.total, self.wd, self.schedule = kind, lr, max(total_steps, 1), weight_decay, schedule
         self.no_decay = set(no_decay)
+        self.eps = eps
         self.t = 0
         self.m: dict[str, np.ndarray] = {}
         self.v: dict[str, np.ndarray] = {}
@@ -292,7 +319,7 @@ class Optimizer:
             v = self.v.get(k, np.zeros_like(p)) * b2 + (1 - b2) * g * g
             self.m[k], self.v[k] = m, v
             size = lr * math.sqrt(1 - b2 ** self.t) / (1 - b1 ** self.t)
-            p = p - size * m / (np.sqrt(v) + ADAM_EPS)
+            p = p - size * m / (np.sqrt(v) + self.eps)
             if self.wd and k not in self.no_decay:
                 p = p - lr * self.wd * p
             params[k] = p
@@ -432,6 +459,26 @@ def score_batch(df: DataFrame, model: LinearModel | dict[str, Head], labels: dic
 # Task weights
 # --------------------------------------------------------------------------
 
+def param_group_filter(grads: DataFrame, drop: str) -> DataFrame:
+    """Gradient rows whose task or parameter group does not contain ``drop``."""
+    name = "grp" if "grp" in grads.columns else "task"
+    return grads.where(~F.col(name).contains(drop))
+
+
+def gradient_dots(grads: DataFrame, a: str, b: str, d: int) -> DataFrame:
+    """(gaa, gab, gbb) of the mean weight gradients of two tasks, biases left out, from a gradient table."""
+    n = grads.where((F.col("class") == -1) & (F.col("pos") == 1)).select(F.col("value").alias("n"), "task")
+    mean = grads.where((F.col("class") >= 0) & (F.col("pos") < d)).join(n, "task").withColumn("g", F.col("value") / F.col("n"))
+    pair = mean.groupBy("class", "pos").agg(F.sum(F.when(F.col("task") == a, F.col("g"))).alias("ga"), F.sum(F.when(F.col("task") == b, F.col("g"))).alias("gb"))
+    return pair.agg(F.sum(F.col("ga") * F.col("ga")).alias("gaa"), F.sum(F.col("ga") * F.col("gb")).alias("gab"), F.sum(F.col("gb") * F.col("gb")).alias("gbb"))
+
+
+def min_norm_weight(gaa: Column, gab: Column, gbb: Column) -> Column:
+    """:func:`min_norm_weights` of the first vector, as a column."""
+    denom = gaa - 2 * gab + gbb
+    return F.when(denom <= 0, F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (gbb - gab) / denom)))
+
+
 def min_norm_weights(gaa: float, gab: float, gbb: float) -> tuple[float, float]:
     """Weights of the minimum-norm point of the segment between two vectors,
     from their dot products; equal vectors give 0.5 each."""

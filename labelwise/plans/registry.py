@@ -175,10 +175,10 @@ TR_SQL = r"""
 tr AS (
   SELECT CAST(turn AS INTEGER) AS "index", CAST(NULL AS INTEGER) AS label, role AS label_notes,
          text AS sentence, printf('%03d_TRANSCRIPT.csv', conv_id) AS audio_features
-  FROM conversations WHERE role = 'user'),
+  FROM conversations),
 trid AS (
-  SELECT *, CAST(NULLIF(regexp_extract(audio_features, '[0-9]{3}'), '') AS INTEGER) AS Participant_ID FROM tr),
-lab AS (SELECT CAST(doc_id AS INTEGER) AS Participant_ID, quality, toxic FROM labels)"""
+  SELECT *, CAST(NULLIF(regexp_extract(audio_features, '^[0-9]+'), '') AS BIGINT) AS Participant_ID FROM tr),
+lab AS (SELECT CAST(doc_id AS BIGINT) AS Participant_ID, quality, toxic FROM labels)"""
 
 LINKED_SQL = TR_SQL + """,
 linked AS (
@@ -194,12 +194,17 @@ def _transcripts(spark, sf_dir):
     return tb.transcripts_from_conversations(tb.read_table(spark, sf_dir, "conversations"))
 
 
+def _with_id(spark, sf_dir):
+    """Every turn with the whole number in front of its file name, however long, as the participant."""
+    return prep.with_id(_transcripts(spark, sf_dir), pattern=prep.WHOLE_ID_PATTERN, dtype="bigint")
+
+
 def _labels(spark, sf_dir):
     return tb.participant_labels(tb.read_table(spark, sf_dir, "labels"))
 
 
 def _linked(spark, sf_dir):
-    return prep.link_labels(_labels(spark, sf_dir), prep.with_id(_transcripts(spark, sf_dir)))
+    return prep.link_labels(_labels(spark, sf_dir), _with_id(spark, sf_dir))
 
 
 @register("scan_transcripts", f"WITH {TR_SQL} SELECT * FROM tr")
@@ -207,6 +212,11 @@ def q_scan_transcripts(spark, sf_dir):
     return _transcripts(spark, sf_dir)
 
 
+@register("filter_turns", f"""WITH {TR_SQL} SELECT * FROM tr WHERE label_notes = 'user'""")
+def q_filter_turns(spark, sf_dir):
+    return tb.speaker_turns(_transcripts(spark, sf_dir), "user")
+
+
 @register("scan_labels", f"WITH {TR_SQL} SELECT * FROM lab")
 def q_scan_labels(spark, sf_dir):
     return _labels(spark, sf_dir)
@@ -231,7 +241,7 @@ def q_extract_id_suffix(spark, sf_dir):
 
 @register("with_id", f"WITH {TR_SQL} SELECT * FROM trid")
 def q_with_id(spark, sf_dir):
-    return prep.with_id(_transcripts(spark, sf_dir))
+    return _with_id(spark, sf_dir)
 
 
 @register("link_labels", f"WITH {LINKED_SQL} SELECT * FROM linked")
@@ -246,7 +256,7 @@ SELECT lab.Participant_ID, lab.quality, lab.toxic, trid."index", trid.label, tri
 FROM lab JOIN trid ON lab.Participant_ID = trid.Participant_ID
 """)
 def q_link_labels_matched(spark, sf_dir):
-    return prep.link_labels_matched(_labels(spark, sf_dir), prep.with_id(_transcripts(spark, sf_dir)))
+    return prep.link_labels_matched(_labels(spark, sf_dir), _with_id(spark, sf_dir))
 
 
 @register("unlinked_labels", f"""
@@ -254,7 +264,7 @@ WITH {TR_SQL}
 SELECT * FROM lab WHERE Participant_ID NOT IN (SELECT Participant_ID FROM trid WHERE Participant_ID IS NOT NULL)
 """)
 def q_unlinked_labels(spark, sf_dir):
-    return prep.unlinked_labels(_labels(spark, sf_dir), prep.with_id(_transcripts(spark, sf_dir)))
+    return prep.unlinked_labels(_labels(spark, sf_dir), _with_id(spark, sf_dir))
 
 
 @register("drop_columns", f"""
@@ -350,7 +360,7 @@ masked AS (
 
 
 def _docs(spark, sf_dir):
-    return tb.spread(tb.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text"))
+    return tb.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
 
 
 def _vocab(spark, sf_dir, docs=None):
@@ -733,11 +743,23 @@ def q_batch_gradient(spark, sf_dir):
     return _grad_table(spark, sf_dir)
 
 
+_PARTIAL = _grad_sql({"a": ("a", 0), "b": ("b", 2)}).replace(
+    "AS l_b FROM zz", "AS l_b FROM zz WHERE row_id % 3 <> 0").replace("JOIN (\n  SELECT row_id, b", "LEFT JOIN (\n  SELECT row_id, b").replace(
+    "SELECT 'b' AS task, -1 AS class, 1 AS pos, CAST(count(*)", "SELECT 'b' AS task, -1 AS class, 1 AS pos, CAST(count(y_b)")
+
+
+@register("batch_gradient_partial", _PARTIAL)
+def q_batch_gradient_partial(spark, sf_dir):
+    """As ``batch_gradient`` with every third row unlabelled for task ``b``: the rows still count for task ``a``."""
+    emb = _emb(spark, sf_dir).withColumn("b", F.when(F.col("row_id") % 3 != 0, F.col("b")))
+    g = trn.gradient_table(emb, _formula_heads(), {"a": "a", "b": "b"}, "x")
+    return g.select("task", "class", "pos", F.round("value", 9).alias("value"))
+
+
 @register("param_group_filter", "SELECT * FROM (" + _grad_sql({"taska": ("a", 0), "taskb": ("b", 2)})
           + ") WHERE NOT contains(task, 'taskb')")
 def q_param_group_filter(spark, sf_dir):
-    g = _grad_table(spark, sf_dir, ("taska", "taskb"))
-    return g.where(~F.col("task").contains("taskb"))
+    return trn.param_group_filter(_grad_table(spark, sf_dir, ("taska", "taskb")), "taskb")
 
 
 @register("min_norm_weights", f"""
@@ -755,16 +777,9 @@ def q_min_norm_weights(spark, sf_dir):
     feats = _features(spark, sf_dir)
     zero = {"quality": trn.Head(np.zeros((2, 3)), np.zeros(2)), "toxic": trn.Head(np.zeros((2, 3)), np.zeros(2))}
     g = trn.gradient_table(feats, zero, {"quality": "quality", "toxic": "toxic"}, "x", method="explode")
-    n = g.where((F.col("class") == -1) & (F.col("pos") == 1)).select(F.col("value").alias("n"), "task")
-    vec = g.where((F.col("class") >= 0) & (F.col("pos") < 3)).join(n, "task").withColumn("value", F.col("value") / F.col("n"))
-    a = vec.where(F.col("task") == "quality").select("class", "pos", F.col("value").alias("ga"))
-    b = vec.where(F.col("task") == "toxic").select("class", "pos", F.col("value").alias("gb"))
-    dots = a.join(b, ["class", "pos"]).agg(F.sum(F.col("ga") * F.col("ga")).alias("gaa"),
-                                          F.sum(F.col("ga") * F.col("gb")).alias("gab"),
-                                          F.sum(F.col("gb") * F.col("gb")).alias("gbb"))
-    denom = F.col("gaa") - 2 * F.col("gab") + F.col("gbb")
-    gamma = F.when(denom <= 0, F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("gbb") - F.col("gab")) / denom)))
-    return dots.select(*[F.round(c, 9).alias(c) for c in ("gaa", "gab", "gbb")], F.round(gamma, 9).alias("weight_a"))
+    dots = trn.gradient_dots(g, "quality", "toxic", 3)
+    weight = trn.min_norm_weight(F.col("gaa"), F.col("gab"), F.col("gbb"))
+    return dots.select(*[F.round(c, 9).alias(c) for c in ("gaa", "gab", "gbb")], F.round(weight, 9).alias("weight_a"))
 
 
 def _unrolled_fit_sql(steps: int = 3, lr: float = 0.5) -> str:
@@ -885,30 +900,31 @@ def q_align_pred_truth(spark, sf_dir):
     return ev.align_pred_truth(s.select("row_id", "task", "pred"), s.select("row_id", "task", "y"))
 
 
-@register("append_results", f"""
-WITH {PRED_SQL}, {_wide_sql()}
-SELECT wide.*, {_tags_sql()} FROM wide UNION ALL SELECT wide.*, {_tags_sql()} FROM wide
-""")
+_MIXED_SQL = f"""
+WITH {PRED_SQL}, {_wide_sql()},
+single AS (SELECT {', '.join(f'{m}_toxic' for m in MEASURES)}, epoch, {_tags_sql(regime='STL')} FROM wide),
+multi AS (SELECT wide.*, {_tags_sql()} FROM wide)
+SELECT * FROM multi UNION ALL BY NAME SELECT * FROM single UNION ALL BY NAME SELECT * FROM multi"""
+
+
+@register("append_results", _MIXED_SQL)
 def q_append_results(spark, sf_dir):
-    rep = _stand_in_report(spark, sf_dir)
     path = scratch_path(spark, "results")
-    rs.append_results(rep, path)
-    rs.append_results(rep, path)
-    back = rs.read_results(spark, path)
-    return back.select(*rep.columns)
+    return rs.read_results(spark, _append_mixed(spark, sf_dir, path, "parquet"))
 
 
-@register("read_results_csv", f"""
-WITH {PRED_SQL}, {_wide_sql()}
-SELECT wide.*, {_tags_sql()} FROM wide UNION ALL SELECT wide.*, {_tags_sql()} FROM wide
-""")
+def _append_mixed(spark, sf_dir, path, fmt):
+    """Two-task, one-task and again two-task reports appended to one path."""
+    multi = _stand_in_report(spark, sf_dir)
+    single = _stand_in_report(spark, sf_dir, tasks=("toxic",), regime="STL")
+    for rep in (multi, single, multi):
+        rs.append_results(rep, path, fmt)
+    return path
+
+
+@register("read_results_csv", _MIXED_SQL)
 def q_read_results_csv(spark, sf_dir):
-    rep = _stand_in_report(spark, sf_dir)
-    path = scratch_path(spark, "results-csv")
-    rs.append_results(rep.coalesce(1), path, fmt="csv")
-    rs.append_results(rep.coalesce(1), path, fmt="csv")
-    back = rs.read_results_csv(spark, path)
-    return back.select(*rep.columns)
+    return rs.read_results_csv(spark, _append_mixed(spark, sf_dir, scratch_path(spark, "results-csv"), "csv"))
 
 
 @register("union_results", f"""

@@ -42,11 +42,12 @@ def get_spark(master: str | None = None, app: str = "labelwise", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only when unset.
+    """Return the shared checkpoint folder of the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    given.  Only when nothing is configured (tests, the local bench) is a
-    private folder under the system temp dir created.
+    On a cluster ``spark.checkpoint.dir`` must name a folder that driver and
+    executors share; without it this is an error, because files written to a
+    machine's own disk are missing from later reads.  Only on a local master
+    (tests, the local bench) is a private folder created when it is unset.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -59,6 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             return current
         conf_dir = conf_dir or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master if sc is not None else ""
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="labelwise-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(conf_dir)
@@ -70,11 +74,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/labelwise-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def row_count_at_most(df: DataFrame, bound: int) -> bool:
-    """True when ``df`` has at most ``bound`` rows.
-
-    Reads at most ``bound + 1`` rows, so the check stays cheap on a huge input.
-    """
-    return df.limit(bound + 1).count() <= bound

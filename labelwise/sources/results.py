@@ -6,6 +6,7 @@ or without a ``data`` column); they are combined by column name.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -17,18 +18,23 @@ PARTITION_COLUMNS = ("model", "data", "question", "training")
 
 
 def append_results(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """Append report rows under ``path``, partitioned by the run columns present."""
-    parts = [c for c in PARTITION_COLUMNS if c in df.columns]
-    writer = df.write.mode("append")
+    """Append report rows under ``path``.
+
+    Parquet is partitioned by the run columns present.  A CSV file says its columns only in its own header, so reports
+    with different columns go to different folders, named by a hash of the column list.
+    """
     if fmt == "csv":
-        writer.option("header", "true").csv(path)
+        name = hashlib.sha256(",".join(df.columns).encode()).hexdigest()[:16]
+        df.write.mode("append").option("header", "true").csv(f"{path.rstrip('/')}/columns-{name}")
     else:
-        writer.partitionBy(*parts).format(fmt).save(path)
+        parts = [c for c in PARTITION_COLUMNS if c in df.columns]
+        df.write.mode("append").partitionBy(*parts).format(fmt).save(path)
     return path
 
 
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+    """All appended reports with all their columns; what a report lacks is NULL."""
+    return spark.read.option("mergeSchema", "true").format(fmt).load(path)
 
 
 def result_column_type(name: str) -> str:
@@ -43,17 +49,28 @@ def result_column_type(name: str) -> str:
 
 
 def read_results_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
-    """Read appended CSV reports.
+    """Read appended CSV reports: every column set by its own header, combined by name.
 
     A file appended to repeatedly with a header each time holds header lines
     in the middle; those rows are dropped (first column equal to its own
     name) and the remaining strings are cast with ``try_cast``, so a bad cell
     becomes NULL rather than failing the read.
     """
+    return union_results([_read_columns(spark, p, types or {}) for p in _column_folders(spark, path)])
+
+
+def _column_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders of the column sets under ``path``; ``path`` itself where it holds files of one column set."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    folders = sorted(str(f.getPath().toString()) for f in found if f.isDirectory() and f.getPath().getName().startswith("columns-"))
+    return folders or [path]
+
+
+def _read_columns(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
     raw = spark.read.option("header", "true").option("inferSchema", "false").csv(path)
     first = raw.columns[0]
     raw = raw.where(F.col(first).isNull() | (F.col(first) != F.lit(first)))
-    types = types or {}
     return raw.select(*[F.col(f"`{c}`").try_cast(types.get(c, result_column_type(c))).alias(c) for c in raw.columns])
 
 

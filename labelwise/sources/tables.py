@@ -17,38 +17,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None, source: DataFrame | None = None,
-           gain: int = 8) -> DataFrame:
-    """Round-robin repartition when the input would use few of the cores.
-
-    A file written as one row group scans as one partition, which would run
-    all per-row work (regex tokenizing, text statistics) in a single task.
-    The input is spread over ``min_partitions`` (default: the cores) only
-    when that multiplies its parallelism at least ``gain`` times; a large
-    input already has many splits and is returned unchanged, so this adds no
-    shuffle at scale.  The partition count is read from ``source`` (a plain
-    scan, default ``df`` itself): for a plan without exchanges that only
-    plans the scan and runs no job.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = (source if source is not None else df).rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. remote clients)
-        return df
-    return df.repartition(target) if current * gain <= target else df
-
-
-def transcripts_from_conversations(conversations: DataFrame, role: str | None = "user") -> DataFrame:
+def transcripts_from_conversations(conversations: DataFrame) -> DataFrame:
     """Conversation turns in the transcript layout.
 
-    One row per turn (optionally one speaker role): ``index`` = turn number,
-    ``label`` unknown, ``label_notes`` = role, ``sentence`` = text and the
-    participant encoded in a file name, as in the interview layout.
+    One row per turn: ``index`` = turn number, ``label`` unknown,
+    ``label_notes`` = role, ``sentence`` = text and the participant encoded
+    in a file name, as in the interview layout.
     """
-    df = conversations
-    if role is not None:
-        df = df.where(F.col("role") == F.lit(role))
-    return df.select(
+    return conversations.select(
         F.col("turn").cast("int").alias("index"),
         F.lit(None).cast("int").alias("label"),
         F.col("role").alias("label_notes"),
@@ -57,9 +33,14 @@ def transcripts_from_conversations(conversations: DataFrame, role: str | None =
     )
 
 
+def speaker_turns(transcripts: DataFrame, role: str) -> DataFrame:
+    """The turns of one speaker role."""
+    return transcripts.where(F.col("label_notes") == F.lit(role))
+
+
 def participant_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """The two-task label table keyed by participant."""
-    return labels.select(F.col(key).cast("int").alias("Participant_ID"), "quality", "toxic")
+    return labels.select(F.col(key).cast("bigint").alias("Participant_ID"), "quality", "toxic")
 
 
 def text_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -69,8 +50,7 @@ def text_examples(documents: DataFrame, labels: DataFrame) -> DataFrame:
     is an inner equi-join; Spark picks broadcast or shuffle from sizes.
     """
     docs = documents.select(F.col("doc_id").alias("row_id"), "text", "n_chars", "lang")
-    joined = labels.select(F.col("doc_id").alias("row_id"), "quality", "toxic").join(docs, "row_id")
-    return spread(joined, source=docs)
+    return labels.select(F.col("doc_id").alias("row_id"), "quality", "toxic").join(docs, "row_id")
 
 
 def embedding_examples(embeddings: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ def q():
 def test_link_labels_has_no_outer_join(spark, q):
     p = plan(q["link_labels"](spark, SF001))
     assert "LeftOuter" not in p and "Join type: Inner" in p and "Join type: LeftAnti" in p
-    assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in p
+    turns = plan(q["filter_turns"](spark, SF001))
+    assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in turns
 
 
 def test_scans_read_only_needed_columns(spark, q):
@@ -50,9 +51,10 @@ def test_batches_use_range_partitioning(spark, q):
     assert "SinglePartition" not in p
 
 
-def test_auc_windows_are_spread_by_bucket(spark, q):
+def test_auc_windows_are_spread_by_score_range(spark, q):
     p = plan(q["auc_score"](spark, SF001))
-    assert "hashpartitioning(task" in p and "_bucket" in p.split("REPARTITION_BY_COL")[0].rsplit("hashpartitioning", 1)[1]
+    assert "rangepartitioning(task" in p and "score" in p.split("rangepartitioning(task", 1)[1].split("\n")[0]
+    assert "_part" in p.split("rangepartitioning", 1)[1]
     assert "SinglePartition" not in p
 
 
