@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -44,22 +46,16 @@ def hashed_bag_of_words(dim: int = 32) -> Callable[[], Encoder]:
     """Encoder factory: token lists to relative frequencies per hash bucket."""
 
     def make() -> Encoder:
-        cache: dict[str, int] = {}
-
         def encode(tokens: pa.Array) -> pa.Array:
-            out = []
-            for row in tokens.to_pylist():
-                vec = [0.0] * dim
-                if row:
-                    for t in row:
-                        b = cache.get(t)
-                        if b is None:
-                            b = cache[t] = token_bucket(t, dim)
-                        vec[b] += 1.0
-                    n = float(len(row))
-                    vec = [v / n for v in vec]
-                out.append(vec)
-            return pa.array(out, pa.list_(pa.float64()))
+            size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            # every distinct token of the batch is hashed once; nothing outlives the batch
+            words = pc.dictionary_encode(tokens.flatten())
+            bucket = np.array([token_bucket(t, dim) for t in words.dictionary.to_pylist()], np.int64)
+            cell = row * dim + bucket[words.indices.to_numpy(zero_copy_only=False)] if len(row) else row
+            counts = np.bincount(cell, minlength=len(size) * dim).reshape(len(size), dim)
+            share = counts / np.maximum(size, 1)[:, None]
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, len(size) * dim + 1, dim).astype(np.int32)), pa.array(share.ravel()))
 
         return encode
 

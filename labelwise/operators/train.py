@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from labelwise.functions import arrays as A
 from labelwise.operators.linalg import formula_weights
@@ -441,18 +442,40 @@ def score_batch(df: DataFrame, model: LinearModel | dict[str, Head], labels: dic
                 id_col: str = "row_id", keep: Sequence[str] = ()) -> DataFrame:
     """Long form (id, task, y, logits, pred, loss) for every row and task.
 
-    ``model`` is a fitted model or fixed heads per task.  Weights are
-    literals in the plan: no join, no shuffle, one scan.
+    ``model`` is a fitted model or fixed heads per task.  Whole Arrow batches
+    are multiplied with the weights, which travel with the function: one scan,
+    no join, no shuffle, and the same plan for every epoch.  A missing label
+    gives no loss; one outside the classes is an error.
     """
     heads = model if isinstance(model, dict) else model.heads()
-    structs = []
-    for t, h in heads.items():
-        z = head_logits(x, h)
-        y = F.col(labels[t])
-        structs.append(F.struct(F.lit(t).alias("task"), y.cast("int").alias("y"), z.alias("logits")))
-    long = df.select(id_col, *keep, F.inline(F.array(*structs)))
-    return long.select(id_col, *keep, "task", "y", "logits", A.argmax("logits").alias("pred"),
-                       F.when(F.col("y").isNotNull(), A.cross_entropy("logits", "y")).alias("loss"))
+    mats = {t: (h.W.astype(np.float64), h.b.astype(np.float64)) for t, h in heads.items()}
+    kept = [id_col, *keep]
+    src = df.select(*kept, F.col(x).alias("_x"), *[F.col(labels[t]).cast("int").alias(f"_y{i}") for i, t in enumerate(mats)])
+    kinds = [pa.string(), pa.int32(), pa.list_(pa.float64()), pa.int32(), pa.float64()]
+    names = ["task", "y", "logits", "pred", "loss"]
+    schema = StructType([src.schema[c] for c in kept] + [StructField("task", StringType()), StructField("y", IntegerType()), StructField(
+        "logits", ArrayType(DoubleType())), StructField("pred", IntegerType()), StructField("loss", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            n = rb.num_rows
+            xs = rb.column(len(kept)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            for i, (t, (W, b)) in enumerate(mats.items()):
+                if xs.size != n * W.shape[1]:
+                    raise ValueError(f"every feature array must have {W.shape[1]} values; got {xs.size} for {n} rows")
+                z = xs.reshape(n, W.shape[1]) @ W.T + b
+                label = rb.column(len(kept) + 1 + i)
+                own = label.is_valid().to_numpy(zero_copy_only=False)
+                y = label.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                if ((y < 0) | (y >= len(b))).any():
+                    raise ValueError(f"label of task {t} outside 0..{len(b) - 1}")
+                top = z.max(axis=1) if n else np.zeros(0)
+                loss = top + np.log(np.exp(z - top[:, None]).sum(axis=1)) - z[np.arange(n), y]
+                logits = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(b) + 1, len(b)).astype(np.int32)), pa.array(z.ravel()))
+                made = [pa.array([t] * n, kinds[0]), label, logits, pa.array(z.argmax(axis=1).astype(np.int32)), pa.array(loss, mask=~own)]
+                yield pa.RecordBatch.from_arrays([rb.column(c) for c in range(len(kept))] + made, [*kept, *names])
+
+    return src.mapInArrow(run, schema)
 
 
 # --------------------------------------------------------------------------

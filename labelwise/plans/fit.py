@@ -23,6 +23,8 @@ from labelwise.operators import sample as smp
 from labelwise.operators import train as tr
 
 REGIMES = ("STL", "MTL", "MTL_awl", "MTL_meta")
+#: Tables that runs know; an unknown one is an error.  Extend the set to register another.
+DATASETS = {"documents", "embeddings"}
 
 
 @dataclass
@@ -45,6 +47,10 @@ class RunConfig:
     alpha: float = 1.0                 # meta step on task weights
     accumulate: bool = False           # meta: gradients accumulate over the epoch (source behaviour)
     faithful_difference: bool = False  # meta: difference step 1 only (source behaviour)
+    max_steps: int = 1000              # gradient steps (Spark jobs) per epoch; more batches are taken in groups
+    schedule: bool = True              # linear decay of the rate to zero
+    eps: float | None = None           # optimizer epsilon; None: the regime's own
+    keep_params: bool = False          # parameters after every step in the history
     checkpoint: bool = False           # cut lineage of the feature table with checkpoint()
 
 
@@ -71,21 +77,65 @@ def _partitions_for(df: DataFrame, n_rows: int) -> int:
     return max(1, min(cap, -(-n_rows // ROWS_PER_PARTITION)))
 
 
-def _steps(train: DataFrame, cfg: RunConfig, epoch: int, id_col: str,
-           n_rows: int | None = None) -> tuple[list[DataFrame], DataFrame | None]:
-    """The row sets of each gradient step in one epoch."""
-    if cfg.batch_size is None:
-        return [train], None
-    n_rows = train.count() if n_rows is None else n_rows
-    ranked = smp.assign_batches(train, cfg.batch_size, id_col, cfg.seed, epoch,
-                                partitions=_partitions_for(train, n_rows))
-    # Range partitioning by the order key already leaves every partition
-    # sorted by batch, so the cached column batches of other steps are
-    # skipped by their min/max statistics when a step filters on its batch.
-    batched = ranked.persist(StorageLevel.MEMORY_AND_DISK)
-    nb = smp.n_batches(batched.count(), cfg.batch_size)
-    smp.release(ranked)
-    return [batched.where(F.col("batch_id") == b) for b in range(nb)], batched
+class _Steps:
+    """The row sets of one epoch's gradient steps, made one at a time.
+
+    The rows are ranked and cached once.  Where an epoch has more than ``max_steps`` batches, consecutive batches are
+    taken together, so the number of jobs stays bounded however many rows there are.
+    """
+
+    def __init__(self, rows: DataFrame, cfg: RunConfig, epoch: int, id_col: str, n_rows: int | None):
+        self.rows, self.batched, self.n = rows, None, 1
+        if cfg.batch_size is None:
+            return
+        n_rows = rows.count() if n_rows is None else n_rows
+        ranked = smp.assign_batches(rows, cfg.batch_size, id_col, cfg.seed, epoch, partitions=_partitions_for(rows, n_rows))
+        # Range partitioning by the order key already leaves every partition
+        # sorted by batch, so the cached column batches of other steps are
+        # skipped by their min/max statistics when a step filters on its batch.
+        self.batched = ranked.persist(StorageLevel.MEMORY_AND_DISK)
+        batches = smp.n_batches(self.batched.count(), cfg.batch_size)
+        smp.release(ranked)
+        self.group = -(-batches // cfg.max_steps) or 1
+        self.n = -(-batches // self.group)
+
+    def __iter__(self):
+        if self.batched is None:
+            yield self.rows
+            return
+        for k in range(self.n):
+            yield self.batched.where(F.col("batch_id").between(k * self.group, (k + 1) * self.group - 1))
+
+    def release(self) -> None:
+        if self.batched is not None:
+            self.batched.unpersist()
+
+
+class GradientSums:
+    """Task vectors of a pass as sums: per task their total, per pair of tasks the products summed over the steps.
+
+    Their size is that of the parameters (squared), not the number of steps.
+    """
+
+    def __init__(self, tasks: Sequence[str]):
+        self.tasks = list(tasks)
+        self.total: dict[str, np.ndarray] = {}
+        self.gram: dict[tuple[str, str], np.ndarray] = {}
+
+    def add(self, vectors: dict[str, np.ndarray]) -> None:
+        for i, t in enumerate(self.tasks):
+            self.total[t] = self.total.get(t, 0.0) + vectors[t]
+            for u in self.tasks[i:]:
+                self.gram[t, u] = self.gram.get((t, u), 0.0) + np.outer(vectors[t], vectors[u])
+
+
+def alignment(query: GradientSums, support: GradientSums) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
+    """With M_t the matrix of all dot products of query and support vectors of task t: the sum of M_t's cells, and the
+    products <M_t, M_u>.  Both follow from the sums alone."""
+    cells = {t: float(query.total[t] @ support.total[t]) for t in query.tasks}
+    # <M_t, M_u> = sum over steps of (q_t . s_t)(q_u . s_u) = trace((sum q_t q_u') (sum s_u s_t')')
+    dots = {k: float((query.gram[k] * support.gram[k]).sum()) for k in query.gram}
+    return cells, dots
 
 
 def _step_grads(model: tr.LinearModel, stats: tr.StepStats, lam: dict[str, float], clip: float | None):
@@ -128,6 +178,8 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     alignment of support and query gradients; ``support``/``query`` default
     to ``train``/``test``).
     """
+    if cfg.data not in DATASETS:
+        raise ValueError(f"unknown dataset {cfg.data!r}; known {sorted(DATASETS)}")
     if cfg.regime not in REGIMES:
         raise ValueError(f"unknown regime {cfg.regime!r}; known {REGIMES}")
     tasks = list(cfg.tasks)
@@ -146,17 +198,19 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     n_test = test_rows.count() if cfg.batch_size is not None else None
     d = len(fit_rows.select(x).first()[0])
     model = tr.LinearModel.create(tasks, cfg.classes, d, None if cfg.regime == "STL" else cfg.hidden, cfg.init)
-    per_epoch = 1 if cfg.batch_size is None else smp.n_batches(n_fit, cfg.batch_size)
-    opt = tr.Optimizer(cfg.optimizer, cfg.lr, per_epoch * cfg.epochs, no_decay=("s",))
+    batches = 1 if cfg.batch_size is None else smp.n_batches(n_fit, cfg.batch_size)
+    per_epoch = -(-batches // (-(-batches // cfg.max_steps) or 1))
+    eps = cfg.eps if cfg.eps is not None else tr.ADAM_EPS_DEFAULT if cfg.regime == "MTL_awl" else tr.ADAM_EPS
+    opt = tr.Optimizer(cfg.optimizer, cfg.lr, per_epoch * cfg.epochs, schedule=cfg.schedule, no_decay=("s",), eps=eps)
     s = np.ones(len(tasks))                 # learned uncertainty parameters
     w_k = {t: 1.0 for t in tasks}           # meta task weights
     result = RunResult(model)
     evals = []
     result_pins: list[DataFrame] = []
     for epoch in range(cfg.epochs):
-        steps, batched = _steps(fit_rows, cfg, epoch, id_col, n_fit)
-        step_losses, support_vecs = [], {t: [] for t in tasks}
-        acc = None
+        steps = _Steps(fit_rows, cfg, epoch, id_col, n_fit)
+        step_losses, support = [], GradientSums(tasks)
+        acc, before = None, None
         for i, rows in enumerate(steps):
             stats = tr.batch_gradient(rows, model.heads(), {t: labels[t] for t in tasks}, x)
             losses = [stats.loss[t] for t in tasks]
@@ -170,32 +224,36 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
             else:
                 lam = {t: 1.0 for t in tasks}
                 total = sum(losses)
-            grads = _step_grads(model, stats, lam, cfg.clip)
+            if cfg.regime == "MTL_meta" and cfg.accumulate:
+                acc = grads = _accumulated(acc, model.param_grads(stats, lam), cfg.clip)
+            else:
+                grads = _step_grads(model, stats, lam, cfg.clip)
             if cfg.regime == "MTL_meta":
-                if cfg.accumulate:
-                    acc = grads if acc is None else {k: acc[k] + grads[k] for k in grads}
-                    captured = acc
-                else:
-                    captured = grads
-                for t in tasks:
-                    support_vecs[t].append(model.task_vector(captured, t))
+                now = {t: model.task_vector(grads, t) for t in tasks}
+                own = now
+                if cfg.accumulate and before is not None and (i == 1 or not cfg.faithful_difference):
+                    own = {t: now[t] - before[t] for t in tasks}
+                support.add({t: own[t] / (w_k[t] / len(tasks)) for t in tasks})
+                before = now
             params = model.params
             if cfg.regime == "MTL_awl":
                 params = dict(model.params, s=s)
                 grads = dict(grads, s=np.array(ds))
+            rate = opt.rate()
             opt.step(params, grads)
             if cfg.regime == "MTL_awl":
                 s = params.pop("s")
                 model.params = params
             step_losses.append(total)
             result.history.append({"epoch": epoch, "step": i, "loss": total,
-                                   **{f"loss_{t}": stats.loss[t] for t in tasks}, "lr": opt.rate()})
-        if batched is not None:
-            batched.unpersist()
+                                   **{f"loss_{t}": stats.loss[t] for t in tasks},
+                                   **{f"weighted_loss_{t}": lam[t] * stats.loss[t] for t in tasks}, "lr": rate,
+                                   **({"params": {k: np.array(v) for k, v in model.params.items()}} if cfg.keep_params else {})})
+        steps.release()
         train_loss = float(np.mean(step_losses))
         if cfg.regime == "MTL_meta":
-            w_k = _meta_update(model, query_rows, cfg, epoch, id_col, labels, x, tasks, w_k, support_vecs)
-            result.task_weights.append({"epoch": epoch, **w_k})
+            w_k, query_loss = _meta_update(model, query_rows, cfg, epoch, id_col, labels, x, tasks, w_k, support, acc)
+            result.task_weights.append({"epoch": epoch, **w_k, "query_loss": query_loss})
         evals.append(_evaluate(test_rows, model, labels, cfg, epoch, id_col, x, train_loss,
                                awl_s=s.copy() if cfg.regime == "MTL_awl" else None, pins=result_pins, n_rows=n_test))
     metrics = evals[0]
@@ -212,37 +270,32 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     return result
 
 
-def _meta_update(model, query_rows, cfg, epoch, id_col, labels, x, tasks, w_k, support_vecs):
-    """Align support and query gradients and move the task weights."""
-    S = {t: list(v) for t, v in support_vecs.items()}
-    if cfg.accumulate:
-        # accumulated vectors back to per-step increments
-        for t in tasks:
-            rng = range(1, 2) if cfg.faithful_difference else range(len(S[t]) - 1, 0, -1)
-            for i in rng:
-                if i < len(support_vecs[t]):
-                    S[t][i] = support_vecs[t][i] - support_vecs[t][i - 1]
-    for t in tasks:
-        S[t] = [v / (w_k[t] / len(tasks)) for v in S[t]]
-    steps, batched = _steps(query_rows, cfg, 10_000 + epoch, id_col)
-    Q = {t: [] for t in tasks}
-    acc = None
+def _accumulated(acc, grads: dict[str, np.ndarray], clip: float | None) -> dict[str, np.ndarray]:
+    """A gradient added to one that is never reset, and the sum clipped in place."""
+    out = grads if acc is None else {k: acc[k] + grads[k] for k in grads}
+    return tr.clip_grads(out, clip)[0] if clip is not None else out
+
+
+def _meta_update(model, query_rows, cfg, epoch, id_col, labels, x, tasks, w_k, support: GradientSums, acc):
+    """Align support and query gradients and move the task weights; also the mean query loss.
+
+    With ``accumulate`` the query gradients go on from the support's (``acc``): nothing is reset within an epoch.
+    """
+    steps, query, losses = _Steps(query_rows, cfg, 10_000 + epoch, id_col, None), GradientSums(tasks), []
+    one = {t: 1.0 for t in tasks}
     for rows in steps:
         stats = tr.batch_gradient(rows, model.heads(), {t: labels[t] for t in tasks}, x)
-        grads = _step_grads(model, stats, {t: 1.0 for t in tasks}, cfg.clip)
+        losses.append(sum(stats.loss[t] for t in tasks))
         if cfg.accumulate:
-            acc = grads if acc is None else {k: acc[k] + grads[k] for k in grads}
-            grads = acc
-        for t in tasks:
-            Q[t].append(model.task_vector(grads, t))
-    if batched is not None:
-        batched.unpersist()
-    M = {t: np.stack(Q[t]) @ np.stack(S[t]).T for t in tasks}
+            acc = grads = _accumulated(acc, model.param_grads(stats, one), cfg.clip)
+        else:
+            grads = _step_grads(model, stats, one, cfg.clip)
+        query.add({t: model.task_vector(grads, t) for t in tasks})
+    steps.release()
+    cells, dots = alignment(query, support)
     a, b = tasks[0], tasks[1]
-    gaa, gab, gbb = (float((M[a] * M[a]).sum()), float((M[a] * M[b]).sum()), float((M[b] * M[b]).sum()))
-    scale_a, scale_b = tr.min_norm_weights(gaa, gab, gbb)
-    scale = {a: scale_a, b: scale_b}
-    return {t: w_k[t] + cfg.alpha * scale.get(t, 0.0) * float(M[t].sum()) for t in tasks}
+    scale = dict(zip((a, b), tr.min_norm_weights(dots[a, a], dots[a, b], dots[b, b])))
+    return {t: w_k[t] + cfg.alpha * scale.get(t, 0.0) * cells[t] for t in tasks}, float(np.mean(losses))
 
 
 def _evaluate(test, model, labels, cfg, epoch, id_col, x, train_loss, awl_s=None, pins=None,

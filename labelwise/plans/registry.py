@@ -628,6 +628,31 @@ def q_attention_pool(spark, sf_dir):
     return pooled.select("seq_id", _r9(F.col("pooled")).alias("pooled"))
 
 
+HOPS = (la.formula_weights(4, 64), [0.1, -0.1, 0.2, 0.0], la.formula_weights(2, 4, row_offset=5), [0.0, 0.3])
+
+
+def _hops_sql() -> str:
+    w1, b1, w2, b2 = HOPS
+    hidden = ", ".join(f"tanh(list_reduce(list_transform(x, lambda v, i: CAST(v AS DOUBLE) * {row}[i]), lambda acc, v: acc + v) + {b})"
+                       for row, b in zip(w1, b1))
+    scores = ", ".join(" + ".join(f"{w} * h[{j + 1}]" for j, w in enumerate(row)) + f" + {b}" for row, b in zip(w2, b2))
+    return f"""
+WITH hid AS (SELECT label AS seq_id, vec_id AS pos, embedding AS x, [{hidden.replace('x,', 'embedding,')}] AS h FROM embeddings),
+sc AS (SELECT seq_id, pos, x, unnest([{scores}]) AS score, unnest([0, 1]) AS hop FROM hid),
+sw AS (SELECT *, exp(score - max(score) OVER (PARTITION BY seq_id, hop)) AS e FROM sc),
+d AS (SELECT seq_id, hop, e, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM sw),
+p AS (SELECT seq_id, hop, dim, sum(e * v) / sum(e) AS value FROM d GROUP BY seq_id, hop, dim)
+SELECT seq_id, list(round(value, 9) ORDER BY hop, dim) AS pooled FROM p GROUP BY seq_id"""
+
+
+@register("attention_pool_hops", _hops_sql())
+def q_attention_pool_hops(spark, sf_dir):
+    """Two attention hops scored by a small network over every position."""
+    seq = _seq(spark, sf_dir).withColumn("x", trn.as_double_array("x"))
+    pooled = la.attention_pool(seq, seq="seq_id", pos="pos", vec="x", scores=la.hop_scores("x", *HOPS))
+    return pooled.select("seq_id", _r9(F.col("pooled")).alias("pooled"))
+
+
 @register("dot_matrix", """
 WITH c AS (
   SELECT label, i AS pos, avg(CAST(v AS DOUBLE)) AS value
@@ -812,16 +837,12 @@ def _unrolled_fit_sql(steps: int = 3, lr: float = 0.5) -> str:
 def q_fit_single_task(spark, sf_dir):
     """Three full-batch plain gradient steps (rate 0.5, zero start, no
     clipping) of one softmax head on the text features of ``quality``."""
-    feats = _features(spark, sf_dir).select("row_id", "x", "quality").persist()
-    model = trn.LinearModel.create(["quality"], 2, 3, None, "zeros")
-    opt = trn.Optimizer("sgd", 0.5, 3, schedule=False)
+    feats = _features(spark, sf_dir)
+    cfg = fp.RunConfig(tasks=("quality",), regime="STL", epochs=3, lr=0.5, optimizer="sgd", schedule=False, clip=None, init="zeros", keep_params=True)
     rows = []
-    for k in range(1, 4):
-        stats = trn.batch_gradient(feats, model.heads(), {"quality": "quality"}, "x", method="explode")
-        opt.step(model.params, model.param_grads(stats))
-        w = np.hstack([model.params["W"], model.params["b"][:, None]]).ravel()
-        rows.append((k, round(stats.loss["quality"], 9), [round(float(v), 9) for v in w]))
-    feats.unpersist()
+    for h in fp.fit(feats, feats, {"quality": "quality"}, cfg).history:
+        w = np.hstack([h["params"]["W"], h["params"]["b"][:, None]]).ravel()
+        rows.append((h["epoch"] + 1, round(h["loss"], 9), [round(float(v), 9) for v in w]))
     return spark.createDataFrame(rows, "step int, loss double, w array<double>")
 
 
@@ -1004,6 +1025,18 @@ def q_fit_meta_weights(spark, sf_dir):
     return _rounded_losses(res.report).join(w, "epoch")
 
 
+@register("fit_meta_batches")
+def q_fit_meta_batches(spark, sf_dir):
+    """The gradient-alignment regime in mini-batches, gradients accumulating over an epoch's support and query batches;
+    no SQL form, checked against a step-by-step numpy run."""
+    parts = smp.support_query_test(_emb(spark, sf_dir), "row_id")
+    cfg = fp.RunConfig(model="embedding", tasks=("a", "b"), regime="MTL_meta", epochs=2, lr=0.01, batch_size=32, data="embeddings",
+                       accumulate=True, faithful_difference=True, max_steps=12)
+    res = fp.fit_tagged(parts, {"a": "a", "b": "b"}, cfg, split_col="part", train_value="support")
+    return spark.createDataFrame([(r["epoch"], *(round(float(r[k]), 9) for k in ("a", "b", "query_loss"))) for r in res.task_weights],
+                                 "epoch int, w_a double, w_b double, query_loss double")
+
+
 @register("epoch_loop")
 def q_epoch_loop(spark, sf_dir):
     """Mini-batch epochs (batch 32) of the summed multi-task regime on the
@@ -1085,7 +1118,7 @@ def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: flo
     ``A_t (2 x hidden) + a_t`` (formula starts / sqrt(fan-in), zero biases);
     MTL_awl adds one uncertainty parameter per task (start 1).  Each epoch is
     one step: forward, mean cross-entropy gradients, chain rule, joint norm
-    clip at 1 (model parameters only), AdamW (0.9, 0.999, eps 2e-8) with the
+    clip at 1 (model parameters only), AdamW (0.9, 0.999, eps 2e-8; 1e-6 with learned weights) with the
     rate decaying linearly to zero; then evaluation on the test split.
     """
     tasks = list(tasks)
@@ -1212,7 +1245,8 @@ def _unrolled_run_sql(regime: str = "MTL", tasks=TASKS, epochs: int = 2, lr: flo
         ctes.append(f"""M{s} AS (
   SELECT P.name, P.i, P.j, P.value, P.m * {b1} + (1 - {b1}) * C.g AS m, P.v * {b2} + (1 - {b2}) * C.g * C.g AS v
   FROM P{prev} P JOIN C{s} C ON P.name = C.name AND P.i = C.i AND P.j = C.j)""")
-        ctes.append(f"P{s} AS (SELECT name, i, j, value - {size} * m / (sqrt(v) + {_dbl(2e-8)}) AS value, m, v FROM M{s})")
+        eps = trn.ADAM_EPS_DEFAULT if regime == "MTL_awl" else trn.ADAM_EPS
+        ctes.append(f"P{s} AS (SELECT name, i, j, value - {size} * m / (sqrt(v) + {_dbl(eps)}) AS value, m, v FROM M{s})")
         ctes += heads(s)
         if meta:
             a, b = tasks[0], tasks[1]
@@ -1433,7 +1467,7 @@ import functools  # noqa: E402
 FLATTEN = {
     "encode_ids": ["encoded"], "pad_truncate": ["input_ids"], "attention_mask": ["attention_mask"],
     "post_truncate": ["tokens"], "linear_layer": ["logits"], "two_head_scores": ["logits_a", "logits_b"],
-    "softmax_probs": ["probs"], "tanh_layer": ["h"], "clip_norm": ["x"], "attention_pool": ["pooled"],
+    "softmax_probs": ["probs"], "tanh_layer": ["h"], "clip_norm": ["x"], "attention_pool": ["pooled"], "attention_pool_hops": ["pooled"],
     "frozen_features": ["x"], "select_model_features": ["x"], "fit_single_task": ["w"], "score_batch": ["logits"],
     "apply_encoder": ["x"],
 }
