@@ -278,7 +278,7 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def _with_grams(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``wanted`` (rid and more) with the n-gram sets of those rows as binary."""
     names = wanted.columns
-    joined = docs.join(wanted, "rid").select(*names, "text")
+    joined = docs.join(wanted.hint("merge"), "rid").select(*names, "text")  # one plan at every size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
