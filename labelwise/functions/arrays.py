@@ -1,8 +1,9 @@
 """Array column expressions: padding, masks, argmax, linear maps, softmax, losses.
 
-All are built-in higher-order functions, so they run inside whole-stage
-codegen with no Python on the hot path.  Weights enter as array literals
-(a handful of classes times the feature width), never through a join.
+All are built-in higher-order functions: they run in the JVM, without Python,
+but Spark interprets their lambdas row by row.  Weights enter as array literals
+(a handful of classes times the feature width), never through a join; whole
+batches go faster through the Arrow passes of ``operators.train``.
 """
 
 from __future__ import annotations
