@@ -119,6 +119,21 @@ SELECT doc_id, len(d.w)::BIGINT AS n_words, coalesce(x.n, 0)::BIGINT AS n_hit, c
 FROM docs d LEFT JOIN words x USING (rid) LEFT JOIN named y USING (rid)""".replace(
     "lower_az(coalesce(text, ''))", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
+_OP1_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT rid, i, b[i:i + 199] AS g FROM (SELECT rid, b, unnest(range(1, n - 198)) AS i FROM docs WHERE n >= 200)),
+twice AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) > 1),
+steps AS (SELECT rid, i, coalesce(i > 200 + lag(i) OVER (PARTITION BY rid ORDER BY i), true) AS opens FROM twice),
+numbered AS (SELECT rid, i, sum(opens::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM steps),
+runs AS (SELECT rid, min(i) AS a, max(i) + 200 AS z FROM numbered GROUP BY rid, run),
+gaps AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 1) AS f, a AS t FROM runs
+  UNION ALL SELECT rid, max(z), max(n) + 1 FROM runs JOIN docs USING (rid) GROUP BY rid),
+kept AS (SELECT rid, string_agg(CASE WHEN t > f THEN hex(b[f:t - 1]) ELSE '' END, '' ORDER BY f) AS h FROM gaps JOIN docs USING (rid) GROUP BY rid),
+sums AS (SELECT rid, sum(z - a) AS removed, count(*) AS spans FROM runs GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM docs LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)"""
+
 _OP5_SQL = r"""
 WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -156,4 +171,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {"op3_decontamination": _OP3_SQL, "op5_ngram_join": _OP5_SQL, "op7_quality_rules": _op7_sql(), "op9_fm_dedup": _OP9_SQL}
+ORACLE: dict[str, str] = {"op1_suffix_dedup": _OP1_SQL, "op3_decontamination": _OP3_SQL, "op5_ngram_join": _OP5_SQL, "op7_quality_rules": _op7_sql(), "op9_fm_dedup": _OP9_SQL}
