@@ -28,15 +28,12 @@ def formula_weights(rows: int, cols: int, a: int = 7, b: int = 3, m: int = 11, s
 def softmax_weights(df: DataFrame, seq: Sequence[str], score: str = "score", out: str = "weight") -> DataFrame:
     """Normalise scores over each sequence (max-shifted), weights sum to 1.
 
-    Written as two aggregates joined back on the sequence key rather than a
-    window, so a sequence holding a large share of all rows is reduced by
-    map-side partial aggregation instead of being sorted into one task.
+    A sequence is one text's positions, at most the encoding length, so a
+    window per sequence is bounded: one scan and one exchange.
     """
-    seq = list(seq)
-    peak = df.groupBy(*seq).agg(F.max(score).alias("_m"))
-    shifted = df.join(peak, seq).withColumn("_e", F.exp(F.col(score) - F.col("_m")))
-    total = shifted.groupBy(*seq).agg(F.sum("_e").alias("_z"))
-    return shifted.join(total, seq).withColumn(out, F.col("_e") / F.col("_z")).drop("_m", "_e", "_z")
+    own = Window.partitionBy(*seq)
+    shifted = df.withColumn("_e", F.exp(F.col(score) - F.max(score).over(own)))
+    return shifted.withColumn(out, F.col("_e") / F.sum("_e").over(own)).drop("_e")
 
 
 def hop_scores(vec, w1: Sequence[Sequence[float]], b1: Sequence[float], w2: Sequence[Sequence[float]],
@@ -57,19 +54,17 @@ def attention_pool(df: DataFrame, seq: str = "seq_id", pos: str = "pos", vec: st
     Returns (seq, pooled) with ``pooled`` ordered hop-major.
 
     The softmax denominator is summed in the same aggregate as the weighted
-    vectors (numerator and denominator per (seq, hop, dim)), so apart from
-    the per-sequence maximum no value is joined back to the positions.  A
-    sequence is one text's positions (at most the encoding length), so the
-    per-sequence work is bounded; the maxima table is broadcast by Spark
-    when small and joined by key otherwise.
+    vectors (numerator and denominator per (seq, hop, dim)), and the maximum
+    comes from a window: one scan, no join.  A sequence is one text's positions
+    (at most the encoding length), so the per-sequence work is bounded.
     """
     sc = scores if scores is not None else F.array(F.element_at(F.col(vec), 1).cast("double"))
     base = df.select(seq, pos, vec, *([mask] if mask else []), sc.alias("_s"))
     if mask:
         base = base.where(F.col(mask) == 1)
     hops = base.select(seq, pos, vec, F.posexplode("_s").alias("hop", "score"))
-    peak = hops.groupBy(seq, "hop").agg(F.max("score").alias("_m"))
-    weighted = hops.join(peak, [seq, "hop"]).withColumn("_e", F.exp(F.col("score") - F.col("_m")))
+    peak = F.max("score").over(Window.partitionBy(seq, "hop"))
+    weighted = hops.withColumn("_e", F.exp(F.col("score") - peak))
     dims = weighted.select(seq, "hop", "_e", F.posexplode(vec).alias("dim", "v"))
     summed = dims.groupBy(seq, "hop", "dim").agg(
         (F.sum(F.col("_e") * F.col("v")) / F.sum("_e")).alias("value"))

@@ -600,14 +600,15 @@ def q_clip_norm(spark, sf_dir):
 
 
 SEQ_SQL = """
-s AS (SELECT label AS seq_id, vec_id AS pos, embedding AS x, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings),
+s AS (SELECT vec_id // 128 AS seq_id, vec_id AS pos, embedding AS x, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings),
 sw AS (SELECT *, exp(score - max(score) OVER (PARTITION BY seq_id)) AS e FROM s),
 sw2 AS (SELECT *, e / sum(e) OVER (PARTITION BY seq_id) AS weight FROM sw)"""
 
 
 def _seq(spark, sf_dir):
+    """Fixed vectors as sequences of 128 positions, the encoding length."""
     return tb.read_table(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("seq_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("x"),
+        F.floor(F.col("vec_id") / 128).cast(tb.read_table(spark, sf_dir, "embeddings").schema["vec_id"].dataType).alias("seq_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("x"),
         F.element_at("embedding", 1).cast("double").alias("score"))
 
 
@@ -637,7 +638,7 @@ def _hops_sql() -> str:
                        for row, b in zip(w1, b1))
     scores = ", ".join(" + ".join(f"{w} * h[{j + 1}]" for j, w in enumerate(row)) + f" + {b}" for row, b in zip(w2, b2))
     return f"""
-WITH hid AS (SELECT label AS seq_id, vec_id AS pos, embedding AS x, [{hidden.replace('x,', 'embedding,')}] AS h FROM embeddings),
+WITH hid AS (SELECT vec_id // 128 AS seq_id, vec_id AS pos, embedding AS x, [{hidden.replace('x,', 'embedding,')}] AS h FROM embeddings),
 sc AS (SELECT seq_id, pos, x, unnest([{scores}]) AS score, unnest([0, 1]) AS hop FROM hid),
 sw AS (SELECT *, exp(score - max(score) OVER (PARTITION BY seq_id, hop)) AS e FROM sc),
 d AS (SELECT seq_id, hop, e, unnest(x) AS v, generate_subscripts(x, 1) AS dim FROM sw),
