@@ -23,7 +23,8 @@ def main(sf_dir: str = "/root/testdata/sf0.001", results_dir: str | None = None)
     spark = get_spark("local[*]")
 
     # 1. transcripts and labels, linked by the participant id in the file name
-    transcripts = prep.with_id(tables.transcripts_from_conversations(tables.read_table(spark, sf_dir, "conversations")))
+    transcripts = prep.with_id(tables.transcripts_from_conversations(tables.read_table(spark, sf_dir, "conversations")),
+                               pattern=prep.WHOLE_ID_PATTERN, dtype="bigint")
     labels = tables.participant_labels(tables.read_table(spark, sf_dir, "labels"))
     linked = prep.link_labels(labels, transcripts)
     examples = prep.dedup_examples(prep.drop_columns(linked, ["index", "label", "label_notes", "audio_features"]))
