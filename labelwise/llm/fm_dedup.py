@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from labelwise.llm.repeats import remove_repeats
 
-WIDTH, SEED = 50, 10
+WIDTH, SEED = 50, 16
 _NONE = np.iinfo(np.int64).max
 
 

@@ -6,7 +6,8 @@ decided in shards by a solver (an operator's method); this module brings togethe
 1. Every window has an anchor: the place in it where the hash of ``seed`` consecutive units is least (leftmost).  Equal
    windows have the same anchor content at the same offset.  Neighbouring windows mostly share an anchor, so a text is
    covered by few spans: an anchor, and the windows that it owns, about (width - seed) / 2 of them.
-2. Anchors are dealt by their hash; those whose content occurs once in the corpus are dropped, streaming.
+2. Anchors are dealt by their hash; those whose content occurs once in the corpus are dropped, streaming.  Of an anchor
+   that a piece of the scan already holds twice, one row is dealt so and the others anywhere, so no anchor is hot.
 3. The spans of what is left are cut from the texts; equal spans are combined with their count and smallest document, so
    a passage that a third of the corpus shares is one row in its interior.
 4. Spans are range-partitioned by the ``seed`` units at their anchor (Spark samples the splitters), sorted, and handed to
@@ -18,6 +19,7 @@ Rows are identified by their number in the scan; the input must be read in the s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelwise.llm.common import (BASE_A, BASE_B, as_long, byte_symbols, pieces, sha256_hex, slice_hash, text_buffer, word_bounds,
+from labelwise.llm.common import (BASE_A, BASE_B, as_long, byte_symbols, mix64, pieces, sha256_hex, slice_hash, text_buffer, word_bounds,
                                   word_hashes, written)
 
 PIECE = 1 << 20
@@ -96,39 +98,41 @@ def _anchor_rows(texts: DataFrame, words: bool, width: int, seed: int) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
             row, start, count, off, h = anchors(Units(batch.column(1), words), width, seed)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(h)), batch.column(0).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)),
-                 pa.array(off.astype(np.int32))], ["anchor", "rid", "start", "n", "off"])
+            # an anchor met twice here is known to be repeated: one row (1) tells the others, the rest (2) need not meet them
+            _, head, of, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            told = np.where(times[of] > 1, 2, 0).astype(np.int8)
+            told[head[times > 1]] = 1
+            span = start << 32 | count << 16 | off
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), pa.array(told), batch.column(0).take(pa.array(row)), pa.array(span)],
+                                             ["anchor", "told", "rid", "span"])
 
-    return texts.mapInArrow(run, "anchor long, rid long, start int, n int, off int")
+    return texts.mapInArrow(run, "anchor long, told tinyint, rid long, span long")
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
     """The rows whose anchor occurs at least twice, in one pass over sorted rows; without the anchor."""
+    names = ["rid", "span"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far, not yet known to be repeated
-        last, told = None, False
+        held, last = None, None  # the last row if it is not known to be repeated; the last anchor
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h = batch.column(0).to_numpy()
+            h, repeated = batch.column(0).to_numpy(), batch.column(1).to_numpy() > 0
             same = h[1:] == h[:-1]
-            repeated = np.zeros(len(h), bool)
             repeated[1:] |= same
             repeated[:-1] |= same
-            head = int(np.argmax(h != h[0])) if (h != h[0]).any() else len(h)
-            if last is not None and h[0] == last:
-                repeated[:head] = True
-                if not told:
+            if h[0] == last:
+                repeated[0] = True  # a run goes on; its further rows equal their neighbours
+                if held is not None:
                     yield held
-            tail_told = bool(repeated[-1])
             if repeated.any():
-                yield batch.select(["rid", "start", "n", "off"]).filter(pa.array(repeated))
-            last, told = h[-1], tail_told
-            held = None if told else batch.select(["rid", "start", "n", "off"]).slice(batch.num_rows - 1, 1)
+                yield batch.select(names).filter(pa.array(repeated))
+            last = h[-1]
+            held = None if repeated[-1] else batch.select(names).slice(batch.num_rows - 1, 1)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "rid long, start int, n int, off int")
+    deal = F.when(F.col("told") == 2, F.xxhash64("anchor", "rid", "span")).otherwise(F.col("anchor"))
+    return rows.repartition(deal).sortWithinPartitions("anchor").mapInArrow(run, "rid long, span long")
 
 
 def _keys(units: Units, begin: np.ndarray, end: np.ndarray, n: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,30 +149,47 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), lengths.astype(np.int64)
 
 
-_STAGED = "rid long, doc_id {kind}, n_units long, kept_sha256 string, text string, starts array<int>, ns array<int>, offs array<int>, h1 array<long>, h2 array<long>"
+def _unpacked(column: pa.Array) -> pa.Array:
+    """Compressed texts as a binary column; null stays null."""
+    return pa.array([None if x is None else zlib.decompress(x) for x in column.to_pylist()], pa.large_binary())
+
+
+def _packed(numbered: DataFrame) -> DataFrame:
+    """The texts compressed, before they are shuffled."""
+    kind = dict(numbered.dtypes)["doc_id"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", PIECE):
+            packed = [None if t is None else zlib.compress(t.encode(), 1) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["rid", "doc_id", "packed"])
+
+    return numbered.mapInArrow(run, f"rid long, doc_id {kind}, packed binary")
+
+
+_STAGED = "rid long, doc_id {kind}, n_units long, kept_sha256 string, packed binary, starts array<int>, ns array<int>, offs array<int>, h1 array<long>, h2 array<long>"
 
 
 def _staged(numbered: DataFrame, marks: DataFrame, words: bool, width: int) -> DataFrame:
     """Every document once: texts without repeated anchors are finished (kept as they are), others carry text and spans."""
-    lists = marks.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "n", "off"))).alias("m"))  # bounded by one text
-    joined = numbered.join(lists, "rid", "left").select("rid", "doc_id", "text", F.col("m.start").alias("starts"), F.col("m.n").alias("ns"),
-                                                        F.col("m.off").alias("offs"))
+    lists = marks.groupBy("rid").agg(F.sort_array(F.collect_list("span")).alias("spans"))  # bounded by one text
+    joined = _packed(numbered).join(lists.hint("merge"), "rid", "left").select("rid", "doc_id", "packed", "spans")
     schema = _STAGED.format(kind=dict(numbered.dtypes)["doc_id"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", PIECE):
-            units = Units(batch.column(2), words)
-            (start, size), (n, _), (off, _) = (_flat(batch.column(i)) for i in (3, 4, 5))
+        for batch in pieces(batches, "packed", PIECE // 3):
+            units = Units(_unpacked(batch.column(2)), words)
+            span, size = _flat(batch.column(3))
+            start, n, off = span >> 32, span >> 16 & 0xFFFF, span & 0xFFFF
             row = np.repeat(np.arange(batch.num_rows), size)
             begin = units.first[:-1][row] + start
             h1, h2 = (as_long(h) for h in _keys(units, begin, begin + n + width - 1, n, off))
             edge = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
             plain = [None if size[r] else sha256_hex(units.kept(r, np.zeros(int(units.first[r + 1] - units.first[r]), bool))) for r in range(batch.num_rows)]
-            text = pa.array([t if m else None for t, m in zip(batch.column(2).to_pylist(), size.tolist())], pa.string())
+            packed = pa.array([t if m else None for t, m in zip(batch.column(2).to_pylist(), size.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(units.first), pa.int64()), pa.array(plain, pa.string()), text,
+                [batch.column(0), batch.column(1), pa.array(np.diff(units.first), pa.int64()), pa.array(plain, pa.string()), packed,
                  *[pa.ListArray.from_arrays(edge, pa.array(x)) for x in (start.astype(np.int32), n.astype(np.int32), off.astype(np.int32), h1, h2)]],
-                ["rid", "doc_id", "n_units", "kept_sha256", "text", "starts", "ns", "offs", "h1", "h2"])
+                ["rid", "doc_id", "n_units", "kept_sha256", "packed", "starts", "ns", "offs", "h1", "h2"])
 
     return joined.mapInArrow(run, schema)
 
@@ -179,8 +200,8 @@ def _spans(staged: DataFrame, words: bool, width: int, seed: int) -> DataFrame:
     unit = 8 if words else 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", PIECE):
-            units = Units(batch.column(1), words)
+        for batch in pieces(batches, "packed", PIECE // 3):
+            units = Units(_unpacked(batch.column(1)), words)
             (start, size), (n, _), (off, _) = (_flat(batch.column(i)) for i in (2, 3, 4))
             row = np.repeat(np.arange(batch.num_rows), size)
             begin = units.first[:-1][row] + start
@@ -189,7 +210,7 @@ def _spans(staged: DataFrame, words: bool, width: int, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)),
                                               batch.column(0).take(pa.array(row))], ["content", "n", "off", "doc_id"])
 
-    rows = staged.where("text IS NOT NULL").select("doc_id", "text", "starts", "ns", "offs").mapInArrow(
+    rows = staged.where("packed IS NOT NULL").select("doc_id", "packed", "starts", "ns", "offs").mapInArrow(
         run, f"content binary, n int, off int, doc_id {kind}")
     merged = rows.groupBy("content", "n", "off").agg(F.count("*").alias("times"), F.min("doc_id").alias("least"))
     lead = F.expr(f"substring(content, 1 + off * {unit}, {seed * unit})")
@@ -248,17 +269,17 @@ def remove_repeats(docs: DataFrame, words: bool, width: int, seed: int, solver:
     marks = _repeated(_anchor_rows(numbered.select("rid", "text"), words, width, seed))
     staged = written(_staged(numbered, marks, words, width), f"{name}-staged")
     solved = _solved(_spans(staged, words, width, seed), words, width, solver, chunk)
-    places = staged.where("text IS NOT NULL").select("rid", F.explode(F.arrays_zip("starts", "ns", "h1", "h2")).alias("p")).select(
+    places = staged.where("packed IS NOT NULL").select("rid", F.explode(F.arrays_zip("starts", "ns", "h1", "h2")).alias("p")).select(
         "rid", F.col("p.starts").alias("start"), F.col("p.ns").alias("n"), F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"))
-    answers = places.join(solved, ["h1", "h2"]).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "answer")).alias("a"))  # bounded by one text
-    joined = staged.select("rid", "doc_id", "n_units", "kept_sha256", "text").join(answers, "rid", "left").select(
-        "rid", "doc_id", "n_units", "kept_sha256", "text", F.col("a.start").alias("starts"), F.col("a.n").alias("ns"), F.col("a.answer").alias("answers"))
+    answers = places.join(solved.hint("merge"), ["h1", "h2"]).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "answer")).alias("a"))  # bounded by one text
+    joined = staged.select("rid", "doc_id", "n_units", "kept_sha256", "packed").join(answers.hint("merge"), "rid", "left").select(
+        "rid", "doc_id", "n_units", "kept_sha256", "packed", F.col("a.start").alias("starts"), F.col("a.n").alias("ns"), F.col("a.answer").alias("answers"))
     kind = dict(numbered.dtypes)["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", PIECE):
+        for batch in pieces(batches, "packed", PIECE // 3):
             ids, sizes, sha, texts, starts, ns, answers_ = (batch.column(i).to_pylist() for i in range(1, 8))
-            units = Units(batch.column(4), words)
+            units = Units(_unpacked(batch.column(4)), words)
             removed, runs, kept = [0] * batch.num_rows, [0] * batch.num_rows, [None] * batch.num_rows
             for r in range(batch.num_rows):
                 if texts[r] is None:

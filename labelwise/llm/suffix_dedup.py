@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from labelwise.llm.repeats import remove_repeats
 
-WIDTH, SEED = 200, 40
+WIDTH, SEED = 200, 64
 
 
 def multikey_sort(raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
