@@ -153,6 +153,10 @@ def first_documents(contents: list[bytes], n: np.ndarray, off: np.ndarray, times
     return [x.astype("<i8").tobytes() if c else None for x, c in zip(first, changed.tolist())]
 
 
+def _whole(_times: np.ndarray, least: list) -> bytes:
+    return np.array([_NONE if x is None else x for x in least], "<i8").tobytes()
+
+
 def _flags(answer: bytes, n: int, doc) -> np.ndarray:
     return np.frombuffer(answer, "<i8", count=n) < (_NONE if doc is None else doc)
 
@@ -163,5 +167,5 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
         return first_documents(contents, n, off, times, least, width, seed)
 
     ids = docs.withColumn(doc_id, F.col(doc_id).cast("long"))
-    out = remove_repeats(ids, True, width, seed, solver, _flags, "fm", doc_id, text, **options)
+    out = remove_repeats(ids, True, width, seed, solver, _whole, _flags, "fm", doc_id, text, **options)
     return out.withColumnRenamed("n_units", "n_words")

@@ -11,7 +11,8 @@ decided in shards by a solver (an operator's method); this module brings togethe
 3. The spans of what is left are cut from the texts; equal spans are combined with their count and smallest document, so
    a passage that a third of the corpus shares is one row in its interior.
 4. Spans are range-partitioned by the ``seed`` units at their anchor (Spark samples the splitters), sorted, and handed to
-   the solver in chunks that never separate equal anchors.
+   the solver in chunks that never separate equal anchors.  An anchor with too many distinct spans for one task is
+   solved by its windows instead.
 5. The answer goes back to the occurrences of each span and is applied to the texts.
 
 Rows are identified by their number in the scan; the input must be read in the same order each time, as files are.
@@ -32,6 +33,8 @@ from labelwise.llm.common import (BASE_A, BASE_B, as_long, byte_symbols, mix64,
 
 PIECE = 1 << 20
 CHUNK = 4_000_000
+#: Distinct spans of one anchor that one task may solve together, and the most anchors that are dealt by window instead.
+HOT_SPANS, MAX_HOT = 100_000, 10_000
 
 
 class Units:
@@ -221,8 +224,59 @@ def _spans(staged: DataFrame, words: bool, width: int, seed: int) -> DataFrame:
 Solver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, list], list]
 
 
-def _solved(spans: DataFrame, words: bool, width: int, solver: Solver, chunk: int) -> DataFrame:
-    """(h1, h2, answer) of the spans that the solver answers."""
+#: Makes a span's answer from the count and the smallest document of each of its windows.
+Whole = Callable[[np.ndarray, list], "bytes | None"]
+
+
+def _solved(spans: DataFrame, words: bool, width: int, solver: Solver, whole: Whole, chunk: int, hot_spans: int) -> DataFrame:
+    """(h1, h2, answer) of the spans that are answered.
+
+    An anchor with more distinct spans than ``hot_spans``, and more than a MAX_HOT-th of all, is not solved in one task:
+    its windows are dealt one by one.  So at most MAX_HOT anchors are singled out, whatever the size of the corpus.
+    """
+    name = F.xxhash64("lead")
+    sizes = spans.groupBy(name.alias("anchor")).count()
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = [r["anchor"] for r in sizes.where(F.col("count") > max(hot_spans, total // MAX_HOT)).collect()]
+    if not hot:
+        return _in_chunks(spans, words, solver, chunk)
+    return _in_chunks(spans.where(~name.isin(hot)), words, solver, chunk).unionByName(_by_window(spans.where(name.isin(hot)), words, width, whole))
+
+
+def _by_window(spans: DataFrame, words: bool, width: int, whole: Whole) -> DataFrame:
+    """The answers of spans whose anchor is hot: every window is a row, combined by its 128-bit name before the shuffle."""
+    kind = dict(spans.dtypes)["least"]
+
+    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "content", PIECE // 8):
+            contents = batch.column(1).to_pylist()
+            n, off, times = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
+            h1, h2 = span_names(contents, n, off, words)
+            raw = np.frombuffer(b"".join(contents), np.uint64 if words else np.uint8)
+            first = np.concatenate([[0], np.cumsum([len(c) // (8 if words else 1) for c in contents])]).astype(np.int64)[:-1]
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            begin = first[row] + at
+            symbols = raw if words else byte_symbols(raw)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(as_long(slice_hash(symbols, begin, begin + width, b))) for b in (BASE_A, BASE_B)], pa.array(as_long(h1)[row]), pa.array(as_long(h2)[row]),
+                 pa.array(at), pa.array(times[row]), batch.column(5).take(pa.array(row))], ["w1", "w2", "h1", "h2", "at", "times", "least"])
+
+    windows = spans.mapInArrow(explode, f"w1 long, w2 long, h1 long, h2 long, at long, times long, least {kind}")
+    summed = windows.groupBy("w1", "w2").agg(F.sum("times").alias("times"), F.min("least").alias("least"))
+    back = windows.select("w1", "w2", "h1", "h2", "at").join(summed, ["w1", "w2"]).groupBy("h1", "h2").agg(
+        F.sort_array(F.collect_list(F.struct("at", "times", "least"))).alias("x")).select("h1", "h2", "x.times", "x.least")  # at most ``width`` windows
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [whole(np.array(t), x) for t, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["h1", "h2", "answer"])
+            yield out.filter(out.column(2).is_valid())
+
+    return back.mapInArrow(answer, "h1 long, h2 long, answer binary")
+
+
+def _in_chunks(spans: DataFrame, words: bool, solver: Solver, chunk: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -259,8 +313,8 @@ def span_names(contents: list[bytes], n: np.ndarray, off: np.ndarray, words: boo
     return _keys(units, edge[:-1], edge[1:], n, off)
 
 
-def remove_repeats(docs: DataFrame, words: bool, width: int, seed: int, solver: Solver, flags: Callable[[bytes, int, object], np.ndarray],
-                   name: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, words: bool, width: int, seed: int, solver: Solver, whole: Whole, flags: Callable[[bytes, int, object], np.ndarray],
+                   name: str, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, hot_spans: int = HOT_SPANS, keep_text: bool = False) -> DataFrame:
     """(rid, doc_id, n_units, n_removed, n_spans, kept_sha256, and kept with ``keep_text``) of every row.
 
     ``flags(answer, n, doc_id)`` says which of a span's n windows are to be removed in a document.
@@ -268,7 +322,7 @@ def remove_repeats(docs: DataFrame, words: bool, width: int, seed: int, solver:
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marks = _repeated(_anchor_rows(numbered.select("rid", "text"), words, width, seed))
     staged = written(_staged(numbered, marks, words, width), f"{name}-staged")
-    solved = _solved(_spans(staged, words, width, seed), words, width, solver, chunk)
+    solved = _solved(written(_spans(staged, words, width, seed), f"{name}-spans"), words, width, solver, whole, chunk, hot_spans)
     places = staged.where("packed IS NOT NULL").select("rid", F.explode(F.arrays_zip("starts", "ns", "h1", "h2")).alias("p")).select(
         "rid", F.col("p.starts").alias("start"), F.col("p.ns").alias("n"), F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"))
     answers = places.join(solved.hint("merge"), ["h1", "h2"]).groupBy("rid").agg(F.collect_list(F.struct("start", "n", "answer")).alias("a"))  # bounded by one text

@@ -100,6 +100,10 @@ def repeated_windows(contents: list[bytes], n: np.ndarray, off: np.ndarray, time
     return [np.packbits(f).tobytes() if f.any() else None for f in flags]
 
 
+def _whole(times: np.ndarray, _least: list) -> bytes | None:
+    return np.packbits(times > 1).tobytes() if (times > 1).any() else None
+
+
 def _flags(answer: bytes, n: int, _doc) -> np.ndarray:
     return np.unpackbits(np.frombuffer(answer, np.uint8), count=n).astype(bool)
 
@@ -109,5 +113,5 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     def solver(contents, n, off, times, least):
         return repeated_windows(contents, n, off, times, least, width, seed)
 
-    out = remove_repeats(docs, False, width, seed, solver, _flags, "suffix", doc_id, text, **options)
+    out = remove_repeats(docs, False, width, seed, solver, _whole, _flags, "suffix", doc_id, text, **options)
     return out.withColumnRenamed("n_units", "n_bytes")

@@ -59,6 +59,15 @@ def test_fm_dedup(table, documents, width, seed, chunk):
     assert got == Counter(brute_words(documents, width))
 
 
+def test_hot_anchors(table, documents):
+    """The same results when every anchor with more than one span is dealt by its windows."""
+    df = table(documents, "doc_id long, text string")
+    got = Counter(tuple(r) for r in suffix_dedup.remove_repeated_bytes(df, width=60, seed=20, hot_spans=1).drop("rid").collect())
+    assert got == Counter(brute_bytes(documents, 60))
+    got = Counter(tuple(r) for r in fm_dedup.remove_repeated_passages(df, width=12, seed=4, hot_spans=1).drop("rid").collect())
+    assert got == Counter(brute_words(documents, 12))
+
+
 def test_kept_text(table):
     rows = [(1, "a " * 60 + "end"), (2, "start " + "a " * 60)]
     kept = {r["doc_id"]: bytes(r["kept"]).decode() for r in fm_dedup.remove_repeated_passages(
