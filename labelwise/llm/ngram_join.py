@@ -293,9 +293,10 @@ def _with_grams(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT,
                       block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(rid, doc_id, n_shingles, class_id, component_id) of every row; rid is the row's number in the scan.
+    """(rid, doc_id, n_shingles, class_id, component_id, root) of every row; rid is the row's number in the scan.
 
-    component_id is the smallest doc_id that links reach (null where all of them are null); class_id names equal sets.
+    component_id is the smallest doc_id that links reach (null where all of them are null); class_id names equal sets, root
+    the component itself, whatever its doc_ids are (null for an empty set, which links with nothing).
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     texts = numbered.select("rid", "text")
@@ -324,17 +325,17 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     roots = components(links, "ngram-linked").withColumnRenamed("node", "key")
     grouped = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("key", "component_id")
+    named = grouped.join(least, "root").select("key", "component_id", "root")
     return sized.join(named, "key", "left").select(
         "rid", "doc_id", F.col("size").alias("n_shingles"), F.col("key").alias("class_id"),
-        F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of every component: that of the smallest doc_id, and of the first such row in the scan; own columns only."""
     found = similar_documents(docs, doc_id, text, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))).alias("best")
-    linked = found.where("n_shingles > 0").groupBy("component_id").agg(first).select(F.col("best.rid").alias("_rid"))
+    linked = found.where("n_shingles > 0").groupBy("root").agg(first).select(F.col("best.rid").alias("_rid"))
     kept = linked.unionByName(found.where("n_shingles = 0").select(F.col("rid").alias("_rid")))
     numbered = docs.select(F.struct("*").alias("_row")).withColumn("_rid", F.monotonically_increasing_id())
     return numbered.join(kept, "_rid", "left_semi").select("_row.*")

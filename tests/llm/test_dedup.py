@@ -148,6 +148,14 @@ def test_one_of_each_group_stays(table, documents):
     assert len(kept) == empty + len({c for (_, size, c) in want if size})
 
 
+def test_groups_are_links_not_ids(table):
+    """Unrelated texts without an id, or with the same one, are groups of their own."""
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[4]), (None, texts[5]), (9, texts[5])]
+    kept = ngram_join.keep_one(table(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in kept) == Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5])])
+
+
 def test_signatures_meet():
     """Any two sets within the bound share a signature."""
     rnd = random.Random(3)
