@@ -5,7 +5,8 @@ text is parsed greedily into longest matches: walk the automaton until it has no
 again.  Text in the sample's language needs few, long phrases; the language with the fewest phrases per character,
 normalised by the sample's size, wins.
 
-The samples are bounded by parameters: at most ``docs_per_lang`` documents per language, chosen by a hash, and
+The samples are bounded by parameters: at most ``docs_per_lang`` distinct texts per language, chosen by a hash (copies
+count once), of each SLICES pieces of ``chars_per_doc`` characters in all, spread over the whole text; and
 ``chars_per_lang`` characters of each language in all, less where there are many languages (``total_chars``).  Prediction
 reads whole texts, many at once: every text is cut into lanes of LANE characters that walk side by side.
 
@@ -29,6 +30,7 @@ from labelwise.llm.common import Shipped, pieces
 
 DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG, TOTAL_CHARS = 160, 400, 48_000, 600_000
 LANE = 256
+SLICES = 4
 SYMBOLS = 250
 MAX_LANGS = 1000
 
@@ -149,14 +151,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
         chars_per_lang: int = CHARS_PER_LANG, total_chars: int = TOTAL_CHARS) -> LanguageModel:
     """Automata from a bounded sample of ``labelled``; rows without language or text are passed over."""
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count")).limit(MAX_LANGS).collect()}
+    # distinct texts, to a few per cent: copies share a hash and would be taken or passed over together
+    distinct = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts"))
+    counts = {r["lang"]: max(r["texts"], 1) for r in distinct.orderBy(F.desc("rows")).limit(MAX_LANGS).collect()}
     if not counts:
         return LanguageModel({}, 0)
-    # a hash picks about three times the wanted rows of each language, so that what is ranked is small
+    # a hash picks about three times the wanted texts of each language, so that what is ranked is small
     h = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    stride, width = F.floor(F.length("text") / SLICES), chars_per_doc // SLICES
+    shift = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(stride - width, F.lit(0)) + 1)
+    cuts = [F.substring(F.col("text"), (stride * i + shift + 1).cast("int"), F.lit(width)) for i in range(SLICES)]
+    cut = F.when(F.length("text") <= chars_per_doc, F.col("text")).otherwise(F.concat_ws("\n", *cuts))
     shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 3 * docs_per_lang / n) * (1 << 30)))])
     few = rows.where(F.col("lang").isin(list(counts))).withColumn("h", h).where(F.col("h") < F.element_at(shares, F.col("lang")))
-    ranked = few.select("lang", "h", F.substring("text", 1, chars_per_doc).alias("text")).distinct().withColumn(
+    ranked = few.select("lang", "h", cut.alias("text")).distinct().withColumn(
         "k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= docs_per_lang)
     samples: dict[str, list[str]] = {}
     for r in ranked.orderBy("lang", "k").collect():

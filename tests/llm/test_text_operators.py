@@ -201,6 +201,15 @@ def test_language_edges(spark, table):
     assert empty.collect() == [] and empty.columns == ["doc_id", "held_out", "lang_pred", "score"]
 
 
+def test_languages_of_few_distinct_texts_are_learned(spark):
+    """Every language has a sample however often its texts are copied, and not of their first characters alone."""
+    rows = spark.range(8 * 3000).selectExpr("concat('l', id % 8) AS lang", "concat(repeat('same words first ', 60), repeat(concat(' ', repeat(char(97 + id % 8), 5)), 300)) AS text")
+    model = langid.fit(rows)
+    assert model.langs == [f"l{i}" for i in range(8)]
+    texts = [" ".join([chr(97 + i) * 5] * 20) for i in range(8)]
+    assert model.predict(texts, model.lookup())[0] == model.langs
+
+
 # ---- HTML
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><header class="site"><a href="/">Home</a></header>
 <nav><ul><li><a href="/x">Menu {i}</a></li></ul></nav><div class="cookie-notice">We use cookies {i}</div>
