@@ -11,14 +11,14 @@ count once), of each SLICES pieces of ``chars_per_doc`` characters in all, sprea
 reads whole texts, many at once: every text is cut into lanes of LANE characters that walk side by side.
 
 Defined cases: a text that is null or has no letter gets ``und`` with score 0.  With a single learned language the score
-is 1.  Ties go to the alphabetically first language.  Without any labelled text everything is ``und``.
+is 1.  Every letter of the samples is a symbol, whatever the script; a letter that no sample has matches nothing.  Ties go
+to the alphabetically first language.  Without any labelled text everything is ``und``.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from labelwise.llm.common import Shipped, pieces
 DOCS_PER_LANG, CHARS_PER_DOC, CHARS_PER_LANG, TOTAL_CHARS = 160, 400, 48_000, 600_000
 LANE = 256
 SLICES = 4
-SYMBOLS = 250
+DENSE_CELLS = 50_000_000
 MAX_LANGS = 1000
 
 
@@ -82,33 +82,45 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """One automaton per language as a table of states by symbols; symbol 0 is any non-letter, 1 any unknown letter."""
+    """One automaton per language; symbol 0 is any non-letter, 1 any letter that no sample has, the others one letter each.
+
+    An automaton is a table of states by symbols, or, where all tables had more than DENSE_CELLS cells (large scripts), the
+    sorted list of its transitions and the row of its start.
+    """
 
     def __init__(self, samples: dict[str, str], chars: int):
         self.langs = sorted(samples)
-        counts = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-        self.symbols = {c: i + 2 for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS])}
+        self.symbols = {c: i + 2 for i, c in enumerate(sorted({c for t in samples.values() for c in t.lower() if c.isalpha()}))}
         self.width = len(self.symbols) + 2
-        self.tables, self.norm = [], []
-        for lang in self.langs:
-            text = [self.symbols.get(c, 1) if c.isalpha() else 0 for c in samples[lang].lower()[:chars]]
-            known: list[int] = [s for s in text if s != 1]  # an unknown letter matches nothing
-            states = suffix_automaton(known)
-            table = np.zeros((len(states), self.width), np.int32)
-            for s, after in enumerate(states):
-                if after:
-                    table[s, list(after)] = list(after.values())
-            self.tables.append(table.ravel())
-            self.norm.append(math.log2(len(known) + 2))
+        texts = [[self.symbols[c] if c.isalpha() else 0 for c in samples[lang].lower()[:chars]] for lang in self.langs]
+        automata = [suffix_automaton(text) for text in texts]
+        dense = self.width * sum(map(len, automata)) <= DENSE_CELLS
+        self.tables = [self._dense(states) if dense else self._sparse(states) for states in automata]
+        self.norm = [math.log2(len(text) + 2) for text in texts]
+
+    def _dense(self, states: list[dict[int, int]]) -> np.ndarray:
+        table = np.zeros((len(states), self.width), np.int32)
+        for s, after in enumerate(states):
+            if after:
+                table[s, list(after)] = list(after.values())
+        return table.ravel()
+
+    def _sparse(self, states: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(state * width + symbol of every transition, sorted; where it leads; the row of the start)."""
+        keys = np.array([s * self.width + c for s, after in enumerate(states) for c in sorted(after)] + [1 << 62], np.int64)
+        targets = np.array([after[c] for after in states for c in sorted(after)] + [0], np.int32)
+        start = np.zeros(self.width, np.int32)
+        start[list(states[0])] = list(states[0].values())
+        return keys, targets, start
 
     def lookup(self) -> np.ndarray:
         """Symbol of every code point."""
-        out = _letters().astype(np.uint8)
+        out = _letters().astype(np.int32)
         for c, i in self.symbols.items():
             out[ord(c)] = i
         return out
 
-    def phrases(self, symbols: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    def phrases(self, symbols: np.ndarray, sizes: np.ndarray, table: np.ndarray | tuple) -> np.ndarray:
         """Number of phrases of each text under one automaton."""
         lanes = -(-sizes // LANE)
         of = np.repeat(np.arange(len(sizes)), lanes)
@@ -119,15 +131,21 @@ class LanguageModel:
         active = np.searchsorted(-length, -np.arange(LANE), side="left")  # lanes longer than t come first
         state, count = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int32)
         width = self.width
+        start = table[2] if isinstance(table, tuple) else table
         for t in range(LANE):
             a = int(active[t])
             if not a:
                 break
             c = symbols[begin[:a] + t]
-            step = table[state[:a] * width + c]
+            if isinstance(table, tuple):
+                key = state[:a].astype(np.int64) * width + c
+                at = np.searchsorted(table[0], key)
+                step = np.where(table[0][at] == key, table[1][at], 0)
+            else:
+                step = table[state[:a] * width + c]
             fail = step == 0
             count[:a] += fail
-            state[:a] = np.where(fail, table[c], step)
+            state[:a] = np.where(fail, start[c], step)
         return np.bincount(of[order], weights=count, minlength=len(sizes))
 
     def predict(self, texts: list[str | None], lookup: np.ndarray) -> tuple[list[str], list[float]]:
@@ -137,7 +155,6 @@ class LanguageModel:
         letters[sizes == 0] = 0
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        symbols = symbols.astype(np.int32)
         cost = np.stack([(self.phrases(symbols, sizes, table) + 1) * norm for table, norm in zip(self.tables, self.norm)])
         best = cost.argmin(0)
         low = cost.min(0)

@@ -210,6 +210,26 @@ def test_languages_of_few_distinct_texts_are_learned(spark):
     assert model.predict(texts, model.lookup())[0] == model.langs
 
 
+@pytest.mark.parametrize("cells", [langid.DENSE_CELLS, 0])
+def test_large_scripts(cells, monkeypatch):
+    """Languages that differ only in letters outside the most frequent few hundred are told apart."""
+    monkeypatch.setattr(langid, "DENSE_CELLS", cells)
+    rnd = random.Random(8)
+
+    def words(first, letters, n):
+        return ["".join(chr(first + rnd.randrange(letters)) for _ in range(rnd.randint(2, 3))) for _ in range(n)]
+
+    common, own = words(0x4E00, 200, 400), {"s": words(0x7000, 600, 300), "t": words(0x8000, 600, 300)}
+
+    def text(lang, n):
+        return "".join(rnd.choice(own[lang] if rnd.random() < 0.2 else common) for _ in range(n))
+
+    model = langid.LanguageModel({"s": text("s", 6000), "t": text("t", 5000)}, 20_000)
+    texts = ["".join(rnd.choice(own[lang]) for _ in range(60)) for lang in ("s", "t")] + [text(lang, 200) for lang in ("s", "t")]
+    assert model.predict(texts, model.lookup())[0] == ["s", "t", "s", "t"]
+    assert len(model.symbols) > 600
+
+
 # ---- HTML
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><header class="site"><a href="/">Home</a></header>
 <nav><ul><li><a href="/x">Menu {i}</a></li></ul></nav><div class="cookie-notice">We use cookies {i}</div>
