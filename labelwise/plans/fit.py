@@ -11,7 +11,7 @@ task), counts and the report reach the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark import StorageLevel
@@ -47,7 +47,7 @@ class RunConfig:
     alpha: float = 1.0                 # meta step on task weights
     accumulate: bool = False           # meta: gradients accumulate over the epoch (source behaviour)
     faithful_difference: bool = False  # meta: difference step 1 only (source behaviour)
-    max_steps: int = 1000              # gradient steps (Spark jobs) per epoch; more batches are taken in groups
+    max_steps: int | None = None       # bound of gradient steps (Spark jobs) per epoch, by larger batches; None: one step per batch
     schedule: bool = True              # linear decay of the rate to zero
     eps: float | None = None           # optimizer epsilon; None: the regime's own
     keep_params: bool = False          # parameters after every step in the history
@@ -77,11 +77,16 @@ def _partitions_for(df: DataFrame, n_rows: int) -> int:
     return max(1, min(cap, -(-n_rows // ROWS_PER_PARTITION)))
 
 
+def _group(batches: int, cfg: RunConfig) -> int:
+    """Batches that one step takes together."""
+    return 1 if cfg.max_steps is None else -(-batches // cfg.max_steps) or 1
+
+
 class _Steps:
     """The row sets of one epoch's gradient steps, made one at a time.
 
-    The rows are ranked and cached once.  Where an epoch has more than ``max_steps`` batches, consecutive batches are
-    taken together, so the number of jobs stays bounded however many rows there are.
+    The rows are ranked and cached once.  With ``max_steps``, an epoch of more batches takes consecutive batches together,
+    so the number of jobs stays bounded however many rows there are; the report then has the batch size that results.
     """
 
     def __init__(self, rows: DataFrame, cfg: RunConfig, epoch: int, id_col: str, n_rows: int | None):
@@ -96,7 +101,7 @@ class _Steps:
         self.batched = ranked.persist(StorageLevel.MEMORY_AND_DISK)
         batches = smp.n_batches(self.batched.count(), cfg.batch_size)
         smp.release(ranked)
-        self.group = -(-batches // cfg.max_steps) or 1
+        self.group = _group(batches, cfg)
         self.n = -(-batches // self.group)
 
     def __iter__(self):
@@ -199,7 +204,8 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     d = len(fit_rows.select(x).first()[0])
     model = tr.LinearModel.create(tasks, cfg.classes, d, None if cfg.regime == "STL" else cfg.hidden, cfg.init)
     batches = 1 if cfg.batch_size is None else smp.n_batches(n_fit, cfg.batch_size)
-    per_epoch = -(-batches // (-(-batches // cfg.max_steps) or 1))
+    group = _group(batches, cfg)
+    per_epoch = -(-batches // group)
     eps = cfg.eps if cfg.eps is not None else tr.ADAM_EPS_DEFAULT if cfg.regime == "MTL_awl" else tr.ADAM_EPS
     opt = tr.Optimizer(cfg.optimizer, cfg.lr, per_epoch * cfg.epochs, schedule=cfg.schedule, no_decay=("s",), eps=eps)
     s = np.ones(len(tasks))                 # learned uncertainty parameters
@@ -259,7 +265,7 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     metrics = evals[0]
     for e in evals[1:]:
         metrics = metrics.unionByName(e)
-    report = _report(metrics, tasks, cfg)
+    report = _report(metrics, tasks, cfg if group == 1 else replace(cfg, batch_size=cfg.batch_size * group))
     # The report is one row per epoch: bring it back once, then release every cache.
     spark = train.sparkSession
     result.report = spark.createDataFrame(report.collect(), report.schema)

@@ -1032,7 +1032,7 @@ def q_fit_meta_batches(spark, sf_dir):
     no SQL form, checked against a step-by-step numpy run."""
     parts = smp.support_query_test(_emb(spark, sf_dir), "row_id")
     cfg = fp.RunConfig(model="embedding", tasks=("a", "b"), regime="MTL_meta", epochs=2, lr=0.01, batch_size=32, data="embeddings",
-                       accumulate=True, faithful_difference=True, max_steps=12)
+                       accumulate=True, faithful_difference=True)
     res = fp.fit_tagged(parts, {"a": "a", "b": "b"}, cfg, split_col="part", train_value="support")
     return spark.createDataFrame([(r["epoch"], *(round(float(r[k]), 9) for k in ("a", "b", "query_loss"))) for r in res.task_weights],
                                  "epoch int, w_a double, w_b double, query_loss double")

@@ -88,6 +88,17 @@ def test_steps_are_bounded(spark):
     assert res.history[0]["lr"] == cfg.lr
 
 
+def test_every_batch_is_a_step(spark):
+    """Batches are merged only on request, and the report says the batch size that results."""
+    emb = spark.range(1200).selectExpr("id AS row_id", "array(CAST(id AS DOUBLE) / 300, 1.0D) AS x", "CAST(id % 2 AS INT) AS a")
+    cfg = fp.RunConfig(tasks=("a",), regime="STL", epochs=1, batch_size=1, data="embeddings")
+    steps = fp._Steps(emb, cfg, 0, "row_id", None)
+    assert steps.n == 1200 and steps.group == 1
+    steps.release()
+    res = fp.fit(emb, emb, {"a": "a"}, fp.RunConfig(tasks=("a",), regime="STL", epochs=1, batch_size=100, max_steps=5, data="embeddings"))
+    assert len(res.history) == 4 and {r["batch_size"] for r in res.report.collect()} == {300}
+
+
 def test_unknown_dataset(spark):
     emb = spark.range(3).selectExpr("id AS row_id", "array(1.0D) AS x", "0 AS a")
     with pytest.raises(ValueError, match="unknown dataset"):
