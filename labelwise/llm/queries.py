@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwise.llm import bpe, chat, decontam, fm_dedup, html_extract, langid, ngram_join, pii, quality, suffix_dedup
+from labelwise.llm import bpe, byte_bpe, chat, decontam, fm_dedup, html_extract, langid, ngram_join, pii, quality, suffix_dedup
 from labelwise.llm.common import read_table, written
 
 #: Vocabulary of op10; a parameter of the operator.
 BPE_FILE = "word_bpe_49k.json"
+#: Ranks of op12; a parameter of the operator.
+RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
 def bpe_path() -> str:
@@ -19,6 +21,12 @@ def bpe_path() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def rank_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(RANK_FILE)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(read_table(spark, sf_dir, "documents")).drop("rid")
 
@@ -63,6 +71,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"), bpe_path())
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.token_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"), rank_path())
+
+
 def _op7_sql() -> str:
     """The same rules and the same EM, as a recursive query over the vote patterns."""
     votes = " || ".join(f"CASE WHEN {bad} THEN 'b' WHEN {good} THEN 'g' ELSE 'a' END" for _, bad, good in quality.RULES)
@@ -169,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_fm_dedup": op9_fm_dedup,
     "op10_bpe": op10_bpe,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {"op1_suffix_dedup": _OP1_SQL, "op3_decontamination": _OP3_SQL, "op5_ngram_join": _OP5_SQL, "op7_quality_rules": _op7_sql(), "op9_fm_dedup": _OP9_SQL}
