@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelwise.llm import bpe, byte_bpe, chat, decontam, fm_dedup, html_extract, langid, ngram_join, pii, quality, suffix_dedup
+from labelwise.llm import bpe, byte_bpe, chat, decontam, fm_dedup, html_extract, langid, ngram_join, pii, prefix_trie, quality, structure, suffix_dedup
 from labelwise.llm.common import read_table, written
 
 #: Vocabulary of op10; a parameter of the operator.
@@ -71,10 +71,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"), bpe_path())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"), rank_path())
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
 def _op7_sql() -> str:
     """The same rules and the same EM, as a recursive query over the vote patterns."""
     votes = " || ".join(f"CASE WHEN {bad} THEN 'b' WHEN {good} THEN 'g' ELSE 'a' END" for _, bad, good in quality.RULES)
@@ -170,6 +178,73 @@ kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n FROM w
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (rid)"""
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit: -1 stands for a shift."""
+    steps = f"flatten(list_transform(range(1, len({text}) + 1), lambda i: [ord(({text})[i]), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, {steps}), "
+            "lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))")
+
+
+#: Whole paths stand for nodes; every node adds to each of its ancestors.
+_OP11_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i FROM conversations),
+own AS (SELECT conv_id AS c, list(struct_pack(r := r, x := x) ORDER BY i) AS seq FROM t GROUP BY conv_id),
+drawn AS (SELECT c, seq, CASE WHEN c IS NULL THEN 0 ELSE %CRC% % 4 END AS h, c - c % 20 AS base FROM (SELECT *, coalesce(c::VARCHAR, '-') AS named FROM own)),
+re AS (SELECT d.c, coalesce(b.seq[1:d.h], []) || d.seq[d.h + 1:] AS seq FROM drawn d LEFT JOIN own b ON b.c = d.base),
+nodes AS (SELECT seq[1:d] AS path, d AS depth, min(c) AS conv_id, count(*) AS n_convs FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM re) GROUP BY 1, 2),
+valued AS (SELECT *, path[1:depth - 1] AS above, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(path[depth].x, '[^ 	-]+')) END AS saved FROM nodes),
+kids AS (SELECT above AS path, count(*) AS n FROM valued WHERE depth > 0 GROUP BY above),
+sums AS (SELECT path[1:k] AS path, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves
+  FROM (SELECT v.path, saved, k.n IS NULL AS leaf, unnest(range(0, depth + 1)) AS k FROM valued v LEFT JOIN kids k ON k.path = v.path) GROUP BY 1),
+ends AS (SELECT seq AS path, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c), '')) AS digest FROM re GROUP BY seq)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens,
+  coalesce(e.digest, sha256('')) AS ends_sha256
+FROM valued v JOIN sums s ON s.path = v.path LEFT JOIN kids k ON k.path = v.path LEFT JOIN ends e ON e.path = v.path
+LEFT JOIN valued p ON v.depth > 0 AND p.path = v.above""".replace("%CRC%", _crc32_sql("named"))
+
+#: Least strings are carried along the rows, one for each state.
+_OP13_SQL = r"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    %CRC% % 20 AS k FROM (SELECT *, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS named FROM conversations)),
+hit AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM src WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+    NOT regexp_matches(text, '[^ 	-
+]') AS blank FROM hit),
+told AS (SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+    concat(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i), role[1]) AS two FROM placed),
+fault AS (SELECT *, blank OR dup AS gone, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut FROM told),
+puts(s, x, c, e) AS (VALUES ('n','n',0,''),('n','u',3,'I'),('n','a',6,'II'),('s','s',0,''),('s','u',3,'I'),('s','a',6,'II'),('u','u',0,''),('u','a',3,'I'),('a','a',0,''),('a','u',3,'I')),
+nexts(x, y) AS (VALUES ('n','u'),('s','u'),('u','a'),('a','u')),
+moves AS (SELECT conv_id, i, p.s, p.x AS t, p.c + 4 AS c, p.e || 'D' AS e FROM fault, puts p
+  UNION ALL SELECT conv_id, i, p.s, role[1], p.c + 3 * cut::INT, p.e || 'K' FROM fault, puts p JOIN nexts USING (x) WHERE NOT gone AND (role[1] = y OR role[1] = 's' AND x = 'n')
+  UNION ALL SELECT conv_id, i, p.s, y, p.c + 3 + 3 * cut::INT, p.e || 'R' FROM fault, puts p JOIN nexts USING (x) WHERE NOT gone),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, 'n' AS t, 0 AS c, '' AS e FROM fault GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, t, b.c, b.e FROM (
+    SELECT m.conv_id, m.i, m.t, min(struct_pack(c := w.c + m.c, e := w.e || m.e)) AS b
+    FROM ways w JOIN moves m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1 AND m.s = w.t GROUP BY m.conv_id, m.i, m.t)),
+sizes AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (i > 1 AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM fault GROUP BY conv_id),
+finals AS (SELECT w.conv_id, min(struct_pack(c := w.c + p.c, e := w.e || p.e)) AS b
+  FROM ways w JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.n = w.i JOIN puts p ON p.s = w.t AND p.x IN ('n', 'a') GROUP BY w.conv_id),
+edits AS (SELECT conv_id, b.e AS audit, unnest(string_split(b.e, '')) AS edit, unnest(range(1, len(b.e) + 1)) AS at FROM finals WHERE len(b.e) > 0),
+seen AS (SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY at) AS i FROM edits),
+kept AS (SELECT s.conv_id, s.at, s.edit, f.role, f.text, row_number() OVER (PARTITION BY s.conv_id ORDER BY at)
+    - max((edit = 'K' AND f.role[1] = 's')::INT) OVER (PARTITION BY s.conv_id) AS nth
+  FROM seen s LEFT JOIN fault f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i WHERE edit <> 'D'),
+spoken AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role || ':' || text ELSE CASE WHEN nth % 2 = 1 THEN 'user:' ELSE 'assistant:' END || CASE WHEN edit = 'R' THEN text ELSE '' END END,
+    chr(10) ORDER BY at) AS lines FROM kept GROUP BY conv_id)
+SELECT c.conv_id, coalesce(z.gaps, 0)::BIGINT AS gaps, coalesce(z.blank, 0)::BIGINT AS blank, coalesce(z.duplicate, 0)::BIGINT AS duplicate,
+  coalesce(z.truncated, 0)::BIGINT AS truncated, coalesce(z.illegal, 0)::BIGINT AS illegal, coalesce(f.b.c, 0)::BIGINT AS cost, coalesce(f.b.e, '') AS audit,
+  sha256(coalesce(p.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN finals f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN spoken p ON p.conv_id IS NOT DISTINCT FROM c.conv_id""".replace("%CRC%", _crc32_sql("named"))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pii": op2_pii,
@@ -181,7 +256,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_fm_dedup": op9_fm_dedup,
     "op10_bpe": op10_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_structure_repair": op13_structure_repair,
 }
 
-ORACLE: dict[str, str] = {"op1_suffix_dedup": _OP1_SQL, "op3_decontamination": _OP3_SQL, "op5_ngram_join": _OP5_SQL, "op7_quality_rules": _op7_sql(), "op9_fm_dedup": _OP9_SQL}
+ORACLE: dict[str, str] = {"op1_suffix_dedup": _OP1_SQL, "op3_decontamination": _OP3_SQL, "op5_ngram_join": _OP5_SQL, "op7_quality_rules": _op7_sql(), "op9_fm_dedup": _OP9_SQL,
+                          "op11_prefix_trie": _OP11_SQL, "op13_structure_repair": _OP13_SQL}
