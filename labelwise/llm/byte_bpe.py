@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 
 from labelwise.llm.common import Shipped, pieces, sha256_hex, text_buffer
 
-#: Bytes of distinct words that one recursive query takes together, and those that a task remembers.
-QUERY_BYTES = 1 << 21
+#: Bytes of distinct words that one recursive query takes together, those that a task remembers, and the texts cut at once.
+QUERY_BYTES = 1 << 19
 KNOWN_BYTES = 32 << 20
+PART_BYTES = 2 << 20
 #: Words above this are encoded in pieces, whose joins are encoded again.
 LONG_BYTES, PIECE_BYTES = 256, 64
 #: Rows that the steps of one recursive query may add up to; it is then begun again from its last state.
-STATE_ROWS = 24_000_000
+STATE_ROWS = 8_000_000
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Fixed values of the pattern: what may follow an apostrophe as one match.
@@ -318,7 +319,7 @@ def _map(docs: DataFrame, path: str, text: str, schema: str, rows) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, classes = None, None
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, PART_BYTES):
             if words is None:
                 by_byte, tables, classes = shipped.open()
                 words = _Words(by_byte, tables)
