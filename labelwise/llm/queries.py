@@ -232,13 +232,13 @@ sizes AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - coun
     count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (i > 1 AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM fault GROUP BY conv_id),
 finals AS (SELECT w.conv_id, min(struct_pack(c := w.c + p.c, e := w.e || p.e)) AS b
   FROM ways w JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.n = w.i JOIN puts p ON p.s = w.t AND p.x IN ('n', 'a') GROUP BY w.conv_id),
-edits AS (SELECT conv_id, b.e AS audit, unnest(string_split(b.e, '')) AS edit, unnest(range(1, len(b.e) + 1)) AS at FROM finals WHERE len(b.e) > 0),
-seen AS (SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY at) AS i FROM edits),
-kept AS (SELECT s.conv_id, s.at, s.edit, f.role, f.text, row_number() OVER (PARTITION BY s.conv_id ORDER BY at)
+edits AS (SELECT conv_id, b.e AS audit, unnest(string_split(b.e, '')) AS edit, unnest(range(1, len(b.e) + 1)) AS nr FROM finals WHERE len(b.e) > 0),
+seen AS (SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY nr) AS i FROM edits),
+kept AS (SELECT s.conv_id, s.nr, s.edit, f.role, f.text, row_number() OVER (PARTITION BY s.conv_id ORDER BY nr)
     - max((edit = 'K' AND f.role[1] = 's')::INT) OVER (PARTITION BY s.conv_id) AS nth
   FROM seen s LEFT JOIN fault f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i WHERE edit <> 'D'),
 spoken AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role || ':' || text ELSE CASE WHEN nth % 2 = 1 THEN 'user:' ELSE 'assistant:' END || CASE WHEN edit = 'R' THEN text ELSE '' END END,
-    chr(10) ORDER BY at) AS lines FROM kept GROUP BY conv_id)
+    chr(10) ORDER BY nr) AS lines FROM kept GROUP BY conv_id)
 SELECT c.conv_id, coalesce(z.gaps, 0)::BIGINT AS gaps, coalesce(z.blank, 0)::BIGINT AS blank, coalesce(z.duplicate, 0)::BIGINT AS duplicate,
   coalesce(z.truncated, 0)::BIGINT AS truncated, coalesce(z.illegal, 0)::BIGINT AS illegal, coalesce(f.b.c, 0)::BIGINT AS cost, coalesce(f.b.e, '') AS audit,
   sha256(coalesce(p.lines, '')) AS repaired_sha256
