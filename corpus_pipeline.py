@@ -20,8 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of every group of linked documents the one with the smallest doc_id stays."""
-    return ngram_join.keep_one(docs)
+    """Operator 5 on shingles of five words and a similarity of 0.8: of every group of linked documents the one with the
+    smallest doc_id stays."""
+    return ngram_join.keep_one(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,8 +108,9 @@ def grams(text, n=3):
     return frozenset(tuple(w[i:i + n]) for i in range(max(len(w) - n + 1, 1))) if w else frozenset()
 
 
-def brute_components(rows):
-    sets = [grams(t) for _, t in rows]
+def brute_roots(rows, n=3, percent=90):
+    """The rows' sets, and for every row the first row that links reach."""
+    sets = [grams(t, n) for _, t in rows]
     up = list(range(len(rows)))
 
     def find(x):
@@ -123,14 +124,19 @@ def brute_components(rows):
         for g in s:
             lists[g].append(i)
         for j, c in shared.items():
-            if 100 * c >= 90 * (len(s) + len(sets[j]) - c):
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+def brute_components(rows):
+    sets, roots = brute_roots(rows)
     least = {}
-    for i, (d, _) in enumerate(rows):
+    for (d, _), root in zip(rows, roots):
         if d is not None:
-            least[find(i)] = min(least.get(find(i), d), d)
-    return Counter((d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+            least[root] = min(least.get(root, d), d)
+    return Counter((d, len(s), least.get(root) if s else d) for (d, _), s, root in zip(rows, sets, roots))
 
 
 @pytest.mark.parametrize("block_tokens", [1_500_000, 2_000])
@@ -140,12 +146,12 @@ def test_ngram_join(table, documents, block_tokens):
     assert Counter(tuple(r) for r in got) == brute_components(documents)
 
 
-def test_one_of_each_group_stays(table, documents):
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_one_of_each_group_stays(table, documents, n, percent):
     rows = [(d, t, i) for i, (d, t) in enumerate(documents)]
-    kept = ngram_join.keep_one(table(rows, "doc_id long, text string, rid int")).collect()
-    want = brute_components(documents)
-    empty = sum(n for (_, size, _), n in want.items() if not size)
-    assert len(kept) == empty + len({c for (_, size, c) in want if size})
+    kept = ngram_join.keep_one(table(rows, "doc_id long, text string, rid int"), n=n, percent=percent).collect()
+    sets, roots = brute_roots(documents, n, percent)
+    assert Counter(roots[r.rid] for r in kept) == Counter(set(roots))  # rows without words are roots of their own
 
 
 def test_groups_are_links_not_ids(table):

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import tempfile
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -15,7 +15,7 @@ from labelwise.llm import pii, quality
 from labelwise.llm.queries import bpe_path
 
 from .conftest import SF, WORD, fold
-from .test_dedup import grams
+from .test_dedup import brute_roots
 from .test_text_operators import ALNUM, luhn  # noqa: F401
 
 
@@ -40,26 +40,10 @@ def brute_quality(rows):
 
 
 def brute_groups(rows):
-    """Rows of the smallest id of each group."""
-    sets, up = [grams(t) for _, t in rows], list(range(len(rows)))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    lists = defaultdict(list)
-    for i, s in enumerate(sets):
-        shared = Counter(j for g in s for j in lists[g])
-        for g in s:
-            lists[g].append(i)
-        for j, c in shared.items():
-            if 100 * c >= 90 * (len(s) + len(sets[j]) - c):
-                a, b = find(i), find(j)
-                up[max(a, b)] = min(a, b)
+    """Rows of the smallest id of each group: five words, 0.8."""
     best = {}
-    for i, (d, _) in enumerate(rows):
-        best[find(i)] = min(best.get(find(i), (d, i)), (d, i))
+    for i, root in enumerate(brute_roots(rows, 5, 80)[1]):
+        best[root] = min(best.get(root, (rows[i][0], i)), (rows[i][0], i))
     return [rows[i] for _, i in best.values()]
 
 
@@ -113,7 +97,7 @@ def test_stages_keep_the_columns(spark):
 
 def test_registered():
     names = se.queries()
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)] and "pipeline" in names
     assert {"op3_decontamination", "op7_quality_rules"} <= set(se.oracle_sql())
 
 
@@ -123,6 +107,9 @@ def test_query_columns(spark):
         "op3": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], "op5": ["doc_id", "n_shingles", "component_id"],
         "op6": ["page_id", "url", "text", "n_chars"], "op7": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
         "op8": ["doc_id", "held_out", "lang_pred", "score"], "op9": ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        "op11": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+        "op12": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        "op13": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
         "op10": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]}
     for name, query in se.queries().items():
         if columns := want.get(name.split("_")[0]):
