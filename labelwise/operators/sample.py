@@ -56,6 +56,7 @@ def global_rank(df: DataFrame, order: Sequence[str], rank_col: str = "rank", par
     else:
         table = F.array(*[F.lit(o).cast("bigint") for o in offsets])
         out = ranged.withColumn(rank_col, F.element_at(table, F.col("_pid") + 1) + F.col("_local")).drop("_pid", "_local")
+    out._labelwise_counts = [counts.get(pid, 0) for pid in range(len(offsets))]  # rows of every partition, in order of rank
     out._labelwise_pinned = ranged  # callers may release it with release()
     return out
 
@@ -74,7 +75,7 @@ def assign_batches(df: DataFrame, batch_size: int = 32, id_col: str = "row_id",
     keyed = seeded_shuffle(df, id_col, seed, epoch)
     ranked = global_rank(keyed, ["shuffle_key", id_col], partitions=partitions)
     out = ranked.withColumn(batch_col, F.floor(F.col("rank") / F.lit(batch_size)).cast("bigint"))
-    out._labelwise_pinned = ranked._labelwise_pinned
+    out._labelwise_counts, out._labelwise_pinned = ranked._labelwise_counts, ranked._labelwise_pinned
     return out
 
 

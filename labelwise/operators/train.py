@@ -178,47 +178,72 @@ def gradient_table(df: DataFrame, heads: dict[str, Head], labels: dict[str, str]
 GRAD_SCHEMA = "task string, class int, pos int, value double"
 
 
+Sums = tuple[dict[str, np.ndarray], dict[str, float], dict[str, float]]
+
+
+def empty_sums(heads: dict[str, Head]) -> Sums:
+    """Summed gradients (classes x (d + 1)), losses and labelled rows per task."""
+    return ({t: np.zeros((h.classes, h.W.shape[1] + 1)) for t, h in heads.items()}, dict.fromkeys(heads, 0.0), dict.fromkeys(heads, 0.0))
+
+
+def add_rows(sums: Sums, heads: dict[str, Head], rb: pa.RecordBatch, weighted: bool = False) -> None:
+    """Add the rows of a batch: features, a label column per task, and a weight column if ``weighted``.  A row without a task's
+    label weighs nothing for that task; a label outside the classes is an error."""
+    if rb.num_rows == 0:
+        return
+    acc, loss, n = sums
+    d = next(iter(heads.values())).W.shape[1]
+    flat = rb.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if flat.size != rb.num_rows * d:
+        raise ValueError(f"every feature array must have {d} values; got {flat.size} for {rb.num_rows} rows")
+    xs = flat.reshape(rb.num_rows, d)
+    X = np.hstack([xs, np.ones((rb.num_rows, 1))])
+    weight_of = rb.column(len(heads) + 1).to_numpy(zero_copy_only=False).astype(np.float64) if weighted else np.ones(rb.num_rows)
+    for i, (t, h) in enumerate(heads.items()):
+        label = rb.column(1 + i)
+        own = label.is_valid().to_numpy(zero_copy_only=False)
+        y = label.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if ((y < 0) | (y >= len(h.b))).any():
+            raise ValueError(f"label of task {t} outside 0..{len(h.b) - 1}: {y[(y < 0) | (y >= len(h.b))][0]}")
+        w = np.where(own, weight_of, 0.0)
+        n[t] += float(w.sum())
+        p, lse, z = _softmax_rows(xs @ h.W.astype(np.float64).T + h.b.astype(np.float64))
+        loss[t] += float((w * (lse - z[np.arange(len(y)), y])).sum())
+        p[np.arange(len(y)), y] -= 1.0
+        acc[t] += (p * w[:, None]).T @ X
+
+
+def _softmax_rows(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities and log-sum-exp of every row of scores."""
+    m = z.max(axis=1, keepdims=True)
+    e = np.exp(z - m)
+    s = e.sum(axis=1, keepdims=True)
+    return e / s, (m + np.log(s))[:, 0], z
+
+
+def mean_step(parts: Sequence[Sums]) -> StepStats:
+    """Mean gradients and losses of the rows behind ``parts``, added in order."""
+    tasks = list(parts[0][0])
+    n = {t: sum(p[2][t] for p in parts) for t in tasks}
+    if max(n.values()) <= 0:
+        raise ValueError("no rows with labels for the gradient step")
+    return StepStats({t: sum(p[0][t] for p in parts) / (n[t] or 1.0) for t in tasks}, {t: sum(p[1][t] for p in parts) / (n[t] or 1.0) for t in tasks}, n)
+
+
 def _gradient_arrow(df: DataFrame, heads: dict[str, Head], labels: dict[str, str], x: str,
                     weight: str | None) -> DataFrame:
     tasks = list(heads)
     label_cols = [labels[t] for t in tasks]
-    mats = {t: (heads[t].W.astype(np.float64), heads[t].b.astype(np.float64)) for t in tasks}
     d = next(iter(heads.values())).W.shape[1]
     cols = [F.col(x).alias("_x")] + [F.col(c).alias(f"_y{i}") for i, c in enumerate(label_cols)]
     cols.append(F.col(weight).cast("double").alias("_w") if weight else F.lit(1.0).alias("_w"))
     base = df.where(_any_label(heads, labels)).select(*cols)
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = {t: np.zeros((mats[t][0].shape[0], d + 1)) for t in tasks}
-        loss = {t: 0.0 for t in tasks}
-        n = {t: 0.0 for t in tasks}
+        sums = empty_sums(heads)
         for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            flat = rb.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if flat.size != rb.num_rows * d:
-                raise ValueError(f"every feature array must have {d} values; got {flat.size} for {rb.num_rows} rows")
-            xs = flat.reshape(rb.num_rows, d)
-            X = np.hstack([xs, np.ones((rb.num_rows, 1))])
-            weight_of = rb.column(len(tasks) + 1).to_numpy(zero_copy_only=False).astype(np.float64)
-            for i, t in enumerate(tasks):
-                W, b = mats[t]
-                label = rb.column(1 + i)
-                own = label.is_valid().to_numpy(zero_copy_only=False)  # other rows weigh nothing for this task
-                y = label.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                if ((y < 0) | (y >= len(b))).any():
-                    raise ValueError(f"label of task {t} outside 0..{len(b) - 1}: {y[(y < 0) | (y >= len(b))][0]}")
-                w = np.where(own, weight_of, 0.0)
-                n[t] += float(w.sum())
-                z = xs @ W.T + b
-                m = z.max(axis=1, keepdims=True)
-                e = np.exp(z - m)
-                s = e.sum(axis=1, keepdims=True)
-                p = e / s
-                lse = (m + np.log(s))[:, 0]
-                loss[t] += float((w * (lse - z[np.arange(len(y)), y])).sum())
-                p[np.arange(len(y)), y] -= 1.0
-                acc[t] += (p * w[:, None]).T @ X
+            add_rows(sums, heads, rb, weighted=True)
+        acc, loss, n = sums
         task_col, cls_col, pos_col, val_col = [], [], [], []
         for t in tasks:
             C = acc[t].shape[0]
@@ -510,6 +535,72 @@ def min_norm_weights(gaa: float, gab: float, gbb: float) -> tuple[float, float]:
     return gamma, 1.0 - gamma
 
 
+def min_norm_point(gram: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """Weights (sum 1, none negative) of the point of least norm in the convex hull of K vectors, from their products.
+
+    Frank-Wolfe with full correction: the vector that goes furthest against the current point joins the active ones, whose
+    best affine combination is solved for exactly; where that leaves the hull, the walk towards it stops at the border and
+    the vector without weight leaves.  Every round lowers the norm and no set of active ones comes twice, so it ends.  Equal
+    vectors share: two vectors give what :func:`min_norm_weights` gives.
+    """
+    gram = np.asarray(gram, dtype=np.float64)
+    k = len(gram)
+    if k == 0 or gram.shape != (k, k):
+        raise ValueError("a square table of products of at least one vector is needed")
+    if k == 1:
+        return np.ones(1)
+    if k == 2:
+        return np.array(min_norm_weights(gram[0, 0], gram[0, 1], gram[1, 1]))
+    scale = max(float(np.abs(np.diag(gram)).max()), 1e-300)
+    active = [int(np.argmin(np.diag(gram)))]
+    w = np.zeros(k)
+    w[active[0]] = 1.0
+    while True:
+        along = gram @ w
+        new = int(np.argmin(along))
+        if along[new] >= w @ along - tol * scale or new in active:
+            return w
+        active.append(new)
+        while True:
+            m = len(active)
+            system = np.block([[gram[np.ix_(active, active)], np.ones((m, 1))], [np.ones((1, m)), np.zeros((1, 1))]])
+            best = np.linalg.lstsq(system, np.append(np.zeros(m), 1.0), rcond=None)[0][:m]
+            if (best > 0).all():
+                w[:] = 0.0
+                w[active] = best
+                break
+            now = w[active]
+            falls = best <= 0
+            step = float(np.min(now[falls] / np.maximum(now[falls] - best[falls], 1e-300)))
+            moved = np.where((now + step * (best - now)) <= 1e-15, 0.0, now + step * (best - now))
+            moved[np.flatnonzero(falls)[np.argmin(now[falls] / np.maximum(now[falls] - best[falls], 1e-300))]] = 0.0
+            w[:] = 0.0
+            w[active] = moved / moved.sum()
+            active = [a for a, v in zip(active, moved) if v > 0]
+
+
+def gradient_gram(grads: DataFrame, tasks: Sequence[str], d: int) -> DataFrame:
+    """(task_i, task_j, dot) of the mean weight gradients of every two tasks, biases left out, from a gradient table.  The table and
+    the result have the size of the parameters and of the task list; nothing but K x K products leaves Spark."""
+    n = grads.where((F.col("class") == -1) & (F.col("pos") == 1)).select(F.col("value").alias("n"), "task")
+    mean = grads.where((F.col("class") >= 0) & (F.col("pos") < d) & F.col("task").isin(*tasks)).join(n, "task").select(
+        "task", "class", "pos", (F.col("value") / F.col("n")).alias("g"))
+    cells = mean.groupBy("class", "pos").agg(*[F.sum(F.when(F.col("task") == t, F.col("g"))).alias(f"g{i}") for i, t in enumerate(tasks)])
+    zero = F.lit(0.0)
+    wide = cells.agg(*[F.sum(F.coalesce(F.col(f"g{i}"), zero) * F.coalesce(F.col(f"g{j}"), zero)).alias(f"p{i}_{j}") for i in range(len(tasks)) for j in range(i, len(tasks))])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(t).alias("task_i"), F.lit(u).alias("task_j"), F.col(f"p{min(i, j)}_{max(i, j)}").alias("dot"))
+                                          for i, t in enumerate(tasks) for j, u in enumerate(tasks)])))
+
+
+def gram_matrix(table: DataFrame, tasks: Sequence[str]) -> np.ndarray:
+    """The K x K products of a :func:`gradient_gram` on the driver."""
+    at = {t: i for i, t in enumerate(tasks)}
+    out = np.zeros((len(at), len(at)))
+    for r in table.collect():
+        out[at[r["task_i"]], at[r["task_j"]]] = r["dot"] or 0.0
+    return out
+
+
 def uncertainty_weighted_loss(losses: Sequence[float], s: Sequence[float]) -> float:
     """``sum L_i / (2 s_i^2) + ln(1 + s_i^2)``."""
     return float(sum(L / (2 * si * si) + math.log(1 + si * si) for L, si in zip(losses, s)))

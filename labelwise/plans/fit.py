@@ -1,9 +1,10 @@
 """Training runs: epochs of gradient steps, evaluation, the epoch report.
 
 One run = (model, tasks, regime, learning rate, batch size, run number).
-Per epoch the driver launches one Spark aggregate per gradient step over
-the persisted training features, then builds the evaluation of the test
-rows with the epoch's weights.  Evaluations of all epochs are combined into
+A full-batch epoch is one Spark aggregate over the persisted training
+features.  An epoch of mini-batches is one barrier job, whatever the number
+of steps (see :mod:`labelwise.plans.steps`).  Then the evaluation of the test
+rows with the epoch's weights is built.  Evaluations of all epochs are combined into
 one plan and run once at the end.  Only gradients (classes x features per
 task), counts and the report reach the driver.
 """
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from labelwise.operators import evaluate as ev
 from labelwise.operators import sample as smp
 from labelwise.operators import train as tr
+from labelwise.plans.steps import GradientSums, QueryPass, Trainer, run_epoch
 
 REGIMES = ("STL", "MTL", "MTL_awl", "MTL_meta")
 #: Tables that runs know; an unknown one is an error.  Extend the set to register another.
@@ -47,10 +49,13 @@ class RunConfig:
     alpha: float = 1.0                 # meta step on task weights
     accumulate: bool = False           # meta: gradients accumulate over the epoch (source behaviour)
     faithful_difference: bool = False  # meta: difference step 1 only (source behaviour)
-    max_steps: int | None = None       # bound of gradient steps (Spark jobs) per epoch, by larger batches; None: one step per batch
+    max_steps: int | None = None       # bound of gradient steps per epoch, by larger batches; None: one step per batch
     schedule: bool = True              # linear decay of the rate to zero
     eps: float | None = None           # optimizer epsilon; None: the regime's own
     keep_params: bool = False          # parameters after every step in the history
+    one_job: bool | None = None        # mini-batches: all steps of an epoch as one barrier job (None: where Spark can)
+    step_tasks: int | None = None      # tasks of that job; None: by the number of rows
+    history: bool = True               # keep the losses of every step on the driver
     checkpoint: bool = False           # cut lineage of the feature table with checkpoint()
 
 
@@ -116,40 +121,16 @@ class _Steps:
             self.batched.unpersist()
 
 
-class GradientSums:
-    """Task vectors of a pass as sums: per task their total, per pair of tasks the products summed over the steps.
-
-    Their size is that of the parameters (squared), not the number of steps.
-    """
-
-    def __init__(self, tasks: Sequence[str]):
-        self.tasks = list(tasks)
-        self.total: dict[str, np.ndarray] = {}
-        self.gram: dict[tuple[str, str], np.ndarray] = {}
-
-    def add(self, vectors: dict[str, np.ndarray]) -> None:
-        for i, t in enumerate(self.tasks):
-            self.total[t] = self.total.get(t, 0.0) + vectors[t]
-            for u in self.tasks[i:]:
-                self.gram[t, u] = self.gram.get((t, u), 0.0) + np.outer(vectors[t], vectors[u])
-
-
-def alignment(query: GradientSums, support: GradientSums) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
+def alignment(query: GradientSums, support: GradientSums) -> tuple[dict[str, float], dict[tuple[int, int], float]]:
     """With M_t the matrix of all dot products of query and support vectors of task t: the sum of M_t's cells, and the
-    products <M_t, M_u>.  Both follow from the sums alone."""
+    products <M_t, M_u> by the tasks' places.  Both follow from the sums alone."""
     cells = {t: float(query.total[t] @ support.total[t]) for t in query.tasks}
     # <M_t, M_u> = sum over steps of (q_t . s_t)(q_u . s_u) = trace((sum q_t q_u') (sum s_u s_t')')
-    dots = {k: float((query.gram[k] * support.gram[k]).sum()) for k in query.gram}
+    at = {t: i for i, t in enumerate(query.tasks)}
+    dots = {(at[t], at[u]): float((query.gram[t, u] * support.gram[t, u]).sum()) for t, u in query.gram}
     return cells, dots
 
 
-def _step_grads(model: tr.LinearModel, stats: tr.StepStats, lam: dict[str, float], clip: float | None):
-    grads = model.param_grads(stats, lam)
-    if clip is not None:
-        grads, _ = tr.clip_grads(grads, clip)
-    return grads
-
-
 def fit_tagged(tagged: DataFrame, labels: dict[str, str], cfg: RunConfig, split_col: str = "split",
                train_value: str = "train", test_value: str = "test", query_value: str = "query",
                x: str = "x", id_col: str = "row_id") -> RunResult:
@@ -208,60 +189,20 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     per_epoch = -(-batches // group)
     eps = cfg.eps if cfg.eps is not None else tr.ADAM_EPS_DEFAULT if cfg.regime == "MTL_awl" else tr.ADAM_EPS
     opt = tr.Optimizer(cfg.optimizer, cfg.lr, per_epoch * cfg.epochs, schedule=cfg.schedule, no_decay=("s",), eps=eps)
-    s = np.ones(len(tasks))                 # learned uncertainty parameters
-    w_k = {t: 1.0 for t in tasks}           # meta task weights
+    trainer = Trainer(model, opt, tasks, cfg.regime, cfg.clip, cfg.accumulate, cfg.faithful_difference, cfg.keep_params, cfg.history)
     result = RunResult(model)
     evals = []
     result_pins: list[DataFrame] = []
     for epoch in range(cfg.epochs):
-        steps = _Steps(fit_rows, cfg, epoch, id_col, n_fit)
-        step_losses, support = [], GradientSums(tasks)
-        acc, before = None, None
-        for i, rows in enumerate(steps):
-            stats = tr.batch_gradient(rows, model.heads(), {t: labels[t] for t in tasks}, x)
-            losses = [stats.loss[t] for t in tasks]
-            if cfg.regime == "MTL_awl":
-                lam_list, ds = tr.uncertainty_grads(losses, s)
-                lam = dict(zip(tasks, lam_list))
-                total = tr.uncertainty_weighted_loss(losses, s)
-            elif cfg.regime == "MTL_meta":
-                lam = {t: w_k[t] / len(tasks) for t in tasks}
-                total = sum(lam[t] * stats.loss[t] for t in tasks)
-            else:
-                lam = {t: 1.0 for t in tasks}
-                total = sum(losses)
-            if cfg.regime == "MTL_meta" and cfg.accumulate:
-                acc = grads = _accumulated(acc, model.param_grads(stats, lam), cfg.clip)
-            else:
-                grads = _step_grads(model, stats, lam, cfg.clip)
-            if cfg.regime == "MTL_meta":
-                now = {t: model.task_vector(grads, t) for t in tasks}
-                own = now
-                if cfg.accumulate and before is not None and (i == 1 or not cfg.faithful_difference):
-                    own = {t: now[t] - before[t] for t in tasks}
-                support.add({t: own[t] / (w_k[t] / len(tasks)) for t in tasks})
-                before = now
-            params = model.params
-            if cfg.regime == "MTL_awl":
-                params = dict(model.params, s=s)
-                grads = dict(grads, s=np.array(ds))
-            rate = opt.rate()
-            opt.step(params, grads)
-            if cfg.regime == "MTL_awl":
-                s = params.pop("s")
-                model.params = params
-            step_losses.append(total)
-            result.history.append({"epoch": epoch, "step": i, "loss": total,
-                                   **{f"loss_{t}": stats.loss[t] for t in tasks},
-                                   **{f"weighted_loss_{t}": lam[t] * stats.loss[t] for t in tasks}, "lr": rate,
-                                   **({"params": {k: np.array(v) for k, v in model.params.items()}} if cfg.keep_params else {})})
-        steps.release()
-        train_loss = float(np.mean(step_losses))
+        trainer.begin_epoch()
+        history = _all_steps(fit_rows, trainer, cfg, epoch, id_col, labels, x, n_fit)
+        result.history += [{"epoch": epoch, **h} for h in history]
+        train_loss = trainer.loss / trainer.steps
         if cfg.regime == "MTL_meta":
-            w_k, query_loss = _meta_update(model, query_rows, cfg, epoch, id_col, labels, x, tasks, w_k, support, acc)
-            result.task_weights.append({"epoch": epoch, **w_k, "query_loss": query_loss})
+            query_loss = _meta_update(query_rows, trainer, cfg, epoch, id_col, labels, x)
+            result.task_weights.append({"epoch": epoch, **trainer.w_k, "query_loss": query_loss})
         evals.append(_evaluate(test_rows, model, labels, cfg, epoch, id_col, x, train_loss,
-                               awl_s=s.copy() if cfg.regime == "MTL_awl" else None, pins=result_pins, n_rows=n_test))
+                               awl_s=trainer.s.copy() if cfg.regime == "MTL_awl" else None, pins=result_pins, n_rows=n_test))
     metrics = evals[0]
     for e in evals[1:]:
         metrics = metrics.unionByName(e)
@@ -276,32 +217,46 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     return result
 
 
-def _accumulated(acc, grads: dict[str, np.ndarray], clip: float | None) -> dict[str, np.ndarray]:
-    """A gradient added to one that is never reset, and the sum clipped in place."""
-    out = grads if acc is None else {k: acc[k] + grads[k] for k in grads}
-    return tr.clip_grads(out, clip)[0] if clip is not None else out
+def _one_job(df: DataFrame, cfg: RunConfig) -> bool:
+    """Whether the steps of an epoch run as one barrier job.  All its tasks run at the same time, which Spark does not offer
+    together with dynamic allocation; then, or on request, every step is a job."""
+    if cfg.batch_size is None or cfg.one_job is False:
+        return False
+    return df.sparkSession.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") != "true"
+
+
+def _all_steps(rows: DataFrame, machine: Trainer | QueryPass, cfg: RunConfig, epoch: int, id_col: str, labels: dict[str, str], x: str,
+               n_rows: int | None = None) -> list[dict]:
+    """The steps of one pass over ``rows`` in the order of the epoch; ``machine`` has their state.  Returns their history."""
+    own = {t: labels[t] for t in machine.tasks}
+    if _one_job(rows, cfg):
+        n_rows = rows.count() if n_rows is None else n_rows
+        # all tasks of a barrier stage need a slot at once
+        slots = min(_partitions_for(rows, n_rows) if cfg.step_tasks is None else cfg.step_tasks, rows.sparkSession.sparkContext.defaultParallelism)
+        ranked = smp.assign_batches(rows, cfg.batch_size, id_col, cfg.seed, epoch, partitions=slots)
+        try:
+            return run_epoch(ranked, ranked._labelwise_counts, machine, own, x, cfg.batch_size * _group(smp.n_batches(n_rows, cfg.batch_size), cfg))
+        finally:
+            smp.release(ranked)
+    steps = _Steps(rows, cfg, epoch, id_col, n_rows)
+    history = [machine.step(tr.batch_gradient(r, machine.heads(), own, x)) for r in steps]
+    steps.release()
+    return [h for h in history if h is not None]
 
 
-def _meta_update(model, query_rows, cfg, epoch, id_col, labels, x, tasks, w_k, support: GradientSums, acc):
-    """Align support and query gradients and move the task weights; also the mean query loss.
+def _meta_update(query_rows, trainer: Trainer, cfg, epoch, id_col, labels, x) -> float:
+    """Align support and query gradients and move the task weights; the mean query loss.
 
-    With ``accumulate`` the query gradients go on from the support's (``acc``): nothing is reset within an epoch.
+    With ``accumulate`` the query gradients go on from the support's: nothing is reset within an epoch.  The weights' step is scaled
+    by the least-norm point of the alignment matrices, for any number of tasks.
     """
-    steps, query, losses = _Steps(query_rows, cfg, 10_000 + epoch, id_col, None), GradientSums(tasks), []
-    one = {t: 1.0 for t in tasks}
-    for rows in steps:
-        stats = tr.batch_gradient(rows, model.heads(), {t: labels[t] for t in tasks}, x)
-        losses.append(sum(stats.loss[t] for t in tasks))
-        if cfg.accumulate:
-            acc = grads = _accumulated(acc, model.param_grads(stats, one), cfg.clip)
-        else:
-            grads = _step_grads(model, stats, one, cfg.clip)
-        query.add({t: model.task_vector(grads, t) for t in tasks})
-    steps.release()
-    cells, dots = alignment(query, support)
-    a, b = tasks[0], tasks[1]
-    scale = dict(zip((a, b), tr.min_norm_weights(dots[a, a], dots[a, b], dots[b, b])))
-    return {t: w_k[t] + cfg.alpha * scale.get(t, 0.0) * cells[t] for t in tasks}, float(np.mean(losses))
+    tasks, passed = trainer.tasks, QueryPass(trainer)
+    _all_steps(query_rows, passed, cfg, 10_000 + epoch, id_col, labels, x)
+    cells, dots = alignment(passed.query, trainer.support)
+    gram = np.array([[dots[min(i, j), max(i, j)] for j in range(len(tasks))] for i in range(len(tasks))])
+    scale = tr.min_norm_point(gram)
+    trainer.w_k = {t: trainer.w_k[t] + cfg.alpha * float(w) * cells[t] for t, w in zip(tasks, scale)}
+    return passed.loss / passed.steps
 
 
 def _evaluate(test, model, labels, cfg, epoch, id_col, x, train_loss, awl_s=None, pins=None,
