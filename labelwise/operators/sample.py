@@ -10,6 +10,7 @@ as a literal array.  Every task sorts only its own range.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -109,3 +110,70 @@ def support_query_test(df: DataFrame, id_col: str, seed: int = 42, fractions=(6,
     b = hash_bucket(id_col, seed, total)
     return df.withColumn(split_col, F.when(b < fractions[0], F.lit("support"))
                          .when(b < fractions[0] + fractions[1], F.lit("query")).otherwise(F.lit("test")))
+
+
+# --------------------------------------------------------------------------
+# Epochs without a new sort
+# --------------------------------------------------------------------------
+
+#: Rounds of the permutation, and the steps by which a position outside the rows is walked back inside.
+ROUNDS, WALKS = 6, 64
+
+
+def permutation_keys(seed: int, epoch: int) -> list[int]:
+    """Round keys: the first 28 bits of ``md5(seed ':' epoch ':' round)``."""
+    return [int(hashlib.md5(f"{seed}:{epoch}:{r}".encode()).hexdigest()[:7], 16) for r in range(ROUNDS)]
+
+
+def _mixed(v: Column, key: int) -> Column:
+    first = ((v + F.lit(key)) * F.lit(1103515245).cast("bigint") + F.lit(12345)) % F.lit(2147483647).cast("bigint")
+    return (first.bitwiseXOR(F.shiftright(first, 15)) * F.lit(48271).cast("bigint")) % F.lit(2147483647).cast("bigint")
+
+
+def _grid(n: int) -> tuple[int, int]:
+    """Sides of the smallest near-square grid with ``n`` cells; it has fewer than a row of cells too many."""
+    a = math.isqrt(max(n - 1, 0)) + 1
+    return a, max(1, -(-n // a))
+
+
+def _round(left: Column, right: Column, r: int, key: int, a: int, b: int) -> tuple[Column, Column]:
+    if r % 2 == 0:
+        return (left + _mixed(right, key)) % F.lit(a), right
+    return left, (right + _mixed(left, key)) % F.lit(b)
+
+
+def permuted_position(df: DataFrame, n: int, seed: int = 42, epoch: int = 0, rank: str = "rank", out: str = "position") -> DataFrame:
+    """Add the row's position in this epoch: a keyed permutation of ``0..n-1`` applied to its ``rank`` (which must be one of these).
+
+    A Feistel network over a grid of a x b cells: rounds add a keyed hash of one coordinate to the other, so every round can be undone and
+    the whole is a permutation of the grid; a rank that lands on one of the few cells beyond ``n`` goes on from there until it
+    is inside (cycle walking), which keeps it a permutation of the rows.  Narrow: no row moves, whatever the epoch.  The rounds are
+    projections in generated code; only the few walking rows (one in the square root of n) take an interpreted loop.
+    """
+    if n < 1:
+        return df.withColumn(out, F.lit(None).cast("bigint"))
+    a, b = _grid(n)
+    keys = permutation_keys(seed, epoch)
+    named = df.withColumns({"_left": F.floor(F.col(rank) / F.lit(b)).cast("bigint"), "_right": (F.col(rank) % F.lit(b)).cast("bigint")})
+    for r, key in enumerate(keys):
+        left, right = _round(F.col("_left"), F.col("_right"), r, key, a, b)
+        named = named.withColumn("_left", left) if r % 2 == 0 else named.withColumn("_right", right)
+
+    def again(position: Column) -> Column:
+        left, right = F.floor(position / F.lit(b)).cast("bigint"), position % F.lit(b)
+        for r, key in enumerate(keys):
+            left, right = _round(left, right, r, key, a, b)
+        return left * F.lit(b) + right
+
+    landed = F.col("_left") * F.lit(b) + F.col("_right")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), landed, lambda p, _: F.when(p < n, p).otherwise(again(p)))
+    named = named.withColumn(out, F.when(landed < n, landed).otherwise(walked)).drop("_left", "_right")
+    # cells beyond n are fewer than a row of the grid; with up to WALKS of them the walk always ends, with more it fails once in (a) ** WALKS
+    return named.withColumn(out, F.when(F.col(out) < n, F.col(out)).otherwise(F.raise_error(F.lit("a position was not walked back")).cast("bigint")))
+
+
+def permuted_batches(ranked: DataFrame, n: int, batch_size: int = 32, seed: int = 42, epoch: int = 0, rank: str = "rank",
+                     position: str = "position", batch_col: str = "batch_id") -> DataFrame:
+    """Batches of an epoch of rows that were ranked once (:func:`global_rank`): another order each epoch, without another sort."""
+    placed = permuted_position(ranked, n, seed, epoch, rank, position)
+    return placed.withColumn(batch_col, F.floor(F.col(position) / F.lit(batch_size)).cast("bigint"))

@@ -415,14 +415,16 @@ class LinearModel:
         return np.concatenate([grads[k].ravel() for k in names])
 
 
-def param_gradient_table(grads: DataFrame, model: LinearModel) -> DataFrame:
+def param_gradient_table(grads: DataFrame, model: LinearModel, per_task_shared: bool = False) -> DataFrame:
     """Mean parameter gradients of a shared-layer model, computed in Spark.
 
     From the per-task gradient table (see :func:`gradient_table`) and the
     model's small parameter tables: ``grp='shared'`` rows ``(i=k, j)`` hold
     ``dU`` (``j = d``: ``du``), ``grp='head_<task>'`` rows ``(i=class, j=k)``
     hold ``dA`` (``j = hidden``: the head bias).  Both joins are with tables
-    the size of the parameters.  The mean gradient table is cached (it is as
+    the size of the parameters.  With ``per_task_shared`` the shared layer's
+    rows are ``grp='shared_<task>'``, one gradient per task's own loss, whose
+    sum is the gradient of the summed loss.  The mean gradient table is cached (it is as
     small as the parameters); release it with ``unpersist`` on the result's
     inputs when done.
     """
@@ -440,8 +442,9 @@ def param_gradient_table(grads: DataFrame, model: LinearModel) -> DataFrame:
     u_rows = [(kk, j, float(p["U"][kk, j])) for kk in range(k) for j in range(d)] + [(kk, d, float(p["u"][kk])) for kk in range(k)]
     a_df = spark.createDataFrame(a_rows, "task string, class int, k int, a double")
     u_df = spark.createDataFrame(u_rows, "k int, pos int, u double")
-    shared = (mean.join(a_df, ["task", "class"]).groupBy("k", "pos").agg(F.sum(F.col("a") * F.col("g")).alias("value"))
-              .select(F.lit("shared").alias("grp"), F.col("k").alias("i"), F.col("pos").alias("j"), "value"))
+    name = F.concat(F.lit("shared_"), "task") if per_task_shared else F.lit("shared")
+    shared = (mean.join(a_df, ["task", "class"]).groupBy(name.alias("grp"), "k", "pos").agg(F.sum(F.col("a") * F.col("g")).alias("value"))
+              .select("grp", F.col("k").alias("i"), F.col("pos").alias("j"), "value"))
     heads = (mean.join(u_df, "pos").groupBy("task", "class", "k").agg(F.sum(F.col("g") * F.col("u")).alias("value"))
              .select(F.concat(F.lit("head_"), "task").alias("grp"), F.col("class").alias("i"), F.col("k").alias("j"), "value"))
     bias = mean.where(F.col("pos") == d).select(F.concat(F.lit("head_"), "task").alias("grp"), F.col("class").alias("i"),
@@ -450,8 +453,8 @@ def param_gradient_table(grads: DataFrame, model: LinearModel) -> DataFrame:
 
 
 def task_vectors(param_grads: DataFrame, tasks: Sequence[str]) -> DataFrame:
-    """Per task: the shared rows and its own head, other heads excluded."""
-    per_task = [param_grads.where(~F.col("grp").isin(*[f"head_{o}" for o in tasks if o != t]))
+    """Per task: the shared rows (or its own of them) and its own head, other heads excluded."""
+    per_task = [param_grads.where(~F.col("grp").isin(*[f"{part}_{o}" for o in tasks if o != t for part in ("head", "shared")]))
                 .withColumn("task", F.lit(t)) for t in tasks]
     out = per_task[0]
     for df in per_task[1:]:

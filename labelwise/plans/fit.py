@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from labelwise.operators import evaluate as ev
 from labelwise.operators import sample as smp
 from labelwise.operators import train as tr
-from labelwise.plans.steps import GradientSums, QueryPass, Trainer, run_epoch
+from labelwise.plans.steps import GradientSums, QueryPass, Stack, Trainer, run_epoch
 
 REGIMES = ("STL", "MTL", "MTL_awl", "MTL_meta")
 #: Tables that runs know; an unknown one is an error.  Extend the set to register another.
@@ -48,6 +48,7 @@ class RunConfig:
     init: str = "formula"
     alpha: float = 1.0                 # meta step on task weights
     accumulate: bool = False           # meta: gradients accumulate over the epoch (source behaviour)
+    per_task_shared: bool = False      # meta: shared-layer gradients of each task's own loss, not of the summed one
     faithful_difference: bool = False  # meta: difference step 1 only (source behaviour)
     max_steps: int | None = None       # bound of gradient steps per epoch, by larger batches; None: one step per batch
     schedule: bool = True              # linear decay of the rate to zero
@@ -183,13 +184,9 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     n_fit = fit_rows.count()
     n_test = test_rows.count() if cfg.batch_size is not None else None
     d = len(fit_rows.select(x).first()[0])
-    model = tr.LinearModel.create(tasks, cfg.classes, d, None if cfg.regime == "STL" else cfg.hidden, cfg.init)
-    batches = 1 if cfg.batch_size is None else smp.n_batches(n_fit, cfg.batch_size)
-    group = _group(batches, cfg)
-    per_epoch = -(-batches // group)
-    eps = cfg.eps if cfg.eps is not None else tr.ADAM_EPS_DEFAULT if cfg.regime == "MTL_awl" else tr.ADAM_EPS
-    opt = tr.Optimizer(cfg.optimizer, cfg.lr, per_epoch * cfg.epochs, schedule=cfg.schedule, no_decay=("s",), eps=eps)
-    trainer = Trainer(model, opt, tasks, cfg.regime, cfg.clip, cfg.accumulate, cfg.faithful_difference, cfg.keep_params, cfg.history)
+    group = _group(1 if cfg.batch_size is None else smp.n_batches(n_fit, cfg.batch_size), cfg)
+    trainer = _trainer(cfg, d, n_fit)
+    model = trainer.model
     result = RunResult(model)
     evals = []
     result_pins: list[DataFrame] = []
@@ -217,6 +214,17 @@ def fit(train: DataFrame, test: DataFrame, labels: dict[str, str], cfg: RunConfi
     return result
 
 
+def _trainer(cfg: RunConfig, d: int, n_rows: int) -> Trainer:
+    """The training state of a run at its start."""
+    tasks = list(cfg.tasks)
+    model = tr.LinearModel.create(tasks, cfg.classes if isinstance(cfg.classes, int) else {t: cfg.classes[t] for t in tasks}, d,
+                                  None if cfg.regime == "STL" else cfg.hidden, cfg.init)
+    batches = 1 if cfg.batch_size is None else smp.n_batches(n_rows, cfg.batch_size)
+    eps = cfg.eps if cfg.eps is not None else tr.ADAM_EPS_DEFAULT if cfg.regime == "MTL_awl" else tr.ADAM_EPS
+    opt = tr.Optimizer(cfg.optimizer, cfg.lr, -(-batches // _group(batches, cfg)) * cfg.epochs, schedule=cfg.schedule, no_decay=("s",), eps=eps)
+    return Trainer(model, opt, tasks, cfg.regime, cfg.clip, cfg.accumulate, cfg.faithful_difference, cfg.keep_params, cfg.history, cfg.per_task_shared)
+
+
 def _one_job(df: DataFrame, cfg: RunConfig) -> bool:
     """Whether the steps of an epoch run as one barrier job.  All its tasks run at the same time, which Spark does not offer
     together with dynamic allocation; then, or on request, every step is a job."""
@@ -225,10 +233,10 @@ def _one_job(df: DataFrame, cfg: RunConfig) -> bool:
     return df.sparkSession.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") != "true"
 
 
-def _all_steps(rows: DataFrame, machine: Trainer | QueryPass, cfg: RunConfig, epoch: int, id_col: str, labels: dict[str, str], x: str,
+def _all_steps(rows: DataFrame, machine: Trainer | QueryPass | Stack, cfg: RunConfig, epoch: int, id_col: str, labels: dict[str, str], x: str,
                n_rows: int | None = None) -> list[dict]:
     """The steps of one pass over ``rows`` in the order of the epoch; ``machine`` has their state.  Returns their history."""
-    own = {t: labels[t] for t in machine.tasks}
+    own = machine.columns(labels)
     if _one_job(rows, cfg):
         n_rows = rows.count() if n_rows is None else n_rows
         # all tasks of a barrier stage need a slot at once
@@ -314,20 +322,118 @@ def tag_run(df: DataFrame, cfg: RunConfig) -> DataFrame:
     return df.withColumns(tags)
 
 
-def run_grid(configs: Sequence[RunConfig], prepare, results_path: str | None = None) -> DataFrame:
+#: What runs have to share to take their steps together: rows, order and number of the steps.
+STACKED_BY = ("epochs", "batch_size", "seed", "max_steps", "one_job", "step_tasks", "checkpoint")
+
+
+def run_grid(configs: Sequence[RunConfig], prepare, results_path: str | None = None, stacked: bool = True) -> DataFrame:
     """Run every configuration; ``prepare(cfg) -> (train, test, labels)``.
 
-    Reports share the columns of their task set and are combined by name.
-    With ``results_path`` every run's rows are also appended there as they
-    finish (partitioned by model, data, question and regime).
+    Configurations on the same tables that take the same number of steps on the same batches run together: a step
+    multiplies the rows with the heads of all of them, so the passes over the data and the jobs do not grow with the number of
+    configurations.  The meta regime, whose passes are its own, runs alone, and so does everything without ``stacked``.
+    Reports share the columns of their task set and are combined by name, in the order of ``configs``.
+    With ``results_path`` every run's rows are also appended there (partitioned by model, data, question and regime).
     """
     from labelwise.sources.results import append_results
 
-    out = None
-    for cfg in configs:
-        train, test, labels = prepare(cfg)
-        rep = fit(train, test, labels, cfg).report
+    prepared = [prepare(cfg) for cfg in configs]
+    groups: dict[tuple, list[int]] = {}
+    for k, (cfg, (train, test, labels)) in enumerate(zip(configs, prepared)):
+        alone = not stacked or cfg.regime == "MTL_meta"
+        key = (k,) if alone else (id(train), id(test), tuple(sorted(labels.items())), *(getattr(cfg, f) for f in STACKED_BY))
+        groups.setdefault(key, []).append(k)
+    reports: dict[int, DataFrame] = {}
+    for members in groups.values():
+        train, test, labels = prepared[members[0]]
+        if len(members) == 1:
+            reports[members[0]] = fit(train, test, labels, configs[members[0]]).report
+        else:
+            reports |= dict(zip(members, fit_stacked(train, test, labels, [configs[k] for k in members])))
         if results_path is not None:
-            append_results(rep, results_path)
-        out = rep if out is None else out.unionByName(rep, allowMissingColumns=True)
+            for k in members:
+                append_results(reports[k], results_path)
+    out = reports[0]
+    for k in range(1, len(configs)):
+        out = out.unionByName(reports[k], allowMissingColumns=True)
     return out
+
+
+def fit_stacked(train: DataFrame, test: DataFrame, labels: dict[str, str], configs: Sequence[RunConfig], x: str = "x", id_col: str = "row_id") -> list[DataFrame]:
+    """Reports of runs that differ in tasks, regime, rate, start, optimizer, hidden size or clipping, from shared passes over the data.
+
+    Per epoch one pass (full batch) or one barrier job (mini-batches) for all of them, and one evaluation of all epochs and runs at the end: the
+    heads of every epoch and run are multiplied with each test batch.  What is held is (runs x epochs) times a model.
+    """
+    cfg = configs[0]
+    for c in configs:
+        if any(getattr(c, f) != getattr(cfg, f) for f in STACKED_BY):
+            raise ValueError("stacked runs must take the same steps")
+        if c.regime not in REGIMES or c.regime == "MTL_meta":
+            raise ValueError(f"regime {c.regime!r} cannot be stacked")
+        if c.data not in DATASETS:
+            raise ValueError(f"unknown dataset {c.data!r}; known {sorted(DATASETS)}")
+        if c.regime == "STL" and len(c.tasks) != 1:
+            raise ValueError("STL trains exactly one task")
+    tasks = list(dict.fromkeys(t for c in configs for t in c.tasks))
+    rows = _pin(train.select(id_col, x, *dict.fromkeys(labels[t] for t in tasks)), cfg.checkpoint)
+    n_rows, d = rows.count(), len(rows.select(x).first()[0])
+    stack = Stack([_trainer(c, d, n_rows) for c in configs])
+    heads: dict[str, tr.Head] = {}
+    told: dict[str, tuple[int, int, str, float, float, float]] = {}  # per head: epoch, run, task, weight of its test loss, regulariser, training loss
+    for epoch in range(cfg.epochs):
+        for m in stack.machines:
+            m.begin_epoch()
+        _all_steps(rows, stack, cfg, epoch, id_col, labels, x, n_rows)
+        for k, m in enumerate(stack.machines):
+            lam, reg = _test_weights(m)
+            for t, h in m.heads().items():
+                heads[f"{epoch}|{k}|{t}"] = h
+                told[f"{epoch}|{k}|{t}"] = (epoch, k, t, float(lam[t]), reg, float(m.loss / m.steps))
+    rows.unpersist()
+    metrics, pins = _evaluate_stack(test, heads, told, labels, cfg, x, id_col)
+    spark = train.sparkSession
+    schema = metrics.schema
+    small = metrics.collect()  # one row per epoch, run and task
+    for df in pins:
+        df.unpersist()
+    reports = []
+    for k, c in enumerate(configs):
+        own = spark.createDataFrame([r for r in small if r["run_no"] == k], schema).drop("run_no")
+        batches = 1 if c.batch_size is None else smp.n_batches(n_rows, c.batch_size)
+        group = _group(batches, c)
+        reports.append(_report(own, list(c.tasks), c if group == 1 or c.batch_size is None else replace(c, batch_size=c.batch_size * group)))
+    return reports
+
+
+def _test_weights(m: Trainer) -> tuple[dict[str, float], float]:
+    """Weights of the tasks' test losses and the regulariser: learned weights hold for the test loss too."""
+    if m.regime != "MTL_awl":
+        return {t: 1.0 for t in m.tasks}, 0.0
+    return {t: 1.0 / (2 * si * si) for t, si in zip(m.tasks, m.s)}, float(sum(np.log(1 + si * si) for si in m.s))
+
+
+def _evaluate_stack(test, heads, told, labels, cfg, x, id_col) -> tuple[DataFrame, list[DataFrame]]:
+    """Metrics of every epoch, run and task from one scoring pass over ``test``; also what to unpersist after reading them."""
+    scored = tr.score_batch(test, heads, {n: labels[told[n][2]] for n in heads}, x, id_col).withColumnRenamed("task", "head")
+    spark = test.sparkSession
+    named = F.broadcast(spark.createDataFrame([(n, *v) for n, v in told.items()],
+                                              "head string, epoch int, run_no int, task string, lam double, reg double, training_loss double"))
+    # one row per epoch, run and task: as many as there are heads
+    counts = scored.groupBy("head").agg(F.count(F.lit(1)).alias("n"), *ev._cell_counts("y", "pred"), F.avg("loss").alias("_mean")).join(named, "head")
+    measures = [ev.f1_binary().alias("F1"), ev.balanced_accuracy_binary().alias("BA"), ev.auc_hard().alias("AUC")]
+    keys = ["epoch", "run_no"]
+    if cfg.batch_size is None:
+        total = F.sum(F.col("_mean") * F.col("lam")).over(Window.partitionBy(*keys)) + F.col("reg")
+        return counts.select(*keys, "task", "n", "TP", "TN", "FP", "FN", *measures, total.alias("testing_loss"), "training_loss"), []
+    pins, orders = [], None
+    n_test = test.count()
+    for epoch in range(cfg.epochs):
+        ranked = smp.global_rank(smp.seeded_shuffle(test.select(id_col), id_col, cfg.seed, 20_000 + epoch), ["shuffle_key", id_col], partitions=_partitions_for(test, n_test))
+        pins.append(ranked._labelwise_pinned)
+        order = ranked.select(id_col, F.floor(F.col("rank") / cfg.batch_size).alias("batch_id"), F.lit(epoch).alias("epoch"))
+        orders = order if orders is None else orders.unionByName(order)
+    weighted = scored.join(named, "head").groupBy(*keys, id_col).agg(F.sum(F.col("loss") * F.col("lam")).alias("loss"), F.first("reg").alias("reg"))
+    batches = weighted.join(orders, ["epoch", id_col]).groupBy(*keys, "batch_id").agg(F.avg("loss").alias("mean"), F.first("reg").alias("reg"))
+    losses = batches.groupBy(*keys).agg((F.avg("mean") + F.first("reg")).alias("testing_loss"))
+    return counts.join(losses, keys).select(*keys, "task", "n", "TP", "TN", "FP", "FN", *measures, "testing_loss", "training_loss"), pins

@@ -1067,7 +1067,7 @@ def q_run_grid(spark, sf_dir):
     return _rounded_losses(grid)
 
 
-@register("task_gradients", f"""
+_TASK_GRADIENTS_SQL = f"""
 WITH {FEAT_SQL},
 U AS (SELECT CAST(k AS INTEGER) AS k, CAST(j AS INTEGER) AS j, CAST(((7 * j + 3 * k) % 11) - 5 AS DOUBLE) / 10 / sqrt(3) AS v
       FROM range(0, 8) t1(k), range(0, 3) t2(j)),
@@ -1091,7 +1091,10 @@ params AS (
   SELECT 'head_' || t AS grp, c AS i, 8 AS j, g AS value FROM G WHERE j = 3)
 SELECT tk.task, p.grp, p.i, p.j, round(p.value, 9) AS value
 FROM params p JOIN (VALUES ('quality'), ('toxic')) tk(task) ON p.grp = 'shared' OR p.grp = 'head_' || tk.task
-""")
+"""
+
+
+@register("task_gradients", _TASK_GRADIENTS_SQL)
 def q_task_gradients(spark, sf_dir):
     """Per-task gradients (shared layer and own head, the other head
     excluded) of the multi-task model at its start: one distributed gradient
@@ -1103,6 +1106,136 @@ def q_task_gradients(spark, sf_dir):
     return vec.select("task", "grp", "i", "j", F.round("value", 9).alias("value"))
 
 
+@register("task_gradients_own", _TASK_GRADIENTS_SQL.replace(
+    "SELECT 'shared' AS grp, A.k", "SELECT 'shared_' || G.t AS grp, A.k").replace("GROUP BY A.k, G.j", "GROUP BY G.t, A.k, G.j").replace(
+    "p.grp = 'shared' OR", "p.grp = 'shared_' || tk.task OR"))
+def q_task_gradients_own(spark, sf_dir):
+    """As ``task_gradients`` with the shared layer's gradient of each task's own loss instead of the summed one."""
+    feats = _features(spark, sf_dir)
+    model = trn.LinearModel.create(TASKS, 2, 3, hidden=8)
+    g = trn.gradient_table(feats, model.heads(), LABELS, "x")
+    vec = trn.task_vectors(trn.param_gradient_table(g, model, per_task_shared=True), TASKS)
+    return vec.select("task", "grp", "i", "j", F.round("value", 9).alias("value"))
+
+
+# --------------------------------------------------------------------------
+# Sparse features, epochs without a new sort, more than two tasks
+# --------------------------------------------------------------------------
+
+from labelwise.operators import sparse as sp  # noqa: E402
+
+BITS = 18
+SPARSE_SQL = TOK_SQL.split("flat AS (")[0].rstrip().rstrip(",") + f""",
+words_of AS (SELECT row_id, unnest(t) AS w FROM toks),
+cells AS (SELECT row_id, CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {1 << BITS} AS INTEGER) AS pos, CAST(count(*) AS DOUBLE) AS v
+  FROM words_of GROUP BY ALL)"""
+
+
+def _sparse_docs(spark, sf_dir):
+    return sp.hashed_counts(_docs(spark, sf_dir), "text", BITS)
+
+
+@register("sparse_features", f"WITH {SPARSE_SQL} SELECT row_id, pos, v AS value FROM cells")
+def q_sparse_features(spark, sf_dir):
+    """Counts of hashed words in 2**18 positions, one row per position that a text touches."""
+    pairs = F.arrays_zip(F.col("idx").alias("pos"), F.col("val").alias("value"))
+    return _sparse_docs(spark, sf_dir).select("row_id", F.inline(pairs))
+
+
+def _sparse_head(offset: int) -> trn.Head:
+    pos = np.arange(1 << BITS, dtype=np.int64)
+    return trn.Head(np.stack([((7 * pos + 3 * (c + offset)) % 11 - 5) / 100.0 for c in range(2)]), np.array([0.1, -0.1]))
+
+
+@register("sparse_gradient", f"""
+WITH {SPARSE_SQL},
+heads(task, c, off, bias) AS (VALUES ('quality', 0, 0, 0.1::DOUBLE), ('quality', 1, 0, -0.1::DOUBLE), ('toxic', 0, 2, 0.1::DOUBLE), ('toxic', 1, 2, -0.1::DOUBLE)),
+labelled AS (SELECT l.doc_id AS row_id, 'quality' AS task, l.quality AS y FROM labels l JOIN toks t ON t.row_id = l.doc_id
+  UNION ALL SELECT l.doc_id, 'toxic', l.toxic FROM labels l JOIN toks t ON t.row_id = l.doc_id),
+dots AS (SELECT row_id, task, c, sum(v * (((7 * CAST(pos AS BIGINT) + 3 * (c + off)) % 11) - 5) / 100.0::DOUBLE) AS z FROM cells, heads GROUP BY ALL),
+z AS (SELECT l.row_id, l.task, l.y, h.c, coalesce(d.z, 0) + h.bias AS z FROM labelled l JOIN heads h ON h.task = l.task
+  LEFT JOIN dots d ON d.row_id = l.row_id AND d.task = l.task AND d.c = h.c),
+p AS (SELECT *, exp(z - m) / sum(exp(z - m)) OVER (PARTITION BY row_id, task) AS p, m + ln(sum(exp(z - m)) OVER (PARTITION BY row_id, task)) AS lse
+  FROM (SELECT *, max(z) OVER (PARTITION BY row_id, task) AS m FROM z)),
+res AS (SELECT row_id, task, c, p - CAST(y = c AS DOUBLE) AS d, CASE WHEN y = c THEN lse - z END AS loss FROM p)
+SELECT task, CAST(c AS INTEGER) AS class, pos, round(sum(d * v), 6) AS value FROM res JOIN cells USING (row_id) GROUP BY task, c, pos
+UNION ALL SELECT task, CAST(c AS INTEGER), {1 << BITS}, round(sum(d), 6) FROM res GROUP BY task, c
+UNION ALL SELECT task, -1, 0, round(sum(loss), 6) FROM res GROUP BY task
+UNION ALL SELECT task, -1, 1, CAST(count(loss) AS DOUBLE) FROM res GROUP BY task
+""")
+def q_sparse_gradient(spark, sf_dir):
+    """One gradient pass of two heads over 2**18 sparse positions: touched positions only."""
+    labels = tb.read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), "quality", "toxic")
+    rows = _sparse_docs(spark, sf_dir).join(labels, "row_id")
+    g = sp.sparse_gradient_table(rows, {"quality": _sparse_head(0), "toxic": _sparse_head(2)}, LABELS)
+    return g.select("task", "class", "pos", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+def _permuted_sql(epochs: int = 3, batch: int = 32, seed: int = 42) -> str:
+    """The permutation as integer SQL: rounds as nested selects, walks as recursion."""
+    def mixed(v: str, r: int) -> str:
+        first = f"((({v} + CAST('0x' || substr(md5('{seed}:' || epoch || ':{r}'), 1, 7) AS BIGINT)) * 1103515245 + 12345) % 2147483647)"
+        return f"((xor({first}, {first} >> 15) * 48271) % 2147483647)"
+
+    def rounds(source: str) -> str:
+        q = f"SELECT row_id, epoch, n, a, b, p // b AS l, p % b AS r FROM {source}"
+        for r in range(smp.ROUNDS):
+            new = f"(l + {mixed('r', r)}) % a AS l, r" if r % 2 == 0 else f"l, (r + {mixed('l', r)}) % b AS r"
+            q = f"SELECT row_id, epoch, n, a, b, {new} FROM ({q})"
+        return f"SELECT row_id, epoch, n, a, b, l * b + r AS p FROM ({q})"
+
+    return f"""
+WITH RECURSIVE sized AS (SELECT *, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (SELECT count(*) AS n FROM embeddings))),
+start AS (SELECT row_id, e.epoch, n, a, b, row_number() OVER (PARTITION BY e.epoch ORDER BY row_id) - 1 AS p
+  FROM (SELECT vec_id AS row_id FROM embeddings), range({epochs}) e(epoch), sized),
+walk AS (SELECT * FROM ({rounds('start')}) UNION ALL SELECT * FROM ({rounds('(SELECT * FROM walk WHERE p >= n)')}))
+SELECT CAST(epoch AS INTEGER) AS epoch, row_id, p AS position, CAST(p // {batch} AS BIGINT) AS batch_id FROM walk WHERE p < n"""
+
+
+@register("permuted_batches", _permuted_sql())
+def q_permuted_batches(spark, sf_dir):
+    """Three epochs of batches of 32 from rows that are ranked once: a keyed permutation instead of a sort per epoch."""
+    ranked = smp.global_rank(tb.read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id")), ["row_id"])
+    n = sum(ranked._labelwise_counts)
+    out = None
+    for epoch in range(3):
+        placed = smp.permuted_batches(ranked, n, 32, 42, epoch).select(F.lit(epoch).alias("epoch"), "row_id", "position", "batch_id")
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+@register("min_norm_three_tasks", """
+WITH rows_of AS (SELECT [CAST(embedding[i] AS DOUBLE) for i in range(1, 9)] AS x, label FROM embeddings),
+flat AS (SELECT unnest(range(0, 8)) AS pos, unnest(x) AS v, label FROM rows_of),
+g AS (SELECT t.task, pos, c.c, sum((0.5 - CAST((CASE t.task WHEN 'a' THEN label % 2 WHEN 'b' THEN CAST(label >= 5 AS INTEGER) ELSE CAST(label % 3 = 0 AS INTEGER) END) = c.c AS DOUBLE)) * v) / count(*) AS g
+  FROM flat, (VALUES ('a'), ('b'), ('c')) t(task), (VALUES (0), (1)) c(c) GROUP BY ALL),
+m AS (SELECT x.task || y.task AS k, sum(x.g * y.g) AS d FROM g x JOIN g y USING (pos, c) GROUP BY ALL),
+v AS (SELECT max(d) FILTER (k = 'aa') AS aa, max(d) FILTER (k = 'ab') AS ab, max(d) FILTER (k = 'ac') AS ac, max(d) FILTER (k = 'bb') AS bb,
+  max(d) FILTER (k = 'bc') AS bc, max(d) FILTER (k = 'cc') AS cc FROM m),
+inner3 AS (SELECT *, aa - 2 * ac + cc AS p, ab - ac - bc + cc AS q, bb - 2 * bc + cc AS r, cc - ac AS s, cc - bc AS t FROM v),
+tried AS (
+  SELECT *, unnest([{a: 1.0::DOUBLE, b: 0.0::DOUBLE}, {a: 0.0, b: 1.0}, {a: 0.0, b: 0.0}, {a: (bb - ab) / (aa - 2 * ab + bb), b: 1 - (bb - ab) / (aa - 2 * ab + bb)},
+    {a: (cc - ac) / (aa - 2 * ac + cc), b: 0.0}, {a: 0.0, b: (cc - bc) / (bb - 2 * bc + cc)}, {a: (s * r - t * q) / (p * r - q * q), b: (p * t - q * s) / (p * r - q * q)}]) AS w FROM inner3),
+valued AS (SELECT w.a AS wa, w.b AS wb, 1 - w.a - w.b AS wc, w.a * w.a * aa + w.b * w.b * bb + (1 - w.a - w.b) ** 2 * cc
+    + 2 * (w.a * w.b * ab + w.a * (1 - w.a - w.b) * ac + w.b * (1 - w.a - w.b) * bc) AS norm FROM tried WHERE least(w.a, w.b, 1 - w.a - w.b) >= -1e-12),
+best AS (SELECT * FROM valued QUALIFY row_number() OVER (ORDER BY norm) = 1)
+SELECT task, round(w, 6) + 0.0 AS weight FROM (SELECT unnest(['a', 'b', 'c']) AS task, unnest([wa, wb, wc]) AS w FROM best)
+""")
+def q_min_norm_three_tasks(spark, sf_dir):
+    """Least-norm weights of three tasks from their mean gradients at zero weights: products in Spark, K x K numbers solved for."""
+    emb = tb.read_table(spark, sf_dir, "embeddings").select(
+        as_small("embedding", 8).alias("x"), (F.col("label") % 2).cast("int").alias("a"), (F.col("label") >= 5).cast("int").alias("b"), (F.col("label") % 3 == 0).cast("int").alias("c"))
+    tasks = ["a", "b", "c"]
+    g = trn.gradient_table(emb, {t: trn.Head(np.zeros((2, 8)), np.zeros(2)) for t in tasks}, {t: t for t in tasks}, "x")
+    weights = trn.min_norm_point(trn.gram_matrix(trn.gradient_gram(g, tasks, 8), tasks))
+    return spark.createDataFrame([(t, round(float(w), 6)) for t, w in zip(tasks, weights)], "task string, weight double")
+
+
+def as_small(x: str, d: int):
+    """The first ``d`` features as doubles."""
+    return trn.as_double_array(F.slice(x, 1, d))
+
+
 # --------------------------------------------------------------------------
 # Multi-task fit checked by SQL: two full-batch AdamW epochs, unrolled
 # --------------------------------------------------------------------------

@@ -59,7 +59,10 @@ class Trainer:
     """What a gradient step does to the training state, in every regime; also the state that goes from task to task."""
 
     def __init__(self, model: tr.LinearModel, opt: tr.Optimizer, tasks: Sequence[str], regime: str, clip: float | None, accumulate: bool = False,
-                 faithful_difference: bool = False, keep_params: bool = False, history: bool = True):
+                 faithful_difference: bool = False, keep_params: bool = False, history: bool = True, per_task_shared: bool = False):
+        if per_task_shared and accumulate:
+            raise ValueError("accumulated gradients are of the summed loss; task vectors of their own need fresh gradients")
+        self.per_task_shared = per_task_shared
         self.model, self.opt, self.tasks, self.regime, self.clip = model, opt, list(tasks), regime, clip
         self.accumulate, self.faithful, self.keep_params, self.history = accumulate, faithful_difference, keep_params, history
         self.s = np.ones(len(self.tasks))          # learned uncertainty parameters
@@ -84,6 +87,16 @@ class Trainer:
     def heads(self) -> dict[str, tr.Head]:
         return self.model.heads()
 
+    def columns(self, labels: dict[str, str]) -> dict[str, str]:
+        return {t: labels[t] for t in self.tasks}
+
+    def vectors(self, stats: tr.StepStats, lam: dict[str, float], grads: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Task vectors of a step: of the summed loss's gradient, so that they differ in the heads, or each of its own loss."""
+        if not self.per_task_shared:
+            return {t: self.model.task_vector(grads, t) for t in self.tasks}
+        own = {t: step_grads(self.model, stats, {u: lam[u] if u == t else 0.0 for u in self.tasks}, self.clip) for t in self.tasks}
+        return {t: self.model.task_vector(g, t) for t, g in own.items()}
+
     def step(self, stats: tr.StepStats) -> dict | None:
         """One gradient step; what the history keeps of it."""
         tasks, model, regime = self.tasks, self.model, self.regime
@@ -103,7 +116,7 @@ class Trainer:
         else:
             grads = step_grads(model, stats, lam, self.clip)
         if regime == "MTL_meta":
-            now = {t: model.task_vector(grads, t) for t in tasks}
+            now = self.vectors(stats, lam, grads)
             own = now
             if self.accumulate and self.before is not None and (self.steps == 1 or not self.faithful):
                 own = {t: now[t] - self.before[t] for t in tasks}
@@ -132,7 +145,7 @@ class QueryPass:
 
     def __init__(self, trainer: Trainer):
         self.model, self.tasks, self.clip, self.accumulate, self.acc = trainer.model, trainer.tasks, trainer.clip, trainer.accumulate, trainer.acc
-        self.query, self.steps, self.loss, self.history = GradientSums(self.tasks), 0, 0.0, False
+        self.query, self.steps, self.loss, self.trainer = GradientSums(self.tasks), 0, 0.0, trainer
 
     def state(self) -> dict:
         return {"acc": self.acc, "steps": self.steps, "loss": self.loss, "query": (self.query.total, self.query.gram)}
@@ -144,6 +157,9 @@ class QueryPass:
     def heads(self) -> dict[str, tr.Head]:
         return self.model.heads()
 
+    def columns(self, labels: dict[str, str]) -> dict[str, str]:
+        return {t: labels[t] for t in self.tasks}
+
     def step(self, stats: tr.StepStats) -> None:
         one = {t: 1.0 for t in self.tasks}
         self.loss += sum(stats.loss[t] for t in self.tasks)
@@ -152,7 +168,37 @@ class QueryPass:
             self.acc = grads = accumulated(self.acc, self.model.param_grads(stats, one), self.clip)
         else:
             grads = step_grads(self.model, stats, one, self.clip)
-        self.query.add({t: self.model.task_vector(grads, t) for t in self.tasks})
+        self.query.add(self.trainer.vectors(stats, one, grads))
+
+
+class Stack:
+    """Machines that take the same steps on the same rows: all their heads are multiplied with a batch in one pass over it.
+
+    A head is named ``k|task`` by its machine's place k.
+    """
+
+    def __init__(self, machines: Sequence[Trainer | QueryPass]):
+        self.machines = list(machines)
+
+    def state(self) -> list[dict]:
+        return [m.state() for m in self.machines]
+
+    def load(self, state: list[dict]) -> None:
+        for m, s in zip(self.machines, state):
+            m.load(s)
+
+    def heads(self) -> dict[str, tr.Head]:
+        return {f"{k}|{t}": h for k, m in enumerate(self.machines) for t, h in m.heads().items()}
+
+    def columns(self, labels: dict[str, str]) -> dict[str, str]:
+        return {f"{k}|{t}": labels[t] for k, m in enumerate(self.machines) for t in m.tasks}
+
+    def step(self, stats: tr.StepStats) -> dict | None:
+        made = []
+        for k, m in enumerate(self.machines):
+            names = {t: f"{k}|{t}" for t in m.tasks}
+            made.append(m.step(tr.StepStats(*({t: part[n] for t, n in names.items()} for part in (stats.grads, stats.loss, stats.counts)))))
+        return {"step": self.machines[0].steps - 1, "all": made} if any(h is not None for h in made) else None
 
 
 def rounds(counts: Sequence[int], batch: int) -> list[tuple[int, int, int, int]]:
@@ -206,7 +252,7 @@ class _Rows:
         return out
 
 
-def run_epoch(ranked: DataFrame, counts: Sequence[int], machine: Trainer | QueryPass, labels: dict[str, str], x: str, batch: int) -> list[dict]:
+def run_epoch(ranked: DataFrame, counts: Sequence[int], machine: Trainer | QueryPass | Stack, labels: dict[str, str], x: str, batch: int) -> list[dict]:
     """All steps of one pass over ``ranked`` as one barrier job; ``machine`` has the final state.  Returns the history, if it is kept.
 
     ``ranked``: partitions of consecutive ranks, each in order (see ``sample.global_rank``), of ``counts`` rows.  Rows without any
