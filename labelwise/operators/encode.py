@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from labelwise.functions.arrays import attention_mask as mask_expr
 from labelwise.functions.arrays import pad_truncate as pad_expr
 from labelwise.functions.text import tokens as tokens_expr
-from labelwise.session import BROADCAST_LIMIT_BYTES
+from labelwise.session import BROADCAST_LIMIT_BYTES, scratch_path
 
 # Reserved ids of the vocabulary.
 PAD_ID = 0
@@ -184,14 +184,30 @@ def post_truncate(df: DataFrame, col: str, n: int = MAX_SEQ_LEN) -> DataFrame:
     return df.withColumn(col, F.slice(col, 1, n))
 
 
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` in at least ``partitions`` parts, where a scan of few large files has fewer: rows are then dealt round-robin, which
+    moves every row once.  A scan with enough splits stays as it is, as does any without ``partitions``."""
+    if partitions is None or df.rdd.getNumPartitions() >= partitions:
+        return df
+    return df.repartition(partitions)
+
+
 def encode_corpus(df: DataFrame, size: int = 5000, max_len: int | None = MAX_SEQ_LEN, id_col: str = "row_id",
-                  text: str = "text", carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary and encoded rows: one pass counts the tokens, one encodes.
+                  text: str = "text", carry: Sequence[str] = (), partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary and encoded rows.  Texts are tokenised once, into a written table of token arrays in the shared checkpoint
+    folder, from which one pass counts the tokens and one encodes.
 
     Returns ``(encoded, vocab)``; with ``max_len`` the rows are fixed length
     with masks, else the full encoded lists.  Only the vocabulary is cached.
+    ``partitions``: see :func:`spread`.
     """
-    vocab = build_vocab(df, text, size)
+    spark = df.sparkSession
+    path = scratch_path(spark, "tokens")
+    base = spread(df.select(id_col, *carry, text), partitions)
+    table = tokenized(base, id_col, text, carry)
+    table.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(table.schema).parquet(path)
+    vocab = build_vocab(table, size=size, tokens_col="tokens")
     if max_len is None:
-        return encode_ids(df, vocab, id_col, text, carry), vocab
-    return encode_fixed(df, vocab, id_col, text, carry, max_len), vocab
+        return encode_ids(table, vocab, id_col, carry=carry, tokens_col="tokens"), vocab
+    return encode_fixed(table, vocab, id_col, carry=carry, max_len=max_len, tokens_col="tokens"), vocab

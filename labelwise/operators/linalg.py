@@ -7,8 +7,11 @@ window or aggregate per sequence is bounded by the sequence length.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,33 +46,95 @@ def hop_scores(vec, w1: Sequence[Sequence[float]], b1: Sequence[float], w2: Sequ
 
 
 def attention_pool(df: DataFrame, seq: str = "seq_id", pos: str = "pos", vec: str = "vec",
-                   scores: Column | None = None, mask: str | None = None) -> DataFrame:
+                   scores: Column | None = None, mask: str | None = None,
+                   network: tuple[Sequence[Sequence[float]], Sequence[float], Sequence[Sequence[float]], Sequence[float]] | None = None) -> DataFrame:
     """Per hop, a softmax over positions weights the position vectors; the
     weighted sums of all hops are concatenated into one pooled vector.
 
     ``scores`` is an array column (one score per hop), e.g. from
-    :func:`hop_scores`; default is one hop scored by the vector's first
-    element.  With ``mask`` (a 0/1 column) masked positions get no weight;
-    without it every position counts, padding included.
+    :func:`hop_scores`; ``network`` (W1, b1, W2, b2) gives the same scores
+    as whole matrix products inside the pass; default is one hop scored by
+    the vector's first element.  With ``mask`` (a 0/1 column) masked positions
+    get no weight; without it every position counts, padding included.
+    Positions without a vector or scores are left out.
     Returns (seq, pooled) with ``pooled`` ordered hop-major.
 
-    The softmax denominator is summed in the same aggregate as the weighted
-    vectors (numerator and denominator per (seq, hop, dim)), and the maximum
-    comes from a window: one scan, no join.  A sequence is one text's positions
-    (at most the encoding length), so the per-sequence work is bounded.
+    One exchange brings the rows of a sequence together, sorted, so that an
+    Arrow batch is a run of whole sequences (compressed rows: flat vectors
+    with bounds).  Each sequence is a segment of a few matrix operations; what
+    is open at the end of a batch is carried as its running maximum, sum and
+    weighted vector, so a sequence may be longer than any batch, and nothing
+    is exploded.
     """
-    sc = scores if scores is not None else F.array(F.element_at(F.col(vec), 1).cast("double"))
-    base = df.select(seq, pos, vec, *([mask] if mask else []), sc.alias("_s"))
-    if mask:
-        base = base.where(F.col(mask) == 1)
-    hops = base.select(seq, pos, vec, F.posexplode("_s").alias("hop", "score"))
-    peak = F.max("score").over(Window.partitionBy(seq, "hop"))
-    weighted = hops.withColumn("_e", F.exp(F.col("score") - peak))
-    dims = weighted.select(seq, "hop", "_e", F.posexplode(vec).alias("dim", "v"))
-    summed = dims.groupBy(seq, "hop", "dim").agg(
-        (F.sum(F.col("_e") * F.col("v")) / F.sum("_e")).alias("value"))
-    return summed.groupBy(seq).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("hop", "dim", "value"))), lambda e: e["value"]).alias("pooled"))
+    if scores is not None and network is not None:
+        raise ValueError("give scores or a network, not both")
+    column = F.col(vec)
+    if network is None:
+        sc = scores if scores is not None else F.array(F.element_at(column, 1).cast("double"))
+    else:
+        sc = F.array().cast("array<double>")
+        w1, b1, w2, b2 = (np.asarray(m, dtype=np.float64) for m in network)
+    base = df.where(F.col(mask) == 1) if mask else df
+    base = base.select(F.col(seq).alias("_k"), F.transform(column, lambda v: v.cast("double")).alias("_v"), sc.cast("array<double>").alias("_s"))
+    base = base.where("_v IS NOT NULL AND _s IS NOT NULL" + ("" if network is not None else " AND NOT exists(_s, s -> s IS NULL)"))
+    ordered = base.repartition("_k").sortWithinPartitions("_k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # key, maximum (hops), sum (hops), weighted vectors (hops x d) of the open sequence
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            keys = rb.column(0)
+            starts, firsts = _key_runs(keys)
+            xs = _rows_of(rb.column(1), n)
+            z = np.tanh(xs @ w1.T + b1) @ w2.T + b2 if network is not None else _rows_of(rb.column(2), n)
+            peak = np.maximum.reduceat(z, starts, axis=0)
+            sizes = np.diff(np.append(starts, n))
+            e = np.exp(z - np.repeat(peak, sizes, axis=0))
+            total = np.add.reduceat(e, starts, axis=0)
+            pooled = np.stack([np.add.reduceat(e[:, h:h + 1] * xs, starts, axis=0) for h in range(z.shape[1])], axis=1)
+            parts = [(k, peak[i], total[i], pooled[i]) for i, k in enumerate(firsts)]
+            if held is not None:
+                if held[0] == parts[0][0]:
+                    parts[0] = _joined(held, parts[0])
+                else:
+                    parts.insert(0, held)
+            held = parts.pop()
+            if parts:
+                yield _pooled(parts, keys.type)
+        if held is not None:
+            yield _pooled([held], keys.type)
+
+    kind = df.schema[seq].dataType.simpleString()
+    return ordered.mapInArrow(run, f"`{seq}` {kind}, pooled array<double>")
+
+
+def _key_runs(keys: pa.Array) -> tuple[np.ndarray, list]:
+    """Starts and values of the runs of equal keys (null equals null)."""
+    runs = pc.run_end_encode(keys)
+    ends = runs.run_ends.to_numpy()
+    return np.concatenate([[0], ends[:-1]]).astype(np.int64), runs.values.to_pylist()
+
+
+def _rows_of(column: pa.Array, n: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if flat.size % n or not np.all(np.diff(column.offsets.to_numpy()) == flat.size // n):
+        raise ValueError("vectors of one sequence set must have the same length")
+    return flat.reshape(n, flat.size // n)
+
+
+def _joined(a, b):
+    """Two parts of one sequence under their common maximum."""
+    peak = np.maximum(a[1], b[1])
+    u, v = np.exp(a[1] - peak), np.exp(b[1] - peak)
+    return a[0], peak, a[2] * u + b[2] * v, a[3] * u[:, None] + b[3] * v[:, None]
+
+
+def _pooled(parts: list, kind: pa.DataType) -> pa.RecordBatch:
+    flat = np.stack([(w / t[:, None]).ravel() for _, _, t, w in parts])
+    ends = pa.array((np.arange(len(parts) + 1) * flat.shape[1]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], kind), pa.ListArray.from_arrays(ends, pa.array(flat.ravel()))], names=["seq", "pooled"])
 
 
 def dot_matrix(left: DataFrame, right: DataFrame, lid: str = "qid", rid: str = "sid", pos: str = "pos",

@@ -222,6 +222,33 @@ def q_scan_labels(spark, sf_dir):
     return _labels(spark, sf_dir)
 
 
+_LINE_SQL = """
+lines AS (SELECT "index" % 7 = 6 AS wrong, "index" % 5 = 4 AS short, "index" % 6 = 5 AS unnamed, replace(replace(replace(coalesce(sentence, ''), chr(9), ' '), chr(10), ' '), chr(13), ' ') AS said,
+    concat_ws(chr(9), CASE WHEN "index" % 7 = 6 THEN 'x' ELSE '' END || "index", coalesce(label::VARCHAR, ''), coalesce(label_notes, '')) AS head,
+    CASE WHEN "index" % 6 = 5 THEN '' ELSE audio_features END AS name FROM tr)"""
+
+
+@register("scan_checked", f"""
+WITH {TR_SQL}, {_LINE_SQL}
+SELECT CASE WHEN wrong OR short THEN 'malformed' WHEN unnamed THEN 'missing' ELSE 'good' END AS reason,
+  CASE WHEN wrong OR short OR unnamed THEN head || chr(9) || said || CASE WHEN short THEN '' ELSE chr(9) || name END WHEN said = '' THEN NULL ELSE said END AS line FROM lines
+""")
+def q_scan_checked(spark, sf_dir):
+    """A transcript file with broken lines: every line is either good, or kept with the reason why it is not."""
+    c = lambda n: F.coalesce(F.col(n).cast("string"), F.lit(""))
+    number = F.concat(F.when(F.col("index") % 7 == 6, "x").otherwise(""), c("index"))
+    name = F.when(F.col("index") % 6 == 5, "").otherwise(F.col("audio_features"))
+    said = F.regexp_replace(c("sentence"), "[\t\n\r]", " ")
+    fields = [number, c("label"), c("label_notes"), said]
+    line = F.when(F.col("index") % 5 == 4, F.concat_ws("\t", *fields)).otherwise(F.concat_ws("\t", *fields, name))
+    path = scratch_path(spark, "lines")
+    _transcripts(spark, sf_dir).select(line.alias("value")).write.text(path)
+    good, bad = trs.scan_checked(spark, path, required=("audio_features",))
+    store = trs.quarantine(bad, scratch_path(spark, "quarantine"))
+    kept = spark.read.schema("line string, file string, reason string").parquet(store)
+    return good.select(F.lit("good").alias("reason"), F.col("sentence").alias("line")).unionByName(kept.select("reason", "line"))
+
+
 @register("extract_id", r"""
 SELECT page_id, url, CAST(NULLIF(regexp_extract(url, '[0-9]{3}'), '') AS INTEGER) AS Participant_ID FROM pages
 """)
@@ -249,6 +276,14 @@ def q_link_labels(spark, sf_dir):
     return _linked(spark, sf_dir)
 
 
+@register("link_colocated", f"WITH {LINKED_SQL} SELECT * FROM linked")
+def q_link_colocated(spark, sf_dir):
+    """As ``link_labels`` from tables stored side by side: no transcript moves when they are linked."""
+    from labelwise.sources import colocated as co
+
+    return co.linked(co.colocate(_labels(spark, sf_dir), _with_id(spark, sf_dir), buckets=8, rows_per_part=100_000))
+
+
 @register("link_labels_matched", f"""
 WITH {TR_SQL}
 SELECT lab.Participant_ID, lab.quality, lab.toxic, trid."index", trid.label, trid.label_notes,
@@ -385,11 +420,11 @@ def q_encode_join(spark, sf_dir):
 
 @register("encode_ids", f"WITH {TOK_SQL} SELECT row_id, n_tokens, encoded FROM encoded")
 def q_encode_ids(spark, sf_dir):
-    return enc.encode_corpus(_docs(spark, sf_dir), VOCAB_SIZE, max_len=None)[0]
+    return enc.encode_corpus(_docs(spark, sf_dir), VOCAB_SIZE, max_len=None, partitions=spark.sparkContext.defaultParallelism)[0]
 
 
 def _fixed(spark, sf_dir):
-    return enc.encode_corpus(_docs(spark, sf_dir), VOCAB_SIZE, max_len=128)[0]
+    return enc.encode_corpus(_docs(spark, sf_dir), VOCAB_SIZE, max_len=128, partitions=spark.sparkContext.defaultParallelism)[0]
 
 
 @register("pad_truncate", f"WITH {TOK_SQL} SELECT row_id, n_tokens, input_ids FROM fixed")
@@ -649,8 +684,7 @@ SELECT seq_id, list(round(value, 9) ORDER BY hop, dim) AS pooled FROM p GROUP BY
 @register("attention_pool_hops", _hops_sql())
 def q_attention_pool_hops(spark, sf_dir):
     """Two attention hops scored by a small network over every position."""
-    seq = _seq(spark, sf_dir).withColumn("x", trn.as_double_array("x"))
-    pooled = la.attention_pool(seq, seq="seq_id", pos="pos", vec="x", scores=la.hop_scores("x", *HOPS))
+    pooled = la.attention_pool(_seq(spark, sf_dir), seq="seq_id", pos="pos", vec="x", network=HOPS)
     return pooled.select("seq_id", _r9(F.col("pooled")).alias("pooled"))
 
 
@@ -944,6 +978,19 @@ def _append_mixed(spark, sf_dir, path, fmt):
     return path
 
 
+@register("replace_runs", f"""
+WITH {PRED_SQL}, {_wide_sql()},
+multi AS (SELECT wide.*, {_tags_sql()} FROM wide),
+single AS (SELECT {', '.join(f'{m}_toxic' for m in MEASURES)}, epoch, {_tags_sql(regime='STL')} FROM wide)
+SELECT * FROM multi UNION ALL BY NAME SELECT * FROM single""")
+def q_replace_runs(spark, sf_dir):
+    """Two runs stored, the first of them again: each is there once."""
+    path = scratch_path(spark, "runs")
+    for tasks, regime in ((TASKS, "MTL"), (("toxic",), "STL"), (TASKS, "MTL")):
+        rs.replace_runs(_stand_in_report(spark, sf_dir, tasks=tasks, regime=regime), path)
+    return rs.read_results(spark, path)
+
+
 @register("read_results_csv", _MIXED_SQL)
 def q_read_results_csv(spark, sf_dir):
     return rs.read_results_csv(spark, _append_mixed(spark, sf_dir, scratch_path(spark, "results-csv"), "csv"))

@@ -32,6 +32,24 @@ def append_results(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return path
 
 
+#: Columns that name a run among the stored results.
+RUN_KEY = (*PARTITION_COLUMNS, "run")
+
+
+def replace_runs(df: DataFrame, path: str, key: Sequence[str] = RUN_KEY) -> str:
+    """Store the report rows of whole runs so that doing it again changes nothing: rows of a run that is stored already are replaced.
+
+    Parquet partitioned by ``key``, whose partitions are overwritten one by one (dynamic partition overwrite), so a retried job or a
+    driver that starts over after a failure leaves every run once, and runs that are not in ``df`` stay as they are.  The files of a
+    partition appear together when the job commits.  A missing key column is an error.
+    """
+    missing = [c for c in key if c not in df.columns]
+    if missing:
+        raise ValueError(f"reports without {missing} cannot be told apart by run")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(path)
+    return path
+
+
 def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """All appended reports with all their columns; what a report lacks is NULL."""
     return spark.read.option("mergeSchema", "true").format(fmt).load(path)
