@@ -57,13 +57,3 @@ class BoostedTrees:
         for tree in self.trees:
             score += self.rate * _apply(tree, x)
         return 1 / (1 + np.exp(-score))
-
-
-def precision_cut(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The lowest score from which on the share of positives, one negative added, is at least ``precision``; 2 if none."""
-    order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    ok = hits / (np.arange(1, len(y) + 1) + 1) >= precision
-    same_as_next = np.append(p[order][1:] == p[order][:-1], False)
-    good = np.flatnonzero(ok & ~same_as_next)
-    return float(p[order][good[-1]]) if len(good) else 2.0

@@ -6,9 +6,12 @@ telephone shapes without a plus, addresses written apart, and so on.  Boosted tr
 its context, and the threshold of its kind, calibrated on held-out candidates to a precision, decides whether it is taken.
 Taken spans that overlap neither a base span nor a better one are added.
 
-The trees learn from weak labels: a candidate that is a base span is positive; one that lies apart from all base spans
-and fails its kind's check is negative; others (parts of longer runs, looser shapes) are left out of training.  They are
-fitted on the candidates of at most ``sample_rows`` documents, chosen by a hash; every document is scored.
+The trees learn from weak labels that all documents give: a base span is positive; a candidate that overlaps a base span
+without being one is negative (wrong ends, or of another kind), and so are one that lies apart and fails its kind's check and
+a base span that was spoilt; a candidate apart that passes its check is unknown, and is what the trees decide.  All labelled
+candidates, each distinct one once, are written as a small table.  The trees are fitted on about ``per_label`` of them of each
+kind and label, picked by a hash among those of all documents; those of a third of the documents are left out, and all of these
+are scored and counted in bins, from which each kind's threshold follows.  A kind with too few of them for the precision asked adds nothing.
 
 Defined cases: a null or empty text has no spans.  Very long runs of digits or address characters are scanned in linear
 time.  Columns of the input that bear a result's name are replaced.
@@ -17,6 +20,7 @@ time.  Columns of the input that bear a result's name are replaced.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -26,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwise.llm.boosting import BoostedTrees, precision_cut
-from labelwise.llm.common import Shipped, pieces, sha256_hex
+from labelwise.llm.boosting import BoostedTrees
+from labelwise.llm.common import Shipped, pieces, sha256_hex, written
 
 # Kinds in their listed order, and the base patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -36,14 +40,15 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-SAMPLE_ROWS = 4000
-MAX_CANDIDATES = 20000
+PER_LABEL = 2000
 PRECISION = 0.97
+#: Bins of the scores that calibrate the thresholds.
+BINS = 1000
 _email, _ip, _card, _phone = map(re.compile, (EMAIL, IP, CARD, PHONE))
 _at_run = re.compile(r"[A-Za-z0-9._%+@-]*")
 _number_run = re.compile(r"[0-9+(][0-9+().\x20-]{5,}")
 _group = re.compile(r"[0-9]+")
-_apart = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\x20?(?:\(at\)|\[at\]|@)\x20?)[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{2,63})+")
+_apart = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?(?:\(at\)|\[at\]|@)\x20?)[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{2,}+)+")
 _cue = {"email": re.compile(r"mail|contact|e-mail", re.I), "ip": re.compile(r"\bip\b|host|server|addr", re.I),
         "card": re.compile(r"card|visa|master|credit|pay", re.I), "phone": re.compile(r"tel|phone|call|fax|mobile|whats", re.I)}
 
@@ -110,7 +115,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
             if before == "(" and a > 1 and text[a - 2] == "+":
                 start = a - 2
             n = 0
-            for j in range(i, min(i + 8, len(groups))):
+            for j in range(i, len(groups)):  # ends with the 20th digit
                 b = groups[j][1]
                 n += groups[j][1] - groups[j][0]
                 if n > 19:
@@ -185,6 +190,9 @@ def _overlaps(spans: list[tuple[int, int]], start: int, end: int) -> bool:
 def _spoilt(text: str, start: int, kind: int, end: int) -> str | None:
     """The text with a span changed so that it fails its check: a known negative of the same shape."""
     span = text[start:end]
+    if kind == 0:
+        head, _, last = span.rpartition(".")
+        return text[:start] + head + "." + "7" * len(last) + text[end:]
     if kind == 2:
         return text[:end - 1] + str((int(span[-1]) + 1) % 10) + text[end:]
     if kind == 1:
@@ -193,54 +201,114 @@ def _spoilt(text: str, start: int, kind: int, end: int) -> str | None:
     return None
 
 
-def weak_examples(text: str | None) -> list[tuple[list[float], int, int]]:
-    """(features, kind, label) of the candidates of a text whose label is known, and of its base spans."""
+Example = tuple[list[float], int, int, int, int]
+
+
+def weak_examples(text: str | None) -> list[Example]:
+    """(features, kind, label, h, e) of the labelled candidates of a text; h is a hash of the text, e one of the example."""
     if not text:
         return []
     base = base_spans(text)
     spans = [(a, b) for a, _, b in base]
-    out = [(features(text, *s), s[1], 1) for s in base]
-    for start, kind, end in base:
+    known = set(base)
+    found = [(features(text, *s), s, 1, 0) for s in base]
+    for s in base:
+        start, kind, end = s
         if wrong := _spoilt(text, start, kind, end):
-            out.append((features(wrong, start, kind, end + len(wrong) - len(text)), kind, 0))
+            found.append((features(wrong, start, kind, end + len(wrong) - len(text)), s, 0, 1))
     for c in candidates(text):
-        if not _overlaps(spans, c[0], c[2]) and not checked(KINDS[c[1]], text[c[0]:c[2]]):
-            out.append((features(text, *c), c[1], 0))
+        if c not in known and (_overlaps(spans, c[0], c[2]) or not checked(KINDS[c[1]], text[c[0]:c[2]])):
+            found.append((features(text, *c), c, 0, 0))
+    whole = hashlib.blake2b(text.encode(errors="replace"), digest_size=16).digest()
+    h = int.from_bytes(whole[:8], "little", signed=True)
+    return [(x, s[1], y, h, int.from_bytes(hashlib.blake2b(repr((s, y, spoilt)).encode(), digest_size=7, key=whole).digest(), "little")) for x, s, y, spoilt in found]
+
+
+#: Hashes of examples lie below this.
+_HASHES = 1 << 56
+
+
+def train(rows: list[Example]) -> BoostedTrees | None:
+    """Trees of the sampled examples, in the order of their hashes; None if they are of one label."""
+    rows = sorted(rows, key=lambda r: (r[4], r[1], r[2]))
+    if len({r[2] for r in rows}) < 2:
+        return None
+    return BoostedTrees().fit(np.array([r[0] for r in rows]), np.array([r[2] for r in rows], float))
+
+
+def _bin(scores: np.ndarray) -> np.ndarray:
+    return np.minimum((scores * BINS).astype(np.int64), BINS - 1)
+
+
+def cuts(bins: dict[tuple[int, int, int], int], precision: float) -> list[float]:
+    """Thresholds of the kinds from counts by (kind, label, bin of the score): the lowest from which on the share of positives, one
+    negative added, is at least ``precision``, and one half at least; 2 if there is none."""
+    out = []
+    for k in range(len(KINDS)):
+        hits = np.array([bins.get((k, 1, b), 0) for b in range(BINS)])[::-1].cumsum()[::-1]
+        every = hits + np.array([bins.get((k, 0, b), 0) for b in range(BINS)])[::-1].cumsum()[::-1]
+        good = np.flatnonzero((hits / (every + 1) >= precision) & (hits > 0))
+        out.append(max(0.5, float(good[0]) / BINS) if len(good) else 2.0)
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> Detector:
-    """Trees and thresholds from the candidates of about ``sample_rows`` documents (all, where there are fewer).
+def held_out(h: int) -> bool:
+    return h % 3 == 0
+
 
-    Two thirds of the sampled texts train the trees; the others calibrate the threshold of each kind.
-    """
-    total = docs.count()
-    pick = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 30))
-    share = min(1.0, sample_rows / max(total, 1))
-    texts = docs.select(F.col(text).alias("t"), pick.alias("h")).where(F.col("t").isNotNull() & (F.col("h") < int(share * (1 << 30))))
+def fit(docs: DataFrame, text: str = "text", per_label: int = PER_LABEL, precision: float = PRECISION) -> Detector:
+    """Trees from about ``per_label`` training examples of each kind and label (all, where there are fewer), and thresholds from all
+    held-out examples of all documents."""
     schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("kind", T.IntegerType()),
-                           T.StructField("y", T.IntegerType()), T.StructField("h", T.LongType())])
+                           T.StructField("y", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("e", T.LongType())])
+    types = [pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "t"):
-            rows = [(x, k, y, h) for t, h in zip(*(c.to_pylist() for c in batch.columns)) for x, k, y in weak_examples(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.int32()),
-                                              pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64())], schema.names)
-
-    rows = texts.mapInArrow(run, schema).orderBy("h", "kind", "y", "x").limit(MAX_CANDIDATES).collect()
-    return fit_rows([(r["x"], r["kind"], r["y"], r["h"]) for r in rows], precision)
-
-
-def fit_rows(rows: list[tuple[list[float], int, int, int]], precision: float = PRECISION) -> Detector:
-    if not rows:
+            rows = [r for t in batch.column(0).to_pylist() for r in weak_examples(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], schema.names)
+
+    # copies of a text give the same examples: each is there once
+    found = docs.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(run, schema)
+    examples = written(found.groupBy("kind", "y", "h", "e").agg(F.first("x").alias("x")), "pii-examples")
+    own = F.col("h") % 3 == 0
+    sizes = examples.where(~own).groupBy("kind", "y").agg(F.count("*").alias("n")).collect()
+    least = F.lit(False)
+    for r in sizes:
+        least = least | ((F.col("kind") == r["kind"]) & (F.col("y") == r["y"]) & (F.col("e") < min(_HASHES, int(_HASHES * (per_label / r["n"])))))
+    model = train([(r["x"], r["kind"], r["y"], r["h"], r["e"]) for r in examples.where(~own & least).collect()])
+    if model is None:
         return Detector()
-    x, kind, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
-    held = np.array([r[3] % 3 == 0 for r in rows])
-    if held.all() or not held.any() or len(set(y[~held])) < 2:
+    shipped = Shipped(docs.sparkSession, model)
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shipped.open()
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+                at = _bin(trees.predict(flat.reshape(batch.num_rows, -1)))
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(at.astype(np.int32))], ["kind", "y", "bin"])
+
+    told = examples.where(own).select("x", "kind", "y").mapInArrow(score, "kind int, y int, bin int").groupBy("kind", "y", "bin").agg(F.count("*").alias("n")).collect()
+    return Detector(model, cuts({(r["kind"], r["y"], r["bin"]): r["n"] for r in told}, precision))
+
+
+def fit_examples(rows: list[Example], per_label: int = PER_LABEL, precision: float = PRECISION) -> Detector:
+    """:func:`fit` on a list of examples."""
+    rows = list({r[1:]: r for r in rows}.values())
+    sizes: dict[tuple[int, int], int] = {}
+    for r in rows:
+        if not held_out(r[3]):
+            sizes[r[1], r[2]] = sizes.get((r[1], r[2]), 0) + 1
+    model = train([r for r in rows if not held_out(r[3]) and r[4] < min(_HASHES, int(_HASHES * (per_label / sizes[r[1], r[2]])))])
+    if model is None:
         return Detector()
-    model = BoostedTrees().fit(x[~held], y[~held])
-    score = model.predict(x)
-    return Detector(model, [precision_cut(score[held & (kind == k)], y[held & (kind == k)], precision) for k in range(len(KINDS))])
+    bins: dict[tuple[int, int, int], int] = {}
+    for r in rows:
+        if held_out(r[3]):
+            key = (r[1], r[2], int(_bin(model.predict(np.array([r[0]])))[0]))
+            bins[key] = bins.get(key, 0) + 1
+    return Detector(model, cuts(bins, precision))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

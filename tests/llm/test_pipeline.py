@@ -7,7 +7,6 @@ from collections import Counter
 
 import duckdb
 import numpy as np
-import xxhash
 
 import __spark_entry__ as se
 import corpus_pipeline
@@ -62,11 +61,7 @@ def brute_pipeline(rows, items):
         return any(tuple(w[k:k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
 
     rows = [r for r in rows if not leaks(r[1])]
-    examples = []
-    for _, t in rows:
-        h = xxhash.xxh64(t.encode(), seed=42).intdigest()
-        examples += [(x, k, y, (h - (1 << 64) if h >> 63 else h) % (1 << 30)) for x, k, y in pii.weak_examples(t)]
-    detector = pii.fit_rows(sorted(examples, key=lambda e: (e[3], e[1], e[2], e[0])))
+    detector = pii.fit_examples([e for _, t in rows for e in pii.weak_examples(t)])
     library = Tokenizer.from_file(bpe_path())
     for d, t in rows:
         text = pii.redact(t, detector.spans(t)[1])

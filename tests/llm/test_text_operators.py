@@ -72,6 +72,31 @@ def test_trees_add_what_the_patterns_miss(table):
     assert got[5004]["spans"] == got[5002]["spans"] == ""
 
 
+def test_the_trees_in_spark_equal_those_of_a_list(spark):
+    """All spans of the middle table: the weak labels of all documents, the sample, the trees and the thresholds, in plain Python."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    detector = pii.fit_examples([e for r in rows for e in pii.weak_examples(r.text)])
+    assert max(detector.cuts) < 1  # every kind has a threshold
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    added = Counter()
+    for r in rows:
+        base, every = detector.spans(r.text)
+        assert got[r.doc_id] == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in every)
+        for a, k, b in set(every) - set(base):  # only what the patterns lose to a neighbour is added, and it passes its check
+            added[k] += 1
+            assert pii.checked(pii.KINDS[k], r.text[a:b])
+    assert added[2] and added[3]
+
+
+def test_few_examples_per_label_are_a_sample(documents):
+    examples = [e for _, t in documents for e in pii.weak_examples(t)]
+    a, b = pii.fit_examples(examples, per_label=10), pii.fit_examples(examples + examples, per_label=10)
+    assert a.cuts == b.cuts and (a.model is None) == (b.model is None)
+    assert pii.fit_examples([]).spans("call +1 (843) 555-7672 now")[1] == [(5, 3, 22)]
+
+
 def test_redaction(table):
     rows = [(1, "to a.b@c.de now", 9), (2, None, 0), (3, "clean", 5)]
     out = pii.redact_documents(table(rows, "doc_id long, text string, n_email int"))
@@ -82,6 +107,7 @@ def test_redaction(table):
 
 def test_long_runs_are_linear():
     assert pii.base_spans("1" * 200_000 + "a" * 200_000 + "@" * 50_000) == []
+    assert len(pii.candidates("1 " * 50_000 + "a" * 300_000 + "@b" * 50_000)) < 20 * 50_000
 
 
 # ---- decontamination
