@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelwise.llm.common import written
+
 MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
 WINDOW = 5
@@ -167,8 +169,9 @@ def rate_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5)
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns only."""
+    """The rows of ``docs`` that are kept, with their own columns only.  The text is read once: the rows are written with their votes."""
     own = signals(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text")
-    posterior = {p: v for p, v in fit_label_model(pattern_counts(own)).items() if v >= threshold}
-    table = _pattern_table(docs.sparkSession, posterior)
-    return own.withColumn("_pattern", votes()).join(F.broadcast(table), "_pattern", "left_semi").select("_row.*")
+    voted = written(own.select("_row", votes().alias("_pattern")), "quality-votes")
+    counts = {r["_pattern"]: r["n"] for r in voted.where("_pattern <> ''").groupBy("_pattern").agg(F.count("*").alias("n")).collect()}
+    posterior = {p: v for p, v in fit_label_model(counts).items() if v >= threshold}
+    return voted.join(F.broadcast(_pattern_table(docs.sparkSession, posterior)), "_pattern", "left_semi").select("_row.*")
