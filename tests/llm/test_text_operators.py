@@ -305,6 +305,57 @@ def test_tree_matching_size():
     assert sorted((x.text, y.text) for x, y in pairs if x.tag == "#") == [("x", "x"), ("z", "z")]
 
 
+def test_deep_pages_and_broken_markup():
+    deep = "<html><body>" + "<div>" * 3000 + "<p>Text number %d of a page that is nested deeply goes on.</p>" + "</div>" * 3000 + "</body></html>"
+    wrapper = html_extract.Wrapper([deep % i for i in range(3)])
+    assert html_extract.main_text(deep % 7, wrapper) == "Text number 7 of a page that is nested deeply goes on."
+    for bad in ("<a x ", "<!x ", "<b>", "<p>", "<!--", "<", "<li>", "<a '", "<a \" '", "<!DOCTYPE ", "<a href=\"x>", "</x>", "<div></x>", "<a><"):
+        html_extract.main_text(bad * 20_000 + "end")  # ends, in time that grows with the page
+
+
+def test_pages_without_an_article_element():
+    two = ("<html><body><div id=top>Site name</div><div><div class=c1><p>" + "First part. " * 20 + "</p><p>More words.</p></div><div class=c2><p>" + "Second part. " * 8
+           + "</p></div></div></body></html>")
+    text = html_extract.main_text(two)
+    assert text.startswith("First part.") and "More words." in text and text.endswith("Second part.") and "Site name" not in text
+    menu = "".join(f"<li><a href=/{i}>Menu entry {i}</a></li>" for i in range(30))
+
+    def page(i):
+        return f"<html><body><div><ul>{menu}</ul></div><div><h2>Title {i}</h2><p>Short article {i} text.</p></div><div>All rights held</div></body></html>"
+
+    for k in (2, 3, 4):
+        wrapper = html_extract.Wrapper([page(i) for i in range(k)])
+        assert html_extract.main_text(page(1), wrapper) == "Title 1\nShort article 1 text."
+    other = "<html><body><table><tr><td>Another layout</td></tr></table></body></html>"
+    wrapper = html_extract.Wrapper([page(0), page(1), page(2), other])
+    assert html_extract.main_text(page(3), wrapper) == "Title 3\nShort article 3 text."  # one page of another layout does not undo the template
+
+
+def test_what_an_article_holds_stays():
+    page = ("<article><header><h1>Head</h1></header><p>Body.</p><div class='legal text'><p>Terms.</p></div><div class='comment-body'><p>no</p></div>"
+            "<div class='share'>no</div><form>no</form></article><header>no</header>")
+    assert html_extract.main_text(page) == "Head\nBody.\nTerms."
+
+
+def test_long_lists_are_aligned_whole(monkeypatch):
+    def page(i):
+        rows = "".join(f"<li>row {j}</li>" if j % 40 else f"<li>own {i} {j}</li>" for j in range(1, 300))
+        return f"<html><body><ul>{'<li>odd</li>' * (i % 2)}{rows}</ul></body></html>"
+
+    for cells in (250_000, 50):
+        monkeypatch.setattr(html_extract, "MAX_CELLS", cells)
+        wrapper = html_extract.Wrapper([page(1), page(2), page(3)])
+        assert html_extract.main_text(page(2), wrapper).split("\n") == [f"own 2 {j}" for j in range(40, 300, 40)]
+
+
+def test_extract_defined_cases(table):
+    assert html_extract.extract(table([], "page_id long, url string, html string")).collect() == []
+    rows = [(1, None, None, "x", 1), (2, "http://a.b/c", "", "y", 2), (None, "no host", "<p>words here", "z", 3), (2, "http://a.b/c", "<p>twice</p>", "y", 2)]
+    got = html_extract.extract(table(rows, "page_id long, url string, html string, text string, host int")).collect()
+    assert sorted((str(r.page_id), r.url, r.text, r.n_chars) for r in got if r.url) == [("2", "http://a.b/c", "", 0), ("2", "http://a.b/c", "twice", 5), ("None", "no host", "words here", 10)]
+    assert [(r.page_id, r.text) for r in got if r.url is None] == [(1, "")]
+
+
 # ---- chat
 def brute_cost(recorded):
     best = chat.NEVER
