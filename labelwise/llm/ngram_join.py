@@ -38,6 +38,8 @@ NGRAM, PERCENT = 3, 90
 BLOCK_TOKENS = 1_500_000
 LEVEL = 1.5
 PIECE = 2 << 20
+#: Sets that a task remembers to have emitted.
+MET = 1 << 20
 _KEY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -244,14 +246,25 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that share a signature: each to the smallest one."""
+    """Edges (a, b) between classes that share a signature: each to the smallest one.
+
+    A set that a task has met already emits nothing again, so copies send their signatures once a task and not once a row.
+    """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in pieces(batches, "text", PIECE):
             grams, at = ngram_sets(*text_buffer(batch.column(0)), n)
+            keys = as_long(set_keys(grams, at))
+            distinct, first = np.unique(keys, return_index=True)
+            new = np.zeros(len(keys), bool)
+            new[first[[k not in met for k in distinct.tolist()]]] = True
+            if len(met) > MET:  # forgetting only sends a signature again
+                met.clear()
+            met.update(distinct.tolist())
             row, signature = signatures(grams, at, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(signature), pa.int64()), pa.array(as_long(set_keys(grams, at))[row], pa.int64())],
-                                             ["sig", "key"])
+            own = new[row]
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(signature)[own], pa.int64()), pa.array(keys[row][own], pa.int64())], ["sig", "key"])
 
     def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sig = last_centre = None

@@ -146,6 +146,17 @@ def test_ngram_join(table, documents, block_tokens):
     assert Counter(tuple(r) for r in got) == brute_components(documents)
 
 
+@pytest.mark.parametrize("met", [1 << 20, 3])
+def test_copies_emit_their_signatures_once_a_task(table, monkeypatch, met):
+    monkeypatch.setattr(ngram_join, "MET", met)
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30 ", "zz ")
+    rows = [(i, text) for i in range(3000)] + [(5000 + i, near) for i in range(3)] + [(6000 + i, f"own text number {i} of some") for i in range(300)]
+    df = table(rows, "doc_id long, text string", files=2)
+    got = ngram_join.similar_documents(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(tuple(r) for r in got) == brute_components(rows)
+
+
 @pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
 def test_one_of_each_group_stays(table, documents, n, percent):
     rows = [(d, t, i) for i, (d, t) in enumerate(documents)]
