@@ -3,8 +3,10 @@
 1. A text becomes the set of its distinct n-grams (64-bit hashes).  Equal sets are one class; everything below is about
    classes, so exact copies cost one row each.
 2. Two sets within the bound differ in at most d elements, d from their sizes.  The elements are dealt by hash into
-   d + 1 parts; at least one part is then equal in both (pigeonhole).  Each set emits one signature per part.  A part
-   without elements says nothing, so the set is dealt again under that part's name.
+   parts; at most d parts then differ, so a set with elements in more than d parts has one that is equal in its
+   partner (pigeonhole).  Each set emits one signature per part that has elements.  There are somewhat more than d + 1 parts, so
+   that hardly any set has elements in d of them or less; such sets, which may miss each other, are dealt again under
+   another name, at last the name alone.
 3. Classes that share a signature form clusters.  Nothing else can link, and unrelated texts hardly ever meet, however
    frequent a single n-gram is.
 4. In a cluster the T-occurrence search runs: inverted lists of the members' n-grams; for each member the short lists
@@ -37,6 +39,8 @@ from labelwise.llm.graph import components
 NGRAM, PERCENT = 3, 90
 BLOCK_TOKENS = 1_500_000
 LEVEL = 1.5
+#: Times that a set is dealt, if too few parts get elements.
+DEALS = 8
 PIECE = 2 << 20
 #: Sets that a task remembers to have emitted.
 MET = 1 << 20
@@ -66,8 +70,16 @@ def set_keys(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
         return mix64(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
-def levels(size: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """(level, parts) for which a set of this size emits signatures.
+def _parts(low: int, d: int) -> int:
+    """Parts over which sets of ``low`` elements or more are dealt, so that more than d of them get elements, with some to spare."""
+    p, enough = d + 1, d + 1 + 2 * math.sqrt(d)
+    while d and p < 4 * low and p * (1 - math.exp(-low / p)) < min(enough, 0.9 * low):
+        p += 1 + p // 32
+    return p
+
+
+def levels(size: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
+    """(level, parts, d) for which a set of this size emits signatures.
 
     Level k holds the sizes of the smaller set of a pair.  A set joins the levels of all sizes its smaller partners, or
     itself as the smaller one, can have.
@@ -75,11 +87,12 @@ def levels(size: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     low, k, out = 1, 0, []
     least = -(-percent * size // 100)
     while low <= size:
-        high = max(low + 1, math.ceil(low * LEVEL)) if low >= 9 else 9
+        high = max(low + 1, math.ceil(low * LEVEL)) if low >= 9 else low + 1
         if high > least:
             a = high - 1
             b = 100 * a // percent
-            out.append((k, (a + b) * (100 - percent) // (100 + percent) + 1))
+            d = (a + b) * (100 - percent) // (100 + percent)
+            out.append((k, _parts(low, d), d))
         low, k = high, k + 1
     return out
 
@@ -91,23 +104,23 @@ def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tup
     rows_out, sigs_out = [], []
     for turn in range(max([len(v) for v in plan.values()] or [0])):
         rows = np.array([r for r, s in enumerate(size.tolist()) if s and len(plan[s]) > turn], np.int64)
-        level = np.array([plan[s][turn][0] for s in size[rows].tolist()], np.uint64)
-        parts = np.array([plan[s][turn][1] for s in size[rows].tolist()], np.int64)
-        name = mix64(level + np.uint64(1))
-        for _ in range(4):
+        level, parts, d = (np.array([plan[s][turn][i] for s in size[rows].tolist()], np.int64) for i in range(3))
+        name = mix64(level.astype(np.uint64) + np.uint64(1))
+        for _ in range(DEALS):
             if not len(rows):
                 break
-            rows, level, parts, name, r, s = _deal(grams, at, rows, level, parts, name)
+            r, s, few = _deal(grams, at, rows, parts, d, name)
             rows_out.append(r)
             sigs_out.append(s)
-        if len(rows):  # still without elements: the name alone, which all such sets share
+            rows, parts, d, name = rows[few], parts[few], d[few], mix64(name[few] + np.uint64(0xE7037ED1A0B428DB))
+        if len(rows):  # still in too few parts: the name alone, which all such sets share
             rows_out.append(rows)
             sigs_out.append(mix64(name + np.uint64(7)))
     return (np.concatenate(rows_out), np.concatenate(sigs_out)) if rows_out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _deal(grams, at, rows, level, parts, name):
-    """Deals each set into its parts under a name; returns what is to be dealt again, and the signatures made."""
+def _deal(grams, at, rows, parts, d, name):
+    """Deals each set into its parts under a name: rows and signatures of the parts with elements, and which sets have them in d parts or less."""
     n = (at[1:] - at[:-1])[rows]
     owner = np.repeat(np.arange(len(rows)), n)
     element = grams[np.repeat(at[:-1][rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -122,8 +135,8 @@ def _deal(grams, at, rows, level, parts, name):
         number = (np.arange(len(total)) - base[of]).astype(np.uint64)
         label = mix64(name[of] + (number + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB))
         signature = mix64(total[filled] + label[filled])
-    empty = ~filled
-    return rows[of[empty]], level[of[empty]], parts[of[empty]], label[empty], rows[of[filled]], signature
+    few = np.bincount(of[filled], minlength=len(rows)) <= d
+    return rows[of[filled]], signature, few
 
 
 def overlap_needed(a: int, b: int, percent: int = PERCENT) -> int:
