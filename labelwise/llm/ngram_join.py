@@ -2,17 +2,21 @@
 
 1. A text becomes the set of its distinct n-grams (64-bit hashes).  Equal sets are one class; everything below is about
    classes, so exact copies cost one row each.
-2. Two sets within the bound differ in at most d elements, d from their sizes.  The elements are dealt by hash into
+2. A partner of a set holds T = 80 (90, ...) percent of its elements, so at least T of its inverted lists have a second member.
+   Sets with fewer such lists link with nothing and leave, before anything else is sent.  Each task combines its lists first: an
+   n-gram met twice there is one row, however frequent it is.  Copies in different tasks look like partners of each other,
+   so the sets that stay are counted a second time, every class once.
+3. Two sets within the bound differ in at most d elements, d from their sizes.  The elements are dealt by hash into
    parts; at most d parts then differ, so a set with elements in more than d parts has one that is equal in its
    partner (pigeonhole).  Each set emits one signature per part that has elements.  There are somewhat more than d + 1 parts, so
    that hardly any set has elements in d of them or less; such sets, which may miss each other, are dealt again under
    another name, at last the name alone.
-3. Classes that share a signature form clusters.  Nothing else can link, and unrelated texts hardly ever meet, however
+4. Classes that share a signature form clusters.  Nothing else can link, and unrelated texts hardly ever meet, however
    frequent a single n-gram is.
-4. In a cluster the T-occurrence search runs: inverted lists of the members' n-grams; for each member the short lists
+5. In a cluster the T-occurrence search runs: inverted lists of the members' n-grams; for each member the short lists
    are merged and counted, members short of T minus the number of long lists drop out, the others are probed in the long
    lists by binary search (DivideSkip), and those that reach the required overlap are links.
-5. A cluster of more than BLOCK_TOKENS n-grams is dealt over blocks, each holding the cluster's first member as well.
+6. A cluster of more than BLOCK_TOKENS n-grams is dealt over blocks, each holding the cluster's first member as well.
    Members that do not reach that member inside their block are then sought in every other block, so no link is lost and
    no task holds more than a block.
 
@@ -30,6 +34,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +50,9 @@ DEALS = 8
 PIECE = 2 << 20
 #: Sets that a task remembers to have emitted.
 MET = 1 << 20
+#: N-grams that a task combines before it sends them, and that one bucket of inverted lists holds.
+HELD, BUCKET = 1_500_000, 1_500_000
+_MANY = np.uint32(0xFFFFFFFF)
 _KEY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -258,26 +267,144 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"rid long, doc_id {kind}, size long, key long")
 
 
-def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that share a signature: each to the smallest one.
+def _held_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, grams, offsets) of rows (key, grams)."""
+    for batch in pieces(batches, "grams", 4 * PIECE):
+        data, offsets = text_buffer(batch.column(1))
+        yield batch.column(0).to_numpy(), np.frombuffer(data.tobytes(), np.uint64), offsets // 8
 
-    A set that a task has met already emits nothing again, so copies send their signatures once a task and not once a row.
-    """
 
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _text_sets(n: int):
+    """A reader of rows (text) as (keys, grams, offsets): a set that the task has met already is left out."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         met: set[int] = set()
         for batch in pieces(batches, "text", PIECE):
             grams, at = ngram_sets(*text_buffer(batch.column(0)), n)
             keys = as_long(set_keys(grams, at))
             distinct, first = np.unique(keys, return_index=True)
-            new = np.zeros(len(keys), bool)
-            new[first[[k not in met for k in distinct.tolist()]]] = True
-            if len(met) > MET:  # forgetting only sends a signature again
+            first = np.sort(first[[k not in met for k in distinct.tolist()]])
+            first = first[at[first + 1] > at[first]]
+            if len(met) > MET:  # forgetting only sends a set again
                 met.clear()
             met.update(distinct.tolist())
+            size = at[first + 1] - at[first]
+            yield keys[first], grams[_spread(at[first], at[first + 1])], np.concatenate([[0], np.cumsum(size)])
+
+    return read
+
+
+def _lists_of_task(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], number: int, buckets: int, percent: int) -> pa.RecordBatch:
+    """The inverted lists of some sets by bucket, and a head: the sets' keys and how many shared lists each still misses.
+
+    A list is 32 bits of its n-gram and its only member, or _MANY.  Lists with equal bits count as one, which lets a set stay
+    and never removes one.
+    """
+    keys, grams = (np.concatenate([f[i] for f in found]) for i in range(2))
+    size = np.concatenate([np.diff(f[2]) for f in found])
+    member = np.repeat(np.arange(len(size), dtype=np.uint32), size)
+    order = np.argsort(grams)
+    grams, member = grams[order], member[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    begin = np.flatnonzero(new)
+    many = np.diff(np.append(begin, len(grams))) > 1
+    shared = np.bincount(member[many[np.cumsum(new) - 1]], minlength=len(size))
+    only = np.where(many, _MANY, member[begin])
+    bucket = ((grams[begin] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bits = grams[begin].astype(np.uint32)
+    to = np.unique(bucket)
+    cut = np.append(np.searchsorted(bucket, to), len(bucket)).tolist()
+    missing = (-(-percent * size // 100) - shared).astype(np.int32)
+    spans = list(zip(cut[:-1], cut[1:]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([*to.tolist(), number % buckets], pa.int64()), pa.array([number] * (len(to) + 1), pa.int64()), pa.array([False] * len(to) + [True]),
+         pa.array([*(bits[a:b].tobytes() for a, b in spans), keys.tobytes()], pa.binary()),
+         pa.array([*(only[a:b].tobytes() for a, b in spans), missing.tobytes()], pa.binary())], ["bucket", "number", "head", "what", "who"])
+
+
+def _shared_members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heads as they are; of every bucket, the members of lists that a second row has as well."""
+    names = ["number", "head", "what", "who"]
+
+    def answer(numbers: list[int], what: list[np.ndarray], who: list[np.ndarray]) -> pa.RecordBatch:
+        bits, only = np.concatenate(what), np.concatenate(who)
+        sizes = [len(w) for w in what]
+        order = np.argsort(bits)
+        same = bits[order][1:] == bits[order][:-1]
+        twice = np.zeros(len(bits), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        twice &= only != _MANY
+        parts = [o[t].tobytes() for o, t in zip(who, np.split(twice, np.cumsum(sizes)[:-1]))]
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([False] * len(numbers)), pa.array([None] * len(numbers), pa.binary()),
+                                           pa.array(parts, pa.binary())], names)
+
+    now, numbers, what, who = None, [], [], []
+    for batch in batches:
+        heads = batch.filter(batch.column(2))
+        if heads.num_rows:
+            yield pa.RecordBatch.from_arrays(heads.columns[1:], names)
+        lists = batch.filter(pc.invert(batch.column(2)))
+        for b, k, x, y in zip(*(lists.column(i).to_pylist() for i in (0, 1, 3, 4))):
+            if b != now and numbers:
+                yield answer(numbers, what, who)
+                numbers, what, who = [], [], []
+            now = b
+            numbers.append(k)
+            what.append(np.frombuffer(x, np.uint32))
+            who.append(np.frombuffer(y, np.uint32))
+    if numbers:
+        yield answer(numbers, what, who)
+
+
+def _enough_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the sets that miss no shared list any more; the head comes before the answers to it."""
+    now, keys, missing = None, None, None
+
+    def stay() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys[missing <= 0])], ["key"])
+
+    for batch in batches:
+        for number, head, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if head:
+                if now is not None:
+                    yield stay()
+                now, keys, missing = number, np.frombuffer(x, np.int64), np.frombuffer(y, np.int32).copy()
+            else:
+                missing -= np.bincount(np.frombuffer(y, np.uint32), minlength=len(missing)).astype(np.int32)
+    if now is not None:
+        yield stay()
+
+
+def _possible(rows: DataFrame, read, elements: int, percent: int) -> DataFrame:
+    """Keys of the sets that share enough elements with other sets to have a partner; ``read`` makes sets of the rows."""
+    buckets = max(1, -(-elements // BUCKET))
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, found, n = TaskContext.get().partitionId() << 32, [], 0
+        for sets in read(batches):
+            if len(sets[0]):
+                found.append(sets)
+                n += len(sets[1])
+            if n >= HELD:
+                yield _lists_of_task(found, number, buckets, percent)
+                number, found, n = number + 1, [], 0
+        if found:
+            yield _lists_of_task(found, number, buckets, percent)
+
+    lists = rows.mapInArrow(send, "bucket long, number long, head boolean, what binary, who binary")
+    shared = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_members, "number long, head boolean, what binary, who binary")
+    dealt = shared.repartition("number").sortWithinPartitions("number", F.desc("head"))
+    return dealt.mapInArrow(_enough_shared, "key long").distinct()
+
+
+def _candidates(held: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between classes (key, grams) that share a signature: each to the smallest one."""
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, grams, at in _held_sets(batches):
             row, signature = signatures(grams, at, percent)
-            own = new[row]
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(signature)[own], pa.int64()), pa.array(keys[row][own], pa.int64())], ["sig", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(signature), pa.int64()), pa.array(keys[row], pa.int64())], ["sig", "key"])
 
     def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sig = last_centre = None
@@ -298,7 +425,7 @@ def _candidates(docs: DataFrame, n: int, percent: int) -> DataFrame:
             if len(edge):
                 yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
 
-    made = docs.select("text").mapInArrow(emit, "sig long, key long")
+    made = held.select("key", "grams").mapInArrow(emit, "sig long, key long")
     return made.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(stars, "a long, b long")
 
 
@@ -329,12 +456,18 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     sized = written(_sets(numbered, n), "ngram-sets")
     classes = written(sized.where("size > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.first("size").alias("size")),
                       "ngram-classes")
-    clusters = components(_candidates(texts, n, percent), "ngram-cluster")
-    members = written(clusters.withColumnRenamed("node", "key").withColumnRenamed("root", "cluster").join(classes, "key"), "ngram-members")
-    weight = members.groupBy("cluster").agg(F.sum("size").alias("tokens"))
+    elements = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    possible = classes.join(_possible(texts.select("text"), _text_sets(n), elements, percent), "key", "left_semi")
+    named_sets = written(_with_grams(texts, possible.select("rid", "key"), n), "ngram-possible")
+    elements = named_sets.agg(F.coalesce(F.sum(F.length("grams")), F.lit(0))).first()[0] // 8
+    paired = named_sets.join(_possible(named_sets.select("key", "grams"), _held_sets, elements, percent), "key", "left_semi")
+    paired = written(paired.select("key", "grams"), "ngram-paired")
+    clusters = components(_candidates(paired, percent), "ngram-cluster").withColumnRenamed("node", "key").withColumnRenamed("root", "cluster")
+    members = paired.join(clusters, "key")
+    weight = clusters.join(classes, "key").groupBy("cluster").agg(F.sum("size").alias("tokens"))
     dealt = members.join(weight, "cluster").withColumn("blocks", F.ceil(F.col("tokens") / block_tokens).cast("long")).withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    held = written(_with_grams(texts, dealt.select("rid", "cluster", "block", "blocks", "key"), n), "ngram-held")
+    held = written(dealt.select("cluster", "block", "blocks", "key", "grams"), "ngram-held")
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     rooted = held.withColumn("block", F.explode(F.when(F.col("key") == F.col("cluster"), every).otherwise(F.array("block"))))
     links = written(_links_in_blocks(rooted.withColumn("asked", F.lit(True)), percent), "ngram-links")
