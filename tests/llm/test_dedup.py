@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from labelwise.llm import fm_dedup, ngram_join, suffix_dedup
@@ -157,6 +158,31 @@ def test_copies_emit_their_signatures_once_a_task(table, monkeypatch, met):
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("held, bucket", [(1_500_000, 1_500_000), (60, 500)])
+def test_sets_without_shared_lists_leave(table, monkeypatch, held, bucket):
+    """The sets that stay are those whose shared n-grams reach the bound, however the lists are combined and dealt."""
+    monkeypatch.setattr(ngram_join, "HELD", held)
+    rnd = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"w{rnd.randrange(1 << 40)}" for _ in range(40)) for _ in range(30)]  # share 58 of 98 n-grams
+    texts += [texts[0].replace("p3 ", "zz "), texts[1][:-4], "a b", "A B", "a b c d", passage]
+    sets = [grams(t) for t in texts]
+    uses = Counter(g for s in set(sets) for g in s)
+    want = {s for s in sets if 100 * sum(uses[g] > 1 for g in s) >= 90 * len(s)}
+    assert 4 < len(want) < 10
+    df = table([(i, t) for i, t in enumerate(texts)], "doc_id long, text string", files=3)
+    keys = {}
+    for s, t in zip(sets, texts):
+        found, at = ngram_join.ngram_sets(*ngram_join.text_buffer(pa.array([t])))
+        keys[int(ngram_join.as_long(ngram_join.set_keys(found, at))[0])] = (s, found.tobytes())
+    once = df.sparkSession.createDataFrame([(k, b) for k, (_, b) in keys.items()], "key long, grams binary").repartition(3)
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
+    elements = sum(map(len, set(sets)))
+    assert {keys[r.key][0] for r in ngram_join._possible(once, ngram_join._held_sets, elements, 90).collect()} == want
+    # from texts a copy in another task may stay as well, never less
+    assert want <= {keys[r.key][0] for r in ngram_join._possible(df.select("text"), ngram_join._text_sets(3), elements, 90).collect()}
+
+
 @pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
 def test_one_of_each_group_stays(table, documents, n, percent):
     rows = [(d, t, i) for i, (d, t) in enumerate(documents)]
