@@ -3,8 +3,8 @@
 1. A text becomes the set of its distinct n-grams (64-bit hashes).  Equal sets are one class; everything below is about
    classes, so exact copies cost one row each.
 2. A partner of a set holds T = 80 (90, ...) percent of its elements, so at least T of its inverted lists have a second member.
-   Sets with fewer such lists link with nothing and leave, before anything else is sent.  Each task combines its lists first: an
-   n-gram met twice there is one row, however frequent it is.  Copies in different tasks look like partners of each other,
+   Sets with fewer such lists link with nothing and leave, before anything else is sent.  A task combines the lists
+   of every HELD n-grams it meets: one entry each, however frequent an n-gram is.  Copies in different tasks look like partners of each other,
    so the sets that stay are counted a second time, every class once.
 3. Two sets within the bound differ in at most d elements, d from their sizes.  The elements are dealt by hash into
    parts; at most d parts then differ, so a set with elements in more than d parts has one that is equal in its
