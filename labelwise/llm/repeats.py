@@ -32,6 +32,8 @@ from labelwise.llm.common import (BASE_A, BASE_B, as_long, byte_symbols, mix64,
                                   word_hashes, written)
 
 PIECE = 1 << 20
+#: Bytes of text of which the symbols and hashes, some hundred bytes for each, are held at once.
+SLICE = 1 << 17
 CHUNK = 4_000_000
 #: Distinct spans of one anchor that one task may solve together, and the most anchors that are dealt by window instead.
 HOT_SPANS, MAX_HOT = 100_000, 10_000
@@ -97,10 +99,20 @@ def anchors(units: Units, width: int, seed: int) -> tuple[np.ndarray, ...]:
     return row[head], start - first[row[head]], count, anchor[head] - start, hashes[anchor[head]]
 
 
+def piece_anchors(texts: pa.RecordBatch, words: bool, width: int, seed: int) -> tuple[np.ndarray, ...]:
+    """``anchors`` of the column text of a piece, found slice by slice: they never cross texts."""
+    found, rows = [], 0
+    for batch in pieces([texts], "text", SLICE):
+        row, *rest = anchors(Units(batch.column(batch.schema.get_field_index("text")), words), width, seed)
+        found.append((row + rows, *rest))
+        rows += batch.num_rows
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _anchor_rows(texts: DataFrame, words: bool, width: int, seed: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
-            row, start, count, off, h = anchors(Units(batch.column(1), words), width, seed)
+            row, start, count, off, h = piece_anchors(batch, words, width, seed)
             # an anchor met twice here is known to be repeated: one row (1) tells the others, the rest (2) need not meet them
             _, head, of, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             told = np.where(times[of] > 1, 2, 0).astype(np.int8)
@@ -179,7 +191,7 @@ def _staged(numbered: DataFrame, marks: DataFrame, words: bool, width: int) -> D
     schema = _STAGED.format(kind=dict(numbered.dtypes)["doc_id"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "packed", PIECE // 3):
+        for batch in pieces(batches, "packed", SLICE // 3):
             units = Units(_unpacked(batch.column(2)), words)
             span, size = _flat(batch.column(3))
             start, n, off = span >> 32, span >> 16 & 0xFFFF, span & 0xFFFF
@@ -203,7 +215,7 @@ def _spans(staged: DataFrame, words: bool, width: int, seed: int) -> DataFrame:
     unit = 8 if words else 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "packed", PIECE // 3):
+        for batch in pieces(batches, "packed", SLICE // 3):
             units = Units(_unpacked(batch.column(1)), words)
             (start, size), (n, _), (off, _) = (_flat(batch.column(i)) for i in (2, 3, 4))
             row = np.repeat(np.arange(batch.num_rows), size)
@@ -248,7 +260,7 @@ def _by_window(spans: DataFrame, words: bool, width: int, whole: Whole) -> DataF
     kind = dict(spans.dtypes)["least"]
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "content", PIECE // 8):
+        for batch in pieces(batches, "content", SLICE):
             contents = batch.column(1).to_pylist()
             n, off, times = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
             h1, h2 = span_names(contents, n, off, words)
@@ -331,7 +343,7 @@ def remove_repeats(docs: DataFrame, words: bool, width: int, seed: int, solver:
     kind = dict(numbered.dtypes)["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "packed", PIECE // 3):
+        for batch in pieces(batches, "packed", SLICE // 3):
             ids, sizes, sha, texts, starts, ns, answers_ = (batch.column(i).to_pylist() for i in range(1, 8))
             units = Units(_unpacked(batch.column(4)), words)
             removed, runs, kept = [0] * batch.num_rows, [0] * batch.num_rows, [None] * batch.num_rows

@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from labelwise.llm import fm_dedup, ngram_join, suffix_dedup
+from labelwise.llm import fm_dedup, ngram_join, repeats, suffix_dedup
 from labelwise.llm.graph import components
 
 from .conftest import WORD, fold
@@ -53,6 +55,21 @@ def test_suffix_dedup(table, documents, width, seed, chunk):
     assert got == Counter(brute_bytes(documents, width))
 
 
+@pytest.mark.parametrize("words,width,seed", [(False, 200, 64), (True, 50, 10)])
+def test_anchors_of_a_piece_are_found_in_slices(words, width, seed):
+    rng = random.Random(3)
+    texts = pa.array([None if k % 50 == 7 else " ".join(rng.choices(["a", "bcd", "efghij", "k1"], k=rng.randrange(900))) for k in range(700)])
+    piece = pa.RecordBatch.from_arrays([texts], ["text"])
+    assert repeats.PIECE < pc.sum(pc.binary_length(texts)).as_py()
+    want = repeats.anchors(repeats.Units(texts, words), width, seed)
+    tracemalloc.start()
+    got = repeats.piece_anchors(piece, words, width, seed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got[0]) > 1000 and all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    assert peak < 20 << 20  # all at once: 104 MB of bytes, 33 MB of words
+
+
 @pytest.mark.parametrize("width,seed,chunk", [(50, 10, 4_000_000), (12, 4, 50_000)])
 def test_fm_dedup(table, documents, width, seed, chunk):
     df = table(documents, "doc_id long, text string")
