@@ -21,7 +21,7 @@ from __future__ import annotations
 import html as html_
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from labelwise.llm.common import written
 REFS = 4
 PART_PAGES = 400
 MAX_LARGE = 10_000
+#: Pairs of children from which on their weights are made by classes; for time and memory only.
 MAX_CELLS = 250_000
 #: Characters from which on a block is longer than a line of a menu.
 LINE = 60
@@ -188,32 +189,44 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int
     """Simple tree matching: size of the largest order-preserving map between trees with equal roots; ``pairs`` collects it.
 
     Leaves are equal when both are text; that their texts differ is what makes a slot.  Children are aligned by the sizes of their own
-    matchings, deepest first, without recursion, so trees may be of any depth.  Lists of more than MAX_CELLS pairs are aligned by
-    element and signature (the hash of all that is below) instead of by size, in linear memory.
+    matchings, deepest first, without recursion, so trees may be of any depth.  In lists of more than MAX_CELLS pairs, sizes are made
+    once for children that are alike (see ``_Alike``); lists of any length are aligned in the same way, with the same result.
     """
     if a.tag != b.tag:
         return 0
     sizes: dict[tuple[int, int], int] = {}
-    stack = [(a, b, False)]
-    while stack:
-        x, y, ready = stack.pop()
-        if (id(x), id(y)) in sizes:
-            continue
-        below = [] if _long(x, y) else [(u, v) for u in x.kids for v in y.kids if _inner(u, v)]
-        if not ready and below:
-            stack.append((x, y, True))
-            stack += [(u, v, False) for u, v in below if (id(u), id(v)) not in sizes]
-            continue
-        sizes[id(x), id(y)] = 1 + sum(_weight(u, v, sizes) for u, v in _aligned(x, y, sizes))
+    _measure(a, b, sizes)
     if pairs is not None:
         todo = [(a, b)]
         while todo:
             x, y = todo.pop()
             pairs.append((x, y))
+            if (id(x), id(y)) not in sizes and _inner(x, y):
+                _measure(x, y, sizes)  # only two that are like them were measured
             todo += _aligned(x, y, sizes)
     return sizes[id(a), id(b)]
 
 
+def _measure(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> None:
+    """Sizes of the matching of two nodes and of all below that it needs."""
+    stack: list[tuple[Node, Node, Callable | None]] = [(a, b, None)]
+    while stack:
+        x, y, weights = stack.pop()
+        if (id(x), id(y)) in sizes:
+            continue
+        if weights is None:
+            below, weights = _weights(x, y)
+            below = [(u, v, None) for u, v in below if (id(u), id(v)) not in sizes and _inner(u, v)]
+            if below:
+                stack.append((x, y, weights))
+                stack += below
+                continue
+        row, weight = np.zeros(len(y.kids) + 1, np.int64), weights(sizes)
+        for i in range(len(x.kids)):
+            row = _row(row, weight(i))
+        sizes[id(x), id(y)] = 1 + int(row[-1])
+
+
 def _long(a: Node, b: Node) -> bool:
     return len(a.kids) * len(b.kids) > MAX_CELLS
 
@@ -241,66 +254,157 @@ def _aligned(a: Node, b: Node, sizes: dict[tuple[int, int], int]) -> list[tuple[
     m, n = len(a.kids), len(b.kids)
     if not m or not n:
         return []
+    return [(a.kids[i], b.kids[j]) for i, j in _traced(m, n, _weights(a, b)[1](sizes))]
+
+
+def _weights(a: Node, b: Node) -> tuple[list[tuple[Node, Node]], Callable]:
+    """Pairs of children that tell all weights, and what makes of their sizes the weights of each child of ``a`` with those of ``b``."""
     if _long(a, b):
-        marks = [(hash(x.tag), _signature(x)) for x in a.kids], [(hash(y.tag), _signature(y)) for y in b.kids]
-        left, right = (np.array(k, np.int64) for k in marks)
-        return [(a.kids[i], b.kids[j]) for i, j in _in_lists(left, right) if left[i, 0] == right[j, 0]]
-    weight = np.array([[_weight(x, y, sizes) for y in b.kids] for x in a.kids])
-    best = np.zeros((m + 1, n + 1), np.int64)
-    for i in range(m):
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + weight[i]))
-    out, i, j = [], m, n
+        alike = _Alike(a, b)
+        return alike.pairs, alike.weights
+    return [(x, y) for x in a.kids for y in b.kids], lambda sizes: np.array([[_weight(x, y, sizes) for y in b.kids] for x in a.kids]).__getitem__
+
+
+def _row(before: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The next row of the table of best alignments."""
+    row = np.zeros_like(before)
+    row[1:] = np.maximum.accumulate(np.maximum(before[1:], before[:-1] + weight))
+    return row
+
+
+def _traced(m: int, n: int, weights: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Places that the best alignment of two lists puts together, from the weights of each place of the first list.
+
+    Of the table only every so many rows are kept; the rows between are made again on the way back.
+    """
+    step = max(int(m ** 0.5) + 1, 64)
+    row = np.zeros(n + 1, np.int64)
+    kept = {0: row}
+    for i in range((m - 1) // step * step):
+        row = _row(row, weights(i))
+        if (i + 1) % step == 0:
+            kept[i + 1] = row
+    out, i, j, first = [], m, n, m
+    best: dict[int, np.ndarray] = {}
+    weight: dict[int, np.ndarray] = {}
     while i and j:
-        if weight[i - 1, j - 1] and best[i, j] == best[i - 1, j - 1] + weight[i - 1, j - 1]:
+        if i <= first:
+            first = (i - 1) // step * step
+            best, weight = {first: kept[first]}, {}
+            for k in range(first, i):
+                weight[k] = weights(k)
+                best[k + 1] = _row(best[k], weight[k])
+        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
             i, j = i - 1, j - 1
-            out.append((a.kids[i], b.kids[j]))
-        elif best[i, j] == best[i - 1, j]:
+            out.append((i, j))
+        elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
     return out[::-1]
 
 
-def _signature(node: Node) -> int:
-    """Hash of the elements and texts below a node."""
-    parts, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        parts.append((x.tag, x.text, len(x.kids)))
-        stack += x.kids
-    return hash(tuple(parts))
+class _Alike:
+    """The children of two nodes by classes, so that the weight of two is made once for all that are like them.
 
+    A weight depends on the elements of both and on which of their texts are equal.  So a child is known by its elements and
+    those of its texts that the other list has too; two children that share no text are known by their elements alone.
+    """
+
+    def __init__(self, a: Node, b: Node):
+        left, right = [_content_of(x) for x in a.kids], [_content_of(y) for y in b.kids]
+        common = {t for _, texts in left for t in texts} & {t for _, texts in right for t in texts}
+        shapes: dict[tuple, int] = {}
+        self.left, rows = self._classes(left, common, shapes)
+        self.right, columns = self._classes(right, common, shapes)
+        heads = [a.kids[k] for k, _, _ in rows], [b.kids[k] for k, _, _ in columns]
+        self.shape = np.array([s for _, s, _ in columns], np.int64)
+        # for each shape its classes of the right and their texts as numbers, 0: a text of this list only
+        number = {t: k for k, t in enumerate(sorted(common), 1)}
+        shaped: dict[int, list[int]] = {}
+        for j, (_, s, _) in enumerate(columns):
+            shaped.setdefault(s, []).append(j)
+        texts_of = {s: np.array([[number.get(t, 0) for t in columns[j][2]] for j in js], np.int64).reshape(len(js), -1) for s, js in shaped.items()}
+        places = {s: np.array(js, np.int64) for s, js in shaped.items()}
+        known: dict[tuple, int] = {}
+        self.pairs: list[tuple[Node, Node]] = []  # two children for each weight
+        self.of: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # for a class of the left: weights by shape, and the classes with weights of their own
+        plain: dict[int, np.ndarray] = {}
+        held = np.zeros(len(number) + 1, bool)
+        for i, (_, mine, texts) in enumerate(rows):
+            own = plain.setdefault(mine, np.full(len(shapes), -1, np.int64))
+            mine_held = [number[t] for t in set(texts) - {None}]
+            held[mine_held] = True
+            sharing, names = [], []
+            for s, at in places.items():
+                shared = np.where(held[texts_of[s]], texts_of[s], 0)
+                some = np.flatnonzero(shared.any(axis=1)) if mine_held else np.zeros(0, np.int64)
+                if own[s] < 0 and len(some) < len(at):
+                    alone = np.ones(len(at), bool)
+                    alone[some] = False
+                    own[s] = self._named(known, (mine, s), heads[0][i], heads[1][at[alone.argmax()]])
+                if len(some):
+                    cells = np.ascontiguousarray(shared[some]).view([("", np.int64)] * shared.shape[1]).ravel()
+                    _, first, of = np.unique(cells, return_index=True, return_inverse=True)
+                    named = [self._named(known, (mine, s, *_pattern(texts, columns[j][2])), heads[0][i], heads[1][j]) for j in at[some[first]].tolist()]
+                    sharing.append(at[some])
+                    names.append(np.array(named, np.int64)[of])
+            held[mine_held] = False
+            none = np.zeros(0, np.int64)
+            self.of.append((own, np.concatenate([none, *sharing]), np.concatenate([none, *names])))
+
+    @staticmethod
+    def _classes(contents: list[tuple[tuple, list[str]]], common: set[str], shapes: dict[tuple, int]) -> tuple[np.ndarray, list[tuple[int, int, tuple]]]:
+        """The class of each child, and of each class its first child, its shape and its texts that count."""
+        made: dict[tuple, int] = {}
+        classes, out = [], []
+        for k, (elements, texts) in enumerate(contents):
+            key = shapes.setdefault(elements, len(shapes)), tuple(t if t in common else None for t in texts)
+            if key not in made:
+                made[key] = len(out)
+                out.append((k, *key))
+            classes.append(made[key])
+        return np.array(classes, np.int64), out
+
+    def _named(self, known: dict[tuple, int], key: tuple, u: Node, v: Node) -> int:
+        name = known.setdefault(key, len(self.pairs))
+        if name == len(self.pairs):
+            self.pairs.append((u, v))
+        return name
+
+    def weights(self, sizes: dict[tuple[int, int], int]) -> Callable[[int], np.ndarray]:
+        """The weights of a child of the left with all of the right; the sizes of ``pairs`` are known."""
+        worth = np.array([*(_weight(u, v, sizes) for u, v in self.pairs), 0], np.int64)
+
+        def row(i: int) -> np.ndarray:
+            plain, sharing, names = self.of[self.left[i]]
+            out = worth[plain[self.shape]]
+            out[sharing] = worth[names]
+            return out[self.right]
 
-def _in_lists(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Best alignment of two lists of (element, signature): equal signatures count 3, equal elements 1.  Halves of the first list
-    are split at the best place of the second, again and again: linear memory."""
-    def front(x, y):
-        row = np.zeros(len(y) + 1, np.int64)
-        for e, s in x:
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + np.where(y[:, 1] == s, 3, (y[:, 0] == e).astype(np.int64))))
         return row
 
-    m, n = len(left), len(right)
-    same = left[:min(m, n), 1] == right[:min(m, n), 1]
-    head = len(same) if same.all() else int(same.argmin())
-    same = left[::-1][:min(m, n) - head, 1] == right[::-1][:min(m, n) - head, 1]
-    tail = len(same) if same.all() else int(same.argmin())
-    out = [(k, k) for k in range(head)] + [(m - 1 - k, n - 1 - k) for k in range(tail)]
-    stack = [(head, m - tail, head, n - tail)]
+
+def _content_of(node: Node) -> tuple[tuple, list[str]]:
+    """The elements of a node and all below it, with their number of children, and the texts, in page order."""
+    elements, texts, stack = [], [], [node]
     while stack:
-        i, k, j, m = stack.pop()
-        if i == k or j == m:
-            continue
-        if k - i == 1:
-            worth = np.where(right[j:m, 1] == left[i, 1], 3, (right[j:m, 0] == left[i, 0]).astype(np.int64))
-            if worth.max():
-                out.append((i, j + int(worth.argmax())))
-            continue
-        half = (i + k) // 2
-        total = front(left[i:half], right[j:m]) + front(left[half:k][::-1], right[j:m][::-1])[::-1]
-        cut = j + int(total.argmax())
-        stack += [(i, half, j, cut), (half, k, cut, m)]
-    return sorted(out)
+        x = stack.pop()
+        elements.append((x.tag, len(x.kids)))
+        if x.tag == "#":
+            texts.append(x.text)
+        stack += reversed(x.kids)
+    return tuple(elements), texts
+
+
+def _pattern(left: tuple, right: tuple) -> tuple[tuple, tuple]:
+    """Which texts of two children are equal, whatever they say."""
+    both = set(left) & set(right) - {None}
+    number: dict[str, int] = {}
+    for t in left:
+        if t in both:
+            number.setdefault(t, len(number))
+    return tuple(map(number.get, left)), tuple(map(number.get, right))
 
 
 class Wrapper:

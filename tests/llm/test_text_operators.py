@@ -348,6 +348,36 @@ def test_long_lists_are_aligned_whole(monkeypatch):
         assert html_extract.main_text(page(2), wrapper).split("\n") == [f"own 2 {j}" for j in range(40, 300, 40)]
 
 
+def test_matching_does_not_depend_on_the_length_of_lists(monkeypatch):
+    rng = random.Random(11)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["<p>one</p>", "<p>two</p>", f"<p>own {rng.random()}</p>", "<hr>", "<div></div>", "loose text", "<p>a<div>b</div></p>"])
+        tag = rng.choice(["div", "ul", "section"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(6))) + f"</{tag}>"
+
+    for _ in range(60):
+        a, b = (html_extract.parse("".join(tree(3) for _ in range(rng.randrange(1, 9)))) for _ in range(2))
+        found = []
+        for cells in (1 << 60, 12, 0):
+            monkeypatch.setattr(html_extract, "MAX_CELLS", cells)
+            pairs = []
+            size = html_extract.match(a, b, pairs)
+            found.append((size, {(id(x), id(y)) for x, y in pairs}))
+        assert found[0] == found[1] == found[2]
+
+
+def test_rows_of_a_long_table_are_told_by_all_their_cells(monkeypatch):
+    def page(i, n):
+        rows = "".join(f"<tr><td>name {j}</td><td>yes</td><td>own {i} {j}</td></tr><tr><td>{i}.{j}</td></tr>" for j in range(i, n))
+        return f"<html><body><table>{rows}</table></body></html>"
+
+    for n in (30, 600):  # 600: lists of 1.4 million pairs
+        wrapper = html_extract.Wrapper([page(i, n) for i in range(3)])
+        assert html_extract.main_text(page(2, n), wrapper).split("\n") == [x for j in range(2, n) for x in (f"own 2 {j}", f"2.{j}")]
+
+
 def test_extract_defined_cases(table):
     assert html_extract.extract(table([], "page_id long, url string, html string")).collect() == []
     rows = [(1, None, None, "x", 1), (2, "http://a.b/c", "", "y", 2), (None, "no host", "<p>words here", "z", 3), (2, "http://a.b/c", "<p>twice</p>", "y", 2)]
