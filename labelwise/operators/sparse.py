@@ -21,6 +21,18 @@ from labelwise.operators.train import GRAD_SCHEMA, Head, _any_label, _softmax_ro
 
 #: Positions that a task's pending sums may take before they are merged.
 PENDING = 2_000_000
+#: Words or values of the rows that are worked on at once.
+SLICE = 1 << 18
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, cut so that the lists of one slice hold about SLICE values (one longer row stands alone)."""
+    total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        end = max(int(np.searchsorted(total, total[at] + SLICE, side="right")) - 1, at + 1)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def word_bucket(word: str, bits: int) -> int:
@@ -32,24 +44,26 @@ def hashed_counts(df: DataFrame, text: str = "text", bits: int = 18, idx: str =
     """``df`` with counts of hashed words: positions (array of int, ascending) and counts (array of double).
 
     Words are those of :func:`tokens`; a null or wordless text has empty arrays.  No word leaves its row: words are hashed once per
-    Arrow batch and distinct word, and counted there.
+    Arrow batch and distinct word, and counted slice by slice.
     """
     if not 1 <= bits <= 30:
         raise ValueError("bits must lie between 1 and 30")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{idx}` array<int>", f"`{val}` array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            column = rb.column(rb.num_columns - 1)
-            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-            coded = column.flatten().dictionary_encode()
+        for batch in batches:
+            coded = batch.column(batch.num_columns - 1).flatten().dictionary_encode()
             bucket = np.array([word_bucket(w, bits) for w in coded.dictionary.to_pylist()], np.int64)
-            row = np.repeat(np.arange(rb.num_rows, dtype=np.int64), sizes)
-            cell, count = np.unique((row << bits) + bucket[coded.indices.to_numpy()] if len(row) else np.zeros(0, np.int64), return_counts=True)
-            at = pa.array(np.searchsorted(cell, np.arange(rb.num_rows + 1, dtype=np.int64) << bits).astype(np.int32))
-            made = [pa.ListArray.from_arrays(at, pa.array((cell & ((1 << bits) - 1)).astype(np.int32))),
-                    pa.ListArray.from_arrays(at, pa.array(count.astype(np.float64)))]
-            yield pa.RecordBatch.from_arrays([*rb.columns[:-1], *made], names=[*rb.schema.names[:-1], idx, val])
+            code, done = coded.indices.to_numpy(), 0
+            for rb in _slices(batch, batch.num_columns - 1):
+                sizes = pc.fill_null(pc.list_value_length(rb.column(rb.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(rb.num_rows, dtype=np.int64), sizes)
+                cell, count = np.unique((row << bits) + bucket[code[done:done + len(row)]] if len(row) else np.zeros(0, np.int64), return_counts=True)
+                done += len(row)
+                at = pa.array(np.searchsorted(cell, np.arange(rb.num_rows + 1, dtype=np.int64) << bits).astype(np.int32))
+                made = [pa.ListArray.from_arrays(at, pa.array((cell & ((1 << bits) - 1)).astype(np.int32))),
+                        pa.ListArray.from_arrays(at, pa.array(count.astype(np.float64)))]
+                yield pa.RecordBatch.from_arrays([*rb.columns[:-1], *made], names=[*rb.schema.names[:-1], idx, val])
 
     return df.select("*", F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_words")).mapInArrow(run, schema)
 
@@ -75,9 +89,7 @@ def sparse_gradient_table(df: DataFrame, heads: dict[str, Head], labels: dict[st
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {t: [] for t in tasks}
         loss, n, held = dict.fromkeys(tasks, 0.0), dict.fromkeys(tasks, 0.0), 0
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
+        for rb in (part for batch in batches for part in _slices(batch, 0)):
             sizes = pc.fill_null(pc.list_value_length(rb.column(0)), 0).to_numpy(zero_copy_only=False)
             if not np.array_equal(sizes, pc.fill_null(pc.list_value_length(rb.column(1)), 0).to_numpy(zero_copy_only=False)):
                 raise ValueError("positions and values of a row differ in number")
@@ -87,6 +99,7 @@ def sparse_gradient_table(df: DataFrame, heads: dict[str, Head], labels: dict[st
                 raise ValueError(f"a position lies outside 0..{width - 1}")
             row = np.repeat(np.arange(rb.num_rows), sizes)
             pos, inverse = np.unique(at, return_inverse=True)
+            touched = np.append(pos, width)
             for k, t in enumerate(tasks):
                 W, b = heads[t].W, heads[t].b
                 label = rb.column(2 + k)
@@ -101,15 +114,16 @@ def sparse_gradient_table(df: DataFrame, heads: dict[str, Head], labels: dict[st
                 p[np.arange(len(y)), y] -= 1.0
                 p[~own] = 0.0
                 sums = [np.bincount(inverse, weights=p[row, c] * value, minlength=len(pos)) for c in range(len(b))]
-                pending[t].append((np.append(pos, width), np.column_stack([np.stack(sums) if len(pos) else np.zeros((len(b), 0)), p.sum(axis=0)])))
+                pending[t].append((touched, np.column_stack([np.stack(sums) if len(pos) else np.zeros((len(b), 0)), p.sum(axis=0)])))
             held += len(pos) + 1
             if held > PENDING:
-                pending = {t: [_merged(v)] for t, v in pending.items()}
+                for t in tasks:  # one after the other, so that one task's parts go before the next is merged
+                    pending[t] = [_merged(pending[t])]
                 held = max(len(v[0][0]) for v in pending.values())
         for t in tasks:
             if not pending[t]:
                 continue
-            pos, sums = _merged(pending[t])
+            pos, sums = _merged(pending.pop(t))
             for c, values in enumerate(sums):
                 yield _rows(t, c, pos, values)
             yield _rows(t, -1, np.array([0, 1]), np.array([loss[t], n[t]]))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF001, SF0001
 from pyspark.sql import functions as F
@@ -57,6 +58,24 @@ def test_sparse_gradient_equals_the_dense_one(texts, monkeypatch, pending):
         np.testing.assert_allclose(scores[i], heads["a"].W @ x + heads["a"].b, atol=1e-9)
 
 
+def test_sparse_passes_hold_a_slice_at_a_time(spark, texts, monkeypatch):
+    rows, df = texts
+    heads = {"a": tr.Head(np.random.default_rng(0).normal(size=(2, 32)), np.zeros(2))}
+
+    def results():
+        counts = sp.hashed_counts(df.coalesce(1), "text", 5)
+        table = sp.sparse_gradient_table(counts, heads, {"a": "a"}).collect()
+        return {r.row_id: (r.idx, r.val) for r in counts.collect()}, {(r["task"], r["class"], r["pos"]): r["value"] for r in table}
+
+    counts, table = results()
+    monkeypatch.setattr(sp, "SLICE", 7)
+    assert results()[0] == counts and results()[1] == pytest.approx(table, abs=1e-9)
+    batch = pa.RecordBatch.from_arrays([pa.array([[1] * n if n is not None else None for n in (0, 9, 3, None, 4, 1, 0, 20, 7, 0)], pa.list_(pa.int32()))], ["x"])
+    cut = list(sp._slices(batch, 0))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch])) and [sum(len(x or ()) for x in c.column(0).to_pylist()) for c in cut] == [0, 9, 7, 1, 20, 7]
+    assert list(sp._slices(batch.slice(0, 0), 0)) == []
+
+
 def test_sparse_errors(spark, texts):
     heads = {"a": tr.Head(np.zeros((2, 4)), np.zeros(2))}
     bad = [("array(9)", "array(1.0D)", 0, "outside"), ("array(1, 2)", "array(1.0D)", 0, "differ"), ("array(1)", "array(1.0D)", 7, "label")]
