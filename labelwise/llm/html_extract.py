@@ -629,8 +629,12 @@ def _large_hosts(rows: DataFrame, refs: int, part_pages: int) -> DataFrame | Non
     large = sizes.where(F.col("count") > limit)
     if large.isEmpty():
         return None
-    # per host the least hash of each of 64 classes, then the ``refs`` least of those
-    least = rows.where("h IS NOT NULL").join(F.broadcast(large), "host").groupBy("host", F.pmod("h", F.lit(64)).alias("d")).agg(F.min("h").alias("h"))
-    picks = least.groupBy("host").agg(F.slice(F.sort_array(F.collect_list("h")), 1, refs).alias("refs"))
+    # the ``refs`` least hashes of a host are no greater than the ``refs`` least of those that are least in one of 64 classes
+    known = rows.where("h IS NOT NULL").join(F.broadcast(large.select("host")), "host")
+    least = known.groupBy("host", F.pmod("h", F.lit(64)).alias("d")).agg(F.min("h").alias("h"))
+    bounds = least.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("l")).select(
+        "host", F.when(F.size("l") >= refs, F.element_at("l", refs)).alias("bound"))  # null: few distinct pages
+    near = known.join(F.broadcast(bounds), "host").where("bound IS NULL OR h <= bound")
+    picks = near.groupBy("host").agg(F.slice(F.sort_array(F.collect_set("h")), 1, refs).alias("refs"))
     parts = F.ceil(F.col("count") / part_pages).cast("int")
     return written(large.select("host", parts.alias("parts")).join(picks, "host", "left"), "large-hosts")

@@ -378,6 +378,13 @@ def test_rows_of_a_long_table_are_told_by_all_their_cells(monkeypatch):
         assert html_extract.main_text(page(2, n), wrapper).split("\n") == [x for j in range(2, n) for x in (f"own 2 {j}", f"2.{j}")]
 
 
+def test_references_of_a_host_do_not_depend_on_its_size(spark):
+    hashes = {"a": [64 * k for k in range(-3, 9)] + [*range(700, 900)], "b": [64] * 30 + [128] * 30, "c": [*range(500, 450, -1)], "d": [None] * 20}
+    rows = [(host, h) for host, hs in hashes.items() for h in hs]
+    found = html_extract._large_hosts(spark.createDataFrame(rows, "host string, h long"), 4, 10).collect()
+    assert {r.host: r.refs for r in found} == {"a": [-192, -128, -64, 0], "b": [64, 128], "c": [451, 452, 453, 454], "d": None}
+
+
 def test_extract_defined_cases(table):
     assert html_extract.extract(table([], "page_id long, url string, html string")).collect() == []
     rows = [(1, None, None, "x", 1), (2, "http://a.b/c", "", "y", 2), (None, "no host", "<p>words here", "z", 3), (2, "http://a.b/c", "<p>twice</p>", "y", 2)]
