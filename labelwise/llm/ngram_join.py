@@ -3,14 +3,15 @@
 1. A text becomes the set of its distinct n-grams (64-bit hashes).  Equal sets are one class; everything below is about
    classes, so exact copies cost one row each.
 2. A partner of a set holds T = 80 (90, ...) percent of its elements, so at least T of its inverted lists have a second member.
-   Sets with fewer such lists link with nothing and leave, before anything else is sent.  A task combines the lists
-   of every HELD n-grams it meets: one entry each, however frequent an n-gram is.  Copies in different tasks look like partners of each other,
-   so the sets that stay are counted a second time, every class once.
+   Sets with fewer such lists link with nothing and leave, before anything else is sent; one row of every class is counted.
+   A task combines the lists of every HELD n-grams it meets: one entry each, however frequent an n-gram is.
 3. Two sets within the bound differ in at most d elements, d from their sizes.  The elements are dealt by hash into
-   parts; at most d parts then differ, so a set with elements in more than d parts has one that is equal in its
-   partner (pigeonhole).  Each set emits one signature per part that has elements.  There are somewhat more than d + 1 parts, so
-   that hardly any set has elements in d of them or less; such sets, which may miss each other, are dealt again under
-   another name, at last the name alone.
+   parts; at most d parts then differ, so of a set with elements in f > d parts at least f - d are equal in its partner
+   (pigeonhole).  If fewer than f - d of the parts hold a single element, some equal part has several.  A set emits a
+   signature for every part with several elements, and for the others only where that doesn't hold: chance brings single
+   n-grams together, all the more in larger inputs, but hardly ever the same few in one part.  Sets with elements in d
+   parts or less, which may miss each other, are dealt again under another name, at last the name alone.
+   Signatures are counted as n-grams are in 2: sets with too few shared ones leave, be their n-grams ever so common.
 4. Classes that share a signature form clusters.  Nothing else can link, and unrelated texts hardly ever meet, however
    frequent a single n-gram is.
 5. In a cluster the T-occurrence search runs: inverted lists of the members' n-grams; for each member the short lists
@@ -52,7 +53,6 @@ PIECE = 2 << 20
 MET = 1 << 20
 #: N-grams that a task combines before it sends them, and that one bucket of inverted lists holds.
 HELD, BUCKET = 1_500_000, 1_500_000
-_MANY = np.uint32(0xFFFFFFFF)
 _KEY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -79,47 +79,56 @@ def set_keys(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
         return mix64(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
-def _parts(low: int, d: int) -> int:
-    """Parts over which sets of ``low`` elements or more are dealt, so that more than d of them get elements, with some to spare."""
+def _parts(low: int, d: int, percent: int) -> int:
+    """Parts over which sets of ``low`` elements or more are dealt: more than d of them get elements, with many to spare.
+
+    At 1.35 to 2.5 elements a part, 0.29 of a set's elements or more is the excess of its parts over those with one element;
+    at 80 percent d is up to 0.25 of them.  A smaller d leaves room for longer parts.
+    """
     p, enough = d + 1, d + 1 + 2 * math.sqrt(d)
     while d and p < 4 * low and p * (1 - math.exp(-low / p)) < min(enough, 0.9 * low):
         p += 1 + p // 32
-    return p
+    return max(p, round(low / (1.35 + 0.085 * max(0, percent - 80)))) if d else 1
 
 
 def levels(size: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
-    """(level, parts, d) for which a set of this size emits signatures.
+    """(level, parts, d) for which a set of this size emits signatures; it differs from a partner there in d elements at most.
 
     Level k holds the sizes of the smaller set of a pair.  A set joins the levels of all sizes its smaller partners, or
     itself as the smaller one, can have.
     """
+    differ = lambda a, b: (a + b) * (100 - percent) // (100 + percent)
     low, k, out = 1, 0, []
     least = -(-percent * size // 100)
     while low <= size:
         high = max(low + 1, math.ceil(low * LEVEL)) if low >= 9 else low + 1
         if high > least:
-            a = high - 1
-            b = 100 * a // percent
-            d = (a + b) * (100 - percent) // (100 + percent)
-            out.append((k, _parts(low, d), d))
+            largest = high - 1
+            own = max(differ(low, 100 * low // percent), min(1, differ(largest, 100 * largest // percent)))
+            out.append((k, _parts(low, own, percent), differ(size, 100 * size // percent if size < high else largest)))
         low, k = high, k + 1
     return out
 
 
-def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every set."""
+def _turns(at: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, parts, d, name) of the sets with a first, a second, ... level."""
     size = np.diff(at)
     plan = {int(s): levels(int(s), percent) for s in np.unique(size) if s}
-    rows_out, sigs_out = [], []
     for turn in range(max([len(v) for v in plan.values()] or [0])):
         rows = np.array([r for r, s in enumerate(size.tolist()) if s and len(plan[s]) > turn], np.int64)
         level, parts, d = (np.array([plan[s][turn][i] for s in size[rows].tolist()], np.int64) for i in range(3))
-        name = mix64(level.astype(np.uint64) + np.uint64(1))
+        yield rows, parts, d, mix64(level.astype(np.uint64) + np.uint64(1))
+
+
+def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of every set."""
+    rows_out, sigs_out = [], []
+    for rows, parts, d, name in _turns(at, percent):
         for _ in range(DEALS):
             if not len(rows):
                 break
-            r, s, few = _deal(grams, at, rows, parts, d, name)
-            rows_out.append(r)
+            owner, s, few, _ = _deal(grams, at, rows, parts, d, name)
+            rows_out.append(rows[owner])
             sigs_out.append(s)
             rows, parts, d, name = rows[few], parts[few], d[few], mix64(name[few] + np.uint64(0xE7037ED1A0B428DB))
         if len(rows):  # still in too few parts: the name alone, which all such sets share
@@ -129,7 +138,11 @@ def signatures(grams: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tup
 
 
 def _deal(grams, at, rows, parts, d, name):
-    """Deals each set into its parts under a name: rows and signatures of the parts with elements, and which sets have them in d parts or less."""
+    """Deals each set into its parts under a name.
+
+    Numbers in ``rows`` and signatures of the parts that are emitted, in order; which sets have elements in d parts or less;
+    and how many of a set's signatures a partner emits at least (a partner may keep its single elements back).
+    """
     n = (at[1:] - at[:-1])[rows]
     owner = np.repeat(np.arange(len(rows)), n)
     element = grams[np.repeat(at[:-1][rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -139,13 +152,16 @@ def _deal(grams, at, rows, parts, d, name):
         cell = base[owner] + part
         total = np.zeros(int(parts.sum()), np.uint64)
         np.add.at(total, cell, mix64(element ^ np.uint64(0xA0761D6478BD642F)))
-        filled = np.bincount(cell, minlength=len(total)) > 0
+        held = np.bincount(cell, minlength=len(total))
         of = np.repeat(np.arange(len(rows)), parts)
-        number = (np.arange(len(total)) - base[of]).astype(np.uint64)
-        label = mix64(name[of] + (number + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB))
-        signature = mix64(total[filled] + label[filled])
-    few = np.bincount(of[filled], minlength=len(rows)) <= d
-    return rows[of[filled]], signature, few
+        filled = np.bincount(of[held > 0], minlength=len(rows))
+        alone = np.bincount(of[held == 1], minlength=len(rows))
+        several = filled - d > alone  # so one of the equal parts has several elements
+        sent = (held > 1) | ((held == 1) & ~several[of])
+        number = (np.flatnonzero(sent) - base[of[sent]]).astype(np.uint64)
+        label = mix64(name[of[sent]] + (number + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB))
+        signature = mix64(total[sent] + label)
+    return of[sent], signature, filled <= d, np.where(several, filled - d - alone, filled > d)
 
 
 def overlap_needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -294,28 +310,47 @@ def _text_sets(n: int):
     return read
 
 
-def _lists_of_task(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], number: int, buckets: int, percent: int) -> pa.RecordBatch:
+def _signed_sets(read, percent: int):
+    """A reader of what ``read`` reads as (keys, signatures, offsets, needed): each level of a set by itself."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for keys, grams, at in read(batches):
+            for rows, parts, d, name in _turns(at, percent):
+                owner, signature, _, needed = _deal(grams, at, rows, parts, d, name)
+                yield keys[rows], signature, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))]), needed
+
+    return run
+
+
+def _kind(sets: int) -> type:
+    """Type of the numbers of so many sets, with one to spare."""
+    return np.uint16 if sets < 1 << 16 else np.uint32
+
+
+def _lists_of_task(found: list[tuple[np.ndarray, ...]], number: int, buckets: int, percent: int) -> pa.RecordBatch:
     """The inverted lists of some sets by bucket, and a head: the sets' keys and how many shared lists each still misses.
 
-    A list is 32 bits of its n-gram and its only member, or _MANY.  Lists with equal bits count as one, which lets a set stay
-    and never removes one.
+    A list is 32 bits of its element and its only member, or the largest number.  Lists with equal bits count as one, which
+    lets a set stay and never removes one.
     """
-    keys, grams = (np.concatenate([f[i] for f in found]) for i in range(2))
+    keys, elements = (np.concatenate([f[i] for f in found]) for i in range(2))
     size = np.concatenate([np.diff(f[2]) for f in found])
-    member = np.repeat(np.arange(len(size), dtype=np.uint32), size)
-    order = np.argsort(grams)
-    grams, member = grams[order], member[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = grams[1:] != grams[:-1]
+    needed = np.concatenate([f[3] for f in found]) if len(found[0]) > 3 else -(-percent * size // 100)
+    kind = _kind(len(size))
+    member = np.repeat(np.arange(len(size), dtype=kind), size)
+    order = np.argsort(elements)
+    elements, member = elements[order], member[order]
+    new = np.ones(len(elements), bool)
+    new[1:] = elements[1:] != elements[:-1]
     begin = np.flatnonzero(new)
-    many = np.diff(np.append(begin, len(grams))) > 1
+    many = np.diff(np.append(begin, len(elements))) > 1
     shared = np.bincount(member[many[np.cumsum(new) - 1]], minlength=len(size))
-    only = np.where(many, _MANY, member[begin])
-    bucket = ((grams[begin] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    bits = grams[begin].astype(np.uint32)
+    only = np.where(many, kind(np.iinfo(kind).max), member[begin])
+    bucket = ((elements[begin] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bits = elements[begin].astype(np.uint32)
     to = np.unique(bucket)
     cut = np.append(np.searchsorted(bucket, to), len(bucket)).tolist()
-    missing = (-(-percent * size // 100) - shared).astype(np.int32)
+    missing = (needed - shared).astype(np.int32)
     spans = list(zip(cut[:-1], cut[1:]))
     return pa.RecordBatch.from_arrays(
         [pa.array([*to.tolist(), number % buckets], pa.int64()), pa.array([number] * (len(to) + 1), pa.int64()), pa.array([False] * len(to) + [True]),
@@ -328,14 +363,12 @@ def _shared_members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     names = ["number", "head", "what", "who"]
 
     def answer(numbers: list[int], what: list[np.ndarray], who: list[np.ndarray]) -> pa.RecordBatch:
-        bits, only = np.concatenate(what), np.concatenate(who)
-        sizes = [len(w) for w in what]
+        bits = np.concatenate(what)
         order = np.argsort(bits)
         same = bits[order][1:] == bits[order][:-1]
         twice = np.zeros(len(bits), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
-        twice &= only != _MANY
-        parts = [o[t].tobytes() for o, t in zip(who, np.split(twice, np.cumsum(sizes)[:-1]))]
+        parts = [o[t & (o != np.iinfo(o.dtype).max)].tobytes() for o, t in zip(who, np.split(twice, np.cumsum([len(w) for w in who])[:-1]))]
         return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([False] * len(numbers)), pa.array([None] * len(numbers), pa.binary()),
                                            pa.array(parts, pa.binary())], names)
 
@@ -352,7 +385,7 @@ def _shared_members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             now = b
             numbers.append(k)
             what.append(np.frombuffer(x, np.uint32))
-            who.append(np.frombuffer(y, np.uint32))
+            who.append(np.frombuffer(y, np.uint16 if len(y) < len(x) else np.uint32))
     if numbers:
         yield answer(numbers, what, who)
 
@@ -371,7 +404,7 @@ def _enough_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     yield stay()
                 now, keys, missing = number, np.frombuffer(x, np.int64), np.frombuffer(y, np.int32).copy()
             else:
-                missing -= np.bincount(np.frombuffer(y, np.uint32), minlength=len(missing)).astype(np.int32)
+                missing -= np.bincount(np.frombuffer(y, _kind(len(keys))), minlength=len(missing)).astype(np.int32)
     if now is not None:
         yield stay()
 
@@ -398,6 +431,24 @@ def _possible(rows: DataFrame, read, elements: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(_enough_shared, "key long").distinct()
 
 
+def _marks(rids: DataFrame, name: str) -> DataFrame:
+    """A bit for every rid of a written table, in buckets: 8 MB at most, whatever their number."""
+    spots = 1 << min(26, max(15, (16 * rids.count()).bit_length()))
+    at = rids.select(F.pmod(F.xxhash64("rid"), F.lit(spots)).alias("at"))
+    bits = at.groupBy(F.expr("at div 32768").alias("_bucket")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("_bits"))
+    return written(bits.withColumn("_spots", F.lit(spots).cast("long")), name)
+
+
+def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows``, where they lie, and _marked: true for every rid that ``marks`` has, and for some others."""
+    spots = marks.first()
+    at = F.pmod(F.xxhash64("rid"), F.lit(spots["_spots"] if spots else 1))
+    byte = "conv(hex(substring(_bits, cast(_at % 32768 div 8 + 1 as int), 1)), 16, 10)"
+    placed = rows.withColumn("_at", at).withColumn("_bucket", F.expr("_at div 32768"))
+    return placed.join(F.broadcast(marks.select("_bucket", "_bits")), "_bucket", "left").select(
+        *[F.col(f"`{c}`") for c in rows.columns], F.expr(f"coalesce(getbit(cast({byte} as int), cast(_at % 8 as int)) = 1, false)").alias("_marked"))
+
+
 def _candidates(held: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes (key, grams) that share a signature: each to the smallest one."""
 
@@ -430,9 +481,10 @@ def _candidates(held: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_grams(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``wanted`` (rid and more) with the n-gram sets of those rows as binary."""
+    """``wanted`` (rid and more, a written table) with the n-gram sets of those rows as binary."""
     names = wanted.columns
-    joined = docs.join(wanted.hint("merge"), "rid").select(*names, "text")  # one plan at every size
+    near = _marked(docs, _marks(wanted, "ngram-marks")).where("_marked")
+    joined = near.join(wanted.hint("merge"), "rid").select(*names, "text")  # one plan at every size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE):
@@ -456,12 +508,12 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     sized = written(_sets(numbered, n), "ngram-sets")
     classes = written(sized.where("size > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.first("size").alias("size")),
                       "ngram-classes")
-    elements = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    possible = classes.join(_possible(texts.select("text"), _text_sets(n), elements, percent), "key", "left_semi")
-    named_sets = written(_with_grams(texts, possible.select("rid", "key"), n), "ngram-possible")
-    elements = named_sets.agg(F.coalesce(F.sum(F.length("grams")), F.lit(0))).first()[0] // 8
-    paired = named_sets.join(_possible(named_sets.select("key", "grams"), _held_sets, elements, percent), "key", "left_semi")
-    paired = written(paired.select("key", "grams"), "ngram-paired")
+    possible = classes
+    for read in (_text_sets(n), _signed_sets(_text_sets(n), percent)):
+        elements = possible.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        once = _marked(texts, _marks(possible, "ngram-marks")).where("_marked")
+        possible = written(possible.join(_possible(once.select("text"), read, elements, percent), "key", "left_semi"), "ngram-possible")
+    paired = written(_with_grams(texts, possible.select("rid", "key"), n).select("key", "grams"), "ngram-paired")
     clusters = components(_candidates(paired, percent), "ngram-cluster").withColumnRenamed("node", "key").withColumnRenamed("root", "cluster")
     members = paired.join(clusters, "key")
     weight = clusters.join(classes, "key").groupBy("cluster").agg(F.sum("size").alias("tokens"))
@@ -492,9 +544,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of every component: that of the smallest doc_id, and of the first such row in the scan; own columns only."""
-    found = similar_documents(docs, doc_id, text, **options)
+    found = similar_documents(docs, doc_id, text, **options).where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("rid"))).alias("best")
-    linked = found.where("n_shingles > 0").groupBy("root").agg(first).select(F.col("best.rid").alias("_rid"))
-    kept = linked.unionByName(found.where("n_shingles = 0").select(F.col("rid").alias("_rid")))
-    numbered = docs.select(F.struct("*").alias("_row")).withColumn("_rid", F.monotonically_increasing_id())
-    return numbered.join(kept, "_rid", "left_semi").select("_row.*")
+    best = found.groupBy("root").agg(first).select("root", F.col("best.rid").alias("best"))
+    gone = written(found.join(best, "root").where("rid <> best").select("rid"), "ngram-gone")
+    numbered = docs.select(F.struct("*").alias("_row")).withColumn("rid", F.monotonically_increasing_id())
+    seen = _marked(numbered, _marks(gone, "ngram-marks"))  # only rows that may go are moved
+    return seen.where("NOT _marked").unionByName(seen.where("_marked").join(gone.hint("merge"), "rid", "left_anti")).select("_row.*")

@@ -228,6 +228,73 @@ def test_signatures_meet():
             assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_common_elements_bring_no_sets_together(spark, percent):
+    """Every element is in six sets or so, few sets are alike: hardly two share a signature, and only the near copies stay."""
+    rnd = np.random.default_rng(5)
+    sets = [np.sort(rnd.choice(200_000, 400, replace=False)) for _ in range(3000)]
+    sets.append(np.unique(np.concatenate([sets[0][10:], rnd.choice(200_000, 10)])))
+    grams_of = [ngram_join.mix64(x.astype(np.uint64)) for x in sets]
+    for x in grams_of:
+        x.sort()
+    at = np.concatenate([[0], np.cumsum([len(x) for x in grams_of])])
+    row, sig = ngram_join.signatures(np.concatenate(grams_of), at, percent)
+    met = defaultdict(set)
+    for r, x in zip(row.tolist(), sig.tolist()):
+        met[x].add(r)
+    assert {0, 3000} in met.values() and len({frozenset(m) for m in met.values() if len(m) > 1}) < 1000
+    once = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(grams_of)], "key long, grams binary").repartition(3)
+    elements = int(at[-1])
+    assert ngram_join._possible(once, ngram_join._held_sets, elements, percent).count() == 3001  # by n-grams all may have a partner
+    signed = ngram_join._signed_sets(ngram_join._held_sets, percent)
+    assert {r.key for r in ngram_join._possible(once, signed, elements, percent).collect()} == {0, 3000}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 97])
+def test_partners_share_as_many_signatures_as_needed(percent):
+    """Each of two sets within the bound, at a level of both, has the signatures that it needs among those of the other."""
+    rnd = random.Random(9)
+    pairs = 0
+    for _ in range(1500):
+        n = rnd.choice([1, 2, 5, 9, 20, 60, 200, 400])
+        a = {rnd.randrange(1 << 62) for _ in range(rnd.randint(max(1, n // 2), n))}
+        most = int(len(a) * (100 - percent) / 100)
+        b = set(list(a)[rnd.randint(0, most):]) | {rnd.randrange(1 << 62) for _ in range(rnd.randint(0, most))}
+        if not b or 100 * len(a & b) < percent * len(a | b):
+            continue
+        pairs += 1
+        both = [np.sort(np.array(list(x), np.uint64)) for x in (a, b)]
+        row, sig = ngram_join.signatures(np.concatenate(both), np.array([0, len(a), len(a) + len(b)]), percent)
+        assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+
+        def read(_, both=both):
+            yield np.arange(2), np.concatenate(both), np.array([0, len(a), len(a) + len(b)])
+
+        found = {0: [], 1: []}
+        for keys, signature, at, needed in ngram_join._signed_sets(read, percent)([]):
+            for i, k in enumerate(keys.tolist()):
+                found[k].append((set(signature[at[i]:at[i + 1]].tolist()), int(needed[i])))
+        for k in (0, 1):
+            assert any(len(own & other) >= needed for own, needed in found[k] for other, _ in found[1 - k])
+    assert pairs > 300
+
+
+def test_rows_are_marked_where_they_lie(spark, table):
+    """Every wanted row is marked and hardly another; only rows that may go are moved."""
+    rids = ngram_join.written(spark.range(0, 40_000, 4).withColumnRenamed("id", "rid"), "test-rids")
+    marks = ngram_join._marks(rids, "test-marks")
+    marked = ngram_join._marked(spark.range(200_000).withColumnRenamed("id", "rid"), marks)
+    assert "hashpartitioning" not in marked._jdf.queryExecution().toString()
+    rows = {r.rid: r._marked for r in marked.collect()}
+    assert len(rows) == 200_000 and all(rows[i] for i in range(0, 40_000, 4)) and sum(rows.values()) < 30_000
+    none = ngram_join._marks(rids.where("rid < 0"), "test-marks")
+    assert not any(r._marked for r in ngram_join._marked(rids, none).collect())
+    own = " ".join(f"w{i}" for i in range(50))
+    kept = ngram_join.keep_one(table([(i, own if i % 9 == 0 else f"text {i} of its own and no other {i}") for i in range(900)], "doc_id long, text string"))
+    rows = [r.doc_id for r in kept.collect()]
+    assert sorted(rows) == [0, *(i for i in range(900) if i % 9)]
+
+
 def test_search_equals_counting():
     rnd = random.Random(5)
     pool = list(range(400))
