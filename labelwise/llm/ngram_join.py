@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelwise.llm.common import BASE_B, as_long, mix64, pieces, slice_hash, text_buffer, word_bounds, word_hashes, written
+from labelwise.llm.common import BASE_B, as_long, mix64, pieces, release, slice_hash, text_buffer, word_bounds, word_hashes, written
 from labelwise.llm.graph import components
 
 NGRAM, PERCENT = 3, 90
@@ -244,21 +244,22 @@ def block_links(keys: list[int], sets: list[np.ndarray], asked: list[bool], perc
     return out
 
 
-def _links_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of a table (cluster, block, key, asked, grams); a block is bounded, and is searched in one piece."""
+def _links_in_blocks(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of a table (cluster, block, key, asked, text); a block is bounded, and is searched in one piece."""
     dealt = rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "key", F.desc("asked"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, sets, asked = None, [], [], []
         found: list[tuple[int, int]] = []
-        for batch in batches:
-            for c, b, k, q, g in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for batch in pieces(batches, "text", PIECE):
+            grams, at = ngram_sets(*text_buffer(batch.column(4)), n)
+            for c, b, k, q, start, end in zip(*(batch.column(i).to_pylist() for i in range(4)), at[:-1].tolist(), at[1:].tolist()):
                 if (c, b) != now:
                     found += block_links(keys, sets, asked, percent) if len(keys) > 1 else []
                     now, keys, sets, asked = (c, b), [], [], []
                 if not keys or keys[-1] != k:  # a class that is both asked and a member counts once
                     keys.append(k)
-                    sets.append(np.frombuffer(g, np.uint64))
+                    sets.append(grams[start:end])
                     asked.append(q)
             if len(found) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found)], ["a", "b"])
@@ -267,7 +268,7 @@ def _links_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    return dealt.select("cluster", "block", "key", "asked", "grams").mapInArrow(run, "a long, b long")
+    return dealt.select("cluster", "block", "key", "asked", "text").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -449,13 +450,13 @@ def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
         *[F.col(f"`{c}`") for c in rows.columns], F.expr(f"coalesce(getbit(cast({byte} as int), cast(_at % 8 as int)) = 1, false)").alias("_marked"))
 
 
-def _candidates(held: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between classes (key, grams) that share a signature: each to the smallest one."""
+def _candidates(held: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) between classes (key, text) that share a signature: each to the smallest one."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, grams, at in _held_sets(batches):
-            row, signature = signatures(grams, at, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(signature), pa.int64()), pa.array(keys[row], pa.int64())], ["sig", "key"])
+        for batch in pieces(batches, "text", PIECE):
+            row, signature = signatures(*ngram_sets(*text_buffer(batch.column(1)), n), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(signature), pa.int64()), batch.column(0).take(pa.array(row))], ["sig", "key"])
 
     def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sig = last_centre = None
@@ -476,24 +477,14 @@ def _candidates(held: DataFrame, percent: int) -> DataFrame:
             if len(edge):
                 yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["a", "b"])
 
-    made = held.select("key", "grams").mapInArrow(emit, "sig long, key long")
+    made = held.select("key", "text").mapInArrow(emit, "sig long, key long")
     return made.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(stars, "a long, b long")
 
 
-def _with_grams(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``wanted`` (rid and more, a written table) with the n-gram sets of those rows as binary."""
-    names = wanted.columns
+def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (rid and more, a written table) with the texts of those rows: shorter than their n-grams, which are made when they are needed."""
     near = _marked(docs, _marks(wanted, "ngram-marks")).where("_marked")
-    joined = near.join(wanted.hint("merge"), "rid").select(*names, "text")  # one plan at every size
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", PIECE):
-            grams, at = ngram_sets(*text_buffer(batch.column(batch.num_columns - 1)), n)
-            data = [grams[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.binary())], [*names, "grams"])
-
-    kinds = ", ".join(f"{c} {t}" for c, t in wanted.dtypes)
-    return joined.mapInArrow(run, f"{kinds}, grams binary")
+    return near.join(wanted.hint("merge"), "rid").select(*wanted.columns, "text")  # one plan at every size
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, percent: int = PERCENT,
@@ -513,16 +504,20 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         elements = possible.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         once = _marked(texts, _marks(possible, "ngram-marks")).where("_marked")
         possible = written(possible.join(_possible(once.select("text"), read, elements, percent), "key", "left_semi"), "ngram-possible")
-    paired = written(_with_grams(texts, possible.select("rid", "key"), n).select("key", "grams"), "ngram-paired")
-    clusters = components(_candidates(paired, percent), "ngram-cluster").withColumnRenamed("node", "key").withColumnRenamed("root", "cluster")
+        release(docs.sparkSession)
+    paired = written(_with_texts(texts, possible.select("rid", "key")).select("key", "text"), "ngram-paired")
+    release(docs.sparkSession)
+    clusters = components(_candidates(paired, n, percent), "ngram-cluster").withColumnRenamed("node", "key").withColumnRenamed("root", "cluster")
     members = paired.join(clusters, "key")
     weight = clusters.join(classes, "key").groupBy("cluster").agg(F.sum("size").alias("tokens"))
     dealt = members.join(weight, "cluster").withColumn("blocks", F.ceil(F.col("tokens") / block_tokens).cast("long")).withColumn(
         "block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    held = written(dealt.select("cluster", "block", "blocks", "key", "grams"), "ngram-held")
+    release(docs.sparkSession)
+    held = written(dealt.select("cluster", "block", "blocks", "key", "text"), "ngram-held")
+    release(docs.sparkSession)
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     rooted = held.withColumn("block", F.explode(F.when(F.col("key") == F.col("cluster"), every).otherwise(F.array("block"))))
-    links = written(_links_in_blocks(rooted.withColumn("asked", F.lit(True)), percent), "ngram-links")
+    links = written(_links_in_blocks(rooted.withColumn("asked", F.lit(True)), n, percent), "ngram-links")
     many = held.where("blocks > 1")
     if not many.select("key").isEmpty():
         # members of a dealt cluster that their block did not tie to the root are sought in every block
@@ -530,9 +525,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         at_root = tied.select(F.col("node").alias("cluster"), F.col("root").alias("main"))
         loose = many.join(tied.withColumnRenamed("node", "key"), "key", "left").join(at_root, "cluster", "left").where(
             "key <> cluster AND NOT (coalesce(root, key) <=> main)")
-        asked = loose.withColumn("block", F.explode(every)).select("cluster", "block", "key", F.lit(True).alias("asked"), "grams")
-        base = many.select("cluster", "block", "key", F.lit(False).alias("asked"), "grams")
-        links = links.unionByName(written(_links_in_blocks(base.unionByName(asked), percent), "ngram-more"))
+        asked = loose.withColumn("block", F.explode(every)).select("cluster", "block", "key", F.lit(True).alias("asked"), "text")
+        base = many.select("cluster", "block", "key", F.lit(False).alias("asked"), "text")
+        links = links.unionByName(written(_links_in_blocks(base.unionByName(asked), n, percent), "ngram-more"))
+    release(docs.sparkSession)
     roots = components(links, "ngram-linked").withColumnRenamed("node", "key")
     grouped = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
